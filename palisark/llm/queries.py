@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisark.llm import bpe, exact_dedup, language_id, quality, secret_scan, sharding
+from palisark.llm import bpe, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -35,16 +39,22 @@ def op6_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_machine": op1_quality_machine,
+    "op2_warc_salvage": op2_warc_salvage,
     "op3_hypergeometric_shards": op3_hypergeometric_shards,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pair_index_bpe": op5_pair_index_bpe,
     "op6_language_compression": op6_language_compression,
+    "op9_template_decontamination": op9_template_decontamination,
     "op10_randomness_battery": op10_randomness_battery,
 }
 
