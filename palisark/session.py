@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table (a few numbers each) that may be broadcast once they have been counted.
+BROADCAST_ROWS = 200_000
 
 
 def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,3 +54,9 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written and counted: marked for broadcast if it has at most ``most`` rows, else joined by shuffle."""
+    out = written(df, label)
+    return F.broadcast(out) if out.count() <= most else out
