@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisark.session import written
+from palisark.session import small_side, written
 
 FAN_IN = 16
 #: The white space that doesn't count: runs of these bytes are one space.
@@ -92,11 +92,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = groups(docs, id_col, text_col, fan_in)
     digest = F.sha2(normalised(docs[text_col]), 256)
     # What happens to the rows of one identifier and digest: of `n` equal rows one or none stays.
-    fate = (
+    fate = small_side(
         found.groupBy("doc_id", "text_sha256")
         .agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays"))
         .where("n > 1 or not stays")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("stays").alias("__stays"))
+        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("stays").alias("__stays")),
+        "fates",
     )
     names = docs.columns
     marked = docs.withColumn("__digest", digest).join(
