@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisark.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, quality, secret_scan, sharding, warc
+from palisark.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_language_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op7_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find(table(spark, sf_dir, "documents"))
+
+
 def op8_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find(table(spark, sf_dir, "documents"), width=2)
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pair_index_bpe": op5_pair_index_bpe,
     "op6_language_compression": op6_language_compression,
+    "op7_two_stage_suffixes": op7_two_stage_suffixes,
     "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_randomness_battery": op10_randomness_battery,
