@@ -31,8 +31,9 @@ from palisark.session import written
 
 WINDOW = 50
 GRAM = 16
-#: Bytes of text behind one bucket, and the least number of buckets.
+#: Bytes of text behind one bucket, the least number of buckets, and buckets of texts for each one of anchors.
 BUCKET_BYTES = 16 << 20
+TEXT_BUCKETS = 3
 MIN_BUCKETS = 64
 #: An anchor with more different segments than this is split by the content of its windows.
 HOT_SEGMENTS = 20_000
@@ -304,7 +305,7 @@ def _append(out, data, body, bucket, ids, segment, start, end, first) -> None:
     data.append(body[tb.ranges(start, end - start)])
 
 
-def suffix_array(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int = WINDOW, words: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in the order of their first ``depth`` bytes, by two-stage sorting.
 
     Only suffixes smaller than their successor are sorted directly. Every other suffix follows its successor: scanning
@@ -313,18 +314,17 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
     """
     n = len(text)
     if n < 2:
-        return np.arange(n)
-    wide = np.concatenate([text.astype(np.int16), [-1]])
-    change = np.flatnonzero(np.diff(wide))  # the last byte is larger than the end
-    after = change[np.searchsorted(change, np.arange(n))]
-    smaller = wide[after + 1] > wide[after]  # than the successor
-    words = _words(text)
-    small = _direct(words, np.flatnonzero(smaller), depth)
+        return np.arange(n, dtype=np.int32)
+    wide = np.append(text.astype(np.int16), np.int16(-1))
+    change = np.flatnonzero(wide[1:] != wide[:-1])  # the last byte is larger than the end
+    smaller = np.repeat(wide[change + 1] > wide[change], np.diff(change, prepend=-1))  # than the successor
+    words = _words(text) if words is None else words
+    small = _direct(words, np.flatnonzero(smaller).astype(np.int32), depth)
     first_small = text[small]
     bounds = np.searchsorted(first_small, np.arange(257))
     # Each bucket of a first byte: larger suffixes, induced in order, before the smaller ones.
     front: list[list[np.ndarray]] = [[] for _ in range(256)]
-    front[text[n - 1]].append(np.array([n - 1]))
+    front[text[n - 1]].append(np.array([n - 1], np.int32))
     out = []
     for c in range(256):
         queue, front[c] = front[c], []
@@ -359,7 +359,8 @@ def _direct(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of their first ``depth`` bytes: by eight bytes, then ties by the next eight, and so on."""
     order = at[np.argsort(words[at], kind="stable")]
     key = words[order]
-    rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(order) else np.zeros(0, int)
+    rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.int32) if len(order) else np.zeros(0, np.int32)
+    del key
     for d in range(8, depth, 8):
         tied = np.zeros(len(order), bool)
         same = rank[1:] == rank[:-1]
@@ -376,7 +377,7 @@ def _direct(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         new[1:] = rank[1:] != rank[:-1]
         k, r = key[by], ranks[by]
         new[t[1:]] |= (k[1:] != k[:-1]) & (r[1:] == r[:-1])
-        rank = np.cumsum(new) - 1
+        rank = np.cumsum(new, dtype=np.int32) - 1
     return order
 
 
@@ -386,14 +387,14 @@ def repeated_windows(ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, windo
     start = np.concatenate([[0], np.cumsum(gap)])[:-1]
     joined = np.zeros(int(gap.sum()), np.uint8)
     joined[tb.ranges(start, sizes)] = text
-    owner = np.repeat(np.arange(len(sizes)), gap)
-    offset = np.arange(len(joined)) - start[owner]
-    sa = suffix_array(joined, window)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), gap)
+    offset = np.arange(len(joined), dtype=np.int32) - start.astype(np.int32)[owner]
+    words = _words(joined)
+    sa = suffix_array(joined, window, words)
     sa = sa[offset[sa] + window <= sizes[owner[sa]]]
     if not len(sa):
         return np.zeros(len(sizes), _U)
     # The common prefix of neighbours reaches `window` bytes where all its words of eight agree.
-    words = _words(joined)
     same = np.ones(len(sa) - 1, bool)
     for d in [*range(0, window - 7, 8), window - 8]:
         w = words[sa + d]
@@ -479,8 +480,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     answers = written(sent.groupBy("bucket").applyInArrow(answer_anchors(buckets, homes), ANSWER_SQL), "anchors")
     packed = rows.mapInArrow(pack(homes), "home long, id long, z binary")
     asked = answers.where(F.col("kind") != FLAG)
-    texts = packed.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(send_texts(buckets), TEXTS_SQL)
-    found = texts.groupBy("bucket").applyInArrow(answer_texts(buckets, homes), ANSWER_SQL)
+    texts = packed.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(send_texts(TEXT_BUCKETS * buckets), TEXTS_SQL)
+    found = texts.groupBy("bucket").applyInArrow(answer_texts(TEXT_BUCKETS * buckets, homes), ANSWER_SQL)
     flags = answers.where(F.col("kind") == FLAG).unionByName(found)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     out = packed.groupBy("home").cogroup(flags.groupBy("home")).applyInArrow(remove(with_text), schema)
