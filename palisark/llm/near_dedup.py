@@ -2,8 +2,9 @@
 
 A document's set is that of its word shingles. Documents with equal sets are one class from the start, so copies cost
 nothing further. MinHash samples of the classes go into bands; classes that share a band are candidates. In a band's
-bucket not all pairs are formed: its members meet the bucket's leader, and only members that are then still in different
-components meet one another, so a bucket of thousands of near copies costs as many comparisons as it has members.
+bucket not all pairs are formed: its members meet the bucket's leader; members that are then still in different
+components meet a few more; and only those that are apart after that meet one another. So a bucket of thousands of near
+copies costs a few comparisons for each member, and no link between components is missed.
 
 Each class also folds its samples into a bitmap of parities (an odd sketch). The XOR of two sketches holds the parity of
 their symmetric difference, and its population count estimates high similarities closely. Pairs whose estimate is far
@@ -31,8 +32,10 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
-#: A sketch excludes a pair whose estimate is this many standard deviations under the threshold.
-DEVIATIONS = 6
+#: A sketch excludes a pair whose distance is this many standard deviations above that of the threshold.
+DEVIATIONS = 5.5
+#: Rounds in which members of a bucket that are apart meet this many of its members, before all that are still apart meet.
+ROUNDS, LEADERS = 2, 6
 PIECE_BYTES = 2 << 20
 _rng = np.random.Generator(np.random.Philox(77))
 _FACTORS = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -122,9 +125,11 @@ def _set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def most_different(percent: int) -> int:
     """The largest population count of an XOR of sketches that the threshold still allows, with a margin."""
-    j = percent / 100 - DEVIATIONS * math.sqrt(percent / 100 * (1 - percent / 100) / SAMPLES)
-    expected = SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - j) / SKETCH_BITS))
-    return math.ceil(expected + DEVIATIONS * math.sqrt(expected * 0.5))
+    differing = SAMPLES * (1 - percent / 100)  # samples; each flips two bits
+    left = math.exp(-4 * differing / SKETCH_BITS)  # what collisions leave of a further flip
+    expected = SKETCH_BITS / 2 * (1 - left)
+    deviation = math.sqrt((2 * left) ** 2 * differing * percent / 100 + expected * (1 - left))
+    return math.ceil(expected + DEVIATIONS * deviation)
 
 
 def sketch_distance(a: Column, b: Column) -> Column:
@@ -226,21 +231,30 @@ def find(
     leaders = banded.groupBy("h").agg(F.min("cid").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
     members = written(banded.join(leaders, "h"), "members")
     slim = reps.select("cid", "n", "sketch")
-    tested = written(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")
+    tested = written(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "pairs")  # the leader is least
     check = lambda pairs: verified(written(plausible(pairs, slim, percent), "plausible"), classes, docs, width, percent, id_col, text_col)
     links = written(check(tested), "links")
     comps = written(components(links), "components")
-    # Members of a bucket that are still apart meet one another; components without links between them stay apart.
-    placed = members.select("h", "cid").join(comps, "cid", "left").select("h", "cid", F.coalesce("comp", "cid").alias("comp"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    apart = written(placed.join(mixed, "h", "left_semi"), "apart")
-    other = apart.select("h", F.col("cid").alias("b"), F.col("comp").alias("comp_b"))
-    more = (
-        apart.withColumnRenamed("cid", "a").join(other, "h").where("a < b and comp <> comp_b").select("a", "b").distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    links = links.union(written(check(more), "links"))
-    comps = components(links)
+    for r in range(ROUNDS + 1):
+        # Members of a bucket that are in different components; a member without links is a component.
+        placed = members.select("h", "cid").join(comps, "cid", "left").select("h", "cid", F.coalesce("comp", "cid").alias("comp"))
+        mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
+        apart = written(placed.join(mixed, "h", "left_semi"), "apart")
+        if r < ROUNDS:
+            drawn = [F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", "h", F.lit(r * LEADERS + i))) for i in range(LEADERS)]
+            met = apart.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("h", F.explode("drawn").alias("x"))
+            met = met.select("h", F.col("x.cid").alias("other"), F.col("x.comp").alias("other_comp"))
+        else:
+            met = apart.select("h", F.col("cid").alias("other"), F.col("comp").alias("other_comp"))
+        new = (
+            apart.join(met, "h").where("comp <> other_comp" if r < ROUNDS else "comp <> other_comp and cid < other")
+            .select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+            .join(tested, ["a", "b"], "left_anti")
+        )
+        new = written(new, "pairs")
+        tested = tested.union(new)
+        links = links.union(written(check(new), "links"))
+        comps = written(components(links), "components")
     placed = classes.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     placed = written(placed, "placed")
     lowest = placed.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
