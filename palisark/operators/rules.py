@@ -8,7 +8,7 @@ a number to a cast, but not to the language).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 from pathlib import Path
@@ -126,8 +126,7 @@ def path_value(props: Column, path: str) -> Column:
     """The value at a dotted path: keys of mappings, places of lists (from the end if negative). Null if there is none."""
     value = props
     for part in path.split("."):
-        key = "$['" + part.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        by_key = F.try_variant_get(value, key, "variant")
+        by_key = F.try_variant_get(value, _key(part), "variant")
         if re.fullmatch(r"\d+", part):
             by_place = F.try_variant_get(value, f"$[{int(part)}]", "variant")
             value = F.coalesce(by_key, by_place)
@@ -139,68 +138,88 @@ def path_value(props: Column, path: str) -> Column:
     return value
 
 
-def _number(v: Column) -> Column:
-    """Numbers and truth values as a double; null for everything else."""
-    return F.when(kind(v) == "bool", F.try_variant_get(v, "$", "boolean").cast("double")).when(
-        kind(v).isin("int", "float"), F.try_variant_get(v, "$", "double")
-    )
+Lookup = Callable[[str], "Value"]
+
+
+class Value:
+    """A VARIANT with its kind; what it is as a number, text, list or mapping (null where it isn't one)."""
+
+    def __init__(self, variant: Column, kind_: Column | None = None):
+        self.variant = variant
+        self.kind = kind(variant) if kind_ is None else kind_
+
+    def number(self) -> Column:
+        """Numbers and truth values as a double."""
+        return F.when(self.kind == "bool", F.try_variant_get(self.variant, "$", "boolean").cast("double")).when(
+            self.kind.isin("int", "float"), F.try_variant_get(self.variant, "$", "double")
+        )
+
+    def text(self) -> Column:
+        return F.when(self.kind == "str", F.try_variant_get(self.variant, "$", "string"))
+
+    def items(self) -> Column:
+        return F.when(self.kind == "list", F.try_variant_get(self.variant, "$", "array<variant>"))
+
+    def keys(self) -> Column:
+        return F.when(self.kind == "dict", F.map_keys(F.try_variant_get(self.variant, "$", "map<string,variant>")))
+
+    def at(self, key: str) -> Value:
+        return Value(F.try_variant_get(self.variant, _key(key), "variant"))
+
+
+def _key(part: str) -> str:
+    return "$['" + part.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
-def _text(v: Column) -> Column:
-    return F.when(kind(v) == "str", F.try_variant_get(v, "$", "string"))
+def _all(parts: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def _items(v: Column) -> Column:
-    return F.when(kind(v) == "list", F.try_variant_get(v, "$", "array<variant>"))
+def _any(parts: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
-def _keys(v: Column) -> Column:
-    return F.when(kind(v) == "dict", F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
 
-def equals(v: Column, expected: object) -> Column:
+def equals(v: Value, expected: object) -> Column:
     """Python's ==: numbers and truth values compare by value, strings with strings only, containers by their items."""
     if expected is None:
-        return kind(v) == "none"
+        return v.kind == "none"
     if isinstance(expected, bool | int | float):
-        return F.coalesce(_number(v) == F.lit(float(expected)), F.lit(False))
+        return _sure(v.number() == F.lit(float(expected)))
     if isinstance(expected, str):
-        return F.coalesce(_text(v) == F.lit(expected), F.lit(False))
+        return _sure(v.text() == F.lit(expected))
     if isinstance(expected, list):
-        items = _items(v)
-        same = [equals(F.get(items, F.lit(i)), x) for i, x in enumerate(expected)]
-        return F.coalesce((F.size(items) == len(expected)) & reduce(lambda a, b: a & b, same, F.lit(True)), F.lit(False)) & items.isNotNull()
+        items = v.items()
+        return _sure(F.size(items) == len(expected)) & (v.kind == "list") & _all(equals(Value(F.get(items, F.lit(i))), x) for i, x in enumerate(expected))
     if isinstance(expected, dict):
-        same = [equals(path_value_of_key(v, k), x) for k, x in expected.items()]
-        return F.coalesce((F.size(_keys(v)) == len(expected)) & reduce(lambda a, b: a & b, same, F.lit(True)), F.lit(False)) & _keys(v).isNotNull()
+        return _sure(F.size(v.keys()) == len(expected)) & (v.kind == "dict") & _all(equals(v.at(str(k)), x) for k, x in expected.items())
     return F.lit(False)
 
 
-def path_value_of_key(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, "$['" + str(key).replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
-
-
-def _contains(v: Column, expected: object) -> Column:
+def _contains(v: Value, expected: object) -> Column:
     """A string holds a substring, a list an equal item, a mapping a key; nothing else holds anything."""
-    in_text = F.coalesce(_text(v).contains(F.lit(expected)), F.lit(False)) if isinstance(expected, str) else F.lit(False)
-    in_list = F.coalesce(F.exists(_items(v), lambda x: equals(x, expected)), F.lit(False))
-    in_dict = F.coalesce(F.array_contains(_keys(v), F.lit(expected)), F.lit(False)) if isinstance(expected, str) else F.lit(False)
-    return in_text | in_list | in_dict
+    out = _sure(F.exists(v.items(), lambda x: equals(Value(x), expected)))
+    if isinstance(expected, str):
+        out = out | _sure(v.text().contains(F.lit(expected))) | _sure(F.array_contains(v.keys(), F.lit(expected)))
+    return out
 
 
-def _empty(v: Column) -> Column:
-    return (kind(v) == "none") | F.coalesce(_text(v) == "", F.lit(False)) | F.coalesce(F.size(_items(v)) == 0, F.lit(False)) & _items(
-        v
-    ).isNotNull() | F.coalesce(F.size(_keys(v)) == 0, F.lit(False)) & _keys(v).isNotNull()
+def _empty(v: Value) -> Column:
+    lists = (v.kind == "list") & _sure(F.size(v.items()) == 0)
+    return (v.kind == "none") | _sure(v.text() == "") | lists | (v.kind == "dict") & _sure(F.size(v.keys()) == 0)
 
 
-def _truthy(v: Column) -> Column:
-    return ~(_empty(v) | F.coalesce(_number(v) == 0, F.lit(False)))
+def truthy(v: Column | Value) -> Column:
+    v = v if isinstance(v, Value) else Value(v)
+    return ~(_empty(v) | _sure(v.number() == 0))
 
 
-def _leaf(op: str, expected: object, v: Column, props: Column) -> Column:
+def _leaf(op: str, expected: object, v: Value, lookup: Lookup) -> Column:
     flip = lambda c: c if expected else ~c
-    none = kind(v) == "none"
+    none = v.kind == "none"
     if op == "exists":
         return flip(~none)
     if op == "not_exists":
@@ -214,55 +233,63 @@ def _leaf(op: str, expected: object, v: Column, props: Column) -> Column:
     if op == "not_contains":
         return ~_contains(v, expected)
     if op == "matches_any":
-        return reduce(lambda a, b: a | b, (equals(v, x) for x in expected), F.lit(False)) if isinstance(expected, list) else F.lit(False)
+        return _any(equals(v, x) for x in expected) if isinstance(expected, list) else F.lit(False)
     if op in ("greater_than", "less_than") and isinstance(expected, bool | int | float):
         limit = F.lit(float(expected))
-        return F.coalesce(_number(v) > limit if op == "greater_than" else _number(v) < limit, F.lit(False))
+        return _sure(v.number() > limit if op == "greater_than" else v.number() < limit)
     if op == "is_true":
-        return _truthy(v) == F.lit(expected) if isinstance(expected, bool) else F.lit(False)
+        return truthy(v) == F.lit(expected) if isinstance(expected, bool) else F.lit(False)
     if op == "is_empty":
         return flip(_empty(v))
     if op == "property_path":
-        return kind(path_value(props, str(expected))) != "none"
+        return lookup(str(expected)).kind != "none"
     return F.lit(False)  # unknown operators fail closed
 
 
-def compile_condition(condition: object, props: Column, depth: int = 0) -> Column:
-    """A condition as a null-free boolean column over the VARIANT ``props``.
+def compile_condition(condition: object, props: Column | Lookup, depth: int = 0) -> Column:
+    """A condition as a null-free boolean column over the VARIANT ``props`` (or a function from paths to values).
 
     A logical key rules out its siblings (the first of all_of, any_of, none_of, not counts); conditions deeper than
     MAX_DEPTH are false.
     """
+    lookup = props if callable(props) and not isinstance(props, Column) else (lambda path: Value(path_value(props, path)))
     if depth > MAX_DEPTH or not isinstance(condition, dict):
         return F.lit(False)
     op = next((k for k in LOGICAL if k in condition), None)
     if op == "not":
         inner = condition[op]
-        return ~compile_condition(inner, props, depth + 1) if isinstance(inner, dict) else F.lit(False)
+        return ~compile_condition(inner, lookup, depth + 1) if isinstance(inner, dict) else F.lit(False)
     if op:
         if not isinstance(condition[op], list):
             return F.lit(False)
-        parts = [compile_condition(c, props, depth + 1) for c in condition[op]]
+        parts = [compile_condition(c, lookup, depth + 1) for c in condition[op]]
         if op == "all_of":
-            return reduce(lambda a, b: a & b, parts, F.lit(True))
-        any_of = reduce(lambda a, b: a | b, parts, F.lit(False))
-        return ~any_of if op == "none_of" else any_of
-    out = F.lit(True)
+            return _all(parts)
+        return ~_any(parts) if op == "none_of" else _any(parts)
+    parts = []
     for path, check in condition.items():
-        v = path_value(props, str(path))
-        if isinstance(check, dict):
-            for name, expected in check.items():
-                out = out & _leaf(name, expected, v, props)
-        else:
-            out = out & equals(v, check)
-    return out
+        v = lookup(str(path))
+        parts += [_leaf(name, expected, v, lookup) for name, expected in check.items()] if isinstance(check, dict) else [equals(v, check)]
+    return _all(parts)
+
+
+def paths_of(condition: object, depth: int = 0) -> set[str]:
+    """The property paths that a condition looks at."""
+    if depth > MAX_DEPTH or not isinstance(condition, dict):
+        return set()
+    op = next((k for k in LOGICAL if k in condition), None)
+    if op:
+        inner = condition[op] if isinstance(condition[op], list) else [condition[op]]
+        return set().union(*(paths_of(c, depth + 1) for c in inner))
+    nested = {str(c["property_path"]) for c in condition.values() if isinstance(c, dict) and "property_path" in c}
+    return {str(k) for k in condition} | nested
 
 
 def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type", props_col: str = "properties", chunk: int = CHUNK) -> DataFrame:
     """``rows`` with a rule_id for each rule that fires.
 
     No join: each row evaluates the rules whose prefix its type has, as an array of ids that is exploded. Rules are
-    taken in chunks, each of which first drops the rows that none of its prefixes fits.
+    taken in chunks, each of which first drops the rows that none of its prefixes fits and binds each path's value once.
     """
     out = None
     kind_of, props = F.col(type_col), F.col(props_col)
@@ -270,8 +297,12 @@ def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type",
     for i in range(0, len(ordered), chunk):
         part = ordered[i : i + chunk]
         fits = reduce(lambda a, b: a | b, [kind_of.startswith(p) for p in sorted({r.resource_type for r in part})])
-        fired = [F.when(kind_of.startswith(r.resource_type) & compile_condition(r.condition, props), F.lit(r.id)) for r in part]
-        one = rows.where(fits).withColumn("rule_id", F.explode(F.array_compact(F.array(*fired))))
+        paths = sorted(set().union(*(paths_of(r.condition) for r in part)))
+        values = rows.where(fits).withColumns({f"__v{k}": path_value(props, p) for k, p in enumerate(paths)})
+        kinds = values.withColumns({f"__k{k}": kind(F.col(f"__v{k}")) for k in range(len(paths))})
+        lookup = lambda p, paths=paths: Value(F.col(f"__v{paths.index(p)}"), F.col(f"__k{paths.index(p)}"))
+        fired = [F.when(kind_of.startswith(r.resource_type) & compile_condition(r.condition, lookup), F.lit(r.id)) for r in part]
+        one = kinds.withColumn("rule_id", F.explode(F.array_compact(F.array(*fired)))).select(*rows.columns, "rule_id")
         out = one if out is None else out.unionByName(one)
     return out if out is not None else rows.limit(0).withColumn("rule_id", F.lit(None).cast("string"))
 
