@@ -119,6 +119,8 @@ def write(pages: DataFrame, path: str, compressed: bool = True, min_revisit_byte
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
+#: The fields that every record must have.
+MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 
 
 def _parse(data: memoryview | bytes) -> tuple[dict, bytes, int] | None:
@@ -136,7 +138,9 @@ def _parse(data: memoryview | bytes) -> tuple[dict, bytes, int] | None:
             return None
         fields[m[1].decode("ascii").lower()] = m[2].decode("utf-8", "replace").strip()
         at = m.end()
-    size = fields.get("content-length", "")
+    if any(name not in fields for name in MANDATORY):
+        return None
+    size = fields["content-length"]
     if not re.fullmatch("[0-9]{1,18}", size):
         return None
     stop = end + 4 + int(size)
