@@ -5,6 +5,9 @@ whose numbers and names were changed has the same template. Windows of the templ
 benchmark are a hash table, those of every document probe it in the task that reads the document. Where enough of an
 item's windows are found, the slots are compared: values must map one to one between item and document, as they do where
 a question was re-parameterised, and don't where two texts only share a form.
+
+Whether a word is a name is told by its case. So items and documents have a second view, in which names are words like
+others: it is blind to case, and finds a copy in small letters, capitals or title case.
 """
 
 from __future__ import annotations
@@ -50,6 +53,20 @@ _DIGIT, _UPPER, _LOWER = _in(range(0x30, 0x3A)), _in(range(0x41, 0x5B)), _in(ran
 _WORD = _DIGIT | _UPPER | _LOWER | (np.arange(256) >= 0x80)
 _NUMERIC = _DIGIT | _in(b".,:/-+%")
 _STOP = _in(b".!?")
+#: Small letters of the code points of two bytes, where they have two bytes too.
+_SMALL = np.arange(0x800, dtype=np.uint16)
+_SMALL[0x80:] = [ord(c) if len(c) == 1 and 0x80 <= ord(c) < 0x800 else k for k in range(0x80, 0x800) for c in [chr(k).lower()]]
+TEMPLATE, CASE_BLIND = VIEWS = range(2)
+
+
+def _small(body: np.ndarray) -> np.ndarray:
+    """The text in small letters, of the same length: ASCII, and letters of two bytes (Latin, Greek, Cyrillic)."""
+    out = tb.LOWER[body]
+    at = np.flatnonzero((body[:-1] >= 0xC2) & (body[:-1] < 0xE0))
+    if len(at):
+        low = _SMALL[((body[at] & 0x1F).astype(np.uint16) << 6) | (body[at + 1] & 0x3F)]
+        out[at], out[at + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+    return out
 
 
 def _hashes(words: tuple[str, ...]) -> np.ndarray:
@@ -67,6 +84,13 @@ class Templates:
     value: np.ndarray
     doc: np.ndarray
 
+    def view(self, view: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a view, and which of them aren't placeholders."""
+        if view == TEMPLATE:
+            return self.token, self.kind == LITERAL
+        literal = (self.kind == LITERAL) | (self.kind == NAME)
+        return np.where(literal, self.value, self.token), literal
+
 
 def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     start, end, doc = tb.word_spans(body, offsets)
@@ -87,7 +111,7 @@ def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     size = last - first
     digits = of(count(_DIGIT))
     numeric = of(count(_NUMERIC))
-    value = tb.span_hash(tb.prefix_hash(tb.LOWER[body]), first, last)
+    value = tb.span_hash(tb.prefix_hash(_small(body)), first, last)
     number = (digits > 0) & (numeric == size) | np.isin(value, _hashes(NUMBER_WORDS))
     quantity = (digits > 0) & ~number & _DIGIT[body[first]] & (size - numeric <= 3)  # 12km, 3rd
     before = np.zeros(len(number), bool)
@@ -99,33 +123,32 @@ def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     return Templates(np.where(kind == LITERAL, value, _PLACEHOLDERS[kind]), kind, value, doc)
 
 
-def windows(t: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of each window of ``size`` words that lies in one document and has enough literals."""
-    n = len(t.token) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = tb.powers(len(t.token) + 1)
-    prefix = np.zeros(len(t.token) + 1, np.uint64)
-    np.cumsum(t.token * up[: len(t.token)], out=prefix[1:])
-    h = tb.mixed((prefix[size:] - prefix[:-size]) * down[:n] + np.uint64(size))
-    literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
-    ok = (t.doc[size - 1 :] == t.doc[:n]) & (literal[size:] - literal[:-size] >= min(MIN_LITERALS, size))
-    at = np.flatnonzero(ok)
-    return at, h[at]
+def windows(t: Templates, sizes: tuple[int, ...], view: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size the (first word, hash) of each window of so many words that lies in one document and has enough literals."""
+    token, literal = t.view(view)
+    up, down = tb.powers(len(token) + 1)
+    prefix = np.zeros(len(token) + 1, np.uint64)
+    np.cumsum(token * up[: len(token)], out=prefix[1:])
+    literals = np.concatenate([[0], np.cumsum(literal)])
+    for size in sizes:
+        n = len(token) - size + 1
+        if n <= 0:
+            continue
+        h = tb.mixed((prefix[size:] - prefix[:-size]) * down[:n] + np.uint64(size))
+        ok = (t.doc[size - 1 :] == t.doc[:n]) & (literals[size:] - literals[:-size] >= min(MIN_LITERALS, size))
+        at = np.flatnonzero(ok)
+        yield size, at, h[at]
 
 
 @dataclass
-class Index:
-    """The windows of a block of benchmark items, sorted by hash, and the items' kinds and values for the slots."""
+class View:
+    """The windows of a block of benchmark items in one view, sorted by hash."""
 
     sizes: tuple[int, ...]
     hashes: np.ndarray
     item: np.ndarray  # the item's number in the block
     place: np.ndarray
-    ids: list
     total: np.ndarray  # distinct places with a window, by item
-    kinds: list
-    values: list
 
     def __post_init__(self):
         self.mask = np.uint64((1 << max(16, int(len(self.hashes)).bit_length() + 6)) - 1)
@@ -133,16 +156,30 @@ class Index:
         self.bits[self.hashes & self.mask] = True
 
 
+@dataclass
+class Index:
+    """The views of a block of benchmark items, and the items' kinds and values for the slots."""
+
+    views: list[View]
+    ids: list
+    kinds: list
+    values: list
+
+
 def build_index(ids: list, texts: list[str | None]) -> Index:
     body, offsets = tb.utf8(pa.array(texts, pa.string()))
     t = templates(body, offsets)
     cut = np.searchsorted(t.doc, np.arange(len(ids) + 1))
+    parts = lambda x: [x[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    return Index([_view(t, cut, view) for view in VIEWS], list(ids), parts(t.kind), parts(t.value))
+
+
+def _view(t: Templates, cut: np.ndarray, view: int) -> View:
     words = np.diff(cut)
     size_of = np.where(words >= MIN_ITEM_WORDS, np.minimum(words, WINDOW), 0)
     sizes = tuple(sorted({int(s) for s in size_of if s}))
     hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s in sizes:
-        at, h = windows(t, s)
+    for s, at, h in windows(t, sizes, view):
         own = size_of[t.doc[at]] == s
         at, h = at[own], h[own]
         hashes.append(h)
@@ -150,41 +187,42 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
         place.append(at - cut[t.doc[at]])
     hashes, item, place = map(np.concatenate, (hashes, item, place))
     order = np.argsort(hashes, kind="stable")
-    total = np.bincount(item, minlength=len(ids)) if len(item) else np.zeros(len(ids), int)
-    parts = lambda x: [x[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    return Index(sizes, hashes[order], item[order], place[order], list(ids), total, parts(t.kind), parts(t.value))
+    return View(sizes, hashes[order], item[order], place[order], np.bincount(item, minlength=len(words)))
 
 
 def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: float) -> dict[int, dict]:
     """By number of the document in the piece: the best item found in it, and how."""
     t = templates(body, offsets)
-    hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for s in index.sizes:
-        at, h = windows(t, s)
-        maybe = index.bits[h & index.mask]
-        at, h = at[maybe], h[maybe]
-        lo, hi = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
-        for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            hits[int(t.doc[p])] += [(int(index.item[k]), p, int(index.place[k])) for k in range(a, b)]
-    out = {}
-    for doc, found in hits.items():
-        by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, p, q in found:
-            by_item[item].append((p, q))
-        best = None
-        for item, pairs in sorted(by_item.items()):
+    best: dict[tuple[int, int], dict] = {}
+    for number, view in zip(VIEWS, index.views):
+        for (doc, item), pairs in _hits(view, t, number).items():
             matched = len({q for _, q in pairs})
-            coverage = matched / int(index.total[item])
+            coverage = matched / int(view.total[item])
             if coverage < min_coverage:
                 continue
             slots, same, consistent = _slots(index, item, t, pairs)
             if consistent < MIN_CONSISTENT:
                 continue
             row = {"item": index.ids[item], "coverage": coverage, "windows": matched, "slots": slots, "same_slots": same, "consistent": consistent}
-            if best is None or coverage > best["coverage"]:
-                best = row
-        if best:
-            out[doc] = best
+            if (doc, item) not in best or coverage > best[doc, item]["coverage"]:
+                best[doc, item] = row
+    out: dict[int, dict] = {}
+    for (doc, _), row in sorted(best.items(), key=lambda x: x[0]):
+        if doc not in out or row["coverage"] > out[doc]["coverage"]:
+            out[doc] = row
+    return out
+
+
+def _hits(view: View, t: Templates, number: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """By document and item: the (place in the piece, place in the item) of each window that both have."""
+    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for _, at, h in windows(t, view.sizes, number):
+        maybe = view.bits[h & view.mask]
+        at, h = at[maybe], h[maybe]
+        lo, hi = np.searchsorted(view.hashes, h, "left"), np.searchsorted(view.hashes, h, "right")
+        for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            for k in range(a, b):
+                out[int(t.doc[p]), int(view.item[k])].append((p, int(view.place[k])))
     return out
 
 
@@ -209,7 +247,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     """The benchmark in blocks of bounded size (by the words counted in it), one after the other."""
     rows = benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].cast("string").alias("text")).where("text is not null")
     words = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
-    blocks = -(-int(words) // block_windows)
+    blocks = -(-int(words) * len(VIEWS) // block_windows)
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
         yield build_index([x["id"] for x in part], [x["text"] for x in part])

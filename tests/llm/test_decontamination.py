@@ -100,3 +100,19 @@ def test_equals_brute_force_on_plain_words(make_docs, spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     found = {r.doc_id for r in dc.leaks(make_docs(texts), benchmark).collect()}
     assert found == brute(texts, items)
+
+
+def test_case_of_names_is_no_matter(make_docs, benchmark):
+    """Small, capital and title-case copies of items that hold names, also with other numbers."""
+    changes = (str.lower, str.upper, str.title)
+    texts = [around(change(ITEMS[k][1]), k) for k in (0, 2) for change in changes]
+    texts += [around(change(ITEMS[2][1].replace("12", "90").replace(" 5 ", " 8 ")), 5) for change in changes]
+    found = {r.doc_id: (r.item_id, r.kind) for r in dc.leaks(make_docs(texts), benchmark).collect()}
+    assert found == {k: (1 if k < 3 else 3, "verbatim" if k < 6 else "re-parameterised") for k in range(9)}
+
+
+def test_case_of_other_letters_is_no_matter(make_docs, spark):
+    item = "wie heißt die größte ältere brücke über den östlichen fluß bei Émile Überall und Ärzte"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [around("".join(c if c == "ß" else c.upper() for c in item)), around(item.lower())]
+    assert sorted(r.doc_id for r in dc.leaks(make_docs(texts), benchmark).collect()) == [0, 1]
