@@ -7,7 +7,8 @@ item's windows are found, the slots are compared: values must map one to one bet
 a question was re-parameterised, and don't where two texts only share a form.
 
 Whether a word is a name is told by its case. So items and documents have a second view, in which names are words like
-others: it is blind to case, and finds a copy in small letters, capitals or title case.
+others: it is blind to case, and finds a copy in small letters, capitals or title case. A third view has no placeholders
+at all: whatever an item is made of, it is found verbatim there, and a short one as a whole.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 from palisark.llm import textbytes as tb
 
 WINDOW = 8
-#: A window needs so many words that aren't placeholders; an item so many words to be told from chance.
+#: Where placeholders count, a window needs so many words that aren't; an item so many words to be told from chance.
 MIN_LITERALS = 4
 MIN_ITEM_WORDS = 5
 #: An item is found where this share of its windows is; its slots hold where this share of its values maps one to one.
 MIN_COVERAGE = 0.5
 MIN_CONSISTENT = 0.75
+#: So many consecutive words of an item are a leak too, whatever share of it that is.
+RUN_WORDS = 20
 #: Windows of the benchmark in memory at once (about 50 bytes each); a larger benchmark is joined in blocks of items.
 BLOCK_WINDOWS = 1_000_000
 PIECE_BYTES = 2 << 20
@@ -56,7 +59,7 @@ _STOP = _in(b".!?")
 #: Small letters of the code points of two bytes, where they have two bytes too.
 _SMALL = np.arange(0x800, dtype=np.uint16)
 _SMALL[0x80:] = [ord(c) if len(c) == 1 and 0x80 <= ord(c) < 0x800 else k for k in range(0x80, 0x800) for c in [chr(k).lower()]]
-TEMPLATE, CASE_BLIND = VIEWS = range(2)
+TEMPLATE, CASE_BLIND, VERBATIM = VIEWS = range(3)
 
 
 def _small(body: np.ndarray) -> np.ndarray:
@@ -88,6 +91,8 @@ class Templates:
         """The tokens of a view, and which of them aren't placeholders."""
         if view == TEMPLATE:
             return self.token, self.kind == LITERAL
+        if view == VERBATIM:
+            return self.value, np.ones(len(self.value), bool)
         literal = (self.kind == LITERAL) | (self.kind == NAME)
         return np.where(literal, self.value, self.token), literal
 
@@ -176,7 +181,7 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
 
 def _view(t: Templates, cut: np.ndarray, view: int) -> View:
     words = np.diff(cut)
-    size_of = np.where(words >= MIN_ITEM_WORDS, np.minimum(words, WINDOW), 0)
+    size_of = np.where(words >= (1 if view == VERBATIM else MIN_ITEM_WORDS), np.minimum(words, WINDOW), 0)
     sizes = tuple(sorted({int(s) for s in size_of if s}))
     hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for s, at, h in windows(t, sizes, view):
@@ -198,9 +203,12 @@ def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: floa
         for (doc, item), pairs in _hits(view, t, number).items():
             matched = len({q for _, q in pairs})
             coverage = matched / int(view.total[item])
+            diagonal = Counter(p - q for p, q in pairs).most_common(1)[0][0]
             if coverage < min_coverage:
-                continue
-            slots, same, consistent = _slots(index, item, t, pairs)
+                run, diagonal = _longest_run(pairs, WINDOW)
+                if run < RUN_WORDS:
+                    continue
+            slots, same, consistent = _slots(index, item, t, pairs, diagonal)
             if consistent < MIN_CONSISTENT:
                 continue
             row = {"item": index.ids[item], "coverage": coverage, "windows": matched, "slots": slots, "same_slots": same, "consistent": consistent}
@@ -216,19 +224,32 @@ def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: floa
 def _hits(view: View, t: Templates, number: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
     """By document and item: the (place in the piece, place in the item) of each window that both have."""
     out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for _, at, h in windows(t, view.sizes, number):
+    for size, at, h in windows(t, view.sizes, number):
         maybe = view.bits[h & view.mask]
         at, h = at[maybe], h[maybe]
         lo, hi = np.searchsorted(view.hashes, h, "left"), np.searchsorted(view.hashes, h, "right")
-        for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+        at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+        if number == VERBATIM and size < WINDOW:  # a whole item: once in a document is enough, and it may be a common word
+            first = np.unique(t.doc[at] * (len(view.hashes) + 1) + lo, return_index=True)[1]
+            at, lo, hi = at[first], lo[first], hi[first]
+        for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
             for k in range(a, b):
                 out[int(t.doc[p]), int(view.item[k])].append((p, int(view.place[k])))
     return out
 
 
-def _slots(index: Index, item: int, t: Templates, pairs: list[tuple[int, int]]) -> tuple[int, int, float]:
-    """Slots on the best diagonal, how many are unchanged, and the share of values that map one to one."""
-    diagonal = Counter(p - q for p, q in pairs).most_common(1)[0][0]
+def _longest_run(pairs: list[tuple[int, int]], size: int) -> tuple[int, int]:
+    """Words of the longest run of windows that follow each other in document and item alike, and its diagonal."""
+    best, before, length = (0, 0), None, 0
+    for diagonal, q in sorted((p - q, q) for p, q in pairs):
+        length = length + 1 if before == (diagonal, q - 1) else 1
+        before = diagonal, q
+        best = max(best, (length + size - 1, diagonal))
+    return best
+
+
+def _slots(index: Index, item: int, t: Templates, pairs: list[tuple[int, int]], diagonal: int) -> tuple[int, int, float]:
+    """Slots on a diagonal, how many are unchanged, and the share of values that map one to one."""
     kinds, values = index.kinds[item], index.values[item]
     size = min(len(kinds), WINDOW)
     places = sorted({q + k for p, q in pairs if p - q == diagonal for k in range(size)})
@@ -259,10 +280,12 @@ def leaks(
 ) -> DataFrame:
     """One row per document that holds a benchmark item: doc_id, item_id, coverage, n_windows, kind, n_slots, consistency.
 
-    item_id: the item of which most is found (of equals the first). kind: 'verbatim' if all slots are unchanged, else
-    're-parameterised'. Documents without an item have no row; neither have null and empty texts. Items of fewer than
-    MIN_ITEM_WORDS words and null items can't be found. Repeated documents have a row each. With an empty benchmark
-    the result is empty.
+    A document holds an item if it has the share ``min_coverage`` of its windows, or RUN_WORDS consecutive words of it
+    (coverage may be small then). item_id: the item of which most is found (of equals the first). kind: 'verbatim' if all
+    slots are unchanged, else 're-parameterised'. Documents without an item have no row; neither have null and empty
+    texts. Items of fewer than MIN_ITEM_WORDS words are found verbatim only, as a whole: one of a single word is in each
+    document that has the word. Null items and those without a letter or digit can't be found. Repeated documents have a
+    row each. With an empty benchmark the result is empty.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     doc_kind = rows.schema["doc_id"].dataType.simpleString()

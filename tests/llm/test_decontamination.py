@@ -116,3 +116,22 @@ def test_case_of_other_letters_is_no_matter(make_docs, spark):
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
     texts = [around("".join(c if c == "ß" else c.upper() for c in item)), around(item.lower())]
     assert sorted(r.doc_id for r in dc.leaks(make_docs(texts), benchmark).collect()) == [0, 1]
+
+
+def test_items_without_template_windows(make_docs, spark):
+    """Numbers, title case and short items have verbatim windows whatever their placeholders."""
+    items = ["12 + 7 = 19, 3 * 4 = 12, 8 / 2 = 4, 5 - 1 = 4, 90 + 2 = 92", "Where Did The Last Great Auk Of Iceland Die", "Capital of Peru?", "Zyzzyva"]
+    benchmark = spark.createDataFrame([*enumerate(items), (9, "?!"), (10, "")], "item_id long, text string")
+    texts = [around(t, k) for k, t in enumerate(items)] + [around("peru capital of zyzzyvas", 8)]
+    found = {r.doc_id: (r.item_id, r.coverage, r.kind) for r in dc.leaks(make_docs(texts), benchmark).collect()}
+    assert found == {k: (k, 1.0, "verbatim") for k in range(4)}
+
+
+def test_passage_of_a_long_item(make_docs, spark):
+    words = prose(random.Random(21), 300).split()
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    cut = lambda n: around(" ".join(words[50 : 50 + n]), 22)
+    texts = [cut(100), cut(dc.RUN_WORDS), cut(dc.RUN_WORDS - 1), around(" ".join(words[k] for k in range(0, 300, 2)), 23)]
+    found = {r.doc_id: r.coverage for r in dc.leaks(make_docs(texts), benchmark).collect()}
+    assert sorted(found) == [0, 1] and found[0] < dc.MIN_COVERAGE
+    assert [r.doc_id for r in dc.clean(make_docs(texts), benchmark).orderBy("doc_id").collect()] == [2, 3]
