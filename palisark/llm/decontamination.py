@@ -167,6 +167,7 @@ class Index:
 
     views: list[View]
     ids: list
+    keys: list  # the number of the first item of the same id; an item without an id is one by itself
     kinds: list
     values: list
 
@@ -176,7 +177,9 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
     t = templates(body, offsets)
     cut = np.searchsorted(t.doc, np.arange(len(ids) + 1))
     parts = lambda x: [x[a:b] for a, b in zip(cut[:-1], cut[1:])]
-    return Index([_view(t, cut, view) for view in VIEWS], list(ids), parts(t.kind), parts(t.value))
+    first: dict = {}
+    keys = [k if x is None else first.setdefault(x, k) for k, x in enumerate(ids)]
+    return Index([_view(t, cut, view) for view in VIEWS], list(ids), keys, parts(t.kind), parts(t.value))
 
 
 def _view(t: Templates, cut: np.ndarray, view: int) -> View:
@@ -195,8 +198,8 @@ def _view(t: Templates, cut: np.ndarray, view: int) -> View:
     return View(sizes, hashes[order], item[order], place[order], np.bincount(item, minlength=len(words)))
 
 
-def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: float) -> dict[int, dict]:
-    """By number of the document in the piece: the best item found in it, and how."""
+def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: float) -> dict[int, list[dict]]:
+    """By number of the document in the piece: the items found in it, and how."""
     t = templates(body, offsets)
     best: dict[tuple[int, int], dict] = {}
     for number, view in zip(VIEWS, index.views):
@@ -212,12 +215,12 @@ def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: floa
             if consistent < MIN_CONSISTENT:
                 continue
             row = {"item": index.ids[item], "coverage": coverage, "windows": matched, "slots": slots, "same_slots": same, "consistent": consistent}
-            if (doc, item) not in best or coverage > best[doc, item]["coverage"]:
-                best[doc, item] = row
-    out: dict[int, dict] = {}
-    for (doc, _), row in sorted(best.items(), key=lambda x: x[0]):
-        if doc not in out or row["coverage"] > out[doc]["coverage"]:
-            out[doc] = row
+            key = doc, index.keys[item]
+            if key not in best or coverage > best[key]["coverage"]:
+                best[key] = row
+    out: dict[int, list[dict]] = defaultdict(list)
+    for (doc, _), row in best.items():
+        out[doc].append(row)
     return out
 
 
@@ -265,12 +268,13 @@ def _slots(index: Index, item: int, t: Templates, pairs: list[tuple[int, int]],
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> Iterator[Index]:
-    """The benchmark in blocks of bounded size (by the words counted in it), one after the other."""
+    """The benchmark in blocks of bounded size (by the words counted in it), one after the other; an id is in one block."""
     rows = benchmark.select(benchmark[id_col].alias("id"), benchmark[text_col].cast("string").alias("text")).where("text is not null")
     words = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
     blocks = -(-int(words) * len(VIEWS) // block_windows)
+    h = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
+        part = rows.where(F.pmod(h, F.lit(blocks)) == k).orderBy("id", "text").collect()
         yield build_index([x["id"] for x in part], [x["text"] for x in part])
 
 
@@ -278,29 +282,24 @@ def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", min_coverage: float = MIN_COVERAGE, block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """One row per document that holds a benchmark item: doc_id, item_id, coverage, n_windows, kind, n_slots, consistency.
+    """One row per document and benchmark item that it holds: doc_id, item_id, coverage, n_windows, kind, n_slots, consistency.
 
     A document holds an item if it has the share ``min_coverage`` of its windows, or RUN_WORDS consecutive words of it
-    (coverage may be small then). item_id: the item of which most is found (of equals the first). kind: 'verbatim' if all
-    slots are unchanged, else 're-parameterised'. Documents without an item have no row; neither have null and empty
+    (coverage may be small then). Of several texts of one item_id that of which most is found counts. kind: 'verbatim' if
+    all slots are unchanged, else 're-parameterised'. Documents without an item have no row; neither have null and empty
     texts. Items of fewer than MIN_ITEM_WORDS words are found verbatim only, as a whole: one of a single word is in each
     document that has the word. Null items and those without a letter or digit can't be found. Repeated documents have a
-    row each. With an empty benchmark the result is empty.
+    row each for each item. With an empty benchmark the result is empty.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     doc_kind = rows.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"row_no long, doc_id {doc_kind}, item_id {item_kind}, coverage double, n_windows int, kind string, n_slots int, consistency double"
-    out, blocks = docs.sparkSession.createDataFrame([], schema), 0
-    numbered = rows.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
-    for blocks, index in enumerate(indexes(benchmark, item_col, item_text_col, block_windows), 1):  # noqa: B007
-        part = numbered.mapInArrow(_finder(docs, index, min_coverage), schema)
-        out = part if blocks == 1 else out.unionByName(part)
-    if blocks > 1:
-        found = F.struct(*[c for c in out.columns if c != "row_no"])
-        out = out.groupBy("row_no").agg(F.max_by(found, F.struct("coverage", "n_windows")).alias("x")).select("x.*")
-        return out
-    return out.drop("row_no")
+    schema = f"doc_id {doc_kind}, item_id {item_kind}, coverage double, n_windows int, kind string, n_slots int, consistency double"
+    out = None
+    for index in indexes(benchmark, item_col, item_text_col, block_windows):
+        part = rows.mapInArrow(_finder(docs, index, min_coverage), schema)
+        out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def _finder(docs: DataFrame, index: Index, min_coverage: float):
@@ -309,16 +308,15 @@ def _finder(docs: DataFrame, index: Index, min_coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             rows: dict[str, list] = {k: [] for k in ("at", "item_id", "coverage", "n_windows", "kind", "n_slots", "consistency")}
-            for i, hit in _found(shared.value, x.column(2), min_coverage):
+            for i, hit in _found(shared.value, x.column(1), min_coverage):
                 changed = hit["same_slots"] < hit["slots"]
                 values = (i, hit["item"], hit["coverage"], hit["windows"], "re-parameterised" if changed else "verbatim", hit["slots"], hit["consistent"])
                 for k, v in zip(rows, values):
                     rows[k].append(v)
             at = pa.array(rows.pop("at"), pa.int64())
-            kinds = (pa.array(index.ids).type, pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
+            kinds = (pa.array(shared.value.ids).type, pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [x.column(0).take(at), x.column(1).take(at), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))],
-                names=["row_no", "doc_id", *rows],
+                [x.column(0).take(at), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["doc_id", *rows]
             )
 
     return run
@@ -328,7 +326,7 @@ def _found(index: Index, column: pa.Array, min_coverage: float) -> Iterator[tupl
     body, offsets = tb.utf8(column)
     for a, b in tb.chunks(offsets, PIECE_BYTES):
         found = find(index, body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], min_coverage)
-        yield from ((a + i, hit) for i, hit in sorted(found.items()))
+        yield from ((a + i, hit) for i, hits in sorted(found.items()) for hit in hits)
 
 
 def clean(

@@ -135,3 +135,14 @@ def test_passage_of_a_long_item(make_docs, spark):
     found = {r.doc_id: r.coverage for r in dc.leaks(make_docs(texts), benchmark).collect()}
     assert sorted(found) == [0, 1] and found[0] < dc.MIN_COVERAGE
     assert [r.doc_id for r in dc.clean(make_docs(texts), benchmark).orderBy("doc_id").collect()] == [2, 3]
+
+
+@pytest.mark.parametrize("block_windows", [dc.BLOCK_WINDOWS, 20])
+def test_every_item_of_a_document_has_its_row(make_docs, spark, rows, block_windows):
+    items = [*((i, t) for i, t in ITEMS if i < 4), (2, ITEMS[1][1] + " and why"), (None, ITEMS[0][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    dump = around(" ".join(t for _, t in ITEMS[:3]), 9)
+    docs = make_docs([dump, dump, around(ITEMS[2][1])])
+    found = dc.leaks(docs, benchmark, block_windows=block_windows)
+    assert rows(found, "doc_id", "item_id", "coverage") == sorted([(d, i, 1.0) for d in (0, 1) for i in (1, 2, 3, None)] + [(2, 3, 1.0)], key=repr)
+    assert dc.clean(docs, benchmark, block_windows=block_windows).count() == 0
