@@ -18,16 +18,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisark.llm import textbytes as tb
+from palisark.session import small_side
+
 UNKNOWN = "und"
 LEVEL = 3
 BLOCK_CHARS = 4096
-#: The fit's bounds: languages, documents a language, characters of one document, bytes of a dictionary.
-MAX_LANGUAGES = 64
+#: The fit's bounds for each language: documents, characters of one document, bytes of a dictionary.
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 128 << 10
 #: A text is rejected if its second-best size is less than this share above its best one.
 MIN_MARGIN = 0.005
+#: Dictionaries in one broadcast, and in use at once in a task; more languages are scored in blocks.
+BLOCK_LANGUAGES = 64
+PIECE_BYTES = 8 << 20
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,7 +66,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learns from a bounded sample: for each language, the document with the least hash in each of SAMPLE_DOCS cells.
 
     Cells and hashes come from the id, so the sample is the same whatever the partitions. Rows whose text or language is
-    null are no sample. At most MAX_LANGUAGES languages, the most frequent, are learnt.
+    null are no sample. Every other language is learnt, also the rarest.
     """
     rows = docs.where(training_rows(docs, id_col)).select(
         docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
@@ -69,23 +74,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.where("lang is not null and text is not null").withColumns({
         "cell": F.pmod(F.xxhash64("id"), F.lit(SAMPLE_DOCS)), "h": F.xxhash64("id", F.lit(1)),
     })
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    chosen = rows.groupBy("lang", "cell").agg(F.min("h").alias("h"), F.count("*").alias("n"))
+    chosen = small_side(chosen, "language-sample")  # at most SAMPLE_DOCS rows a language, of four numbers
+    counts = chosen.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = tuple(x["lang"] for x in counts)
     if not languages:
         return Model((), ())
-    chosen = rows.where(F.col("lang").isin(*languages)).groupBy("lang", "cell").agg(F.min("h").alias("h")).limit(MAX_LANGUAGES * SAMPLE_DOCS)
-    sample = (
-        rows.join(F.broadcast(chosen), ["lang", "cell", "h"])  # at most MAX_LANGUAGES * SAMPLE_DOCS rows of three numbers
-        .select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        .dropDuplicates(["lang", "h"])
-        .orderBy("lang", "h", "text")
-        .collect()
-    )
-    texts: dict[str, list[str]] = {x: [] for x in languages}
-    for x in sample:
-        texts[x["lang"]].append(" ".join(words(x["text"])))
-    built = [" ".join(texts[x]).encode()[-DICTIONARY_BYTES:] for x in languages]
-    return Model(languages, tuple(built))
+    sample = rows.join(chosen.drop("n"), ["lang", "cell", "h"]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    built = sample.dropDuplicates(["lang", "h"]).groupBy("lang").applyInArrow(_dictionary, "lang string, dictionary binary")
+    found = {x["lang"]: bytes(x["dictionary"]) for x in built.toLocalIterator()}
+    return Model(languages, tuple(found[x] for x in languages))
+
+
+def _dictionary(sample: pa.Table) -> pa.Table:
+    """The dictionary of one language from its sample."""
+    texts = [x["text"] for x in sample.sort_by([("h", "ascending"), ("text", "ascending")]).to_pylist()]
+    built = " ".join(" ".join(words(x)) for x in texts).encode()[-DICTIONARY_BYTES:]
+    return pa.table({"lang": sample["lang"][:1], "dictionary": pa.array([built], pa.binary())})
 
 
 def sizes(model: Model) -> callable:
@@ -105,39 +110,75 @@ def sizes(model: Model) -> callable:
     return measure
 
 
+def _shared(docs: DataFrame, model: Model, block_languages: int) -> list:
+    """The model's blocks of languages, each in a broadcast of its own."""
+    starts = range(0, len(model.languages), block_languages)
+    blocks = [Model(model.languages[k : k + block_languages], model.dictionaries[k : k + block_languages]) for k in starts]
+    return [docs.sparkSession.sparkContext.broadcast(x) for x in blocks]
+
+
+def _scorer(shared: list) -> callable:
+    """A function from a text column to, for each text, language, smallest and second-smallest size; None for no letters.
+
+    Of equal sizes the earlier language's counts. A single block's encoders are made once; of several blocks those of one
+    are in memory at a time, and texts meet all of them in pieces of bounded size.
+    """
+    only = sizes(shared[0].value) if len(shared) == 1 else None
+
+    def score(column: pa.Array) -> Iterator[tuple[str, int, int] | None]:
+        if not shared:
+            yield from (None for _ in column)
+            return
+        for a, b in tb.chunks(tb.utf8(column)[1], PIECE_BYTES):
+            best: list = [None] * (b - a)
+            for block in shared:
+                measure, languages = only or sizes(block.value), block.value.languages
+                for i, text in enumerate(column.slice(a, b - a)):
+                    found = words(text.as_py() or "")
+                    if has_letter(found):
+                        best[i] = _closest(best[i], measure(found), languages)
+            yield from best
+
+    return score
+
+
+def _closest(before: tuple | None, got: list[int], languages: tuple[str, ...]) -> tuple[str, int, int | None]:
+    """Language and size of the smallest, and the second-smallest size, of ``before`` and a block's sizes."""
+    at = min(range(len(got)), key=got.__getitem__)
+    rest = [n for i, n in enumerate(got) if i != at]
+    if before is None:
+        return languages[at], got[at], min(rest, default=None)
+    name, least, second = before
+    others = rest if second is None else [*rest, second]
+    if got[at] < least:
+        return languages[at], got[at], min([*others, least])
+    return name, least, min([*others, got[at]])
+
+
 def predict(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN
-) -> DataFrame:
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", min_margin: float = MIN_MARGIN,
+    block_languages: int = BLOCK_LANGUAGES,
+) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, margin, rejected.
 
     lang_pred is the language of the smallest encoding (of equal ones, that of the more frequent language), or 'und' if
     the text is null, empty or without a letter, or if nothing was learnt; score is 0 then, otherwise it rises from 0
     with the margin (second-best size less best, over the second-best). rejected: 'und', or a margin under min_margin.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model, block_languages)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), held_out(docs[id_col]).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        measure = sizes(model)
+        score = _scorer(shared)
         for x in batches:
-            lang, margins = [], []
-            for text in x.column(1):
-                found = words(text.as_py() or "")
-                if not model.languages or not has_letter(found):
-                    lang.append(UNKNOWN)
-                    margins.append(0.0)
-                    continue
-                got = measure(found)
-                best = min(range(len(got)), key=got.__getitem__)
-                second = min((n for i, n in enumerate(got) if i != best), default=2 * got[best])
-                lang.append(model.languages[best])
-                margins.append((second - got[best]) / second)
+            found = list(score(x.column(1)))
+            lang = [UNKNOWN if r is None else r[0] for r in found]
+            margins = [0.0 if r is None else _margin(r) for r in found]
             margin = pa.array(margins, pa.float64())
-            score = pa.array([m / (m + 0.02) for m in margins], pa.float64())
+            scores = pa.array([m / (m + 0.02) for m in margins], pa.float64())
             rejected = pa.array([p == UNKNOWN or m < min_margin for p, m in zip(lang, margins)], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [x.column(0), x.column(2), pa.array(lang, pa.string()), score, margin, rejected],
+                [x.column(0), x.column(2), pa.array(lang, pa.string()), scores, margin, rejected],
                 names=["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"],
             )
 
@@ -145,23 +186,23 @@ def predict(
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+def _margin(found: tuple[str, int, int | None]) -> float:
+    """Second-best size less best, over the second-best; with one language the second counts as twice the best."""
+    _, least, second = found
+    return 0.5 if second is None else (second - least) / second
+
+
+def accepted(
+    docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN, block_languages: int = BLOCK_LANGUAGES
+) -> DataFrame:
     """The documents that aren't rejected, all columns unchanged; texts are judged where they are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model, block_languages)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        measure = sizes(model)
+        score = _scorer(shared)
         for x in batches:
-            keep = []
-            for text in x.column(where):
-                found = words(text.as_py() or "")
-                ok = bool(model.languages) and has_letter(found)
-                if ok:
-                    got = sorted(measure(found))
-                    ok = len(got) < 2 or (got[1] - got[0]) / got[1] >= min_margin
-                keep.append(ok)
+            keep = [r is not None and (r[2] is None or _margin(r) >= min_margin) for r in score(x.column(where))]
             yield x.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

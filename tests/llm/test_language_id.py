@@ -72,3 +72,27 @@ def test_null_ids_are_learnt_from_and_predicted(docs):
     nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
     found = language_id.predict(nulls, language_id.fit(docs)).collect()
     assert len(found) == 240 and not any(r.held_out for r in found)
+
+
+@pytest.fixture
+def many(spark):
+    """80 languages of words of their own, the last ones rare."""
+    rng = random.Random(3)
+    lexicon = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(80 * 12)]
+    made = [(k * 40 + j, " ".join(rng.choice(lexicon[k * 12 : k * 12 + 12]) for _ in range(40)), f"l{k:02}", "s", 5) for k in range(80) for j in range(16 if k < 64 else 8)]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_every_language_is_learnt(many):
+    model = language_id.fit(many)
+    assert sorted(model.languages) == [f"l{k:02}" for k in range(80)]
+    found = language_id.predict(many, model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id // 40:02}" and not r.rejected for r in found)
+    assert language_id.accepted(many, model).count() == many.count()
+
+
+def test_blocks_of_languages_give_the_same(many, rows):
+    model = language_id.fit(many)
+    whole = rows(language_id.predict(many, model, block_languages=80))
+    assert rows(language_id.predict(many, model, block_languages=7)) == whole
+    assert rows(language_id.predict(many, model, block_languages=1)) == whole
