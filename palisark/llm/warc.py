@@ -7,8 +7,9 @@ member behind it).
 
 Reader. A record is accepted if its member inflates with the right checksum, its header parses, its length agrees and
 its block digest holds. After a failed check the reader goes on one byte further to the next gzip magic or WARC version
-line from which a whole valid record can be read, and logs what lies between as a quarantined gap. Nothing is lost but
-the damaged record itself.
+line from which a whole valid record can be read, and logs what lies between as a quarantined gap. It does so too inside
+the content of a member of several records, also of one that inflates in part or with a wrong checksum: there a record
+needs a block digest that holds. Nothing is lost but the damaged record itself.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ MIN_REVISIT_BYTES = 0
 MAX_RECORDS_PER_FILE = 4096
 #: A map of repeated payloads of up to this many rows (40 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-MAX_HEADER = 1 << 16
 _LAST_BYTE = b"\x00"
 
 
@@ -118,22 +118,20 @@ def write(pages: DataFrame, path: str, compressed: bool = True, min_revisit_byte
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 #: The fields that every record must have.
 MANDATORY = ("warc-record-id", "content-length", "warc-date", "warc-type")
 
 
-def _parse(data: memoryview | bytes) -> tuple[dict, bytes, int] | None:
-    """The record at the start of ``data``: fields, block and size; None unless every check holds."""
-    head = bytes(data[:MAX_HEADER])
-    if not re.match(rb"WARC/1\.[01]\r\n", head):
+def _parse(data: bytes, start: int = 0, digest: bool = False) -> tuple[dict, bytes, int] | None:
+    """The record at ``start``: fields, block and size; None unless every check holds, of the block digest too if asked."""
+    m = _VERSION.match(data, start)
+    if not m:
         return None
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        return None
-    at, fields = head.index(b"\r\n") + 2, {}
-    while at < end + 2:
-        m = _FIELD.match(head, at)
+    at, fields = m.end(), {}
+    while data[at : at + 2] != b"\r\n":
+        m = _FIELD.match(data, at)
         if not m:
             return None
         fields[m[1].decode("ascii").lower()] = m[2].decode("utf-8", "replace").strip()
@@ -143,66 +141,107 @@ def _parse(data: memoryview | bytes) -> tuple[dict, bytes, int] | None:
     size = fields["content-length"]
     if not re.fullmatch("[0-9]{1,18}", size):
         return None
-    stop = end + 4 + int(size)
-    if len(data) < stop + 4 or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
+    stop = at + 2 + int(size)
+    if len(data) < stop + 4 or data[stop : stop + 4] != b"\r\n\r\n":
         return None
-    block = bytes(data[end + 4 : stop])
+    block = data[at + 2 : stop]
     told = fields.get("warc-block-digest", "")
-    if told.startswith("sha1:") and told[5:] != base32_sha1(block):
+    if (digest or told.startswith("sha1:")) and told != "sha1:" + base32_sha1(block):
         return None
-    return fields, block, stop + 4
+    return fields, block, stop + 4 - start
 
 
-def _inflate(view: memoryview, at: int) -> tuple[bytes, int] | None:
-    """Content and size of the gzip member at ``at``; None unless it is whole and its checksum right.
+def _inflate(view: memoryview, at: int) -> tuple[bytes, int, bool]:
+    """Content and size of the gzip member at ``at``, and if it is whole and its checksum right; else what inflates of it.
 
-    Input is fed in growing windows: zlib copies what it doesn't use, and most members are small.
+    Input is fed in growing windows: zlib copies what it doesn't use, and most members are small. Where one fails, it is
+    fed again in ever smaller ones up to the byte that can't be right.
     """
     z, out, fed, window = zlib.decompressobj(31), [], at, 1 << 15
     while not z.eof and fed < len(view):
+        before = z.copy()
         try:
             out.append(z.decompress(view[fed : fed + window]))
         except zlib.error:
-            return None
+            if window == 1:
+                return b"".join(out), fed - at, False
+            z, window = before, max(1, window // 8)
+            continue
         fed = min(fed + window, len(view))
         window *= 2
-    return (b"".join(out), fed - len(z.unused_data) - at) if z.eof else None
+    return b"".join(out), fed - len(z.unused_data) - at, z.eof
+
+
+def _records(content: bytes, whole: bool) -> tuple[list[tuple[dict, bytes, bytes]], bool]:
+    """Fields, block and bytes of the valid records in a member's content, and if they are all that is in it.
+
+    A member of one record stands and falls with it: if its checksum is wrong, so is the record.
+    """
+    found, at, good = [], 0, True
+    while at < len(content):
+        if r := _parse(content, at, not whole):
+            found.append((r[0], r[1], content[at : at + r[2]]))
+            at += r[2]
+            continue
+        good = False
+        m = _VERSION.search(content, at + 1)
+        at = m.start() if m else len(content)
+    if not whole and good and len(found) == 1:
+        return [], False
+    return found, good and whole
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes]]:
     """(offset, length, fields, block) of each record of an archive; fields is None for a quarantined gap.
 
-    Offsets and lengths are those in the file. Gaps and records together cover it without overlap.
+    Offsets and lengths are those in the file. Gaps and records together cover it without overlap, but for a member of
+    several records: they have its range, and so has the gap that stands for what is damaged inside it. The range of a
+    member whose end is damaged runs on to the next valid record.
     """
     view, n = memoryview(data), len(data)
     at = good = 0
+    parts: list[tuple[int, list]] = []  # members since ``good`` that were salvaged in part
+    seen, until = set(), 0  # what was found in them, and where the last ends
+
+    def close(stop: int) -> Iterator[tuple[int, int, dict | None, bytes]]:
+        first = parts[0][0] if parts else stop
+        if good < first:
+            yield good, first - good, None, b""
+        for (start, inside), (end, _) in zip(parts, [*parts[1:], (stop, [])]):
+            yield from ((start, end - start, fields, block) for fields, block, _ in inside)
+            yield start, end - start, None, b""
+        parts.clear()
+        seen.clear()
+
     while at < n:
         found = None
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            member = _inflate(view, at)
-            if member is not None:
-                content, size = member
-                if not content:
-                    found = [(at, size, {}, b"")]
-                else:
-                    inside, offset = [], 0
-                    while offset < len(content) and (r := _parse(content[offset:] if offset else content)):
-                        inside.append((at, size, r[0], r[1]))
-                        offset += r[2]
-                    if offset == len(content):
-                        found = inside
-        elif r := _parse(view[at:]):
+            content, size, whole = _inflate(view, at)
+            if whole and not content:
+                found = []
+            elif content:
+                inside, clean = _records(content, whole)
+                inside = [r for r in inside if not (at < until and r[2] in seen)]
+                if clean and inside:
+                    found = [(at, size, fields, block) for fields, block, _ in inside]
+                elif inside:
+                    parts.append((at, inside))
+                    seen.update(r[2] for r in inside)
+                    if whole:
+                        yield from close(at + size)
+                        at = good = at + size
+                        continue
+                    until = at + size
+        elif (r := _parse(data, at)) and not (at < until and data[at : at + r[2]] in seen):  # as stored in a damaged member
             found, size = [(at, r[2], r[0], r[1])], r[2]
         if found is None:
             m = _START.search(data, at + 1)
             at = m.start() if m else n
             continue
-        if good < at:
-            yield good, at - good, None, b""
-        yield from (x for x in found if x[2])
+        yield from close(at)
+        yield from found
         at = good = at + size
-    if good < n:
-        yield good, n - good, None, b""
+    yield from close(n)
 
 
 RECORD_SCHEMA = (

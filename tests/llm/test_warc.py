@@ -113,3 +113,28 @@ def test_gap_log_from_files(spark, tmp_path):
     found = warc.read(spark, f"file://{tmp_path}")
     assert [(r.offset, r.length) for r in warc.gaps(found).collect()] == [(len(members[0]), 2)]
     assert sorted(r.page_id for r in found.where("not gap").collect()) == [0, 1]
+
+
+def test_long_urls_come_back(spark, rows):
+    made = [(1, "data:," + "x" * 100_000, "a"), (2, "\x01" * 30_000, "b"), (3, "u", "c")]
+    df = spark.createDataFrame(made, PAGE)
+    assert sorted(rows(warc.round_trip(df))) == expected(made)
+
+
+def test_salvage_inside_a_member_of_several_records():
+    plain, members = archive(5)
+    ids = lambda data: [f["warc-record-id"][10:-1] if f else None for _, _, f, _ in warc.salvage(data)]
+    hurt = bytearray(plain[2])
+    hurt[-20] ^= 1
+    mixed = plain[0] + plain[1] + bytes(hurt) + plain[3]
+    assert ids(members[4] + gzip.compress(mixed) + members[4]) == ["4", "0", "1", "3", None, "4"]
+    assert ids(b"junk" + gzip.compress(b"".join(plain[:4]))[:-1200] + members[4])[-2:] == [None, "4"]
+    for level in (0, 6):
+        whole = gzip.compress(b"".join(plain[:4]), level)
+        cut = sum(map(len, plain[:3])) * len(whole) // sum(map(len, plain[:4]))
+        got = ids(whole[: cut + 30] + members[4])
+        assert set(got) >= {"0", "1", None, "4"} and len(got) == len(set(got))
+        crc = bytearray(whole)
+        crc[-6] ^= 1
+        assert ids(bytes(crc) + members[4]) == ["0", "1", "2", "3", None, "4"]
+        assert ids(bytes(crc) + whole + members[0]) == ["0", "1", "2", "3", None, "0", "1", "2", "3", "0"]
