@@ -6,6 +6,7 @@ nodes counts, ``ord``, the place in the input, decides.
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -172,25 +173,27 @@ def edges_of(found_edges: DataFrame, node_id: str) -> DataFrame:
     return found_edges.where((F.col("source") == node_id) | (F.col("target") == node_id))
 
 
-def shortest_paths(links: DataFrame, entries: DataFrame, targets: DataFrame, max_hops: int = 50, group: str = "source_file") -> DataFrame:
+def shortest_paths(links: DataFrame, entries: DataFrame, targets: DataFrame, max_hops: int | None = None, group: str = "source_file") -> DataFrame:
     """An undirected shortest path from each entry to each target that it reaches: group, entry, target, path, hops.
 
     Of equally short paths the lexicographically first one counts. Breadth-first: each round extends the paths that
     have just reached a new node by one edge, as a join; a node that an entry has reached isn't reached again, so a round
-    holds at most one row for each entry and node. Rounds are written, so lineage stays short.
+    holds at most one row for each entry and node. Rounds are written, so lineage stays short. They end when no new node is
+    reached; only a caller that gives ``max_hops`` stops them earlier.
     """
     both = links.select(group, F.col("source").alias("at"), F.col("target").alias("to"))
     both = both.union(links.select(group, F.col("target"), F.col("source"))).where("at <> to").distinct()
     start = entries.select(group, F.col("id").alias("entry")).distinct()
-    reached = frontier = written(start.select(group, "entry", F.col("entry").alias("at"), F.array("entry").alias("path")), "paths-0")
-    for hop in range(1, max_hops + 1):
+    reached = near = frontier = written(start.select(group, "entry", F.col("entry").alias("at"), F.array("entry").alias("path")), "paths-0")
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = (
             frontier.join(both, [group, "at"])
             .select(group, "entry", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
             .groupBy(group, "entry", "at").agg(F.min("path").alias("path"))
-            .join(reached.select(group, "entry", "at"), [group, "entry", "at"], "left_anti")
+            .join(near.select(group, "entry", "at"), [group, "entry", "at"], "left_anti")
         )
-        frontier = written(step, f"paths-{hop}")
+        before, frontier = frontier, written(step, f"paths-{hop}")
+        near = before.unionByName(frontier)  # edges have no direction: they lead one round back at most
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

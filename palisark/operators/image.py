@@ -44,18 +44,25 @@ def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files and removals of layer archives (image, layer, content: tar, gzipped or not).
 
     files: image, layer, path, content. removals: image, path, layer: what a whiteout removes of lower layers; an opaque
-    one removes all below its folder (path ends in '/'). A broken archive has no rows; paths that lead out are refused.
+    one removes all below its folder (path ends in '/'). A broken archive has no rows; paths that lead out are refused. A
+    layer of more than MAX_LAYER_BYTES or with more than MAX_FILES members is an error: nothing is left out in silence.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for image, layer, content in zip(x["image"], x["layer"], x["content"]):
                 rows = []
+                if content is None:
+                    continue
+                if len(content) > MAX_LAYER_BYTES:
+                    raise ValueError(f"layer {layer} of {image}: {len(content)} bytes, more than {MAX_LAYER_BYTES}")
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                         for n, member in enumerate(tar):
+                            if n >= MAX_FILES:
+                                raise ValueError(f"layer {layer} of {image}: more than {MAX_FILES} members")
                             path = safe_path(member.name)
-                            if path is None or n >= MAX_FILES:
+                            if path is None:
                                 continue
                             folder, _, name = path.rpartition("/")
                             if name == ".wh..wh..opq":
@@ -68,8 +75,7 @@ def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
                     rows = []
                 yield pd.DataFrame(rows, columns=["image", "layer", "path", "content", "kind"])
 
-    found = layers.select("image", "layer", "content").where(F.octet_length("content") <= MAX_LAYER_BYTES)
-    found = found.mapInPandas(run, "image string, layer int, path string, content binary, kind string")
+    found = layers.select("image", "layer", "content").mapInPandas(run, "image string, layer int, path string, content binary, kind string")
     return found.where("kind = 'file'").drop("kind"), found.where("kind = 'gone'").select("image", "path", "layer")
 
 
