@@ -31,9 +31,12 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is made and set.
+    Only where that setting is absent and all tasks run in this process (tests, a single machine) a temporary folder is
+    made and set; on a cluster its absence is an error, because executors don't see a folder of the driver's machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="palisark-"))
         base = spark.sparkContext.getCheckpointDir()
@@ -45,6 +48,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/palisark/{label}-{uuid.uuid4().hex}"
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores before it what no column of ``taken`` is called."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -53,7 +64,16 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_side(df: DataFrame, label: str, most: int = BROADCAST_ROWS) -> DataFrame:
