@@ -1,10 +1,15 @@
 """Byte-level BPE with a published vocabulary, by an index of pair occurrences.
 
-All distinct pretokens of a piece of a partition lie in one symbol array. The index maps each mergeable pair to all its
-positions in that array. Active ranks are applied in ascending order, each to all positions of its pair at once, and the
-lists of the pairs to the left and right of a merge are updated. Ranks whose pairs hold no symbol that one of them makes
-can't create occurrences of one another, so neighbouring ranks are taken together as a level (about 120 levels for
-50,000 merges); inside a level, where two occurrences share a symbol the lower rank wins, then the left one.
+All distinct pretokens of a piece of a partition lie in one symbol array. The index holds the positions of every
+mergeable pair in that array, the lists of neighbouring ranks side by side. Active ranks are applied in ascending order,
+each to all positions of its pair at once, and the lists of the pairs to the left and right of a merge are updated.
+
+The lists aren't taken rank by rank, but by levels: a level is a run of consecutive ranks whose pairs hold no symbol that
+one of them makes (about 120 levels for 50,000 merges). The result is the same: inside a level no merge can create an
+occurrence of another of its ranks, so all its occurrences are known when it begins; where two of them share a symbol the
+lower rank wins, then the left one, as if the ranks had come one after another.
+
+Pretokens are distinct by their bytes: equal hashes are only a first guess, and the bytes behind them are compared.
 
 Tokenizers are read from their published files, never trained.
 """
@@ -16,7 +21,7 @@ import hashlib
 import json
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -236,6 +241,23 @@ def merged(vocab: Vocabulary, body: np.ndarray, start: np.ndarray, size: np.ndar
     return symbol[:total][alive], counts
 
 
+def distinct(body: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: Callable = tb.word_hash) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of spans with equal bytes, and the group of each span.
+
+    ``hashes`` must be one to one on spans of up to eight bytes; longer ones of equal hash are compared byte by byte.
+    """
+    _, first, which = np.unique(hashes(body, start, end), return_index=True, return_inverse=True)
+    size, model = end - start, first[which]
+    long = np.flatnonzero((size > 8) | (size[model] > 8))
+    same = np.array_equal(size[long], size[model[long]])
+    if same and np.array_equal(body[tb.ranges(start[long], size[long])], body[tb.ranges(start[model[long]], size[long])]):
+        return first, which
+    # Spans collide (2**-64 for two of them): group by the bytes themselves.
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(body[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist())], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 def encode_piece(vocab: Vocabulary, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all documents in turn, and the offset of each document's first id."""
     edges, fixed = offsets[:-1], {}
@@ -262,8 +284,7 @@ def encode_piece(vocab: Vocabulary, body: np.ndarray, offsets: np.ndarray) -> tu
         start = start[~inside[start]]
     end = np.append(start[1:], len(body))
     size = end - start
-    key = tb.mixed(tb.span_hash(tb.prefix_hash(body), start, end) + size.astype(np.uint64))
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+    first, which = distinct(body, start, end)
     pool, counts = merged(vocab, body, start[first], size[first])
     pool_at = np.concatenate([[0], np.cumsum(counts)])[:-1]
     n = counts[which]
@@ -303,12 +324,19 @@ def _local(path: str) -> str:
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
+def _refuse(docs: DataFrame, name: str) -> None:
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {name} already")
+
+
 def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids (array of int) for the whole text; null and empty texts have no ids.
 
     ``path``: a byte-level BPE file in the JSON form of the tokenizers library; default: the public 50k vocabulary. Its
-    special tokens are recognised in texts. Other columns go through unchanged; ``ids_col`` must not be one of them.
+    special tokens are recognised in texts. Other columns go through unchanged; if ``ids_col`` is one of them, it is a
+    ValueError. Repeated rows are encoded each; an empty table gives an empty result.
     """
+    _refuse(docs, ids_col)
     path = path or default_vocabulary()
     docs = docs.withColumn(ids_col, F.lit(None).cast("array<int>"))
     where = docs.columns.index(text_col)
@@ -329,7 +357,11 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
 
 
 def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text that a column of ids stands for; ids cut inside a character give U+FFFD."""
+    """``docs`` with the text that a column of ids stands for; ids cut inside a character give U+FFFD.
+
+    Null ids give an empty text. A column ``text_col`` that is there already is a ValueError.
+    """
+    _refuse(docs, text_col)
     path = path or default_vocabulary()
     docs = docs.withColumn(text_col, F.lit(None).cast("string"))
     where = docs.columns.index(ids_col)
@@ -350,7 +382,8 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (see the contract of the query).
 
     Encodes and decodes the whole text in the task that reads it: only digests leave it. Null counts as empty; an empty
-    text has no tokens and the digests of no bytes; an empty table gives an empty result. No row depends on another.
+    text has no tokens and the digests of no bytes; an empty table gives an empty result. No row depends on another, so
+    repeated rows and ids have a row each. Further columns, whatever their names, play no part.
     """
     path = path or default_vocabulary()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

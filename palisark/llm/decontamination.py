@@ -8,7 +8,9 @@ a question was re-parameterised, and don't where two texts only share a form.
 
 Whether a word is a name is told by its case. So items and documents have a second view, in which names are words like
 others: it is blind to case, and finds a copy in small letters, capitals or title case. A third view has no placeholders
-at all: whatever an item is made of, it is found verbatim there, and a short one as a whole.
+at all: whatever an item is made of, it is found verbatim there, and a short one as a whole. The capital that opens a
+sentence doesn't tell a name from another word, so in a fourth view every word that opens a sentence in a capital is a
+name: there an item is found whose names were changed where they open sentences.
 """
 
 from __future__ import annotations
@@ -59,7 +61,7 @@ _STOP = _in(b".!?")
 #: Small letters of the code points of two bytes, where they have two bytes too.
 _SMALL = np.arange(0x800, dtype=np.uint16)
 _SMALL[0x80:] = [ord(c) if len(c) == 1 and 0x80 <= ord(c) < 0x800 else k for k in range(0x80, 0x800) for c in [chr(k).lower()]]
-TEMPLATE, CASE_BLIND, VERBATIM = VIEWS = range(3)
+TEMPLATE, CASE_BLIND, VERBATIM, OPENERS = VIEWS = range(4)
 
 
 def _small(body: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def _small(body: np.ndarray) -> np.ndarray:
 def _hashes(words: tuple[str, ...]) -> np.ndarray:
     body = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
-    return np.sort(tb.span_hash(tb.prefix_hash(body), np.concatenate([[0], ends[:-1]]), ends))
+    return np.sort(tb.word_hash(body, np.concatenate([[0], ends[:-1]]), ends))
 
 
 @dataclass
@@ -86,11 +88,17 @@ class Templates:
     kind: np.ndarray
     value: np.ndarray
     doc: np.ndarray
+    opener: np.ndarray  # a word in a capital that opens a sentence, name or not
+
+    def kinds(self, view: int) -> np.ndarray:
+        return np.where(self.opener, np.int8(NAME), self.kind) if view == OPENERS else self.kind
 
     def view(self, view: int) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of a view, and which of them aren't placeholders."""
         if view == TEMPLATE:
             return self.token, self.kind == LITERAL
+        if view == OPENERS:
+            return np.where(self.opener, _PLACEHOLDERS[NAME], self.token), (self.kind == LITERAL) & ~self.opener
         if view == VERBATIM:
             return self.value, np.ones(len(self.value), bool)
         literal = (self.kind == LITERAL) | (self.kind == NAME)
@@ -101,7 +109,7 @@ def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     start, end, doc = tb.word_spans(body, offsets)
     if not len(start):
         z = np.zeros(0, np.uint64)
-        return Templates(z, z.astype(np.int8), z, doc)
+        return Templates(z, z.astype(np.int8), z, doc, z.astype(bool))
     word = _WORD[body]
     at = np.arange(len(body))
     first = np.minimum.accumulate(np.where(word, at, len(body))[::-1])[::-1][start]
@@ -116,7 +124,7 @@ def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     size = last - first
     digits = of(count(_DIGIT))
     numeric = of(count(_NUMERIC))
-    value = tb.span_hash(tb.prefix_hash(_small(body)), first, last)
+    value = tb.word_hash(_small(body), first, last)
     number = (digits > 0) & (numeric == size) | np.isin(value, _hashes(NUMBER_WORDS))
     quantity = (digits > 0) & ~number & _DIGIT[body[first]] & (size - numeric <= 3)  # 12km, 3rd
     before = np.zeros(len(number), bool)
@@ -124,8 +132,8 @@ def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     unit = before & np.isin(value, _hashes(UNITS))
     name = ~number & ~unit & ~opens & _UPPER[body[first]] & (size > 1) & (of(count(_UPPER)) == 1) & (digits == 0)
     kind = np.where(number | quantity, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL))).astype(np.int8)
-    value = tb.mixed(value + size.astype(np.uint64))
-    return Templates(np.where(kind == LITERAL, value, _PLACEHOLDERS[kind]), kind, value, doc)
+    opener = opens & (kind == LITERAL) & _UPPER[body[first]] & (of(count(_UPPER)) == 1) & (digits == 0)
+    return Templates(np.where(kind == LITERAL, value, _PLACEHOLDERS[kind]), kind, value, doc, opener)
 
 
 def windows(t: Templates, sizes: tuple[int, ...], view: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -168,7 +176,7 @@ class Index:
     views: list[View]
     ids: list
     keys: list  # the number of the first item of the same id; an item without an id is one by itself
-    kinds: list
+    kinds: list  # by view
     values: list
 
 
@@ -179,7 +187,7 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
     parts = lambda x: [x[a:b] for a, b in zip(cut[:-1], cut[1:])]
     first: dict = {}
     keys = [k if x is None else first.setdefault(x, k) for k, x in enumerate(ids)]
-    return Index([_view(t, cut, view) for view in VIEWS], list(ids), keys, parts(t.kind), parts(t.value))
+    return Index([_view(t, cut, view) for view in VIEWS], list(ids), keys, [parts(t.kinds(v)) for v in VIEWS], parts(t.value))
 
 
 def _view(t: Templates, cut: np.ndarray, view: int) -> View:
@@ -211,7 +219,7 @@ def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: floa
                 run, diagonal = _longest_run(pairs, WINDOW)
                 if run < RUN_WORDS:
                     continue
-            slots, same, consistent = _slots(index, item, t, pairs, diagonal)
+            slots, same, consistent = _slots(index, number, item, t, pairs, diagonal)
             if consistent < MIN_CONSISTENT:
                 continue
             row = {"item": index.ids[item], "coverage": coverage, "windows": matched, "slots": slots, "same_slots": same, "consistent": consistent}
@@ -251,9 +259,9 @@ def _longest_run(pairs: list[tuple[int, int]], size: int) -> tuple[int, int]:
     return best
 
 
-def _slots(index: Index, item: int, t: Templates, pairs: list[tuple[int, int]], diagonal: int) -> tuple[int, int, float]:
+def _slots(index: Index, view: int, item: int, t: Templates, pairs: list[tuple[int, int]], diagonal: int) -> tuple[int, int, float]:
     """Slots on a diagonal, how many are unchanged, and the share of values that map one to one."""
-    kinds, values = index.kinds[item], index.values[item]
+    kinds, values = index.kinds[view][item], index.values[item]
     size = min(len(kinds), WINDOW)
     places = sorted({q + k for p, q in pairs if p - q == diagonal for k in range(size)})
     slots = [(values[q], t.value[q + diagonal]) for q in places if kinds[q] in (NUMBER, NAME, UNIT)]

@@ -4,7 +4,8 @@ Every input partition is a run of (digest, smallest identifier, count). The runs
 digests have an address of base-``fan_in`` digits; in round r a run's r-th address digit is replaced by that of each of
 its digests, so that ``fan_in`` runs exchange slices and each receiver merges the ``fan_in`` slices it gets. After
 log(runs) rounds every digest has one entry, at its own address, and no task has ever held more than its share: a digest
-that a third of all rows carry has one entry a run after the first round, not a third of the rows.
+that a third of all rows carry has one entry a run after the first round, not a third of the rows. Equal digests of a
+task are combined before they are sent, too.
 
 Only digests and identifiers move; texts stay where they are.
 """
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisark.session import small_side, written
+from palisark.session import fresh_name, small_side, written
 
 FAN_IN = 16
+#: Copies of one text from which its rows are joined with its entry by broadcast, not in the task of its digest.
+HOT_COPIES = 10_000
 #: The white space that doesn't count: runs of these bytes are one space.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -58,7 +61,6 @@ def merge_runs(rows: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
         digit = lambda x, r=r: F.pmod(F.floor(x / fan_in**r), F.lit(fan_in))
         level = (
             level.withColumn("cell", F.col("cell") + (digit(address) - digit(F.col("cell"))) * fan_in**r)
-            .repartition("cell")
             .groupBy("cell", "digest", "n_bytes", "verify")
             .agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
         )
@@ -74,7 +76,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_
     """
     rows = written(digest_rows(docs, id_col, text_col), "digests")
     merged = merge_runs(rows, fan_in)
-    return rows.join(merged, ["digest", "n_bytes", "verify"]).select(
+    # A text of very many copies would bring all its rows into one task of a join by digest; there are few such texts.
+    key = ["digest", "n_bytes", "verify"]
+    merged = written(merged, "merged")
+    hot = small_side(merged.where(F.col("group_size") >= HOT_COPIES), "hot")
+    joined = rows.join(hot.select(key), key, "left_anti").join(merged, key).unionByName(rows.join(hot, key))
+    return joined.select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
@@ -84,25 +91,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
-    """The documents without their exact copies, all columns unchanged.
+    """The documents without their exact copies, all columns unchanged, whatever their names.
 
     Only identifiers of rows that go or that repeat are joined with the texts; the join is on the identifier, which has
-    no hot value but null, and rows without an identifier are told apart by their digest.
+    no hot value but null, and rows without an identifier are told apart by their digest. An empty table stays empty.
     """
     found = groups(docs, id_col, text_col, fan_in)
     digest = F.sha2(normalised(docs[text_col]), 256)
+    stays = fresh_name("stays", docs.columns)
     # What happens to the rows of one identifier and digest: of `n` equal rows one or none stays.
-    fate = small_side(
-        found.groupBy("doc_id", "text_sha256")
-        .agg(F.count("*").alias("n"), F.bool_or("kept").alias("stays"))
-        .where("n > 1 or not stays")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("stays").alias("__stays")),
-        "fates",
-    )
-    names = docs.columns
-    marked = docs.withColumn("__digest", digest).join(
-        fate, (F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))) & (F.col("__digest") == F.col("__sha")), "left"
-    )
-    alone = marked.where(F.col("__sha").isNull()).select(*[F.col(f"`{c}`") for c in names])
-    repeated = marked.where(F.col("__stays")).dropDuplicates(["__id", "__sha"])
-    return alone.unionByName(repeated.select(*[F.col(f"`{c}`") for c in names]))
+    fate = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.bool_or("kept").alias(stays)).where(f"n > 1 or not {stays}")
+    fate = small_side(fate.drop("n"), "fates")
+    same = docs[id_col].eqNullSafe(fate["doc_id"]) & (digest == fate["text_sha256"])
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    alone = docs.join(fate, same, "left_anti")
+    repeated = docs.join(fate.where(stays), same)
+    one, two = (fresh_name(x, docs.columns) for x in ("id", "sha"))
+    repeated = repeated.select(*columns, fate["doc_id"].alias(one), fate["text_sha256"].alias(two)).dropDuplicates([one, two])
+    return alone.unionByName(repeated.drop(one, two))

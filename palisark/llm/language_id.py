@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary: text of that language, seen as if it came just before. A text is
-encoded with every dictionary, and the language whose dictionary gives the fewest bytes is predicted. Texts are encoded
+Each language has a zstandard raw-content dictionary: the most frequent phrases of that language, seen as if they came
+just before. A text is encoded with every dictionary, and the language whose dictionary gives the fewest bytes is predicted. Texts are encoded
 in blocks, so that also in a long text each part is measured against the languages and not against the text before it.
 A text whose best and second-best sizes are close is marked as rejected.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +25,11 @@ from palisark.session import small_side
 UNKNOWN = "und"
 LEVEL = 3
 BLOCK_CHARS = 4096
-#: The fit's bounds for each language: documents, characters of one document, bytes of a dictionary.
+#: The fit's bound for each language: documents, of which the whole texts are learnt.
 SAMPLE_DOCS = 256
-SAMPLE_CHARS = 4096
+#: The size of a dictionary. It is filled with the most frequent phrases of so many words of all sampled texts.
 DICTIONARY_BYTES = 128 << 10
+PHRASE = 3
 #: A text is rejected if its second-best size is less than this share above its best one.
 MIN_MARGIN = 0.005
 #: Dictionaries in one broadcast, and in use at once in a task; more languages are scored in blocks.
@@ -65,32 +67,59 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from a bounded sample: for each language, the document with the least hash in each of SAMPLE_DOCS cells.
 
-    Cells and hashes come from the id, so the sample is the same whatever the partitions. Rows whose text or language is
-    null are no sample. Every other language is learnt, also the rarest.
+    Cells and hashes come from the id (and the text, where ids repeat), so the sample is the same whatever the partitions
+    and the order of rows. Rows whose text or language is null are no sample. Every other language is learnt, also the
+    rarest. Of a sampled document the whole text counts: the phrases of all of them are counted, and the most frequent
+    make the dictionary. An empty table gives a model without languages.
     """
     rows = docs.where(training_rows(docs, id_col)).select(
-        docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")
+        docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")
     )
     rows = rows.where("lang is not null and text is not null").withColumns({
-        "cell": F.pmod(F.xxhash64("id"), F.lit(SAMPLE_DOCS)), "h": F.xxhash64("id", F.lit(1)),
+        "cell": F.pmod(F.xxhash64("id"), F.lit(SAMPLE_DOCS)), "h": F.struct(F.xxhash64("id", F.lit(1)).alias("id"), F.xxhash64("text").alias("text")),
     })
     chosen = rows.groupBy("lang", "cell").agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    chosen = small_side(chosen, "language-sample")  # at most SAMPLE_DOCS rows a language, of four numbers
+    chosen = small_side(chosen, "language-sample")  # at most SAMPLE_DOCS rows a language, of five numbers
     counts = chosen.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = tuple(x["lang"] for x in counts)
     if not languages:
         return Model((), ())
-    sample = rows.join(chosen.drop("n"), ["lang", "cell", "h"]).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    built = sample.dropDuplicates(["lang", "h"]).groupBy("lang").applyInArrow(_dictionary, "lang string, dictionary binary")
+    sample = rows.join(chosen.drop("n"), ["lang", "cell", "h"]).dropDuplicates(["lang", "cell", "h"]).select("lang", "text")
+    counted = sample.mapInArrow(_phrases, "lang string, phrase string, times long").groupBy("lang", "phrase").agg(F.sum("times").alias("times"))
+    built = counted.groupBy("lang").applyInArrow(_dictionary, "lang string, dictionary binary")
     found = {x["lang"]: bytes(x["dictionary"]) for x in built.toLocalIterator()}
-    return Model(languages, tuple(found[x] for x in languages))
+    return Model(languages, tuple(found.get(x, b"") for x in languages))
 
 
-def _dictionary(sample: pa.Table) -> pa.Table:
-    """The dictionary of one language from its sample."""
-    texts = [x["text"] for x in sample.sort_by([("h", "ascending"), ("text", "ascending")]).to_pylist()]
-    built = " ".join(" ".join(words(x)) for x in texts).encode()[-DICTIONARY_BYTES:]
-    return pa.table({"lang": sample["lang"][:1], "dictionary": pa.array([built], pa.binary())})
+def phrases(text: str) -> Counter:
+    """How often each run of PHRASE words stands in the text; a shorter text is one run."""
+    found = words(text)
+    return Counter(" ".join(found[i : i + PHRASE]) for i in range(max(1, len(found) - PHRASE + 1))) if found else Counter()
+
+
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        for lang, text in zip(x.column(0).to_pylist(), x.column(1)):
+            count = phrases(text.as_py())
+            columns = [pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "times"])
+
+
+def _dictionary(counted: pa.Table) -> pa.Table:
+    """The dictionary of one language from the phrases of its sample."""
+    counted = counted.sort_by([("times", "descending"), ("phrase", "ascending")])
+    return pa.table({"lang": counted["lang"][:1], "dictionary": pa.array([dictionary(counted["phrase"].to_pylist())], pa.binary())})
+
+
+def dictionary(ranked: list[str]) -> bytes:
+    """Whole phrases in the order of rank as far as DICTIONARY_BYTES reach; the most frequent last, next to the text."""
+    taken, size = [], 0
+    for phrase in ranked:
+        size += len(phrase.encode()) + 1
+        if size > DICTIONARY_BYTES:
+            break
+        taken.append(phrase)
+    return " ".join(reversed(taken)).encode()
 
 
 def sizes(model: Model) -> callable:
@@ -164,6 +193,7 @@ def predict(
     lang_pred is the language of the smallest encoding (of equal ones, that of the more frequent language), or 'und' if
     the text is null, empty or without a letter, or if nothing was learnt; score is 0 then, otherwise it rises from 0
     with the margin (second-best size less best, over the second-best). rejected: 'und', or a margin under min_margin.
+    Repeated rows have a row each; an empty table gives an empty result; further columns, whatever their names, play no part.
     """
     shared = _shared(docs, model, block_languages)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), held_out(docs[id_col]).alias("held_out"))

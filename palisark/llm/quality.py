@@ -60,7 +60,7 @@ def _piece(body: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[
     share = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[body])])[offsets]) / per_byte
     start, end, doc = tb.word_spans(body, offsets)
     size = end - start
-    key = tb.mixed(tb.span_hash(tb.prefix_hash(tb.LOWER[body]), start, end) + size.astype(np.uint64))
+    key = tb.word_hash(tb.LOWER[body], start, end)
     per_doc = lambda x: np.bincount(doc, x, docs)
     n_words = np.bincount(doc, minlength=docs)
     per_word = np.maximum(n_words, 1)
@@ -73,8 +73,12 @@ def _piece(body: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[
     new[1:] = (key[1:] != key[:-1]) | (by[1:] != by[:-1])
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(key)))
-    word, owner = (key[at] >> np.uint64(64 - 14)).astype(np.int64), by[at]
+    owner = by[at]
     distinct = np.bincount(owner, minlength=docs)
+    # Distinct words of one bucket are one feature: a document has WORD_BUCKETS of them at most, however long it is.
+    cell, held = np.unique(owner * WORD_BUCKETS + (key[at] >> np.uint64(64 - 14)).astype(np.int64), return_counts=True)
+    in_bucket, word = np.divmod(cell, WORD_BUCKETS)
+    filled = np.bincount(in_bucket, minlength=docs)
     most = np.zeros(docs)
     np.maximum.at(most, owner, times)
     longest = np.zeros(docs)
@@ -89,11 +93,11 @@ def _piece(body: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tuple[
     meta = np.where(n_chars < 0, METADATA - 1, np.minimum(np.log2(np.maximum(n_chars, 1)).astype(int), 15) + 16 * (n_chars != chars))
     # One row of features for each document: its words, the statistics, one of the metadata.
     fixed = len(STATISTICS) + 1
-    at = np.concatenate([[0], np.cumsum(distinct + fixed)])
+    at = np.concatenate([[0], np.cumsum(filled + fixed)])
     number, value = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
-    words_at = tb.ranges(at[:-1], distinct)
+    words_at = tb.ranges(at[:-1], filled)
     number[words_at] = word
-    value[words_at] = (1 / np.sqrt(np.maximum(distinct, 1)))[owner]
+    value[words_at] = held * (1 / np.sqrt(np.maximum(distinct, 1)))[in_bucket]
     tail = (at[1:] - fixed)[:, None] + np.arange(fixed)
     number[tail] = np.concatenate([np.broadcast_to(WORD_BUCKETS + np.arange(fixed - 1), (docs, fixed - 1)), WORD_BUCKETS + fixed - 1 + meta[:, None]], 1)
     value[tail] = np.concatenate([table, np.ones((docs, 1))], 1)
@@ -159,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from at most SAMPLE_ROWS labelled rows of each label whose crc32(id) modulo 3 isn't 1.
 
     Rows with a null label, or that no document has, are no sample. The labels' frequencies over all labelled rows
-    weight the sample, so that the score is that of the whole. Without any label the score is 1/2 everywhere.
+    weight the sample, so that the score is that of the whole. Without any label the score is 1/2 everywhere. What the
+    driver gathers is bounded: a row has at most N_FEATURES numbers of 8 bytes, whatever the length of its text.
     """
     usable = labels.where(~held_out(labels[id_col]) & labels["quality"].isin(0, 1)).select(labels[id_col].alias("doc_id"), "quality")
     share = {x["quality"]: x["count"] for x in usable.groupBy("quality").count().collect()}
@@ -204,8 +209,9 @@ def _sampled(rows: DataFrame) -> DataFrame:
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
     """One row per document: doc_id, held_out, score (of label 1), predicted.
 
-    Null and empty texts are scored from their statistics alone. Repeated rows are scored alike; columns other than the
-    text and its declared length (n_chars, may be null or absent) are no input.
+    Null and empty texts are scored from their statistics alone. Repeated rows are scored alike, a row each; columns other
+    than the text and its declared length (n_chars, may be null or absent) are no input, whatever their names. An empty
+    table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     rows = _columns(docs, id_col, text_col, n_chars_col)

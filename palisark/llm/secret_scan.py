@@ -2,16 +2,21 @@
 
 Candidates of the battery are long tokens of an encoding's alphabet with letters and digits. For each one the encoding
 (hexadecimal, base32, base64) is inferred, and its symbols are put to three tests: a chi-squared test of the alphabet's
-uniformity, a runs test about the alphabet's middle, and a serial-correlation test. A random string passes all three; an
-ordinary one (a word, a list of numbers, a URL part) repeats symbols far more often than chance. How likely an ordinary
-string of that length is to look so uniform is its p-value; it falls with length, so that short tokens can't win by luck.
+uniformity, a runs test about the alphabet's middle, and a serial-correlation test. Fisher's sum of the three p-values is
+a token's distance from randomness. A token that is further away than one random string in a thousand is none.
 
-Benjamini and Hochberg's rule holds the false-discovery rate, apart for each class of length. Its thresholds come from a
-histogram of the p-values of all candidates of all documents: a table of fixed size, however many documents there are.
+How often an ordinary string comes as close is learnt from the data: all text but the candidates that may be random
+gives, for each alphabet, how often each symbol follows each other one. Strings drawn from these counts, of the least
+length of each class of length, go through the same battery, and their distances are the null law. So a p-value falls
+with length, and short tokens can't win by luck.
+
+Benjamini and Hochberg's rule holds the false-discovery rate over all candidates, apart for each class of length. Counts
+and histograms are tables of fixed size, however many documents there are.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -22,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisark.llm import textbytes as tb
 from palisark.session import written
 
 #: The shapes, in the order in which kinds are listed, with the least length that counts.
@@ -40,16 +46,23 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
 _VALUES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS.items()}
-#: The chance that two symbols of an ordinary string are equal: that of written language (0.065), and for the ten-odd
-#: symbols of numbers and dates that of digits (0.1) on top of hexadecimal's own.
-ORDINARY_MATCH = {"hex": 0.13, "HEX": 0.13, "base32": 0.075, "base64": 0.065, "base64url": 0.065}
+ENCODINGS = tuple(ALPHABETS)
 #: Classes of length for the false-discovery control, by their least length.
-LENGTH_CLASSES = (16, 24, 32, 48, 80)
+LENGTH_CLASSES = (16, 20, 24, 32, 40, 64)
 FALSE_DISCOVERIES = 0.05
-#: A candidate must not fail the runs or the serial-correlation test by less than this, nor be denser than uniform.
-RANDOM_LEVEL = 1e-3
+#: What one random string in a thousand exceeds: half the quantile of chi-squared with six degrees of freedom.
+MOST_DISTANT = 11.23
+#: Strings of the null law for an alphabet and a class of length.
+DRAWN = 20_000
 BINS = 2000
-BIN_WIDTH = 0.05  # of -ln p
+BIN_WIDTH = 0.05  # of -ln p, and of distances
+PIECE_BYTES = 2 << 20
+#: The number of a byte in each alphabet; 255: not in it. The first cell of each alphabet's pairs of symbols.
+_CODES = np.full((len(ENCODINGS), 256), 255, np.uint8)
+for _e, _chars in enumerate(ALPHABETS.values()):
+    _CODES[_e, np.frombuffer(_chars.encode(), np.uint8)] = np.arange(len(_chars))
+_SIZES = [len(x) for x in ALPHABETS.values()]
+_CELLS = np.concatenate([[0], np.cumsum(np.square(_SIZES))])
 
 
 def infer_encoding(token: str) -> str | None:
@@ -60,40 +73,96 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, values in _VALUES.items() if all(c in values for c in body)), None)
 
 
-def _normal_tail(z: float) -> float:
-    return math.erfc(z / math.sqrt(2)) / 2
+_tail = np.vectorize(lambda z: math.erfc(z / math.sqrt(2)) / 2, otypes=[float])
 
 
-def battery(token: str, encoding: str) -> tuple[float, float, float, float]:
-    """p-values: as uniform by chance if ordinary; chi-squared, runs and serial correlation if random."""
-    values = _VALUES[encoding]
-    x = np.array([values[c] for c in token.rstrip("=")])
-    n, size = len(x), len(values)
-    counts = np.bincount(x, minlength=size)
+def p_values(x: np.ndarray, size: int) -> np.ndarray:
+    """Chi-squared, runs and serial-correlation p-values, as a random string, of each row of symbols below ``size``."""
+    rows, n = x.shape
+    counts = np.bincount((np.arange(rows)[:, None] * size + x).ravel(), minlength=rows * size).reshape(rows, size)
+    # Chi-squared is a line in the number of equal pairs; its law is taken from their mean and variance.
     pairs = n * (n - 1) / 2
-    matches = float((counts * (counts - 1)).sum()) / 2
-    # Chi-squared is a line in the number of matches; its law is taken from the matches' mean and variance.
-    uniform = (matches - pairs / size) / math.sqrt(pairs / size * (1 - 1 / size))
-    p_uniform = _normal_tail(uniform)
-    q = ORDINARY_MATCH[encoding]
-    # Ordinary strings: symbols' frequencies differ, so matches vary more than pairs alone say (factor 1 + 2 n q / 3).
-    spread = math.sqrt(pairs * q * (1 - q) + pairs * n * q * q / 3)
-    p_ordinary = 1 - _normal_tail((matches + 0.5 - pairs * q) / spread)
+    matches = (counts * (counts - 1)).sum(1) / 2
+    uniform = _tail((matches - pairs / size) / math.sqrt(pairs / size * (1 - 1 / size)))
     above = x >= size / 2
-    n1 = int(above.sum())
+    n1 = above.sum(1)
     n0 = n - n1
-    if n0 and n1:
-        runs = 1 + int((above[1:] != above[:-1]).sum())
-        mean = 2 * n0 * n1 / n + 1
-        var = (mean - 1) * (mean - 2) / max(1, n - 1)
-        p_runs = 2 * _normal_tail(max(0.0, abs(runs - mean) - 0.5) / math.sqrt(var)) if var > 0 else 1.0
-    else:
-        p_runs = 2.0 ** (1 - n)
-    c = x - x.mean()
-    total = float((c * c).sum())
-    serial = float((c[1:] * c[:-1]).sum()) / total if total else 1.0
-    p_serial = 2 * _normal_tail(abs(serial + 1 / n) * math.sqrt(n))
-    return max(p_ordinary, 1e-300), p_uniform, min(1.0, p_runs), min(1.0, p_serial)
+    runs = 1 + (above[:, 1:] != above[:, :-1]).sum(1)
+    mean = 2 * n0 * n1 / n + 1
+    var = (mean - 1) * (mean - 2) / max(1, n - 1)
+    z = np.maximum(0, np.abs(runs - mean) - 0.5) / np.sqrt(np.maximum(var, 1e-12))
+    one_sided = (n0 == 0) | (n1 == 0)
+    run_p = np.where(one_sided, 2.0 ** (1 - n), np.where(var > 0, np.minimum(1, 2 * _tail(z)), 1.0))
+    c = x - x.mean(1, keepdims=True)
+    total = (c * c).sum(1)
+    serial = np.where(total > 0, (c[:, 1:] * c[:, :-1]).sum(1) / np.where(total > 0, total, 1), 1.0)
+    serial_p = np.minimum(1, 2 * _tail(np.abs(serial + 1 / n) * math.sqrt(n)))
+    return np.maximum(np.stack([uniform, run_p, serial_p], 1), 1e-300)
+
+
+def distance(p: np.ndarray) -> np.ndarray:
+    """Fisher's sum of each row of p-values."""
+    return -np.log(p).sum(1)
+
+
+def battery(token: str, encoding: str) -> tuple[float, float, float, float]:
+    """The distance from randomness, and the p-values of chi-squared, runs and serial correlation."""
+    values = _VALUES[encoding]
+    p = p_values(np.array([[values[c] for c in token.rstrip("=")]]), len(values))
+    return float(distance(p)[0]), *map(float, p[0])
+
+
+def length_class(size: int) -> int:
+    return bisect.bisect_right(LENGTH_CLASSES, size) - 1
+
+
+def pair_counts(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each symbol follows each other one in a document's text in each alphabet, other bytes left out."""
+    out = np.zeros(int(_CELLS[-1]), np.int64)
+    for e, size in enumerate(_SIZES):
+        code = _CODES[e][body]
+        at = np.flatnonzero(code != 255)
+        if len(at) < 2:
+            continue
+        code = code[at].astype(np.int64)
+        cell = code[:-1] * size + code[1:]
+        apart = np.searchsorted(at, offsets[1:-1]) - 1  # the last symbol of a document and the first of the next
+        inside = np.ones(len(cell), bool)
+        inside[apart[(apart >= 0) & (apart < len(cell))]] = False
+        out[_CELLS[e] : _CELLS[e + 1]] += np.bincount(cell[inside], minlength=size * size)
+    return out
+
+
+def null_distances(pairs: np.ndarray, size: int, length: int, drawn: int = DRAWN, seed: int = 3) -> np.ndarray:
+    """Sorted distances of strings that follow the counts of pairs; a symbol that nothing follows is followed by any."""
+    counts = pairs.reshape(size, size).astype(float)
+    first = counts.sum(1)
+    if not first.sum():
+        return np.zeros(0)
+    counts[first == 0] = first
+    steps = np.cumsum(counts / counts.sum(1, keepdims=True), axis=1)
+    steps[:, -1] = 1
+    steps = (steps + np.arange(size)[:, None]).ravel()
+    rng = np.random.default_rng([seed, size, length])
+    x = np.empty((drawn, length), np.int64)
+    x[:, 0] = rng.choice(size, drawn, p=first / first.sum())
+    for i in range(1, length):
+        x[:, i] = np.minimum(np.searchsorted(steps, x[:, i - 1] + rng.random(drawn), "right"), x[:, i - 1] * size + size - 1) - x[:, i - 1] * size
+    return np.sort(distance(p_values(x, size)))
+
+
+def null_table(pairs: np.ndarray, wanted: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
+    """(encoding, class, bin of distance, -ln p) for the wanted encodings and classes: p is the share of ordinary strings as near.
+
+    Without any ordinary text p is 1.
+    """
+    out = []
+    for e, k in wanted:
+        null = null_distances(pairs[_CELLS[e] : _CELLS[e + 1]], _SIZES[e], LENGTH_CLASSES[k])
+        for b in range(math.ceil(MOST_DISTANT / BIN_WIDTH)):
+            near = np.searchsorted(null, (b + 1) * BIN_WIDTH, "right")
+            out.append((e, k, b, float(-math.log((1 + near) / (1 + len(null))))))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -109,15 +178,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, float]]:
-    """(start, end, encoding, p) of tokens that don't fail the battery as random strings."""
+    """(start, end, encoding, distance) of all candidate tokens."""
     for m in TOKEN.finditer(text):
-        token = m.group()
-        encoding = infer_encoding(token)
-        if not encoding:
-            continue
-        p, p_uniform, p_runs, p_serial = battery(token, encoding)
-        if min(p_uniform, p_runs, p_serial) >= RANDOM_LEVEL:
-            yield m.start(), m.end(), encoding, p
+        encoding = infer_encoding(m.group())
+        if encoding:
+            yield m.start(), m.end(), encoding, battery(m.group(), encoding)[0]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -148,34 +213,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random.
 
     Whole texts are searched; null counts as empty, and has no spans (base_sha256 is then that of no bytes). Spans are
-    kind:start:end in code points. The battery adds spans of kind 'random'; one that a fixed shape overlaps adds
-    nothing. Repeated rows are rows of their own. What is found is written to the shared folder before the thresholds
-    are known, so that texts are read once.
+    kind:start:end in code points. The battery adds spans of kind 'random', also where a fixed shape lies. Repeated rows
+    are rows of their own; an empty table gives an empty result; further columns, whatever their names, play no part.
+    What is found is written to the shared folder before the thresholds are known, so that texts are read once.
     """
+    spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "base", "random")}
-            for text in x.column(1):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                for k, name in enumerate(("n_assign", "n_access", "n_hex")):
-                    out[name].append(sum(kind == k for _, kind, _ in base))
-                out["base"].append(said := joined(base))
-                out["base_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
-                out["random"].append([
-                    {"start": a, "end": b, "length_class": int(np.searchsorted(LENGTH_CLASSES, b - a, "right")) - 1, "evidence": -math.log(p)}
-                    for a, b, _, p in candidates(text) if not any(a < e and s < b for s, _, e in base)
-                ])
-            kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "base": pa.string(), "random": RANDOM}
-            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["doc_id", *out])
+            body, offsets = tb.utf8(x.column(1))
+            for a, b in tb.chunks(offsets, PIECE_BYTES):
+                yield _scanned(x.slice(a, b - a), body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = written(rows.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base string, random {RANDOM_SQL}"), "secrets")
-    least = thresholds(found.select(F.inline("random")), rate)
-    cuts = F.array(*[F.lit(least[k]) for k in range(len(LENGTH_CLASSES))])
-    added = F.filter("random", lambda x: x["evidence"] >= F.element_at(cuts, x["length_class"] + 1))
+    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base string, random {RANDOM_SQL}, pairs {PAIRS_SQL}"
+    found = written(rows.mapInArrow(run, schema), "secrets")
+    pairs = np.zeros(int(_CELLS[-1]), np.int64)
+    for x in found.select(F.inline("pairs")).groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a cell for two symbols of an alphabet
+        pairs[x["cell"]] = x["n"]
+    tokens = found.select(F.inline("random"))
+    wanted = [(x["encoding"], x["length_class"]) for x in tokens.select("encoding", "length_class").distinct().orderBy("encoding", "length_class").collect()]
+    table = null_table(pairs, wanted)
+    null = F.broadcast(spark.createDataFrame(table, "encoding int, length_class int, bin int, evidence double"))
+    bin_ = F.floor(F.col("distance") / BIN_WIDTH).cast("int")
+    judged = tokens.withColumn("bin", bin_).join(null, ["encoding", "length_class", "bin"], "left").fillna(0.0, ["evidence"])
+    least = thresholds(judged.select("length_class", "evidence"), rate)
+    # -ln p falls with the distance: a threshold of one is a threshold of the other.
+    most = {(e, k): 0.0 for e in range(len(ENCODINGS)) for k in range(len(LENGTH_CLASSES))}
+    for e, k, b, evidence in table:
+        if evidence >= least[k]:
+            most[e, k] = max(most[e, k], (b + 1) * BIN_WIDTH)
+    cuts = F.array(*[F.lit(x) for x in most.values()])
+    added = F.filter("random", lambda x: x["distance"] < F.element_at(cuts, x["encoding"] * len(LENGTH_CLASSES) + x["length_class"] + 1))
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),
         lambda s: F.struct(
@@ -191,5 +261,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"), F.size(added).cast("long").alias("n_random"))
 
 
-RANDOM = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("length_class", pa.int32()), ("evidence", pa.float64())]))
-RANDOM_SQL = "array<struct<start:int,end:int,length_class:int,evidence:double>>"
+def _scanned(x: pa.RecordBatch, body: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    """The rows of a piece; the first one also has the piece's counts of ordinary pairs of symbols."""
+    out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "base", "random")}
+    ordinary = body.copy()
+    for i, text in enumerate(x.column(1)):
+        text = text.as_py() or ""
+        base = base_spans(text)
+        for k, name in enumerate(("n_assign", "n_access", "n_hex")):
+            out[name].append(sum(kind == k for _, kind, _ in base))
+        out["base"].append(said := joined(base))
+        out["base_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+        tokens, at, seen = [], int(offsets[i]), 0
+        for a, b, encoding, far in candidates(text):
+            tokens.append({"start": a, "end": b, "encoding": ENCODINGS.index(encoding), "length_class": length_class(b - a), "distance": far})
+            at, seen = at + len(text[seen:a].encode()), a
+            if far <= MOST_DISTANT:  # a token is ASCII
+                ordinary[at : at + b - a] = 0x20
+        out["random"].append(tokens)
+    counts = pair_counts(ordinary, offsets)
+    cells = np.flatnonzero(counts)
+    pairs = [[{"cell": int(c), "n": int(counts[c])} for c in cells]] + [[]] * (len(x) - 1)
+    kinds = {"n_assign": pa.int64(), "n_access": pa.int64(), "n_hex": pa.int64(), "base_sha256": pa.string(), "base": pa.string(), "random": RANDOM}
+    made = [*(pa.array(v, kinds[k]) for k, v in out.items()), pa.array(pairs, PAIRS)]
+    return pa.RecordBatch.from_arrays([x.column(0), *made], names=["doc_id", *out, "pairs"])
+
+
+RANDOM = pa.list_(
+    pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.int32()), ("length_class", pa.int32()), ("distance", pa.float64())])
+)
+RANDOM_SQL = "array<struct<start:int,end:int,encoding:int,length_class:int,distance:double>>"
+PAIRS = pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())]))
+PAIRS_SQL = "array<struct<cell:int,n:bigint>>"

@@ -1,67 +1,87 @@
 """A uniform shuffle of all rows into shards of exact size.
 
-The rows of input partition p that go to bucket b are counted before anything moves: the counts of all partitions and
-buckets form a matrix with fixed margins, drawn from the multivariate hypergeometric law that a uniformly random
+The rows of input partition p that go to shard s are counted before anything moves: the counts of all partitions and
+shards form a matrix with fixed margins, drawn from the multivariate hypergeometric law that a uniformly random
 arrangement would follow. Each partition permutes its rows and deals them out by its row of the matrix, rows are
-exchanged, and each bucket permutes again. The result is a uniformly random arrangement with exact shard sizes, in one
+exchanged, and each shard permutes again. The result is a uniformly random arrangement with exact shard sizes, in one
 exchange of narrow rows.
 
-No matrix is kept anywhere: it is defined by a tree over the partitions, each node of which splits what its buckets get
+No matrix is kept anywhere: it is defined by a tree over the partitions, each node of which splits what its shards get
 between its two halves with a generator seeded by the node. A task walks from the root to the partition it has, in
-O(buckets * log(partitions)), and every task finds the same matrix.
+O(shards * log(partitions)) draws, however many rows there are, and every task finds the same matrix.
+
+A shard is permuted by buckets that a task can hold: each row draws its bucket in the shard, uniformly and for itself,
+the buckets' sizes are counted, buckets lie one after the other, and each is permuted. That is the first digit of a sort
+by random keys, so that every arrangement of the shard is equally likely.
 """
 
 from __future__ import annotations
 
+import decimal
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisark.session import written
+from palisark.session import small_side, written
 
 SHARDS = 16
 #: Rows that a task permutes after the exchange, about.
 BUCKET_ROWS = 8192
 #: numpy draws hypergeometric counts from populations below this.
 NUMPY_LIMIT = 10**9
+_EXACT = decimal.Context(prec=50)
+_LOG_2PI = decimal.Decimal("1.83787706640934548356065947281123527972279494727556682563430308")
+
+
+def log_factorial(n: int) -> decimal.Decimal:
+    """ln n! to 30 digits after the point: by multiplication, or for larger n by Stirling's series."""
+    if n < 1000:
+        return _EXACT.ln(decimal.Decimal(math.factorial(n)))
+    x, c = decimal.Decimal(n), _EXACT
+    out = c.add(c.multiply(c.add(x, decimal.Decimal("0.5")), c.ln(x)), c.subtract(c.divide(_LOG_2PI, 2), x))
+    power = x
+    for numerator, denominator in ((1, 12), (-1, 360), (1, 1260), (-1, 1680), (1, 1188)):  # Bernoulli numbers
+        out = c.add(out, c.divide(decimal.Decimal(numerator), c.multiply(decimal.Decimal(denominator), power)))
+        power = c.multiply(power, c.multiply(x, x))
+    return out
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """Of ``sample`` draws without replacement, the number of good ones; any population."""
+    """Of ``sample`` draws without replacement, the number of good ones; any population.
+
+    Beyond numpy's populations: rejection under the envelope that every log-concave law has about its mode (Devroye),
+    with probabilities from factorials to 30 digits; about five tries, whatever the population.
+    """
     if good + bad < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, sample))
-    # Inversion outwards from the mode: the probabilities follow from a ratio, the first from log-gamma.
     least, most = max(0, sample - bad), min(good, sample)
+    if least == most:
+        return least
     mode = min(most, max(least, (sample + 1) * (good + 1) // (good + bad + 2)))
-    log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    at = math.exp(log(good, mode) + log(bad, sample - mode) - log(good + bad, sample))
-    u, up, down, p_up, p_down = rng.random() - at, mode, mode, at, at
-    while u > 0 and (up < most or down > least):
-        if up < most:
-            p_up *= (good - up) * (sample - up) / ((up + 1) * (bad - sample + up + 1))
-            up += 1
-            u -= p_up
-            if u <= 0:
-                return up
-        if down > least:
-            p_down *= down * (bad - sample + down) / ((good - down + 1) * (sample - down + 1))
-            down -= 1
-            u -= p_down
-            if u <= 0:
-                return down
-        if p_up < 1e-300 and p_down < 1e-300:
-            break
-    return mode
-
-
-def split(rng: np.random.Generator, buckets: np.ndarray, sample: int) -> np.ndarray:
-    """How many of ``sample`` random places lie in each bucket (multivariate hypergeometric)."""
-    out, rest = np.zeros(len(buckets), np.int64), int(buckets.sum())
-    for b, size in enumerate(map(int, buckets)):
+    terms = lambda k: sum((log_factorial(x) for x in (k, good - k, sample - k, bad - sample + k)), decimal.Decimal(0))
+    with decimal.localcontext(_EXACT):
+        at_mode = terms(mode)
+        whole = sum(map(log_factorial, (good, bad, sample, good + bad - sample))) - log_factorial(good + bad)
+        peak = math.exp(whole - at_mode)
+        width = 1 + peak / 2
+        while True:
+            if rng.random() <= width / (1 + width):
+                y = rng.random() * width / peak
+            else:
+                y = (width + rng.exponential()) / peak
+            k = mode + round(y) * (1 if rng.random() < 0.5 else -1)
+            if least <= k <= most and rng.random() * min(1.0, math.exp(width - peak * y)) <= math.exp(at_mode - terms(k)):
+                return k
+
+
+def split(rng: np.random.Generator, shards: np.ndarray, sample: int) -> np.ndarray:
+    """How many of ``sample`` random places lie in each shard (multivariate hypergeometric)."""
+    out, rest = np.zeros(len(shards), np.int64), int(shards.sum())
+    for b, size in enumerate(map(int, shards)):
         rest -= size
         if sample:
             out[b] = hypergeometric(rng, size, rest, sample)
@@ -69,10 +89,10 @@ def split(rng: np.random.Generator, buckets: np.ndarray, sample: int) -> np.ndar
     return out
 
 
-def matrix_row(counts: np.ndarray, buckets: np.ndarray, p: int, seed: int) -> np.ndarray:
-    """Row p of the communication matrix for partitions of ``counts`` rows and buckets of the given sizes."""
+def matrix_row(counts: np.ndarray, shards: np.ndarray, p: int, seed: int) -> np.ndarray:
+    """Row p of the communication matrix for partitions of ``counts`` rows and shards of the given sizes."""
     before = np.concatenate([[0], np.cumsum(counts)])
-    lo, hi, own = 0, len(counts), np.asarray(buckets, np.int64)
+    lo, hi, own = 0, len(counts), np.asarray(shards, np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
         rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, lo, hi])))
@@ -94,8 +114,8 @@ def assign(
 
     Shard sizes are at most one apart, slots gapless from 0. Size: UTF-8 bytes of the text plus 1; a null text has none.
     Repeated rows and ids are rows of their own; null ids are carried. An empty table gives an empty result. Equal texts
-    aren't kept together: the law is that of the row counts. The arrangement is fixed once the narrow rows are written,
-    so a lost executor's tasks come out as before.
+    aren't kept together: the law is that of the row counts. Further columns, whatever their names, play no part. The
+    arrangement is fixed once the narrow rows are written, so a lost executor's tasks come out as before.
     """
     spark = docs.sparkSession
     text = F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8")
@@ -115,32 +135,36 @@ def assign(
     total = int(counts.sum())
     sizes = even(total, shards)
     per_shard = max(1, -(-total // (shards * bucket_rows)))
-    buckets = np.concatenate([even(int(s), per_shard) for s in sizes])
-    first_slot = np.concatenate([np.concatenate([[0], np.cumsum(even(int(s), per_shard))[:-1]]) for s in sizes])
-    shared = spark.sparkContext.broadcast((runs, counts, buckets))
+    shared = spark.sparkContext.broadcast((runs, counts, sizes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, counts, buckets = shared.value
-        local: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        runs, counts, sizes = shared.value
+        local: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for x in batches:
             row_no = x.column("row_no").to_numpy()
             run = row_no >> 33
-            bucket = np.empty(len(row_no), np.int32)
+            shard, bucket = np.empty(len(row_no), np.int32), np.empty(len(row_no), np.int64)
             for r in np.unique(run):
                 if r not in local:
                     p = runs[int(r)]
                     rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, p, 1])))
-                    local[r] = (rng.permutation(int(counts[p])), np.cumsum(matrix_row(counts, buckets, p, seed)))
-                places, cuts = local[r]
+                    places = rng.permutation(int(counts[p]))
+                    local[r] = places, rng.integers(0, per_shard, len(places)), np.cumsum(matrix_row(counts, sizes, p, seed))
+                places, drawn, cuts = local[r]
                 mine = run == r
-                bucket[mine] = np.searchsorted(cuts, places[row_no[mine] & ((1 << 33) - 1)], "right")
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(bucket)], names=[*x.schema.names, "bucket"])
+                at = row_no[mine] & ((1 << 33) - 1)
+                shard[mine] = np.searchsorted(cuts, places[at], "right")
+                bucket[mine] = drawn[at]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(shard), pa.array(bucket)], names=[*x.schema.names, "shard", "bucket"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    dealt = rows.mapInArrow(deal, f"row_no long, doc_id {id_type}, size long, text_crc32 long, bucket int")
-    shuffled = dealt.groupBy("bucket").applyInArrow(
-        _second_permutation(seed, first_slot, per_shard),
-        f"doc_id {id_type}, size long, text_crc32 long, shard int, slot long",
+    dealt = rows.mapInArrow(deal, f"row_no long, doc_id {id_type}, size long, text_crc32 long, shard int, bucket long")
+    dealt = written(dealt, "dealt")
+    held = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
+    starts = small_side(held.select("shard", "bucket", before.alias("first_slot")), "buckets")
+    shuffled = dealt.join(starts, ["shard", "bucket"]).groupBy("shard", "bucket").applyInArrow(
+        _second_permutation(seed), f"doc_id {id_type}, size long, text_crc32 long, shard int, slot long"
     )
     return shuffled.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -148,13 +172,12 @@ def assign(
     )
 
 
-def _second_permutation(seed: int, first_slot: np.ndarray, per_shard: int):
+def _second_permutation(seed: int):
     def permute(x: pa.Table) -> pa.Table:
         x = x.sort_by("row_no")  # rows arrive in no fixed order
-        b = x.column("bucket")[0].as_py()
-        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, b, 2])))
-        slot = int(first_slot[b]) + rng.permutation(len(x))
-        shard = np.full(len(x), b // per_shard, np.int32)
-        return x.select(["doc_id", "size", "text_crc32"]).append_column("shard", pa.array(shard)).append_column("slot", pa.array(slot))
+        shard, bucket = x.column("shard")[0].as_py(), x.column("bucket")[0].as_py()
+        rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, shard, bucket, 2])))
+        slot = x.column("first_slot")[0].as_py() + rng.permutation(len(x))
+        return x.select(["doc_id", "size", "text_crc32", "shard"]).append_column("slot", pa.array(slot, pa.int64()))
 
     return permute

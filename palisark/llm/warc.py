@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palisark.session import shared_path, written
@@ -32,6 +32,8 @@ DATE = "2020-01-01T00:00:00Z"
 #: Records whose payload has at least so many bytes may be revisits.
 MIN_REVISIT_BYTES = 0
 MAX_RECORDS_PER_FILE = 4096
+#: Payload bytes of a file at most (one record may be larger): a file is read back by one task.
+MAX_FILE_BYTES = 256 << 20
 #: A map of repeated payloads of up to this many rows (40 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
 _LAST_BYTE = b"\x00"
@@ -75,14 +77,16 @@ def write(pages: DataFrame, path: str, compressed: bool = True, min_revisit_byte
 
     Of rows with equal payloads the one with the largest page_id is the response, the others revisit it; rows that
     repeat it with the same page_id are responses too. A null html is an empty payload; a null page_id is smaller than
-    any. Payloads are compared by SHA-1 and length. Texts are only shuffled if the map of repeated payloads is too large
+    any. No file has more than MAX_RECORDS_PER_FILE records or, by the largest payload, MAX_FILE_BYTES of payload, but for a
+    single record that is larger. Payloads are compared by SHA-1 and length. Texts are only shuffled if the map of repeated payloads is too large
     to broadcast; its join is then on the payload's digest, and a hot one is split by adaptive execution.
     """
     html = F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
+    largest = Observation()
     repeated = written(
-        rows.where(F.col("n_bytes") >= min_revisit_bytes)
+        rows.observe(largest, F.max("n_bytes").alias("n_bytes")).where(F.col("n_bytes") >= min_revisit_bytes)
         .groupBy("sha1", "n_bytes")
         .agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
         .where("n > 1")
@@ -113,8 +117,9 @@ def write(pages: DataFrame, path: str, compressed: bool = True, min_revisit_byte
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
 
     lines = rows.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
+    records = max(1, min(MAX_RECORDS_PER_FILE, MAX_FILE_BYTES // max(1, largest.get["n_bytes"] or 0)))
     separator = _LAST_BYTE.decode() if compressed else "\r\n\r\n"
-    lines.write.option("lineSep", separator).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).option("compression", "none").text(path)
+    lines.write.option("lineSep", separator).option("maxRecordsPerFile", records).option("compression", "none").text(path)
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
