@@ -279,7 +279,7 @@ def _judged(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     comps = written(_joined(comps, linked(by_rare_shingles(apart, sets, reps, percent))), "components")
     placed = reps.select("cid", "k1", "k2", "n", "min_doc").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     placed = written(placed, "placed")
-    lowest = placed.groupBy("comp").agg(F.min("min_doc").alias("component_id"))
+    lowest = small_side(placed.groupBy("comp").agg(F.min("min_doc").alias("component_id")), "lowest")  # written: a large component's rows can be split
     named = placed.join(lowest, "comp").select("k1", "k2", "n", "component_id")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     rows = found.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")

@@ -5,7 +5,7 @@ Candidates of the battery are long tokens of an encoding's alphabet with letters
 uniformity, a runs test about the alphabet's middle, and a serial-correlation test. Fisher's sum of the three p-values is
 a token's distance from randomness. A token that is further away than one random string in a thousand is none.
 
-How often an ordinary string comes as close is learnt from the data: all text but the candidates that may be random
+How often an ordinary string comes as close is learnt from the data: all text but the long candidates that may be random
 gives, for each alphabet, how often each symbol follows each other one. Strings drawn from these counts, of the least
 length of each class of length, go through the same battery, and their distances are the null law. So a p-value falls
 with length, and short tokens can't win by luck.
@@ -52,11 +52,14 @@ LENGTH_CLASSES = (16, 20, 24, 32, 40, 64)
 FALSE_DISCOVERIES = 0.05
 #: What one random string in a thousand exceeds: half the quantile of chi-squared with six degrees of freedom.
 MOST_DISTANT = 11.23
+#: From this length on hardly any ordinary string is as near as MOST_DISTANT: a shorter one that is counts as ordinary text
+#: for the null law, because leaving it out would make ordinary strings seem further away than they are.
+TELLING_LENGTH = 32
 #: Strings of the null law for an alphabet and a class of length.
 DRAWN = 20_000
 BINS = 2000
 BIN_WIDTH = 0.05  # of -ln p, and of distances
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: The number of a byte in each alphabet; 255: not in it. The first cell of each alphabet's pairs of symbols.
 _CODES = np.full((len(ENCODINGS), 256), 255, np.uint8)
 for _e, _chars in enumerate(ALPHABETS.values()):
@@ -276,7 +279,7 @@ def _scanned(x: pa.RecordBatch, body: np.ndarray, offsets: np.ndarray) -> pa.Rec
         for a, b, encoding, far in candidates(text):
             tokens.append({"start": a, "end": b, "encoding": ENCODINGS.index(encoding), "length_class": length_class(b - a), "distance": far})
             at, seen = at + len(text[seen:a].encode()), a
-            if far <= MOST_DISTANT:  # a token is ASCII
+            if far <= MOST_DISTANT and b - a >= TELLING_LENGTH:  # a token is ASCII
                 ordinary[at : at + b - a] = 0x20
         out["random"].append(tokens)
     counts = pair_counts(ordinary, offsets)

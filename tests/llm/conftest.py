@@ -31,3 +31,11 @@ def odd_texts():
         None, "", " \t\n", long, long + " end", "same words here " * 4, "same words here " * 4, "same  words\there " * 4, "Été à l'école — naïve ☃ 漢字かな交じり文 🎈👩‍👩‍👧",
         "x", "I'll we've DON'T 'tis    nbsp　wide", "\x00\x01\x1f\x7f", "12345 67.89 1,000", "a" * 5000, "\r\n\r\n\x0b\x0c", None, "",
     ]
+
+
+def thue_morse(k: int, letters: str = "ab") -> str:
+    """2**k letters; with those of swapped letters it collides under any polynomial hash modulo 2**64, from k = 11 on."""
+    out = letters[0]
+    for _ in range(k):
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out

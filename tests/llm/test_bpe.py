@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from tokenizers import Tokenizer
 from palisark.llm import bpe
 from palisark.llm import textbytes as tb
 
+from .conftest import thue_morse
+
 PATH = bpe.default_vocabulary()
 LIBRARY = Tokenizer.from_file(PATH)
 LIBRARY.no_truncation()
@@ -67,3 +70,34 @@ def test_encode_decode_columns(make_docs, odd_texts):
 def test_empty_table(make_docs):
     assert bpe.digests(make_docs([])).collect() == []
     assert bpe.encode(make_docs([])).collect() == []
+
+
+def test_colliding_words_stay_apart():
+    a, b = thue_morse(11), thue_morse(11, "ba")
+    texts = [f"x {a} {b}", b, a, f"{b}{a}"]
+    assert ours(texts) == [library(t) for t in texts]
+
+
+def test_distinct_compares_bytes():
+    """Also under a hash that tells nothing of what stands behind the first eight bytes."""
+    words = ["same-beginning-one", "same-beginning-two", "short", "same-beginning-one", "same-beginning", "short"]
+    body = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = np.concatenate([[0], end[:-1]])
+
+    def weak(body, start, end):
+        return np.array([int.from_bytes(body[a : min(b, a + 8)].tobytes().ljust(8, b"\0"), "big") + 0 * b for a, b in zip(start, end)], np.uint64)
+
+    for hashes in (tb.word_hash, weak):
+        first, which = bpe.distinct(body, start, end, hashes)
+        assert [words[first[k]] for k in which] == words and len(first) == 4
+
+
+def test_columns_that_are_there_are_refused(make_docs):
+    docs = make_docs(["a b", "a b"], ids=[1, 1])
+    assert bpe.digests(docs).count() == 2
+    encoded = bpe.encode(docs)
+    assert encoded.count() == 2
+    for call in (lambda: bpe.encode(encoded), lambda: bpe.decode(docs.withColumn("ids", F.array(F.lit(1))), text_col="text")):
+        with pytest.raises(ValueError, match="already"):
+            call()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisark.llm import decontamination as dc
 
-from .conftest import prose
+from .conftest import prose, thue_morse
 
 ITEMS = [
     (1, "A train leaves the station at 60 km per hour and arrives in 3 hours, how far did Alice travel with it?"),
@@ -146,3 +146,55 @@ def test_every_item_of_a_document_has_its_row(make_docs, spark, rows, block_wind
     found = dc.leaks(docs, benchmark, block_windows=block_windows)
     assert rows(found, "doc_id", "item_id", "coverage") == sorted([(d, i, 1.0) for d in (0, 1) for i in (1, 2, 3, None)] + [(2, 3, 1.0)], key=repr)
     assert dc.clean(docs, benchmark, block_windows=block_windows).count() == 0
+
+
+def test_colliding_words_are_no_leak(make_docs, spark):
+    a, b = thue_morse(11), thue_morse(11, "ba")
+    benchmark = spark.createDataFrame([(1, f"what is {a} then")], "item_id long, text string")
+    assert [r.doc_id for r in dc.leaks(make_docs([f"what is {b} then", f"so what is {a} then"]), benchmark).collect()] == [1]
+
+
+def test_names_that_open_sentences(make_docs, spark):
+    item = "Tom has 14 red marbles in a bag. Tom gives 5 of the marbles to his sister Ann. How many marbles does he have left?"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    changed = item.replace("Tom", "Jamal").replace("Ann", "Rosa").replace("14", "33").replace(" 5 ", " 12 ")
+    mixed = changed.replace("Jamal", "Otto", 1)  # two names for one: the values don't map
+    found = {r.doc_id: (r.kind, r.consistency) for r in dc.leaks(make_docs([around(changed), around(mixed, 2)]), benchmark).collect()}
+    assert found[0] == ("re-parameterised", 1.0)
+    assert 1 not in found or found[1][1] < 1
+
+
+def word_problems(rng, n):
+    """Questions of their own making, and for each one a variant with other names, numbers and units."""
+    names, units = "Alma Bert Cora Dave Ella Finn Gina Hugo Iris Jack Kara Liam".split(), ["km", "kg", "hours", "minutes", "dollars", "miles"]
+    things = "apples books chairs tickets stones boxes lamps coins cards bottles".split()
+    verbs = "buys sells finds carries counts paints repairs collects borrows returns".split()
+    places = "market harbour library garden station museum bakery workshop".split()
+    out = []
+    for k in range(n):
+        a, b = rng.sample(names, 2)
+        t, v, w, p, u = rng.choice(things), rng.choice(verbs), rng.choice(verbs), rng.choice(places), rng.choice(units)
+        tail = " ".join(rng.choice(places + things + verbs) for _ in range(5))
+        make = lambda a, b, x, y, u: f"{a} {v} {x} {t} at the {p} near the {tail} and then {b} {w} {y} of them within {x} {u}. How many {t} does {a} have after that day in the {p}?"
+        x, y = rng.randrange(10, 90), rng.randrange(2, 9)
+        c, d = rng.sample([n for n in names if n not in (a, b)], 2)
+        out.append((make(a, b, x, y, u), make(c, d, x + 100, y + 20, rng.choice([z for z in units if z != u]))))
+    return out
+
+
+def test_recall_of_reparameterised_questions(make_docs, spark):
+    problems = word_problems(random.Random(9), 60)
+    benchmark = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(problems)], "item_id long, text string")
+    texts = [around(v, i) for i, (_, v) in enumerate(problems)] + [around("", 100 + i) for i in range(60)]
+    found = {(r.doc_id, r.item_id) for r in dc.leaks(make_docs(texts), benchmark).collect()}
+    assert sum((i, i) in found for i in range(60)) >= 54
+    assert not {d for d, _ in found} & set(range(60, 120))
+
+
+def test_repeated_rows_ties_and_names_that_clash(make_docs, spark):
+    text = ITEMS[1][1]
+    benchmark = spark.createDataFrame([(1, text), (2, text), (2, text)], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    docs = make_docs([text, text, None], ids=[7, 7, 7]).withColumn("coverage", F.lit("x")).withColumn("at", F.lit(1))
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in dc.leaks(docs, benchmark).collect()) == [(7, 1, 1.0)] * 2 + [(7, 2, 1.0)] * 2
+    assert [r.text for r in dc.clean(docs, benchmark).collect()] == [None]
+    assert dc.leaks(make_docs([]), benchmark).count() == 0

@@ -56,3 +56,16 @@ def test_deduplicated_keeps_first(make_docs, rows, odd_texts):
     kept = {r[0] for r in expected(list(enumerate(odd_texts))) if r[3]}
     out = exact_dedup.deduplicated(make_docs(odd_texts))
     assert {r.doc_id for r in out.collect()} == kept
+
+
+def test_hot_texts_and_names_that_clash(make_docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_COPIES", 5)
+    texts = ["hot"] * 40 + ["warm"] * 4 + ["b", "c "]
+    docs = make_docs(texts)
+    for name in ("__digest", "__id", "__sha", "__stays", "id", "sha", "stays", "_id", "text_sha256"):
+        docs = docs.withColumn(name, F.lit("kept as it is"))
+    assert sorted(rows(exact_dedup.groups(docs, fan_in=3))) == expected(list(enumerate(texts)))
+    out = exact_dedup.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert {r.doc_id for r in out.collect()} == {0, 40, 44, 45}
+    assert out.where("`__digest` <> 'kept as it is' or `_id` <> 'kept as it is'").count() == 0

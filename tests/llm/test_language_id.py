@@ -96,3 +96,62 @@ def test_blocks_of_languages_give_the_same(many, rows):
     whole = rows(language_id.predict(many, model, block_languages=80))
     assert rows(language_id.predict(many, model, block_languages=7)) == whole
     assert rows(language_id.predict(many, model, block_languages=1)) == whole
+
+
+def brute_sizes(model, text):
+    import re
+
+    import zstandard
+
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    said = [w for i, w in enumerate(found) if i == 0 or w != found[i - 1]]
+    joined = " ".join(said)
+    out = []
+    for d in model.dictionaries:
+        data = zstandard.ZstdCompressionDict(d.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        encode = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=data, write_content_size=False).compress
+        out.append(sum(len(encode(joined[i : i + language_id.BLOCK_CHARS].encode())) for i in range(0, len(joined), language_id.BLOCK_CHARS)))
+    return out
+
+
+def test_equals_brute_force(docs, make_docs):
+    """Every text against every dictionary, plainly; also long texts, ties, repeated rows and columns that clash."""
+    model = language_id.fit(docs)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(LEXICON[x]) for _ in range(n)) for x in LEXICON for n in (1, 3, 40, 4000)] + ["zz qq", "a", "1 2 drei"] * 2
+    odd = make_docs(texts, ids=[k // 2 for k in range(len(texts))]).withColumn("found", F.lit(1)).withColumn("lang_pred", F.lit("x")).withColumn("phrase", F.lit("y"))
+    got = sorted((r.doc_id, r.lang_pred, round(r.margin, 12)) for r in language_id.predict(odd, model).collect())
+    want = []
+    for k, t in enumerate(texts):
+        sizes = brute_sizes(model, t)
+        first, second = sorted(sizes)[:2]
+        want.append((k // 2, model.languages[sizes.index(first)], round((second - first) / second, 12)))
+    assert got == sorted(want)
+
+
+def test_dictionary_is_that_of_whole_texts(spark):
+    """Phrases of every part of a long text count, most frequent last, cut between phrases."""
+    text = " ".join(f"wort{i % 97:02x}z" for i in range(6000)) + " ganz am ende " * 50
+    docs = spark.createDataFrame([(0, text, "xx", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    learnt = language_id.fit(docs).dictionaries[0].decode()
+    count = language_id.phrases(text)
+    ranked = sorted(count, key=lambda p: (-count[p], p))
+    assert learnt == language_id.dictionary(ranked).decode() and "ganz am ende" in learnt and learnt.endswith(ranked[0])
+
+
+def test_repeated_ids_give_one_model(spark):
+    rows = [(1, f"text number {i} of this id", "en", "s", 1) for i in range(20)] + [(2, "der zweite text", "de", "s", 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert language_id.fit(docs.repartition(7)) == language_id.fit(docs.orderBy("text").coalesce(1))
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = language_id.predict(docs, language_id.fit(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'")
+    right = [r.lang == r.lang_pred for r in found.collect()]
+    assert sum(right) >= 0.98 * len(right) > 100

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palisark.llm import near_dedup as nd
 from palisark.llm import textbytes as tb
 
-from .conftest import prose
+from .conftest import prose, thue_morse
 
 
 def shingle_set(text, width):
@@ -104,3 +104,64 @@ def test_shingles_are_exact():
     _, count = nd.shingles(body, np.array([0, len(body)]), 2)
     assert count.tolist() == [len(shingle_set(body.tobytes().decode(), 2))]
     assert tb.SPACE[0x0B] and not tb.SPACE[0x1C]
+
+
+def test_colliding_words_are_no_copies(make_docs, rows):
+    a, b = thue_morse(11), thue_morse(11, "ba")
+    texts = [a, b, f"{a} x", f"{b} x", a]
+    assert sorted(rows(nd.find(make_docs(texts), width=2))) == brute(list(enumerate(texts)), 2)
+
+
+def near_threshold(seed, sets=60):
+    """Pairs whose similarity is just at or just under 0.8, by the number of words that differ."""
+    rng = random.Random(seed)
+    texts = []
+    for k in range(sets):
+        words = [f"w{k}x{i}" for i in range(rng.randrange(60, 260))]
+        texts.append(" ".join(words))
+        n = len(words) - 1
+        spoilt = round(n / 9 / 2) + rng.randrange(-1, 2)  # each changed word costs two shingles of two words on either side
+        for i in rng.sample(range(2, len(words) - 2, 3), spoilt):
+            words[i] = f"new{k}x{i}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_recall_near_the_threshold(make_docs, rows):
+    texts = near_threshold(5)
+    found, expected = sorted(rows(nd.find(make_docs(texts), width=2))), brute(list(enumerate(texts)), 2)
+    assert found == expected
+    assert 20 <= sum(not kept for *_, kept in expected) <= 100
+
+
+def test_boilerplate_and_near_copies_in_one_bucket(make_docs, rows):
+    """Groups that only rare shingles tell apart, among them pairs of near copies that no leader has met."""
+    rng = random.Random(11)
+    base = prose(rng, 80)
+    texts = []
+    for i in range(70):
+        own = " ".join(f"own{i}x{j}" for j in range(25 + i % 9))
+        texts.append(f"{base} {own}")
+        if i % 5 == 0:
+            texts.append(f"{base} {own} end")
+    assert sorted(rows(nd.find(make_docs(texts), width=2))) == brute(list(enumerate(texts)), 2)
+
+
+def test_whole_sketch_never_excludes_a_pair_at_the_threshold():
+    rng = np.random.default_rng(8)
+    for n in (5, 50, 400, 3000):
+        shared, own = 8 * n, n
+        pool = rng.integers(0, 2**64, shared + 2 * own, dtype=np.uint64)
+        a, b = np.concatenate([pool[:shared], pool[shared : shared + own]]), np.concatenate([pool[:shared], pool[shared + own :]])
+        sketch = nd.whole_sketch(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert int(np.bitwise_count(sketch[0] ^ sketch[1]).sum()) * 180 <= (len(a) + len(b)) * 20
+
+
+def test_one_id_with_different_texts_and_clashing_columns(make_docs):
+    base = " ".join(f"w{i}" for i in range(60))
+    docs = make_docs([base, f"{base} end", "something else than that", "something else than that"], ids=[1, 2, 2, 2])
+    docs = docs.withColumn("text_hash", F.lit(1)).withColumn("gone", F.lit("x")).withColumn("cid", F.lit(2)).withColumn("component_id", F.lit(None).cast("long"))
+    out = nd.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:4]) for r in out.collect()) == [(1, "w0 w"), (2, "some"), (2, "some")]
+    assert nd.find(docs).count() == 4

@@ -70,3 +70,29 @@ def test_identity_equals_all_pairs():
         n, x = number[own], value[own].astype(float)
         pairs = sum(float(machine.factors[n[i]].astype(float) @ machine.factors[n[j]]) * x[i] * x[j] for i, j in itertools.combinations(range(len(n)), 2))
         assert got == pytest.approx(machine.bias + float(machine.weights[n] @ x) + pairs, rel=1e-4, abs=1e-4)
+
+
+def test_repeated_rows_and_long_texts(labelled):
+    """A text has a bounded number of features, however long; repeated rows and clashing names change nothing."""
+    docs, labels = labelled
+    long = " ".join(f"w{i}" for i in range(120_000))
+    more = docs.limit(3).union(docs.limit(3)).union(docs.sparkSession.createDataFrame([(9001, long, "en", "s", len(long))], docs.schema))
+    machine = quality.fit(docs.union(more), labels.union(labels.sparkSession.createDataFrame([(9001, 1, 0)], labels.schema)))
+    found = quality.score(more.withColumn("score", F.lit("x")).withColumn("number", F.lit(1)), machine).collect()
+    assert len(found) == 7 and len({(r.doc_id, r.score) for r in found}) == 4
+    number, value, at = next(quality.features(pa.array([long]), np.array([len(long)])))
+    assert len(number) <= quality.WORD_BUCKETS + len(quality.STATISTICS) + 1 and len(set(number.tolist())) == len(number)
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """On the provided tables: rows that weren't learnt from, by their labels."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = quality.score(docs, quality.fit(docs, labels)).where("held_out").join(labels, "doc_id").select("quality", "predicted", "score").collect()
+    good, bad = [r.score for r in found if r.quality == 1], [r.score for r in found if r.quality == 0]
+    assert sum(r.quality == r.predicted for r in found) >= 0.95 * len(found)
+    assert sum(g > b for g in good for b in bad) >= 0.97 * len(good) * len(bad)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -85,3 +86,85 @@ def test_empty_table_and_null_ids(make_docs):
     assert ss.scan(make_docs([])).collect() == []
     found = ss.scan(make_docs([None, None, "token=abcdef1"], ids=[None, 1, 1])).collect()
     assert sorted((r.n_assign, r.spans) for r in found) == [(0, ""), (0, ""), (1, "assign:0:13")]
+
+
+def plain_battery(token, encoding):
+    """The three tests as their textbooks have them, symbol by symbol."""
+    alphabet = ss.ALPHABETS[encoding]
+    x, n, size = [alphabet.index(c) for c in token.rstrip("=")], len(token.rstrip("=")), len(alphabet)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    pairs = n * (n - 1) / 2
+    matches = sum(x[i] == x[j] for i in range(n) for j in range(i))
+    uniform = tail((matches - pairs / size) / math.sqrt(pairs / size * (1 - 1 / size)))
+    above = [v >= size / 2 for v in x]
+    n1 = sum(above)
+    n0 = n - n1
+    if n0 and n1:
+        runs = 1 + sum(a != b for a, b in zip(above, above[1:]))
+        mean = 2 * n0 * n1 / n + 1
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        run_p = min(1, 2 * tail(max(0, abs(runs - mean) - 0.5) / math.sqrt(var))) if var > 0 else 1
+    else:
+        run_p = 2.0 ** (1 - n)
+    m = sum(x) / n
+    total = sum((v - m) ** 2 for v in x)
+    serial = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / total if total else 1
+    serial_p = min(1, 2 * tail(abs(serial + 1 / n) * math.sqrt(n)))
+    return [max(p, 1e-300) for p in (uniform, run_p, serial_p)]
+
+
+def test_battery_equals_the_plain_version():
+    rng = random.Random(3)
+    for name, alphabet in ss.ALPHABETS.items():
+        for n in (16, 17, 40, 90):
+            for pool in (alphabet, alphabet[:3], alphabet[-2:], alphabet[:1]):
+                token = "".join(rng.choice(pool) for _ in range(n))
+                got, want = ss.battery(token, name), plain_battery(token, name)
+                assert np.allclose(got[1:], want, rtol=1e-9) and math.isclose(got[0], -sum(map(math.log, want)), rel_tol=1e-9)
+
+
+def test_pair_counts_equal_brute_force(make_docs):
+    import pyarrow as pa
+
+    from palisark.llm import textbytes as tb
+
+    texts = ["ab 0f", None, "", "f é Zz+/", "a", "bb"]
+    got = ss.pair_counts(*tb.utf8(pa.array(texts)))
+    want = np.zeros(len(got), int)
+    for t in texts:
+        for e, alphabet in enumerate(ss.ALPHABETS.values()):
+            kept = [alphabet.index(c) for c in t or "" if c in alphabet]
+            for a, b in zip(kept, kept[1:]):
+                want[ss._CELLS[e] + a * len(alphabet) + b] += 1
+    assert got.tolist() == want.tolist()
+
+
+def identifier(rng, words):
+    return "".join(w.capitalize() for w in rng.choices(words, k=4))[: rng.randrange(18, 60)] + str(rng.randrange(100))
+
+
+def test_planted_keys_among_identifiers(make_docs):
+    """Random keys of 20 to 64 symbols are found, and few ordinary identifiers of those lengths are."""
+    rng = random.Random(12)
+    words = "customer invoice account manager network service update request session handler register payment widget profile search".split()
+    alphabet = string.ascii_letters + string.digits
+    keys = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 65))) for _ in range(150)]
+    keys = [k for k in keys if any(c.isdigit() for c in k)]
+    plain = [identifier(rng, words) for _ in range(450)]
+    plain = [p for p in plain if len(p) >= 20]
+    prose = lambda: " ".join(rng.choices(words, k=30))
+    texts = [f"{prose()} {x} {prose()}" for x in keys + plain]
+    found = {r.doc_id: r.n_random for r in ss.scan(make_docs(texts)).collect()}
+    hits, wrong = sum(found[i] for i in range(len(keys))), sum(found[i] for i in range(len(keys), len(texts)))
+    assert hits >= 0.9 * len(keys)
+    assert wrong <= 0.1 * (hits + wrong)
+
+
+def test_spans_do_not_depend_on_partitions_and_rows_may_repeat(make_docs, rows):
+    rng = random.Random(1)
+    texts = [f"word {''.join(rng.choice(string.ascii_letters + string.digits) for _ in range(40))} text of words" for _ in range(30)] * 2
+    one = rows(ss.scan(make_docs(texts, parts=1)))
+    docs = make_docs(texts, parts=7)
+    for name in ("pairs", "spans", "bin", "evidence", "encoding"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert rows(ss.scan(docs)) == one and len(one) == 60

@@ -79,3 +79,55 @@ def test_places_are_uniform(make_docs):
         landed.update(r.shard for r in sharding.assign(docs, shards=4, seed=seed).where("doc_id < 16").collect())
     chi = sum((landed[k] - 48) ** 2 / 48 for k in range(4))
     assert chi < 16.3  # 0.1 % at 3 degrees of freedom
+
+
+@pytest.mark.parametrize(("good", "bad", "sample"), [(10**12 // 16, 10**12 * 15 // 16, 819_200), (7, 10**12, 10**11), (10**12, 10**12, 10**12), (5, 10**10, 10**10 + 5)])
+def test_draws_at_any_population(good, bad, sample):
+    """Mean and variance against the law's, and no time that grows with the population."""
+    rng = np.random.default_rng(3)
+    drawn = np.array([sharding.hypergeometric(rng, good, bad, sample) for _ in range(300)], float)
+    n = good + bad
+    mean = sample * (good / n)
+    variance = mean * (bad / n) * ((n - sample) / (n - 1))
+    assert abs(drawn.mean() - mean) <= 5 * (variance / 300) ** 0.5
+    assert variance == 0 or 0.6 < drawn.var() / variance < 1.5
+
+
+def test_large_draws_follow_the_exact_law(monkeypatch):
+    """The sampler for large populations on a small one, against the exact probabilities: chi-squared."""
+    from math import comb
+
+    monkeypatch.setattr(sharding, "NUMPY_LIMIT", 0)
+    rng = np.random.default_rng(4)
+    good, bad, sample = 12, 20, 9
+    drawn = Counter(sharding.hypergeometric(rng, good, bad, sample) for _ in range(3000))
+    p = {k: comb(good, k) * comb(bad, sample - k) / comb(good + bad, sample) for k in range(sample + 1)}
+    cells = [k for k in p if p[k] * 3000 >= 5]
+    assert sum((drawn[k] - 3000 * p[k]) ** 2 / (3000 * p[k]) for k in cells) < 25  # 0.1 % at 7 degrees of freedom
+
+
+def test_log_factorial():
+    from math import factorial, lgamma
+
+    for n in (0, 1, 999, 1000, 5000):
+        exact = sharding._EXACT.ln(sharding.decimal.Decimal(factorial(n)))
+        assert abs(sharding.log_factorial(n) - exact) < sharding.decimal.Decimal("1e-25")
+    assert abs(float(sharding.log_factorial(10**12)) / lgamma(10**12 + 1) - 1) < 1e-14
+
+
+def test_work_of_a_task_does_not_grow_with_the_rows(monkeypatch):
+    calls = []
+    draw = sharding.hypergeometric
+    monkeypatch.setattr(sharding, "hypergeometric", lambda *a: calls.append(1) or draw(*a))
+    for partitions, rows in ((16, 10**3), (1600, 10**7)):
+        calls.clear()
+        counts = np.full(partitions, rows, np.int64)
+        row = sharding.matrix_row(counts, sharding.even(int(counts.sum()), 16), 5, 1)
+        assert row.sum() == rows and len(calls) <= 16 * (partitions.bit_length() + 1)
+
+
+def test_names_that_clash(make_docs):
+    docs = make_docs(["a", "b"])
+    for name in ("shard", "slot", "first_slot", "n", "size", "law"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert sharding.assign(docs).count() == 2

@@ -138,3 +138,11 @@ def test_salvage_inside_a_member_of_several_records():
         crc[-6] ^= 1
         assert ids(bytes(crc) + members[4]) == ["0", "1", "2", "3", None, "4"]
         assert ids(bytes(crc) + whole + members[0]) == ["0", "1", "2", "3", None, "0", "1", "2", "3", "0"]
+
+
+def test_files_are_bounded_by_bytes(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_FILE_BYTES", 600_000)
+    path = shared_path(spark, "bounded")
+    warc.write(spark.createDataFrame(pages, PAGE).coalesce(1), path)
+    assert spark.read.format("binaryFile").load(path).count() >= len(pages) // 2
+    assert warc.read(spark, path).where("not gap").count() == len(pages)
