@@ -60,6 +60,36 @@ def escape_markdown(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
 
 
+def technique_text(ids: Column) -> Column:
+    """Technique ids with their names, an unknown one as it is; '-' for none."""
+    names = dims.literal_map(dims.TECHNIQUE_NAMES)
+    told = F.transform(ids, lambda t: F.coalesce(F.concat(t, F.lit(": "), F.try_element_at(names, t)), t))
+    return F.when(F.size(told) > 0, F.array_join(told, ", ")).otherwise("-")
+
+
+def _cut(text: Column, n: int) -> Column:
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(n - 3)), F.lit("...")))
+
+
+def sarif_results(threats: DataFrame) -> DataFrame:
+    """SARIF results as JSON lines, made where the threats are; ``sarif_rules`` numbers their rules."""
+    said = F.coalesce(F.nullif("description", F.lit("")), "title")
+    place = F.struct(F.struct(F.struct(artifact_uri(F.col("resource_address")).alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
+    level = F.element_at(dims.literal_map(SARIF_LEVEL), F.col("severity"))
+    key = F.coalesce(F.nullif("rule_id", F.lit("")), "id")
+    return threats.select(F.to_json(F.struct(key.alias("ruleId"), level.alias("level"), F.struct(said.alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
+
+
+def bitbucket_annotations(threats: DataFrame) -> DataFrame:
+    """Code Insights annotations as JSON lines; ``reports.gates`` tells the report's result."""
+    severity = F.element_at(dims.literal_map(BITBUCKET_SEVERITY), F.col("severity"))
+    body = F.struct(
+        F.col("id").alias("external_id"), F.lit("VULNERABILITY").alias("annotation_type"), _cut(F.col("title"), 450).alias("summary"),
+        _cut(F.coalesce("description", F.lit("")), 2000).alias("details"), severity.alias("severity"), F.col("resource_address").alias("path"),
+    )
+    return threats.select(F.to_json(body).alias("annotation"))
+
+
 def rows_of(findings: DataFrame, *columns: str, order: str = "ord") -> list[dict]:
     """The rows of one report, in order."""
     return [x.asDict(recursive=True) for x in findings.select(order, *columns).orderBy(order).collect()]

@@ -72,6 +72,17 @@ def is_vulnerable(version: Column, introduced: Column, fixed: Column, ecosystem:
     return F.coalesce((version != "") & ((low != "") | (high != "")) & in_low & in_high, F.lit(False))
 
 
+def within(key: Column, low: Column, high: Column) -> Column:
+    """``is_vulnerable`` on keys made before a join (``semver_key``); a null key is an empty bound, or no version."""
+    some = key.isNotNull() & (low.isNotNull() | high.isNotNull())
+    return some & (low.isNull() | (compare_keys(key, low) >= 0)) & (high.isNull() | (compare_keys(key, high) < 0))
+
+
+def bound_key(version: Column) -> Column:
+    """The semantic key of a version or bound; null for none."""
+    return F.when(F.coalesce(version, F.lit("")) != "", semver_key(version))
+
+
 def rpm_evr(version: Column, release: Column, epoch: Column) -> Column:
     """epoch:version-release; an epoch of 0 or an empty release is left out."""
     body = F.concat(version, F.when(F.coalesce(release, F.lit("")) != "", F.concat(F.lit("-"), release)).otherwise(""))

@@ -68,10 +68,11 @@ def checked_nodes(found: DataFrame, most: int = MAX_NODES) -> DataFrame:
     return found.join(sizes, "source_file").where(ok.isNull()).drop("n_nodes")
 
 
-def edges(resources: DataFrame, found: DataFrame, most: int | None = MAX_EDGES) -> DataFrame:
+def edges(resources: DataFrame, found: DataFrame, most: int | None = None) -> DataFrame:
     """Edges (``schemas.EDGE``) by dependency, containment, network flow and IAM binding; each (source, target, type) once.
 
-    ``most``: edges kept of each source file, in input order, as the reference data model has it; None keeps all.
+    ``most``: edges kept of each source file, in input order (MAX_EDGES is the data model's bound), which needs them
+    ranked in one task for each file; by default all are kept, and ``ord`` is the place of the source in the input.
     """
     r = resources.select("source_file", F.col("ord").alias("src_ord"), F.col("address").alias("source"), "resource_type", "properties", "dependencies")
     slim = found.select("source_file", F.col("id").alias("target"), F.col("ord").alias("tgt_ord"), "name", F.col("resource_type").alias("tgt_type"))
@@ -84,11 +85,16 @@ def edges(resources: DataFrame, found: DataFrame, most: int | None = MAX_EDGES)
     types = sorted({t for _, t in CONTAINMENT_HINTS})
     firsts = (
         slim.where(F.col("tgt_type").isin(types)).groupBy("source_file", "tgt_type")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("tgt_ord", "target"))), 1, 2).alias("firsts"))
+        .agg(F.min(F.struct("tgt_ord", "target")).alias("first"))
     )
+    seconds = (
+        slim.join(firsts, ["source_file", "tgt_type"]).where(F.col("target") != F.col("first.target")).groupBy("source_file", "tgt_type")
+        .agg(F.min(F.struct("tgt_ord", "target")).alias("second"))
+    )
+    firsts = firsts.join(seconds, ["source_file", "tgt_type"], "left")
     hints = F.array(*[F.when(_text(F.col("properties"), p) != "", F.lit(t)) for p, t in CONTAINMENT_HINTS])
     hinted = r.select("source_file", "src_ord", "source", F.posexplode(hints).alias("place", "tgt_type")).where("tgt_type is not null")
-    other = F.get(F.filter("firsts", lambda x: x["target"] != F.col("source")), F.lit(0))["target"]
+    other = F.when(F.col("first.target") != F.col("source"), F.col("first.target")).otherwise(F.col("second.target"))
     out.append(
         hinted.join(firsts, ["source_file", "tgt_type"]).withColumn("target", other).where("target is not null")
         .select("source_file", "src_ord", F.lit(1).alias("step"), "place", "source", "target", F.lit("containment").alias("edge_type"))
@@ -128,9 +134,11 @@ def edges(resources: DataFrame, found: DataFrame, most: int | None = MAX_EDGES)
     zones = found.select("source_file", "id", "trust_zone")
     side = lambda c: zones.select("source_file", F.col("id").alias(c), F.col("trust_zone").alias(f"{c}_zone"))
     marked = first.join(side("source"), ["source_file", "source"]).join(side("target"), ["source_file", "target"])
-    ranked = marked.withColumn("ord", F.row_number().over(W.partitionBy("source_file").orderBy("at", "source", "target", "edge_type")) - 1)
-    if most is not None:
-        ranked = ranked.where(F.col("ord") < most)
+    if most is None:
+        ranked = marked.withColumn("ord", F.col("at.src_ord"))
+    else:
+        place = F.row_number().over(W.partitionBy("source_file").orderBy("at", "source", "target", "edge_type")) - 1
+        ranked = marked.withColumn("ord", place).where(F.col("ord") < most)
     return ranked.select(
         "source_file", "ord", "source", "target", "edge_type", "source_zone", "target_zone", (F.col("source_zone") != F.col("target_zone")).alias("crosses_trust_boundary")
     )
@@ -160,6 +168,26 @@ def boundary_threats(found_edges: DataFrame, found_nodes: DataFrame) -> DataFram
     )
 
 
+def threat_counts(found_nodes: DataFrame, threats: DataFrame) -> DataFrame:
+    """Each node with n_threats, its worst severity and the titles of its first five threats (0, null and none without)."""
+    first = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sev_rank")).alias("by"), "title"))), 1, 5)
+    on = threats.groupBy("source_file", F.col("resource_address").alias("id")).agg(F.count("*").alias("n_threats"), F.max("sev_rank").alias("rank"), first.alias("first"))
+    titles = F.transform(F.coalesce("first", F.array().cast("array<struct<by:int,title:string>>")), lambda x: x["title"])
+    return found_nodes.join(on, ["source_file", "id"], "left").select(
+        *found_nodes.columns, F.coalesce("n_threats", F.lit(0)).alias("n_threats"), dims.severity_name(F.col("rank")).alias("max_severity"), titles.alias("titles")
+    )
+
+
+def path_edges(found_edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """The edges with path_nos: the numbers of the attack paths that run along them, in either direction."""
+    n = F.size("path") - 1
+    steps = paths.select("source_file", "path_no", F.explode(F.arrays_zip(F.slice("path", F.lit(1), n).alias("a"), F.slice("path", F.lit(2), n).alias("b"))).alias("x"))
+    pairs = steps.select("source_file", F.col("x.a").alias("source"), F.col("x.b").alias("target"), "path_no")
+    both = pairs.union(pairs.select("source_file", "target", "source", "path_no")).groupBy("source_file", "source", "target")
+    numbers = both.agg(F.array_sort(F.collect_set("path_no")).alias("path_nos"))
+    return found_edges.join(numbers, ["source_file", "source", "target"], "left").withColumn("path_nos", F.coalesce("path_nos", F.array().cast("array<int>")))
+
+
 def zone_counts(found_nodes: DataFrame) -> DataFrame:
     return found_nodes.groupBy("source_file", "trust_zone").agg(F.count("*").alias("n_nodes"), F.array_sort(F.collect_list("id")).alias("ids"))
 

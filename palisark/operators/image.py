@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisark import schemas
+from palisark.sources import files as file_sources
+from palisark.sources import lockfiles
 
 MAX_LAYER_BYTES = 2 << 30
 MAX_FILES = 500_000
+#: Contents that go out of a task at once, about.
+BATCH_BYTES = 16 << 20
 #: Families by package manager, and the files that tell the OS in order of precedence.
 FAMILIES = {
     "apk": ("alpine",),
@@ -40,6 +44,17 @@ def safe_path(path: str) -> str | None:
     return "/".join(parts) or None
 
 
+def _whole(content: bytes) -> bool:
+    """Whether an archive's members can all be listed."""
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+            for _ in tar:
+                pass
+        return True
+    except (tarfile.TarError, EOFError, OSError):
+        return False
+
+
 def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files and removals of layer archives (image, layer, content: tar, gzipped or not).
 
@@ -48,12 +63,17 @@ def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
     layer of more than MAX_LAYER_BYTES or with more than MAX_FILES members is an error: nothing is left out in silence.
     """
 
+    columns = ["image", "layer", "path", "content", "kind"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for image, layer, content in zip(x["image"], x["layer"], x["content"]):
-                rows = []
+                rows, size = [], 0
                 if content is None:
                     continue
+                # A broken archive has no rows: so its members are counted to the end before any of them goes out.
+                if not _whole(content):
+                    continue
                 if len(content) > MAX_LAYER_BYTES:
                     raise ValueError(f"layer {layer} of {image}: {len(content)} bytes, more than {MAX_LAYER_BYTES}")
                 try:
@@ -71,9 +91,13 @@ def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
                                 rows.append((image, layer, f"{folder}/{name[4:]}".lstrip("/"), None, "gone"))
                             elif member.isfile():
                                 rows.append((image, layer, path, tar.extractfile(member).read(), "file"))
+                                size += member.size
+                            if size >= BATCH_BYTES:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, size = [], 0
                 except (tarfile.TarError, EOFError, OSError):
-                    rows = []
-                yield pd.DataFrame(rows, columns=["image", "layer", "path", "content", "kind"])
+                    continue
+                yield pd.DataFrame(rows, columns=columns)
 
     found = layers.select("image", "layer", "content").mapInPandas(run, "image string, layer int, path string, content binary, kind string")
     return found.where("kind = 'file'").drop("kind"), found.where("kind = 'gone'").select("image", "path", "layer")
@@ -249,6 +273,36 @@ def installed_packages(files: DataFrame) -> DataFrame:
     return apk.unionByName(dpkg).unionByName(rpm)
 
 
+#: Where Python's installed packages tell name, version and licence.
+METADATA = r"(^|/)(site|dist)-packages/[^/]+/(METADATA|PKG-INFO)$"
+
+
+def app_packages(files: DataFrame) -> DataFrame:
+    """Dependencies (``schemas.DEPENDENCY`` without ord, and image) of merged image files (image, path, content).
+
+    Those of lock files outside hidden and vendored folders, and those that Python's package metadata tells; each name
+    and version counts once for a file, and once for an image's metadata.
+    """
+    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+    locks = files.where(file_sources.is_lockfile(F.col("path")) & ~F.exists(folders, lambda d: d.isin("node_modules", "__pycache__") | d.startswith(".")))
+    named = locks.select(F.concat_ws("\0/", "image", "path").alias("source_file"), F.decode("content", "UTF-8").alias("text"))
+    locked = lockfiles.dependencies(named).select(
+        F.substring_index("source_file", "\0/", 1).alias("image"), F.substring_index("source_file", "\0/", -1).alias("source_file"), "name", "version", "ecosystem", "license"
+    )
+    head = F.split(F.decode("content", "UTF-8"), r"\r?\n\r?\n")[0]
+    told = files.where(F.col("path").rlike(METADATA)).select(
+        "image", F.col("path").alias("source_file"), _field(head, "Name").alias("name"), _field(head, "Version").alias("version"), _field(head, "License").alias("license")
+    )
+    first = told.where("name <> '' and version <> ''").groupBy("image", "name", "version").agg(F.min(F.struct("source_file", "license")).alias("r"))
+    python = first.select("image", "r.source_file", "name", "version", F.lit("pypi").alias("ecosystem"), "r.license")
+    return locked.unionByName(python)
+
+
+def of_folder(found: DataFrame, name: str = "filesystem") -> DataFrame:
+    """Files of ``files.walk`` as one image's files, so that OS and packages of an unpacked folder are read alike."""
+    return found.select(F.lit(name).alias("image"), F.col("rel").alias("path"), "content")
+
+
 def config_findings(configs: DataFrame) -> DataFrame:
     """Misconfigurations of image configurations (image, config VARIANT): image, id, title, severity, detail."""
     c = F.col("config")
@@ -305,4 +359,4 @@ def verified_blobs(blobs: DataFrame) -> DataFrame:
 
 def summary(findings: DataFrame) -> DataFrame:
     """Counts by image and kind of finding."""
-    return findings.groupBy("image").pivot("kind", ["os_vulnerability", "app_vulnerability", "secret", "misconfig"]).agg(F.count("*")).na.fill(0)
+    return findings.groupBy("image").pivot("kind", ["os_vulnerability", "app_vulnerability", "secret", "misconfig"]).agg(F.count(F.lit(1))).na.fill(0)

@@ -170,3 +170,77 @@ def normalised_threats(raw: DataFrame) -> DataFrame:
         "stride_category": F.when(F.col("stride_category").isin(*dims.STRIDE_CATEGORIES), F.col("stride_category")).otherwise("information_disclosure"),
         "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")),
     })
+
+
+def type_counts(findings: DataFrame) -> DataFrame:
+    """Findings by type and severity."""
+    return findings.groupBy("finding_type", "severity").agg(F.count("*").alias("n"))
+
+
+def severity_bar(threats: DataFrame) -> DataFrame:
+    """A row for each file: its threats, those of each severity, and its distinct STRIDE categories."""
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in reversed(dims.SEVERITIES)]
+    return threats.groupBy("source_file").agg(F.count("*").alias("total"), *counts, F.array_sort(F.collect_set("stride_category")).alias("stride_categories"))
+
+
+def stride_summary(threats: DataFrame) -> DataFrame:
+    """Threats and worst rank by STRIDE category."""
+    return threats.groupBy("stride_category").agg(F.count("*").alias("n"), F.max("sev_rank").cast("long").alias("max_rank"))
+
+
+def worst(threats: DataFrame, n: int, *order: str) -> DataFrame:
+    """The ``n`` worst threats, equal ones by ``order``."""
+    return threats.orderBy(F.desc("sev_rank"), *order).limit(n)
+
+
+def gates(findings: DataFrame, *by: str) -> DataFrame:
+    """Whether any finding of a group is critical or high (FAILED), and how many there are."""
+    return findings.groupBy(*by).agg(F.bool_or(F.col("severity").isin("critical", "high")).alias("failed"), F.count("*").alias("n_reported"))
+
+
+#: The columns in which an ignore entry may name a finding, by type of finding; the id does for all.
+IGNORE_KEYS = {"vulnerability": "vuln_id", "secret": "rule_id"}
+
+
+def suppress_all(findings: DataFrame, ignores: DataFrame, today: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The findings that stay, and suppressed: finding_type and n of those that an entry in force names.
+
+    An entry names a vulnerability by vuln_id, a secret by rule_id, anything else by id.
+    """
+    today = F.current_date() if today is None else today
+    keys = [c for c in IGNORE_KEYS.values() if c in findings.columns]
+    key = F.coalesce(*[F.when(F.col("finding_type") == k, F.col(c)) for k, c in IGNORE_KEYS.items() if c in keys], F.col("id")) if keys else F.col("id")
+    active = ignores.where(F.col("expires").isNull() | (today <= F.col("expires"))).select(F.col("ignore_id").alias("__key")).distinct()
+    keyed = findings.withColumn("__key", key)
+    gone = keyed.join(active, "__key", "left_semi").groupBy("finding_type").agg(F.count("*").alias("n"))
+    return keyed.join(active, "__key", "left_anti").drop("__key"), gone
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The threats of JSON reports as ``diff`` takes them: ord, id, title, severity, resource_address; ids and titles are text."""
+    schema = "threats array<struct<id:string,title:string,severity:string,resource_address:string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    return rows.select(F.posexplode("threats").alias("ord", "t")).select("ord", "t.*").where("id is not null")
+
+
+def diff_document(changes: DataFrame) -> DataFrame:
+    """A difference as JSON lines: change, n and the sorted ids with their rows, a line for each kind of change."""
+    rows = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct(*[c for c in changes.columns if c != "change"])).alias("row"))))
+    return changes.groupBy("change").agg(F.count("*").alias("n"), F.transform(rows, lambda x: x["row"]).alias("rows")).orderBy("change")
+
+
+def diff_markdown(changes: DataFrame) -> DataFrame:
+    """A difference as lines of a markdown table, in order: added, removed, unchanged, each by id."""
+    place = F.array_position(F.array(*map(F.lit, ("added", "removed", "unchanged"))), F.col("change"))
+    cell = lambda c: F.replace(F.replace(F.col(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "change", "id", "severity", cell("title"), F.concat(F.lit("`"), cell("resource_address"), F.lit("`"))), F.lit(" |"))
+    return changes.orderBy(place, "id").select(line.alias("line"))
+
+
+def combined(**parts: DataFrame) -> DataFrame:
+    """Findings of several scanners as one table: scanner, severity, and the finding as JSON."""
+    out = None
+    for scanner, found in parts.items():
+        rows = found.select(F.lit(scanner).alias("scanner"), "severity", F.to_json(F.struct(*found.columns)).alias("finding"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

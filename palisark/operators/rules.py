@@ -24,8 +24,6 @@ MAX_DEPTH = 10
 MAX_FILE_BYTES = 1 << 20
 MAX_RULES_PER_FILE = 100
 MAX_RULES = 1000
-#: Rules that one projection evaluates: wider ones outgrow a generated method.
-CHUNK = 64
 LOGICAL = ("all_of", "any_of", "none_of", "not")
 REQUIRED = ("id", "title", "stride_category", "severity", "resource_type", "condition")
 
@@ -285,26 +283,37 @@ def paths_of(condition: object, depth: int = 0) -> set[str]:
     return {str(k) for k in condition} | nested
 
 
-def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type", props_col: str = "properties", chunk: int = CHUNK) -> DataFrame:
+def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type", props_col: str = "properties") -> DataFrame:
     """``rows`` with a rule_id for each rule that fires.
 
-    No join: each row evaluates the rules whose prefix its type has, as an array of ids that is exploded. Rules are
-    taken in chunks, each of which first drops the rows that none of its prefixes fits and binds each path's value once.
+    One scan and no join: each row evaluates the rules whose prefix its type has, as an array of ids that is exploded.
+    The rules of a prefix stand behind one test of the type. Inside, each path's value is bound once, as the argument of a
+    lambda; lambdas aren't part of the generated code, so that any number of rules stays within a method's size.
     """
-    out = None
     kind_of, props = F.col(type_col), F.col(props_col)
-    ordered = sorted(rules, key=lambda r: (r.resource_type, r.id))
-    for i in range(0, len(ordered), chunk):
-        part = ordered[i : i + chunk]
-        fits = reduce(lambda a, b: a | b, [kind_of.startswith(p) for p in sorted({r.resource_type for r in part})])
+    none = F.array().cast("array<string>")
+    fired = []
+    for prefix in sorted({r.resource_type for r in rules}):
+        part = sorted((r for r in rules if r.resource_type == prefix), key=lambda r: r.id)
         paths = sorted(set().union(*(paths_of(r.condition) for r in part)))
-        values = rows.where(fits).withColumns({f"__v{k}": path_value(props, p) for k, p in enumerate(paths)})
-        kinds = values.withColumns({f"__k{k}": kind(F.col(f"__v{k}")) for k in range(len(paths))})
-        lookup = lambda p, paths=paths: Value(F.col(f"__v{paths.index(p)}"), F.col(f"__k{paths.index(p)}"))
-        fired = [F.when(kind_of.startswith(r.resource_type) & compile_condition(r.condition, lookup), F.lit(r.id)) for r in part]
-        one = kinds.withColumn("rule_id", F.explode(F.array_compact(F.array(*fired)))).select(*rows.columns, "rule_id")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else rows.limit(0).withColumn("rule_id", F.lit(None).cast("string"))
+        fired.append(F.when(kind_of.startswith(prefix), _fired(part, paths, props)).otherwise(none))
+    hits = F.flatten(F.array(*fired)) if fired else none
+    return rows.withColumn("rule_id", F.explode(hits))
+
+
+def _fired(part: list[Rule], paths: list[str], props: Column) -> Column:
+    """The ids of the rules that hold for ``props``."""
+    places = {p: f"v{i}" for i, p in enumerate(paths)}
+
+    def ids(bound: Column) -> Column:
+        lookup = lambda p: Value(bound["v"][places[p]], bound["k"][places[p]])
+        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, lookup), F.lit(r.id)) for r in part]))
+
+    if not paths:
+        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, props), F.lit(r.id)) for r in part]))
+    values = F.transform(F.array(props), lambda p: F.struct(*[path_value(p, path).alias(name) for path, name in places.items()]))
+    bound = F.transform(values, lambda v: F.struct(v.alias("v"), F.struct(*[kind(v[name]).alias(name) for name in places.values()]).alias("k")))
+    return F.flatten(F.transform(bound, ids))
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:

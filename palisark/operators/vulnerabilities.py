@@ -38,15 +38,18 @@ def cve_of(vuln_id: Column, aliases: Column) -> Column:
 def dependency_findings(dependencies: DataFrame, vulnerabilities: DataFrame, ignore_unfixed: bool = False) -> DataFrame:
     """A finding for each dependency in a vulnerable range: an equi-join on (ecosystem, name), then the range.
 
-    pypi alone needs Python's version order; only its rows pass an Arrow UDF, and only after the join.
+    Versions are made keys on both sides before the join, so that a pair costs a comparison of short arrays. pypi alone
+    needs Python's version order: its rows are joined apart, and pass an Arrow UDF.
     """
     deps = dependencies.where("name <> '' and version <> '' and ecosystem <> ''").select("source_file", "name", "version", "ecosystem")
     vulns = vulnerabilities.where("version_fixed <> ''") if ignore_unfixed else vulnerabilities
-    joined = deps.join(vulns.withColumnRenamed("package", "name"), ["ecosystem", "name"])
+    vulns = vulns.withColumnRenamed("package", "name")
+    keyed = deps.where("ecosystem <> 'pypi'").withColumn("key", versions.bound_key(F.col("version")))
+    ranges = vulns.where("ecosystem <> 'pypi'").withColumns({"low": versions.bound_key(F.col("version_introduced")), "high": versions.bound_key(F.col("version_fixed"))})
+    hit = keyed.join(ranges, ["ecosystem", "name"]).where(versions.within(F.col("key"), F.col("low"), F.col("high"))).drop("key", "low", "high")
+    pypi = deps.where("ecosystem = 'pypi'").join(vulns.where("ecosystem = 'pypi'"), ["ecosystem", "name"])
     args = F.col("version"), F.col("version_introduced"), F.col("version_fixed")
-    hit = joined.where((F.col("ecosystem") != "pypi") & versions.is_vulnerable(*args)).unionByName(
-        joined.where((F.col("ecosystem") == "pypi") & versions.is_vulnerable(*args, F.col("ecosystem")))
-    )
+    hit = hit.unionByName(pypi.where(versions.is_vulnerable(*args, F.col("ecosystem"))))
     aliases = F.coalesce(F.from_json("aliases", "array<string>"), F.array().cast("array<string>"))
     known = F.when(F.col("severity").isin(*dims.SEVERITIES), F.col("severity"))
     return hit.select(

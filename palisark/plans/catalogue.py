@@ -106,7 +106,7 @@ def mask_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql(value: str, classes: bool = True) -> str:
-    groups = {k: ", ".join(map(sql_text, v.split(" "))) for k, v in reports.LICENSES.items()}
+    groups = {k: ", ".join(map(sql_text, v)) for k, v in reports.LICENSES.items()}
     return "CASE " + " ".join(f"WHEN trim({value}) IN ({v}) THEN '{k}'" for k, v in groups.items()) + " ELSE 'unknown' END"
 
 
@@ -266,7 +266,7 @@ def _infra(spark: SparkSession, sf_dir: str) -> DataFrame:
         *col("aws_instance", F.col("s_suppkey").cast("string"), F.col("s_name"), F.named_struct(F.lit("subnet_id"), F.col("n_name"), F.lit("associate_public_ip_address"), F.col("s_acctbal") < 0), none, 1000 + F.col("s_suppkey"))
     )
     subnet = F.concat(F.lit("aws_subnet."), F.col("c_nationkey").cast("string"))
-    customer = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(
+    customer = table(spark, sf_dir, "customer").select(
         *col("aws_db_instance", F.col("c_custkey").cast("string"), F.col("c_name"), F.named_struct(F.lit("subnet_ids"), F.array(subnet)), F.array(F.concat(F.lit("aws_instance."), (F.col("c_custkey") % 20).cast("string"))), 1_000_000 + F.col("c_custkey"))
     )
     return nation.unionByName(supplier).unionByName(customer)
@@ -275,16 +275,16 @@ def _infra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH n AS (SELECT 'aws_subnet.' || n_nationkey AS id, 'private' AS z FROM nation
                UNION ALL SELECT 'aws_instance.' || s_suppkey, CASE WHEN s_acctbal < 0 THEN 'dmz' ELSE 'private' END FROM supplier
-               UNION ALL SELECT 'aws_db_instance.' || c_custkey, 'private' FROM customer WHERE c_custkey % 10 = 0),
+               UNION ALL SELECT 'aws_db_instance.' || c_custkey, 'private' FROM customer),
          e AS (SELECT 'aws_instance.' || s_suppkey AS s, 'aws_subnet.' || s_nationkey AS t, 'containment' AS edge_type FROM supplier
-               UNION ALL SELECT 'aws_db_instance.' || c_custkey, 'aws_subnet.' || c_nationkey, 'containment' FROM customer WHERE c_custkey % 10 = 0
-               UNION ALL SELECT 'aws_db_instance.' || c_custkey, 'aws_instance.' || (c_custkey % 20), 'dependency' FROM customer WHERE c_custkey % 10 = 0)
+               UNION ALL SELECT 'aws_db_instance.' || c_custkey, 'aws_subnet.' || c_nationkey, 'containment' FROM customer
+               UNION ALL SELECT 'aws_db_instance.' || c_custkey, 'aws_instance.' || (c_custkey % 20), 'dependency' FROM customer)
     SELECT e.s AS source, e.t AS target, edge_type, a.z <> b.z AS crosses_trust_boundary FROM e JOIN n a ON e.s = a.id JOIN n b ON e.t = b.id
 """)
 def reference_union_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     resources = _infra(spark, sf_dir)
     found = graph.nodes(resources)
-    return graph.edges(resources, found, most=None).select("source", "target", "edge_type", "crosses_trust_boundary")
+    return graph.edges(resources, found).select("source", "target", "edge_type", "crosses_trust_boundary")
 
 
 _VERSION_SQL = "p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) || CASE WHEN p_partkey % 5 = 0 THEN '-rc1' ELSE '' END"
@@ -308,7 +308,9 @@ def version_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.concat(F.lit("v"), F.col("s_suppkey") % 50, F.lit(".4"))
     high = F.concat(F.col("s_suppkey") % 50 + 3, F.lit(".3.1.9"))
     ranges = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("eco"), low.alias("introduced"), high.alias("fixed"))
-    return parts.join(ranges, "eco").where(versions.is_vulnerable(F.col("version"), F.col("introduced"), F.col("fixed"))).select("p_partkey", "s_suppkey")
+    keyed = parts.select("p_partkey", "eco", versions.bound_key(F.col("version")).alias("key"))
+    bounds = ranges.select("s_suppkey", "eco", versions.bound_key(F.col("introduced")).alias("low"), versions.bound_key(F.col("fixed")).alias("high"))
+    return keyed.join(bounds, "eco").where(versions.within(F.col("key"), F.col("low"), F.col("high"))).select("p_partkey", "s_suppkey")
 
 
 @query("""
@@ -374,7 +376,7 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_STRIDE_SQL} AS stride_category, count(*) AS n, max(event_id % 5) AS max_rank FROM events GROUP BY 1")
 def stride_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _threats(spark, sf_dir).groupBy("stride_category").agg(F.count("*").alias("n"), F.max("sev_rank").cast("long").alias("max_rank"))
+    return reports.stride_summary(_threats(spark, sf_dir))
 
 
 @query(f"""
@@ -383,8 +385,7 @@ def stride_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY 1
 """)
 def technique_max_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _threats(spark, sf_dir).select(F.explode("mitre_techniques").alias("technique_id"), "sev_rank")
-    return each.groupBy("technique_id").agg(F.count("*").alias("n"), dims.severity_name(F.max("sev_rank")).alias("max_severity"))
+    return reports.technique_summary(_threats(spark, sf_dir)).drop("first_titles")
 
 
 @query(f"""
@@ -396,7 +397,7 @@ def min_severity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, {_SEVERITY_SQL} AS severity FROM events ORDER BY event_id % 5 DESC, event_id LIMIT 5")
 def top5_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _threats(spark, sf_dir).orderBy(F.desc("sev_rank"), "event_id").select("event_id", "severity").limit(5)
+    return reports.worst(_threats(spark, sf_dir), 5, "event_id").select("event_id", "severity")
 
 
 @query("""
@@ -455,9 +456,8 @@ def purl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def bitbucket_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _threats(spark, sf_dir).withColumn("title", F.substring("title", 1, 9))
-    return rows.groupBy("event_type").agg(
-        F.bool_or(F.col("severity").isin("critical", "high")).alias("failed"), F.count("*").alias("n_reported"), F.max(F.length("title")).cast("long").alias("longest")
-    )
+    longest = rows.groupBy("event_type").agg(F.max(F.length("title")).cast("long").alias("longest"))
+    return reports.gates(rows, "event_type").join(longest, "event_type")
 
 
 @query(f"""

@@ -138,6 +138,11 @@ def dependencies(rows: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("name <> '' and version <> ''").distinct()
 
 
+def selected(resources: DataFrame) -> DataFrame:
+    """The dependencies among resources."""
+    return resources.where(F.col("resource_type").startswith("dependency_"))
+
+
 def as_resources(deps: DataFrame) -> DataFrame:
     """Dependencies as resources: type dependency_<ecosystem>, address <ecosystem>/<name>@<version>."""
     e, n, v = F.col("ecosystem"), F.col("name"), F.col("version")

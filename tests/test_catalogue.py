@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from palisark.plans import catalogue
+from palisark.plans import artifacts, catalogue  # noqa: F401
 
 TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no tables")
