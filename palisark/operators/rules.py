@@ -290,30 +290,53 @@ def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type",
     The rules of a prefix stand behind one test of the type. Inside, each path's value is bound once, as the argument of a
     lambda; lambdas aren't part of the generated code, so that any number of rules stays within a method's size.
     """
-    kind_of, props = F.col(type_col), F.col(props_col)
+    kind_of = F.col(type_col)
     none = F.array().cast("array<string>")
     fired = []
     for prefix in sorted({r.resource_type for r in rules}):
         part = sorted((r for r in rules if r.resource_type == prefix), key=lambda r: r.id)
         paths = sorted(set().union(*(paths_of(r.condition) for r in part)))
-        fired.append(F.when(kind_of.startswith(prefix), _fired(part, paths, props)).otherwise(none))
+        fired.append(F.when(kind_of.startswith(prefix), _fired(part, paths, props_col)).otherwise(none))
     hits = F.flatten(F.array(*fired)) if fired else none
     return rows.withColumn("rule_id", F.explode(hits))
 
 
-def _fired(part: list[Rule], paths: list[str], props: Column) -> Column:
-    """The ids of the rules that hold for ``props``."""
-    places = {p: f"v{i}" for i, p in enumerate(paths)}
+def _fired(part: list[Rule], paths: list[str], props_col: str) -> Column:
+    """The ids of the rules that hold for the properties.
+
+    The values and their kinds are one SQL text: it is parsed at once, where a tree of columns costs a call for each node.
+    """
+    places = {p: i for i, p in enumerate(paths)}
 
     def ids(bound: Column) -> Column:
-        lookup = lambda p: Value(bound["v"][places[p]], bound["k"][places[p]])
-        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, lookup), F.lit(r.id)) for r in part]))
+        at = {p: F.get(bound, F.lit(i)) for p, i in places.items()}
+        found = {p: Value(x["v"], x["k"]) for p, x in at.items()}
+        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, found.__getitem__), F.lit(r.id)) for r in part]))
 
     if not paths:
-        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, props), F.lit(r.id)) for r in part]))
-    values = F.transform(F.array(props), lambda p: F.struct(*[path_value(p, path).alias(name) for path, name in places.items()]))
-    bound = F.transform(values, lambda v: F.struct(v.alias("v"), F.struct(*[kind(v[name]).alias(name) for name in places.values()]).alias("k")))
-    return F.flatten(F.transform(bound, ids))
+        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, F.col(props_col)), F.lit(r.id)) for r in part]))
+    values = ", ".join(_path_sql(f"`{props_col}`", p) for p in paths)
+    return F.flatten(F.transform(F.expr(f"array(transform(array({values}), v -> named_struct('v', v, 'k', {KIND_SQL})))"), ids))
+
+
+#: ``kind`` of v, and ``path_value``, as SQL.
+KIND_SQL = """CASE WHEN v IS NULL OR is_variant_null(v) THEN 'none' WHEN schema_of_variant(v) = 'BOOLEAN' THEN 'bool'
+    WHEN schema_of_variant(v) IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'int'
+    WHEN startswith(schema_of_variant(v), 'DECIMAL') OR schema_of_variant(v) IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN schema_of_variant(v) = 'STRING' THEN 'str'
+    WHEN startswith(schema_of_variant(v), 'ARRAY') THEN 'list' WHEN startswith(schema_of_variant(v), 'OBJECT') THEN 'dict' ELSE 'other' END"""
+
+
+def _path_sql(value: str, path: str) -> str:
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    for part in path.split("."):
+        by_key = f"try_variant_get({value}, {text(_key(part))}, 'variant')"
+        if re.fullmatch(r"\d+", part):
+            value = f"coalesce({by_key}, try_variant_get({value}, '$[{int(part)}]', 'variant'))"
+        elif re.fullmatch(r"-\d+", part):
+            value = f"coalesce({by_key}, try_element_at(try_variant_get({value}, '$', 'array<variant>'), {int(part)}))"
+        else:
+            value = by_key
+    return value
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Whole scans: files to resources, graph, threats, secrets, vulnerabilities and licences; images in the same way.
 
-A scan is a set of lazy DataFrames: nothing runs before one of them is used. Tables of known vulnerabilities and ignore
+Files are parsed once: resources, nodes and edges, which all that follows uses many times, are written to the shared
+folder; findings are lazy DataFrames. Tables of known vulnerabilities and ignore
 entries are given by the caller as DataFrames (``schemas.VULNERABILITY``, ``schemas.OS_VULNERABILITY``,
 ``reports.read_ignores``).
 """
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from palisark import dims
 from palisark.operators import graph, image, reports, rules, secrets, vulnerabilities
+from palisark.session import written
 from palisark.sources import files, iac, lockfiles
 
 SCANNERS = ("misconfig", "secret", "vuln", "license")
@@ -54,8 +56,11 @@ def read_config(path: str | Path | None = None, trusted: bool = True) -> tuple[d
 
 def threats(resources: DataFrame, extra_rule_paths: Iterable[str | Path] = (), min_severity: str = "info") -> DataFrame:
     """Rule threats and boundary threats as one table, with ``phase`` (0 rules, 1 boundaries) in the order of a report."""
-    nodes = graph.nodes(resources)
-    edges = graph.edges(resources, nodes)
+    nodes = written(graph.nodes(resources), "nodes")
+    return _threats(nodes, graph.edges(resources, nodes), extra_rule_paths, min_severity)
+
+
+def _threats(nodes: DataFrame, edges: DataFrame, extra_rule_paths: Iterable[str | Path], min_severity: str) -> DataFrame:
     by_rule = rules.threats(nodes, rules.load(extra_rule_paths)).withColumn("phase", F.lit(0))
     by_edge = graph.boundary_threats(edges, nodes).withColumn("phase", F.lit(1))
     return reports.min_severity(by_rule.unionByName(by_edge), min_severity)
@@ -73,9 +78,10 @@ class Analysis:
 
 def analyze(spark: SparkSession, path: str, extra_rule_paths: Iterable[str | Path] = (), min_severity: str = "info") -> Analysis:
     """The graph and the threats of the infrastructure files under ``path`` (a folder or a file)."""
-    resources = iac.resources(files.walk(spark, path))
-    nodes = graph.nodes(resources)
-    return Analysis(resources, nodes, graph.edges(resources, nodes), threats(resources, extra_rule_paths, min_severity))
+    resources = written(iac.resources(files.walk(spark, path)), "resources")
+    nodes = written(graph.nodes(resources), "nodes")
+    edges = written(graph.edges(resources, nodes), "edges")
+    return Analysis(resources, nodes, edges, _threats(nodes, edges, extra_rule_paths, min_severity))
 
 
 def scan(spark: SparkSession, path: str, extra_rule_paths: Iterable[str | Path] = (), min_severity: str = "info") -> DataFrame:
@@ -106,7 +112,7 @@ def scan_filesystem(
     deps = lockfiles.dependencies(files.texts(found))
     out = {}
     if "misconfig" in scanners:
-        out["misconfig"] = threats(iac.resources(found), extra_rule_paths, min_severity).withColumn("finding_type", F.lit("misconfig"))
+        out["misconfig"] = threats(written(iac.resources(found), "resources"), extra_rule_paths, min_severity).withColumn("finding_type", F.lit("misconfig"))
     if "secret" in scanners:
         out["secret"] = secrets.scan(secrets.scannable(found, path_col="rel"), path_col="rel")
     if "vuln" in scanners and known is not None:
