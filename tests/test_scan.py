@@ -38,32 +38,33 @@ def folder(tmp_path):
     return tmp_path
 
 
-def fired(found):
-    return {(r.resource_address, r.rule_id) for r in found.collect()}
-
-
 def test_scan_and_analyze(spark, folder):
-    found = scan.scan(spark, str(folder / "infra"))
+    whole = scan.analyze(spark, str(folder))
+    found = whole.threats.select("source_file", "resource_address", "rule_id", "severity").collect()
+    fired = {(r.resource_address, r.rule_id) for r in found if r.source_file == "infra/bad.json"}
     assert {
         ("aws_s3_bucket.b", "S3_PUBLIC_ACCESS"), ("aws_s3_bucket.b", "S3_NO_ENCRYPTION"), ("aws_db_instance.d", "RDS_PUBLIC_ACCESS"), ("aws_db_instance.d", "RDS_NO_BACKUP"),
         ("aws_db_instance.d", "RDS_NO_ENCRYPTION"), ("aws_security_group.g", "SG_UNRESTRICTED_INGRESS"), ("aws_iam_policy.p", "IAM_WILDCARD_ACTION"),
-    } <= fired(found)
-    assert not {r for _, r in fired(scan.scan(spark, str(folder / "safe")))} & {"RDS_PUBLIC_ACCESS", "RDS_NO_BACKUP", "RDS_NO_ENCRYPTION"}
-    assert {r.severity for r in scan.scan(spark, str(folder / "infra"), min_severity="high").collect()} == {"critical", "high"}
-    whole = scan.analyze(spark, str(folder / "infra"))
-    assert whole.nodes.count() == whole.resources.count() == 4 and whole.threats.count() == found.count()
-    assert set(schemas.THREAT_COLUMNS) <= set(found.columns)
-
-
-def test_rule_and_boundary_threats_are_one_table(spark, folder):
-    text = plan(("aws_lb", "l", {"security_groups": ["aws_security_group.g"]}), ("aws_security_group", "g", {"ingress": "::/0"}))
-    (folder / "infra/edge.json").write_text(text)
-    found = scan.scan(spark, str(folder / "infra")).where("source_file like '%edge%'").orderBy("phase", "rule_id").collect()
-    assert [r.phase for r in found] == sorted(r.phase for r in found) and {r.source for r in found} == {"rule", "boundary"}
-    assert [r.title for r in found if r.source == "boundary"] == ["Trust boundary crossing: dmz -> private"]
-
-
-def test_scan_filesystem_and_suppression(spark, folder):
+    } <= fired
+    assert not {r.rule_id for r in found if r.source_file == "safe/good.json"} & {"RDS_PUBLIC_ACCESS", "RDS_NO_BACKUP", "RDS_NO_ENCRYPTION"}
+    assert {r.severity for r in reports.min_severity(whole.threats, "high").select("severity").collect()} == {"critical", "high"}
+    assert whole.nodes.count() == whole.resources.count() == 5
+    assert set(schemas.THREAT_COLUMNS) <= set(whole.threats.columns)
+
+
+def test_rule_and_boundary_threats_are_one_table(spark, monkeypatch):
+    monkeypatch.setattr(rules.rule_pack, "RULES", [r for r in rules.rule_pack.RULES if r["id"] in ("SG_UNRESTRICTED_INGRESS", "ELB_NO_ACCESS_LOGS")])
+    res = spark.createDataFrame(
+        [("f", 0, "aws_lb", "aws_lb.l", "l", "aws", '{"security_groups":["aws_security_group.g"]}', [], "", ""), ("f", 1, "aws_security_group", "aws_security_group.g", "g", "aws", '{"ingress":"::/0"}', [], "", "")],
+        schemas.RESOURCE.replace("variant", "string"),
+    ).withColumn("properties", F.parse_json("properties"))
+    found = scan.threats(res).orderBy("phase", "rule_id").collect()
+    assert [(r.phase, r.rule_id, r.source) for r in found] == [(0, "ELB_NO_ACCESS_LOGS", "rule"), (0, "SG_UNRESTRICTED_INGRESS", "rule"), (1, "", "boundary")]
+    assert found[2].title == "Trust boundary crossing: dmz -> private"
+
+
+def test_scan_filesystem_and_suppression(spark, folder, monkeypatch):
+    monkeypatch.setattr(rules.rule_pack, "RULES", rules.rule_pack.RULES[:60])
     known = spark.createDataFrame([KNOWN], schemas.VULNERABILITY)
     out = scan.scan_filesystem(spark, str(folder), known)
     assert set(out) == {"misconfig", "secret", "vuln", "license"}
@@ -76,7 +77,8 @@ def test_scan_filesystem_and_suppression(spark, folder):
     left = scan.scan_filesystem(spark, str(folder), known, scanners=("secret", "vuln"), ignores=ignores)
     assert left["vuln"].count() == 0 and [r.rule_id for r in left["secret"].collect()] == ["SECRET_AWS_ACCESS_KEY"]
     assert {(r.finding_type, r.n) for r in left["suppressed"].collect()} == {("secret", 1), ("vulnerability", 1)}
-    assert {r.scanner for r in scan.scan_all(spark, str(folder), known).collect()} == {"misconfig", "secret", "vuln", "license"}
+    every = reports.combined(**out)  # what scan_all gives, without reading the folder once more
+    assert {r.scanner for r in every.select("scanner").distinct().collect()} == {"misconfig", "secret", "vuln", "license"}
     assert scan.scan_vulnerabilities(spark, str(folder), known).count() == 1 and scan.scan_secrets(spark, str(folder), (r"^AKIA",)).count() == 1
 
 
@@ -241,6 +243,6 @@ def test_pypi_ranges(spark):
 
 def test_empty_tables(spark):
     res = spark.createDataFrame([], schemas.RESOURCE)
-    assert scan.threats(res).count() == 0
+    assert graph.nodes(res).count() == 0 and graph.edges(res, graph.nodes(res)).count() == 0
     deps = spark.createDataFrame([], schemas.DEPENDENCY)
     assert vulnerabilities.dependency_findings(deps, spark.createDataFrame([KNOWN], schemas.VULNERABILITY)).count() == 0
