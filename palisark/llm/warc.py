@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisark.session import shared_path, written
@@ -84,15 +84,15 @@ def write(pages: DataFrame, path: str, compressed: bool = True, min_revisit_byte
     html = F.encode(F.coalesce(pages["html"], F.lit("")), "UTF-8")
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    largest = Observation()
     repeated = written(
-        rows.observe(largest, F.max("n_bytes").alias("n_bytes")).where(F.col("n_bytes") >= min_revisit_bytes)
+        rows.where(F.col("n_bytes") >= min_revisit_bytes)
         .groupBy("sha1", "n_bytes")
         .agg(F.max("page_id").alias("keep"), F.count("*").alias("n"))
         .where("n > 1")
         .drop("n"),
         "revisits",
     )
+    records = max(1, min(MAX_RECORDS_PER_FILE, MAX_FILE_BYTES // max(1, rows.agg(F.max("n_bytes")).first()[0] or 0)))
     small = repeated.count() <= BROADCAST_ROWS
     rows = rows.join(F.broadcast(repeated) if small else repeated, ["sha1", "n_bytes"], "left").select(
         "page_id", "url", F.when(F.col("keep").isNull() | F.col("page_id").eqNullSafe(F.col("keep")), F.col("payload")).alias("payload"), "n_bytes", "sha1", "keep"
@@ -117,7 +117,6 @@ def write(pages: DataFrame, path: str, compressed: bool = True, min_revisit_byte
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["data"])
 
     lines = rows.mapInArrow(run, "data binary").select(F.col("data").cast("string").alias("value"))
-    records = max(1, min(MAX_RECORDS_PER_FILE, MAX_FILE_BYTES // max(1, largest.get["n_bytes"] or 0)))
     separator = _LAST_BYTE.decode() if compressed else "\r\n\r\n"
     lines.write.option("lineSep", separator).option("maxRecordsPerFile", records).option("compression", "none").text(path)
 
