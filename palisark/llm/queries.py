@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisark.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
+from palisark.llm import bpe, decontamination, exact_dedup, language_id, merkle, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_machine": op1_quality_machine,
     "op2_warc_salvage": op2_warc_salvage,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_randomness_battery": op10_randomness_battery,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,48 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n,
+                   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                       || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+                   list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda crc, c:
+                       list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: i::UBIGINT)), lambda x, i:
+                           CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS crc
+            FROM documents
+        ), leaf AS (
+            SELECT doc_id, lang, p, n, sha256(head || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                   sha256(head || coalesce(octet_length(encode((n_chars + 1)::VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS tampered,
+                   xor(crc, 4294967295::UBIGINT) % 7 = 0 AS chosen
+            FROM d
+        ), low AS (
+            SELECT lang, 0 AS l, p, n, leaf AS h FROM leaf
+            UNION ALL
+            SELECT lang, l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM low WHERE n > 1 GROUP BY lang, l, n, p // 2
+        ), member AS (
+            SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM low WHERE n = 1
+        ), top AS (
+            SELECT 0 AS l, p, n, h FROM member
+            UNION ALL
+            SELECT l + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY l, n, p // 2
+        ), fold AS (
+            SELECT doc_id, lang, p AS i, 0 AS l, n, leaf, CASE WHEN chosen THEN tampered ELSE leaf END AS x, '' AS siblings FROM leaf
+            UNION ALL
+            SELECT f.doc_id, f.lang, i // 2, f.l + 1, (f.n + 1) // 2, leaf,
+                   sha256(CASE WHEN s.h IS NULL THEN x WHEN i % 2 = 1 THEN s.h || x ELSE x || s.h END), siblings || coalesce(s.h, '')
+            FROM fold f LEFT JOIN low s ON s.lang IS NOT DISTINCT FROM f.lang AND s.l = f.l AND s.p = xor(i, 1)
+            WHERE f.n > 1
+        ), upper AS (
+            SELECT doc_id, m.p AS i, 0 AS l, m.n, leaf, m.h AS subroot, x, siblings FROM fold JOIN member m ON m.lang IS NOT DISTINCT FROM fold.lang
+            WHERE fold.n = 1
+            UNION ALL
+            SELECT f.doc_id, i // 2, f.l + 1, (f.n + 1) // 2, leaf, subroot,
+                   sha256(CASE WHEN s.h IS NULL THEN x WHEN i % 2 = 1 THEN s.h || x ELSE x || s.h END), siblings || coalesce(s.h, '')
+            FROM upper f LEFT JOIN top s ON s.l = f.l AND s.p = xor(i, 1)
+            WHERE f.n > 1
+        )
+        SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, x AS folded_root, x = root AS verified
+        FROM upper, (SELECT h AS root FROM top WHERE n = 1) WHERE n = 1
+    """,
 }
