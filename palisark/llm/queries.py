@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisark.llm import bpe, decontamination, exact_dedup, language_id, merkle, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
+from palisark.llm import alignment, bpe, decontamination, exact_dedup, language_id, merkle, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_randomness_battery": op10_randomness_battery,
+    "op12_alignment_postings": op12_alignment_postings,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
