@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisark.llm import alignment, bpe, decontamination, exact_dedup, language_id, merkle, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
+from palisark.llm import alignment, bpe, decontamination, exact_dedup, language_id, merkle, near_dedup, quality, secret_scan, sharding, substring_dedup, warc, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_alignment_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_odd_sketch_near_dedup": op8_odd_sketch_near_dedup,
     "op9_template_decontamination": op9_template_decontamination,
     "op10_randomness_battery": op10_randomness_battery,
+    "op11_wrapper_extraction": op11_wrapper_extraction,
     "op12_alignment_postings": op12_alignment_postings,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -88,6 +93,20 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    # States the contract for pages whose article holds nothing but headings, paragraphs and inline markup.
+    "op11_wrapper_extraction": r"""
+        WITH block AS (
+            SELECT page_id, url, unnest(b) AS raw, generate_subscripts(b, 1) AS i
+            FROM (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '<article>(.*?)(</article>|$)', 1, 's'), '</?(?:p|h[1-6])>') AS b FROM pages)
+        ), plain AS (
+            SELECT page_id, url, i, regexp_replace(regexp_replace(replace(raw, '<br>', ' '), '</?[a-z][^>]*>', '', 'g'), '&quot;?', '"', 'g') AS t FROM block
+        ), line AS (
+            SELECT page_id, url, i, trim(regexp_replace(regexp_replace(t, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM plain
+        ), joined AS (
+            SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '') AS text FROM line GROUP BY page_id, url
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM joined
+    """,
     "op13_merkle_manifest": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n,
