@@ -179,7 +179,7 @@ def manifest(docs: DataFrame, cut: int = LEVELS) -> DataFrame:
     root; a manifest of one document has no siblings, and the digest of no bytes as its proof's. Whole texts of any length
     are hashed where they are read. An empty table gives an empty result. Further columns, whatever their names, play no part.
     """
-    rows = leaf_rows(docs)
+    rows = written(leaf_rows(docs), "merkle-rows")  # the range partitioning below reads its input twice
     id_type = rows.schema["doc_id"].dataType.simpleString()
     leaves = written(ranked(rows, ["doc_id", "h", "row_no"]).drop("row_no"), "merkle-leaves")
     cuts, subroots = climb(leaves, cut)
