@@ -43,9 +43,9 @@ def _truthy_list(props: Column, key: str) -> Column:
     return F.when(F.size(value) > 0, value)
 
 
-def trust_zone(resource_type: Column, props: Column) -> Column:
-    """Public properties put a resource into the DMZ; else the longest prefix of its type; else private."""
-    public = reduce(lambda a, b: a | b, [rules.truthy(rules.path_value(props, k)) for k in PUBLIC_PROPERTIES])
+def trust_zone(resource_type: Column, props: str) -> Column:
+    """The zone of a resource with the VARIANT column ``props``. Public properties put a resource into the DMZ; else the longest prefix of its type; else private."""
+    public = reduce(lambda a, b: a | b, [rules.truthy_at(props, k) for k in PUBLIC_PROPERTIES])
     return F.when(public, "dmz").otherwise(dims.longest_prefix(resource_type, dims.ZONE_OF, "private"))
 
 
@@ -56,7 +56,7 @@ def nodes(resources: DataFrame) -> DataFrame:
     kind, props = F.col("r.resource_type"), F.col("r.properties")
     return one.select(
         "source_file", "ord", F.col("address").alias("id"), kind.alias("resource_type"), F.col("r.name").alias("name"),
-        dims.category(kind).alias("category"), trust_zone(kind, props).alias("trust_zone"), props.alias("properties"),
+        dims.category(kind).alias("category"), trust_zone(kind, "r.properties").alias("trust_zone"), props.alias("properties"),
         F.col("r.provider").alias("provider"), F.col("r.module").alias("module"),
     )
 

@@ -1,16 +1,18 @@
-"""Declarative rules: loaded from YAML, validated, and compiled to columns over a VARIANT of properties.
+"""Declarative rules: loaded from YAML, validated, and compiled to bitmaps over a VARIANT of properties.
 
-The condition language has Python's values and two truth values; SQL has three. So every leaf is made null-free before
-it is negated or combined, and comparisons look at the kind of a value first, because VARIANT casts are lenient ('5' is
-a number to a cast, but not to the language).
+Every distinct test of all rules (a path, an operator, a value) is evaluated once for a row and kept as a bit; conditions
+are tests of masks. The condition language has Python's values and two truth values; SQL has three. So every test is made
+null-free, and looks at the kind of a value first, because VARIANT casts are lenient ('5' is a number to a cast, but not
+to the language).
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from pathlib import Path
 
 import yaml
@@ -105,244 +107,278 @@ def load(extra_paths: Iterable[str | Path] = (), builtin: bool = True) -> list[R
     return found
 
 
-def kind(v: Column) -> Column:
-    """What Python would call the value: none, bool, int, float, str, list or dict."""
-    told = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), "none")
-        .when(told == "BOOLEAN", "bool")
-        .when(told.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
-        .when(told.startswith("DECIMAL") | told.isin("DOUBLE", "FLOAT"), "float")
-        .when(told == "STRING", "str")
-        .when(told.startswith("ARRAY"), "list")
-        .when(told.startswith("OBJECT"), "dict")
-        .otherwise("other")
-    )
+# The condition language as SQL text: one text is parsed at once, where a tree of columns costs a call for each node.
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _double(x: float) -> str:
+    return f"CAST({_quoted(repr(float(x)))} AS DOUBLE)"
+
 
+def _member(value: str, key: str) -> str:
+    """A mapping's value; a path expression can't write every key."""
+    if re.fullmatch(r"[^'\"?\[\]\\]+", key):
+        return f"try_variant_get({value}, {_quoted(f"$['{key}']")}, 'variant')"
+    return f"try_element_at(try_variant_get({value}, '$', 'map<string,variant>'), {_quoted(key)})"
 
-def path_value(props: Column, path: str) -> Column:
+
+def path_sql(value: str, path: str) -> str:
     """The value at a dotted path: keys of mappings, places of lists (from the end if negative). Null if there is none."""
-    value = props
     for part in path.split("."):
-        by_key = F.try_variant_get(value, _key(part), "variant")
+        by_key = _member(value, part)
         if re.fullmatch(r"\d+", part):
-            by_place = F.try_variant_get(value, f"$[{int(part)}]", "variant")
-            value = F.coalesce(by_key, by_place)
+            value = f"coalesce({by_key}, try_variant_get({value}, '$[{int(part)}]', 'variant'))"
         elif re.fullmatch(r"-\d+", part):
-            items = F.try_variant_get(value, "$", "array<variant>")
-            value = F.coalesce(by_key, F.try_element_at(items, F.lit(int(part))))
+            value = f"coalesce({by_key}, try_element_at(try_variant_get({value}, '$', 'array<variant>'), {int(part)}))"
         else:
             value = by_key
     return value
 
 
-Lookup = Callable[[str], "Value"]
+def kind_sql(v: str) -> str:
+    """What Python would call the value: none, bool, int, float, str, list or dict."""
+    return f"""CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN 'none' WHEN schema_of_variant({v}) = 'BOOLEAN' THEN 'bool'
+        WHEN schema_of_variant({v}) IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'int'
+        WHEN startswith(schema_of_variant({v}), 'DECIMAL') OR schema_of_variant({v}) IN ('DOUBLE', 'FLOAT') THEN 'float'
+        WHEN schema_of_variant({v}) = 'STRING' THEN 'str' WHEN startswith(schema_of_variant({v}), 'ARRAY') THEN 'list'
+        WHEN startswith(schema_of_variant({v}), 'OBJECT') THEN 'dict' ELSE 'other' END"""
 
 
 class Value:
-    """A VARIANT with its kind; what it is as a number, text, list or mapping (null where it isn't one)."""
-
-    def __init__(self, variant: Column, kind_: Column | None = None):
-        self.variant = variant
-        self.kind = kind(variant) if kind_ is None else kind_
-
-    def number(self) -> Column:
-        """Numbers and truth values as a double."""
-        return F.when(self.kind == "bool", F.try_variant_get(self.variant, "$", "boolean").cast("double")).when(
-            self.kind.isin("int", "float"), F.try_variant_get(self.variant, "$", "double")
-        )
-
-    def text(self) -> Column:
-        return F.when(self.kind == "str", F.try_variant_get(self.variant, "$", "string"))
+    """The names of a VARIANT and its kind; what it is as a number, text, list or keys (null where it isn't one)."""
 
-    def items(self) -> Column:
-        return F.when(self.kind == "list", F.try_variant_get(self.variant, "$", "array<variant>"))
+    def __init__(self, v: str, kind: str, depth: int = 0):
+        self.v, self.kind, self.depth = v, kind, depth
+        self.number = f"CASE WHEN {kind} = 'bool' THEN CAST(try_variant_get({v}, '$', 'boolean') AS DOUBLE) WHEN {kind} IN ('int', 'float') THEN try_variant_get({v}, '$', 'double') END"
+        self.text = f"CASE WHEN {kind} = 'str' THEN try_variant_get({v}, '$', 'string') END"
+        self.items = f"CASE WHEN {kind} = 'list' THEN try_variant_get({v}, '$', 'array<variant>') END"
+        self.keys = f"CASE WHEN {kind} = 'dict' THEN map_keys(try_variant_get({v}, '$', 'map<string,variant>')) END"
 
-    def keys(self) -> Column:
-        return F.when(self.kind == "dict", F.map_keys(F.try_variant_get(self.variant, "$", "map<string,variant>")))
+    def some(self, array: str, test: Callable[[Value], str]) -> str:
+        """Whether one of the VARIANTs of ``array`` passes; each is bound, with its kind, for the test."""
+        name = f"x{self.depth}"
+        inner = Value(f"{name}.v", f"{name}.k", self.depth + 1)
+        return f"coalesce(exists(transform({array}, w -> named_struct('v', w, 'k', {kind_sql('w')})), {name} -> {test(inner)}), false)"
 
-    def at(self, key: str) -> Value:
-        return Value(F.try_variant_get(self.variant, _key(key), "variant"))
 
-
-def _key(part: str) -> str:
-    return "$['" + part.replace("\\", "\\\\").replace("'", "\\'") + "']"
-
-
-def _all(parts: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts, F.lit(True))
-
-
-def _any(parts: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, parts, F.lit(False))
-
-
-def _sure(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
-def equals(v: Value, expected: object) -> Column:
+def equals(v: Value, expected: object) -> str:
     """Python's ==: numbers and truth values compare by value, strings with strings only, containers by their items."""
     if expected is None:
-        return v.kind == "none"
+        return f"({v.kind} = 'none')"
     if isinstance(expected, bool | int | float):
-        return _sure(v.number() == F.lit(float(expected)))
+        return f"coalesce({v.number} = {_double(expected)}, false)"
     if isinstance(expected, str):
-        return _sure(v.text() == F.lit(expected))
+        return f"coalesce({v.text} = {_quoted(expected)}, false)"
     if isinstance(expected, list):
-        items = v.items()
-        return _sure(F.size(items) == len(expected)) & (v.kind == "list") & _all(equals(Value(F.get(items, F.lit(i))), x) for i, x in enumerate(expected))
+        parts = [f"coalesce({v.kind} = 'list' AND size({v.items}) = {len(expected)}, false)"]
+        parts += [v.some(f"array(get({v.items}, {i}))", lambda x, e=e: equals(x, e)) for i, e in enumerate(expected)]
+        return f"({' AND '.join(parts)})"
     if isinstance(expected, dict):
-        return _sure(F.size(v.keys()) == len(expected)) & (v.kind == "dict") & _all(equals(v.at(str(k)), x) for k, x in expected.items())
-    return F.lit(False)
+        parts = [f"coalesce({v.kind} = 'dict' AND size({v.keys}) = {len(expected)}, false)"]
+        for key, e in expected.items():
+            # A key with the value null and no key at all are told apart by the keys.
+            parts.append(f"coalesce(array_contains({v.keys}, {_quoted(str(key))}), false)")
+            parts.append(v.some(f"array({_member(v.v, str(key))})", lambda x, e=e: equals(x, e)))
+        return f"({' AND '.join(parts)})"
+    return "false"
 
 
-def _contains(v: Value, expected: object) -> Column:
+def _contains(v: Value, expected: object) -> str:
     """A string holds a substring, a list an equal item, a mapping a key; nothing else holds anything."""
-    out = _sure(F.exists(v.items(), lambda x: equals(Value(x), expected)))
+    out = v.some(v.items, lambda x: equals(x, expected))
     if isinstance(expected, str):
-        out = out | _sure(v.text().contains(F.lit(expected))) | _sure(F.array_contains(v.keys(), F.lit(expected)))
+        text = _quoted(expected)
+        out = f"({out} OR coalesce(contains({v.text}, {text}), false) OR coalesce(array_contains({v.keys}, {text}), false))"
     return out
 
 
-def _empty(v: Value) -> Column:
-    lists = (v.kind == "list") & _sure(F.size(v.items()) == 0)
-    return (v.kind == "none") | _sure(v.text() == "") | lists | (v.kind == "dict") & _sure(F.size(v.keys()) == 0)
+def _empty(v: Value) -> str:
+    return (
+        f"({v.kind} = 'none' OR coalesce({v.text} = '', false) OR {v.kind} = 'list' AND coalesce(size({v.items}) = 0, false)"
+        f" OR {v.kind} = 'dict' AND coalesce(size({v.keys}) = 0, false))"
+    )
 
 
-def truthy(v: Column | Value) -> Column:
-    v = v if isinstance(v, Value) else Value(v)
-    return ~(_empty(v) | _sure(v.number() == 0))
+def truthy(v: Value) -> str:
+    return f"NOT ({_empty(v)} OR coalesce({v.number} = CAST(0 AS DOUBLE), false))"
 
 
-def _leaf(op: str, expected: object, v: Value, lookup: Lookup) -> Column:
-    flip = lambda c: c if expected else ~c
-    none = v.kind == "none"
+def truthy_at(props: str, path: str) -> Column:
+    """Whether the value at a path of the VARIANT column ``props`` is true to Python."""
+    one = f"array({path_sql(props, path)})"
+    return F.expr(Value("", "'none'").some(one, truthy))
+
+
+def _test(op: str, expected: object, v: Value) -> str:
+    """A leaf of a condition, null-free."""
     if op == "exists":
-        return flip(~none)
-    if op == "not_exists":
-        return flip(none)
+        return f"({v.kind} <> 'none')"
     if op == "equals":
         return equals(v, expected)
-    if op == "not_equals":
-        return ~equals(v, expected)
     if op == "contains":
         return _contains(v, expected)
-    if op == "not_contains":
-        return ~_contains(v, expected)
     if op == "matches_any":
-        return _any(equals(v, x) for x in expected) if isinstance(expected, list) else F.lit(False)
-    if op in ("greater_than", "less_than") and isinstance(expected, bool | int | float):
-        limit = F.lit(float(expected))
-        return _sure(v.number() > limit if op == "greater_than" else v.number() < limit)
+        return "(" + (" OR ".join(equals(v, x) for x in expected) or "false") + ")"
+    if op in ("greater_than", "less_than"):
+        return f"coalesce({v.number} {'>' if op == 'greater_than' else '<'} {_double(expected)}, false)"
     if op == "is_true":
-        return truthy(v) == F.lit(expected) if isinstance(expected, bool) else F.lit(False)
-    if op == "is_empty":
-        return flip(_empty(v))
-    if op == "property_path":
-        return lookup(str(expected)).kind != "none"
-    return F.lit(False)  # unknown operators fail closed
+        return f"({truthy(v)})"
+    return _empty(v)  # is_empty
 
 
-def compile_condition(condition: object, props: Column | Lookup, depth: int = 0) -> Column:
-    """A condition as a null-free boolean column over the VARIANT ``props`` (or a function from paths to values).
+# Conditions as tests of bits
+
+
+@dataclass(frozen=True)
+class Leaf:
+    """A test of the value at a path. Its key tells equal ones: of all rules each is evaluated once for a row."""
+
+    path: str
+    op: str
+    key: str
+    expected: object = field(compare=False)
+
+
+def _leaf(path: str, op: str, expected: object) -> object:
+    """A check as True or False, a leaf, or ("not", leaf): opposites share one leaf."""
+    flipped = {"not_exists": "exists", "not_equals": "equals", "not_contains": "contains"}
+    sure = op in ("exists", "not_exists", "is_empty")
+    if op == "property_path":
+        return _leaf(str(expected), "exists", True)
+    if op == "is_true" and not isinstance(expected, bool) or op == "matches_any" and not isinstance(expected, list):
+        return False
+    if op in ("greater_than", "less_than") and not isinstance(expected, bool | int | float):
+        return False
+    if op not in ("exists", "not_exists", "equals", "not_equals", "contains", "not_contains", "matches_any", "greater_than", "less_than", "is_true", "is_empty"):
+        return False  # unknown operators fail closed
+    negative = (op in flipped) != ((sure or op == "is_true") and not expected)
+    value = True if sure or op == "is_true" else expected
+    leaf = Leaf(path, flipped.get(op, op), json.dumps([type(value).__name__, value], sort_keys=True, default=str), value)
+    return ("not", leaf) if negative else leaf
+
+
+def tree(condition: object, depth: int = 0) -> object:
+    """A condition as True, False, a leaf, ("not", tree), or ("and" or "or", trees).
 
     A logical key rules out its siblings (the first of all_of, any_of, none_of, not counts); conditions deeper than
     MAX_DEPTH are false.
     """
-    lookup = props if callable(props) and not isinstance(props, Column) else (lambda path: Value(path_value(props, path)))
     if depth > MAX_DEPTH or not isinstance(condition, dict):
-        return F.lit(False)
+        return False
     op = next((k for k in LOGICAL if k in condition), None)
     if op == "not":
-        inner = condition[op]
-        return ~compile_condition(inner, lookup, depth + 1) if isinstance(inner, dict) else F.lit(False)
+        return ("not", tree(condition[op], depth + 1)) if isinstance(condition[op], dict) else False
     if op:
         if not isinstance(condition[op], list):
-            return F.lit(False)
-        parts = [compile_condition(c, lookup, depth + 1) for c in condition[op]]
-        if op == "all_of":
-            return _all(parts)
-        return ~_any(parts) if op == "none_of" else _any(parts)
+            return False
+        parts = [tree(c, depth + 1) for c in condition[op]]
+        return ("and", parts) if op == "all_of" else ("or", parts) if op == "any_of" else ("not", ("or", parts))
     parts = []
     for path, check in condition.items():
-        v = lookup(str(path))
-        parts += [_leaf(name, expected, v, lookup) for name, expected in check.items()] if isinstance(check, dict) else [equals(v, check)]
-    return _all(parts)
+        parts += [_leaf(str(path), name, x) for name, x in check.items()] if isinstance(check, dict) else [_leaf(str(path), "equals", check)]
+    return ("and", parts)
 
 
-def paths_of(condition: object, depth: int = 0) -> set[str]:
-    """The property paths that a condition looks at."""
-    if depth > MAX_DEPTH or not isinstance(condition, dict):
-        return set()
-    op = next((k for k in LOGICAL if k in condition), None)
-    if op:
-        inner = condition[op] if isinstance(condition[op], list) else [condition[op]]
-        return set().union(*(paths_of(c, depth + 1) for c in inner))
-    nested = {str(c["property_path"]) for c in condition.values() if isinstance(c, dict) and "property_path" in c}
-    return {str(k) for k in condition} | nested
+def leaves_of(node: object) -> Iterator[Leaf]:
+    if isinstance(node, Leaf):
+        yield node
+    elif isinstance(node, tuple):
+        for x in node[1] if isinstance(node[1], list) else [node[1]]:
+            yield from leaves_of(x)
 
 
-def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type", props_col: str = "properties") -> DataFrame:
-    """``rows`` with a rule_id for each rule that fires.
-
-    One scan and no join: each row evaluates the rules whose prefix its type has, as an array of ids that is exploded.
-    The rules of a prefix stand behind one test of the type. Inside, each path's value is bound once, as the argument of a
-    lambda; lambdas aren't part of the generated code, so that any number of rules stays within a method's size.
-    """
-    kind_of = F.col(type_col)
-    none = F.array().cast("array<string>")
-    fired = []
-    for prefix in sorted({r.resource_type for r in rules}):
-        part = sorted((r for r in rules if r.resource_type == prefix), key=lambda r: r.id)
-        paths = sorted(set().union(*(paths_of(r.condition) for r in part)))
-        fired.append(F.when(kind_of.startswith(prefix), _fired(part, paths, props_col)).otherwise(none))
-    hits = F.flatten(F.array(*fired)) if fired else none
-    return rows.withColumn("rule_id", F.explode(hits))
+#: Bits of a word of the bitmap.
+WORD = 62
 
 
-def _fired(part: list[Rule], paths: list[str], props_col: str) -> Column:
-    """The ids of the rules that hold for the properties.
+class Bitmap:
+    """The distinct leaves of rules, as bits of words.
 
-    The values and their kinds are one SQL text: it is parsed at once, where a tree of columns costs a call for each node.
+    A word holds leaves that the same prefixes of resource types need, and is made for rows of these types only: a row
+    evaluates the leaves of the rules that may concern it, each once, however many rules share it.
     """
-    places = {p: i for i, p in enumerate(paths)}
 
-    def ids(bound: Column) -> Column:
-        at = {p: F.get(bound, F.lit(i)) for p, i in places.items()}
-        found = {p: Value(x["v"], x["k"]) for p, x in at.items()}
-        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, found.__getitem__), F.lit(r.id)) for r in part]))
+    def __init__(self, rules: Iterable[Rule]):
+        self.rules = sorted(rules, key=lambda r: (r.resource_type, r.id))
+        self.trees = {r.id: tree(r.condition) for r in self.rules}
+        owners: dict[Leaf, set[str]] = {}
+        for r in self.rules:
+            for leaf in leaves_of(self.trees[r.id]):
+                owners.setdefault(leaf, set()).add(r.resource_type)
+        shared: dict[tuple[str, ...], list[Leaf]] = {}
+        for leaf, prefixes in owners.items():
+            shared.setdefault(tuple(sorted(prefixes)), []).append(leaf)
+        self.words = [(p, group[i : i + WORD]) for p, group in sorted(shared.items()) for i in range(0, len(group), WORD)]
+        self.place = {leaf: (w, 1 << b) for w, (_, group) in enumerate(self.words) for b, leaf in enumerate(group)}
+
+    def word_sql(self, w: int, kind_of: str, props: str) -> str:
+        prefixes, group = self.words[w]
+        paths = sorted({leaf.path for leaf in group})
+        at = {p: Value(f"s[{i}].v", f"s[{i}].k") for i, p in enumerate(paths)}
+        bits = " | ".join(f"CASE WHEN {_test(leaf.op, leaf.expected, at[leaf.path])} THEN {self.place[leaf][1]}L ELSE 0L END" for leaf in group)
+        values = f"transform(array({', '.join(path_sql(props, p) for p in paths)}), v -> named_struct('v', v, 'k', {kind_sql('v')}))"
+        concerned = " OR ".join(f"startswith({kind_of}, {_quoted(p)})" for p in prefixes)
+        return f"CASE WHEN {concerned} THEN get(transform(array({values}), s -> {bits}), 0) ELSE 0L END"
+
+    def test_sql(self, node: object, negative: bool = False) -> str:
+        """A tree as tests of the words ``b``: leaves side by side that lie in one word are one test of a mask."""
+        if isinstance(node, bool):
+            return "true" if node != negative else "false"
+        if isinstance(node, Leaf):
+            node = ("and", [node])
+        op, parts = node
+        if op == "not":
+            return self.test_sql(parts, not negative)
+        every = (op == "and") != negative
+        masks: dict[int, list[int]] = {}
+        tests = []
+        for x in parts:
+            sign = negative
+            while isinstance(x, tuple) and (x[0] == "not" or len(x[1]) == 1):
+                x, sign = (x[1], not sign) if x[0] == "not" else (x[1][0], sign)
+            if isinstance(x, Leaf):
+                w, bit = self.place[x]
+                own = masks.setdefault(w, [0, 0])
+                own[sign] |= bit
+            else:
+                tests.append(self.test_sql(x, sign))
+        for w, (yes, no) in masks.items():
+            if every:
+                tests.append("false" if yes & no else f"(b[{w}] & {yes | no}L) = {yes}L")
+            else:  # one of the bits that should be set is, or one of those that shouldn't isn't
+                tests += [f"(b[{w}] & {yes}L) <> 0L"] * bool(yes) + [f"(b[{w}] & {no}L) <> {no}L"] * bool(no)
+        if not tests:
+            return "true" if every else "false"
+        return "(" + (" AND " if every else " OR ").join(tests) + ")"
+
+    def fired_sql(self, kind_of: str, props: str) -> str:
+        """The ids of the rules that fire, as an array."""
+        none = "CAST(array() AS ARRAY<STRING>)"
+        if not self.rules:
+            return none
+        words = ", ".join(self.word_sql(w, kind_of, props) for w in range(len(self.words))) or "0L"
+        hits = []
+        for prefix, part in itertools.groupby(self.rules, key=lambda r: r.resource_type):
+            ids = ", ".join(f"CASE WHEN {self.test_sql(self.trees[r.id])} THEN {_quoted(r.id)} END" for r in part)
+            hits.append(f"CASE WHEN startswith({kind_of}, {_quoted(prefix)}) THEN array_compact(array({ids})) ELSE {none} END")
+        return f"flatten(transform(array(array({words})), b -> flatten(array({', '.join(hits)}))))"
 
-    if not paths:
-        return F.array_compact(F.array(*[F.when(compile_condition(r.condition, F.col(props_col)), F.lit(r.id)) for r in part]))
-    values = ", ".join(_path_sql(f"`{props_col}`", p) for p in paths)
-    return F.flatten(F.transform(F.expr(f"array(transform(array({values}), v -> named_struct('v', v, 'k', {KIND_SQL})))"), ids))
-
-
-#: ``kind`` of v, and ``path_value``, as SQL.
-KIND_SQL = """CASE WHEN v IS NULL OR is_variant_null(v) THEN 'none' WHEN schema_of_variant(v) = 'BOOLEAN' THEN 'bool'
-    WHEN schema_of_variant(v) IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 'int'
-    WHEN startswith(schema_of_variant(v), 'DECIMAL') OR schema_of_variant(v) IN ('DOUBLE', 'FLOAT') THEN 'float' WHEN schema_of_variant(v) = 'STRING' THEN 'str'
-    WHEN startswith(schema_of_variant(v), 'ARRAY') THEN 'list' WHEN startswith(schema_of_variant(v), 'OBJECT') THEN 'dict' ELSE 'other' END"""
 
+def matches(rows: DataFrame, rules: list[Rule], type_col: str = "resource_type", props_col: str = "properties") -> DataFrame:
+    """``rows`` with a rule_id for each rule that fires.
 
-def _path_sql(value: str, path: str) -> str:
-    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    for part in path.split("."):
-        by_key = f"try_variant_get({value}, {text(_key(part))}, 'variant')"
-        if re.fullmatch(r"\d+", part):
-            value = f"coalesce({by_key}, try_variant_get({value}, '$[{int(part)}]', 'variant'))"
-        elif re.fullmatch(r"-\d+", part):
-            value = f"coalesce({by_key}, try_element_at(try_variant_get({value}, '$', 'array<variant>'), {int(part)}))"
-        else:
-            value = by_key
-    return value
+    One scan and no join. A row's leaves become a bitmap, its rules are tests of masks, and the ids of those that hold are
+    exploded. Lambdas bind the values and the words; they aren't part of the generated code, so that any number of rules
+    stays within a method's size.
+    """
+    return rows.withColumn("rule_id", F.explode(F.expr(Bitmap(rules).fired_sql(f"`{type_col}`", f"`{props_col}`"))))
 
 
 def rule_table(spark, rules: list[Rule]) -> DataFrame:
     """The rules as a dimension table; at most MAX_RULES rows."""
-    import json
-
     rows = [
         (r.id, r.title, r.description, r.stride_category, r.severity, r.mitigation, json.dumps(r.metadata or {}), r.techniques, r.tactics, i)
         for i, r in enumerate(rules)

@@ -203,19 +203,66 @@ def rule_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.matches(rows, tested).select("p_partkey", "rule_id")
 
 
-_BUILTIN_PROPS = {"publicly_accessible": True, "storage_encrypted": False, "backup_retention_period": 0, "acl": "public-read"}
+#: What the built-in rules for these types say about a part's resource, by k, its number among those of its type:
+#: rule, severity, STRIDE category, techniques, tactics, types, and when it fires.
+BUILTIN_SQL = """
+    ('ELB_NO_HTTPS', 'high', 'information_disclosure', 'T1557', 'TA0006', t = 'aws_lb_listener' AND k % 2 = 1),
+    ('ELB_NO_ACCESS_LOGS', 'medium', 'repudiation', 'T1562.008', 'TA0005', t = 'aws_lb_listener' AND k % 3 = 0),
+    ('ELB_OUTDATED_TLS', 'medium', 'information_disclosure', 'T1557', 'TA0006', t = 'aws_lb_listener' AND k % 4 IN (1, 2)),
+    ('IAM_OVERPERMISSIVE_ROLE', 'high', 'elevation_of_privilege', 'T1078.004,T1098', 'TA0001,TA0003,TA0004', t = 'aws_iam_role_policy_attachment' AND k % 4 = 2),
+    ('RDS_PUBLIC_ACCESS', 'critical', 'information_disclosure', 'T1190', 'TA0001', t = 'aws_db_instance' AND k % 2 = 0),
+    ('RDS_NO_ENCRYPTION', 'high', 'information_disclosure', 'T1530', 'TA0009', t = 'aws_db_instance' AND k % 3 <> 1),
+    ('RDS_NO_BACKUP', 'medium', 'tampering', 'T1485', 'TA0040', t = 'aws_db_instance' AND (k % 5 = 0 OR k % 4 = 0)),
+    ('S3_NO_ENCRYPTION', 'high', 'information_disclosure', 'T1530', 'TA0009', t = 'aws_s3_bucket' AND k % 3 <> 2),
+    ('S3_PUBLIC_ACCESS', 'critical', 'information_disclosure', 'T1530,T1190', 'TA0009,TA0001', t = 'aws_s3_bucket' AND (k % 3 > 0 OR k % 7 = 0)),
+    ('S3_NO_VERSIONING', 'medium', 'tampering', 'T1485', 'TA0040', t = 'aws_s3_bucket' AND k % 4 IN (0, 1)),
+    ('S3_NO_LOGGING', 'medium', 'repudiation', 'T1562.008', 'TA0005', t = 'aws_s3_bucket' AND k % 2 = 0),
+    ('AZURE_SQL_NO_AUDIT', 'high', 'repudiation', 'T1562.008', 'TA0005', t = 'azurerm_sql_server' AND k % 3 <> 2),
+    ('AZURE_SQL_NO_THREAT_DETECTION', 'medium', 'information_disclosure', 'T1190', 'TA0001', t = 'azurerm_sql_server' AND k % 5 <> 0),
+    ('AZURE_SQL_PUBLIC_ACCESS', 'high', 'information_disclosure', 'T1190', 'TA0001', t = 'azurerm_sql_server' AND k % 2 = 0),
+    ('CLOUDSQL_NO_SSL', 'high', 'information_disclosure', 'T1557', 'TA0006', t = 'google_sql_database_instance' AND k % 2 = 1),
+    ('CLOUDSQL_PUBLIC_IP', 'high', 'information_disclosure', 'T1190', 'TA0001', t = 'google_sql_database_instance' AND k % 3 = 0),
+    ('CLOUDSQL_NO_BACKUP', 'high', 'denial_of_service', 'T1485', 'TA0040', t = 'google_sql_database_instance' AND k % 5 <> 0),
+    ('CLOUDSQL_NO_ENCRYPTION', 'medium', 'information_disclosure', 'T1530', 'TA0009', t = 'google_sql_database_instance' AND k % 3 <> 1),
+    ('CLOUDSQL_NO_MAINTENANCE_WINDOW', 'low', 'denial_of_service', 'T1499', 'TA0040', t = 'google_sql_database_instance' AND k % 2 = 0),
+    ('K8S_CLUSTER_ADMIN_BINDING', 'critical', 'elevation_of_privilege', 'T1078', 'TA0004', t = 'kubernetes_cluster_role_binding' AND k % 2 = 1),
+    ('K8S_WILDCARD_RBAC_VERBS', 'high', 'elevation_of_privilege', 'T1078', 'TA0004', t = 'kubernetes_cluster_role_binding' AND k % 3 = 0),
+    ('K8S_WILDCARD_RBAC_RESOURCES', 'high', 'elevation_of_privilege', 'T1078', 'TA0004', t = 'kubernetes_cluster_role_binding' AND k % 5 = 0),
+    ('K8S_AUTOMOUNT_DEFAULT', 'medium', 'elevation_of_privilege', 'T1528', 'TA0006', t = 'kubernetes_service_account' AND k % 2 = 0)
+"""
 
 
-@query()
+@query(f"""
+    WITH r AS (SELECT t || '.' || p_partkey AS address, t, k FROM (SELECT p_partkey, {_TYPES_SQL}[p_partkey % {len(TYPES)} + 1] AS t, p_partkey // {len(TYPES)} AS k FROM part)),
+         hit AS (SELECT address, rule_id, severity, stride_category, techniques, tactics
+                 FROM r, LATERAL (VALUES {BUILTIN_SQL}) b(rule_id, severity, stride_category, techniques, tactics, fires) WHERE fires)
+    SELECT substr(sha256(rule_id || '_' || address), 1, 12) AS id, rule_id, address AS resource_address, severity, stride_category, techniques, tactics FROM hit
+""")
 def builtin_rule_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All built-in rules over resources derived from parts."""
-    import json
-
+    """All built-in rules over resources derived from parts, whose properties are there, empty, wrong or missing by turns."""
+    k = F.floor(F.col("p_partkey") / len(TYPES))
+    pick = lambda n, *values: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (k % n + 1).cast("int"))
+    some, empty, none = F.array(F.lit(1)), F.array().cast("array<int>"), F.lit(None).cast("array<int>")
+    enabled = lambda x: F.array(F.struct(F.lit(x).alias("enabled")))
+    props = {
+        "protocol": pick(2, "HTTPS", "HTTP"), "access_logs": pick(3, none, some, empty), "ssl_policy": pick(4, "ELBSecurityPolicy-TLS13-1-2-2021-06", "ELBSecurityPolicy-2016-08", "ELBSecurityPolicy-TLS-1-0-2015-04", None),
+        "assume_role_policy": pick(4, None, '{"Principal":{"AWS":"*"}}', '[{"Effect":"Allow","Principal":"*"}]', ""), "publicly_accessible": k % 2 == 0, "storage_encrypted": pick(3, False, True, None),
+        "backup_retention_period": F.when(k % 5 != 0, k % 4), "acl": pick(3, "private", "public-read", "authenticated-read"), "policy": F.when(k % 7 == 0, '{"Effect":"Allow","Principal":"*"}'),
+        "versioning": pick(4, F.lit(None).cast("array<struct<enabled:boolean>>"), enabled(False), enabled(True), F.array().cast("array<struct<enabled:boolean>>")), "logging": F.when(k % 2 == 1, some),
+        "server_side_encryption_configuration": pick(3, none, empty, some), "extended_auditing_policy": pick(3, none, empty, some), "threat_detection_policy": F.when(k % 5 == 0, "on"), "public_network_access_enabled": k % 2 == 0,
+        "settings": F.struct(
+            F.struct((k % 2 == 0).alias("require_ssl"), (k % 3 == 0).alias("ipv4_enabled")).alias("ip_configuration"), F.struct((k % 5 == 0).alias("enabled")).alias("backup_configuration"),
+            F.when(k % 2 == 1, F.struct(F.lit(7).alias("day"))).alias("maintenance_window"),
+        ),
+        "encryption_key_name": F.when(k % 3 == 1, "key"), "role_ref_name": pick(2, "view", "cluster-admin"), "has_wildcard_verbs": k % 3 == 0, "has_wildcard_resources": k % 5 == 0,
+        "automountServiceAccountToken": F.when(k % 2 == 1, False),
+    }
     rows = table(spark, sf_dir, "part").select(
         F.lit("part").alias("source_file"), F.concat(_type("p_partkey"), F.lit("."), "p_partkey").alias("id"), _type("p_partkey").alias("resource_type"),
-        F.parse_json(F.when(F.col("p_size") > 25, json.dumps(_BUILTIN_PROPS)).otherwise("{}")).alias("properties"),
+        F.parse_json(F.to_json(F.struct(*[v.alias(n) for n, v in props.items()]))).alias("properties"),
     )
-    return rules.threats(rows, rules.load()).select("id", "rule_id", "resource_address", "severity", "stride_category", "mitre_techniques", "mitre_tactics")
+    told = F.array_join("mitre_techniques", ",").alias("techniques"), F.array_join("mitre_tactics", ",").alias("tactics")
+    return rules.threats(rows, rules.load()).select("id", "rule_id", "resource_address", "severity", "stride_category", *told)
 
 
 _ZONES_SQL = "['internet', 'dmz', 'private', 'data', 'management']"
