@@ -1,29 +1,39 @@
-"""Report formats. Tables are shaped in Spark; one report's text, which is small by nature, is rendered from its rows."""
+"""Report formats. A document is a table of lines in order: heads and feet are text, and what a report lists is made where
+its rows are, so that a report of any size passes no driver. ``write`` puts it into files that follow one another."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisark import dims
+from palisark.operators.ordering import numbered
+from palisark.session import small_side
 
 GRID_COLUMNS = 5
+TOOL, VERSION = "palisark", "0.1.0"
 #: Fixed values of the formats.
-PURL_TYPES = {"npm": "npm", "pypi": "pypi", "go": "golang", "crates.io": "cargo", "rubygems": "gem", "packagist": "composer", "hex": "hex", "pub": "pub", "conan": "conan"}
+PURL_TYPES = {"npm": "npm", "pypi": "pypi", "go": "golang", "crates.io": "cargo", "rubygems": "gem", "packagist": "composer"}
 SARIF_LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
 BITBUCKET_SEVERITY = {"critical": "CRITICAL", "high": "HIGH", "medium": "MEDIUM", "low": "LOW", "info": "LOW"}
 NAVIGATOR_COLORS = {"critical": "#ff0000", "high": "#ff6600", "medium": "#ffcc00", "low": "#66ccff", "info": "#cccccc"}
 NAVIGATOR_SCORES = {"critical": 100, "high": 75, "medium": 50, "low": 25, "info": 10}
+SUMMARY_CHARS, DETAIL_CHARS = 450, 2000
+THREAT_FIELDS = (
+    "id", "title", "description", "stride_category", "severity", "source", "resource_type", "resource_address", "mitigation", "rule_id", "confidence",
+    "metadata", "mitre_techniques", "mitre_tactics",
+)
 
 
 def purl(ecosystem: Column, name: Column, version: Column) -> Column:
+    """pkg:type/name@version, the name with its scope or module path as it is."""
     kind = F.coalesce(F.try_element_at(dims.literal_map(PURL_TYPES), ecosystem), ecosystem)
-    return F.concat(F.lit("pkg:"), kind, F.lit("/"), F.replace(name, F.lit("@"), F.lit("%40")), F.when(F.coalesce(version, F.lit("")) != "", F.concat(F.lit("@"), version)).otherwise(""))
+    return F.concat(F.lit("pkg:"), kind, F.lit("/"), name, F.lit("@"), F.coalesce(version, F.lit("")))
 
 
 def layout_grid(nodes: DataFrame, by: str = "zone", order: str = "ord") -> DataFrame:
@@ -41,23 +51,20 @@ def layout_grid(nodes: DataFrame, by: str = "zone", order: str = "ord") -> DataF
     return placed.withColumns({"col": (i % GRID_COLUMNS).cast("long"), "row_no": F.floor(i / GRID_COLUMNS).cast("long")}).drop("__part", "__i", "__before")
 
 
-def sarif_rules(findings: DataFrame, order: str = "ord") -> DataFrame:
-    """One row for each rule, numbered from 0 by its first finding. Rules are few, so their numbering is one small sort."""
-    first = findings.groupBy("rule_id").agg(F.min(order).alias(order))
-    return first.withColumn("rule_index", F.row_number().over(W.orderBy(order, "rule_id")) - 1)
-
-
 def pascal_case(text: Column) -> Column:
-    return F.replace(F.initcap(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")), F.lit(" "), F.lit(""))
+    """Words, between white space, underscores or hyphens, with a capital and small letters, put together."""
+    words = F.filter(F.split(text, r"[\s_\-]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w))))), "")
 
 
 def artifact_uri(address: Column) -> Column:
-    """An address as a relative URI: no parent folders, no leading slash; what URIs don't allow becomes '_'."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(address, r"\.\.", ""), "^/+", ""), r"[^A-Za-z0-9._/\-]", "_")
+    """An address without the characters that URIs don't have."""
+    return F.regexp_replace(address, r"[^A-Za-z0-9_./:@\-]", "")
 
 
 def escape_markdown(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
+    """What would make links, tags or code gets a backslash."""
+    return F.regexp_replace(text, r"([<>\[\]()`])", r"\\$1")
 
 
 def technique_text(ids: Column) -> Column:
@@ -67,129 +74,197 @@ def technique_text(ids: Column) -> Column:
     return F.when(F.size(told) > 0, F.array_join(told, ", ")).otherwise("-")
 
 
-def _cut(text: Column, n: int) -> Column:
-    return F.when(F.length(text) <= n, text).otherwise(F.concat(F.left(text, F.lit(n - 3)), F.lit("...")))
+# Documents
 
 
-def sarif_results(threats: DataFrame) -> DataFrame:
-    """SARIF results as JSON lines, made where the threats are; ``sarif_rules`` numbers their rules."""
-    said = F.coalesce(F.nullif("description", F.lit("")), "title")
-    place = F.struct(F.struct(F.struct(artifact_uri(F.col("resource_address")).alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
-    level = F.element_at(dims.literal_map(SARIF_LEVEL), F.col("severity"))
-    key = F.coalesce(F.nullif("rule_id", F.lit("")), "id")
-    return threats.select(F.to_json(F.struct(key.alias("ruleId"), level.alias("level"), F.struct(said.alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
+def document(spark: SparkSession, *sections: str | DataFrame, separator: str = ",") -> DataFrame:
+    """Lines in order (section, n, line): a text is a line; of a table with n and line, all lines but n = 0 follow a separator."""
+    parts = []
+    for i, s in enumerate(sections):
+        if isinstance(s, str):
+            s = spark.createDataFrame([(0, s)], "n long, line string")
+        else:
+            s = s.select("n", F.concat(F.when(F.col("n") > 0, separator).otherwise(""), "line").alias("line"))
+        parts.append(s.select(F.lit(i).alias("section"), "n", "line"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("section", "n")
 
 
-def bitbucket_annotations(threats: DataFrame) -> DataFrame:
-    """Code Insights annotations as JSON lines; ``reports.gates`` tells the report's result."""
-    severity = F.element_at(dims.literal_map(BITBUCKET_SEVERITY), F.col("severity"))
-    body = F.struct(
-        F.col("id").alias("external_id"), F.lit("VULNERABILITY").alias("annotation_type"), _cut(F.col("title"), 450).alias("summary"),
-        _cut(F.coalesce("description", F.lit("")), 2000).alias("details"), severity.alias("severity"), F.col("resource_address").alias("path"),
-    )
-    return threats.select(F.to_json(body).alias("annotation"))
+def write(lines: DataFrame, path: str) -> None:
+    """Writes a document's lines as text files in ``path``; read in the order of their names they are the document."""
+    lines.select("line").write.text(path)
 
 
-def rows_of(findings: DataFrame, *columns: str, order: str = "ord") -> list[dict]:
-    """The rows of one report, in order."""
-    return [x.asDict(recursive=True) for x in findings.select(order, *columns).orderBy(order).collect()]
+def _dumps(x: object) -> str:
+    return json.dumps(x, separators=(",", ":"))
 
 
-def json_report(report: dict, threats: Iterable[dict]) -> str:
-    """The report as JSON: its fields, counts by severity, and the threats."""
-    threats = list(threats)
-    summary = {s: sum(t["severity"] == s for t in threats) for s in reversed(dims.SEVERITIES)}
-    return json.dumps(report | {"summary": summary, "total_threats": len(threats), "threats": threats}, indent=2, default=str)
+def _severity_counts(threats: DataFrame) -> dict[str, int]:
+    """All severities, worst first, with their counts."""
+    found = {r["severity"]: r["n"] for r in threats.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    return {s: found.get(s, 0) for s in reversed(dims.SEVERITIES)}
 
 
-def sarif(threats: Iterable[dict], tool: str = "palisark", version: str = "0.1.0") -> str:
-    rules: dict[str, dict] = {}
-    results = []
-    for t in threats:
-        key = t.get("rule_id") or t["id"]
-        if key not in rules:
-            name = "".join(w.capitalize() for w in re.split("[^A-Za-z0-9]+", key))
-            rules[key] = {
-                "id": key, "name": name, "shortDescription": {"text": t["title"]}, "fullDescription": {"text": t.get("description") or t["title"]},
-                "help": {"text": t.get("mitigation") or ""}, "properties": {"tags": ["security", t["stride_category"]]},
-            }
-        uri = re.sub(r"[^A-Za-z0-9._/\-]", "_", re.sub("^/+", "", t["resource_address"].replace("..", "")))
-        results.append({
-            "ruleId": key, "ruleIndex": list(rules).index(key), "level": SARIF_LEVEL[t["severity"]], "message": {"text": t.get("description") or t["title"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": uri}}}],
-        })
-    run = {"tool": {"driver": {"name": tool, "version": version, "rules": list(rules.values())}}, "results": results}
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [run]}, indent=2)
+def json_report(threats: DataFrame, report: dict, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """The fields of ``report``, counts by severity, and the threats in order, as a document."""
+    counts = _severity_counts(threats)
+    head = _dumps(report | {"summary": counts, "total_threats": sum(counts.values())})[:-1] + ',"threats":['
+    fields = [c for c in THREAT_FIELDS if c in threats.columns]
+    return document(threats.sparkSession, head, numbered(threats, *order).withColumn("line", F.to_json(F.struct(*fields))), "]}")
 
 
-def _md(text: object) -> str:
-    return str(text).replace("|", "\\|").replace("\n", " ").replace("\r", "")
+def sarif_rules(threats: DataFrame, order: str = "ord") -> DataFrame:
+    """One row for each rule_id with the ``order`` of its first finding, numbered by it from 0 (rule_index)."""
+    return numbered(threats.groupBy("rule_id").agg(F.min(order).alias(order)), order, "rule_id", name="rule_index")
 
 
-def markdown(threats: Iterable[dict], title: str = "Threat report") -> str:
-    """Counts by severity, then the threats of each STRIDE category, worst first."""
-    threats = list(threats)
-    rank = {s: i for i, s in enumerate(dims.SEVERITIES)}
-    out = [f"# {title}", "", "| Severity | Count |", "|---|---|"]
-    out += [f"| {s} | {sum(t['severity'] == s for t in threats)} |" for s in reversed(dims.SEVERITIES)]
-    for category in sorted({t["stride_category"] for t in threats}):
-        out += ["", f"## {category.replace('_', ' ').title()}", ""]
-        for t in sorted((t for t in threats if t["stride_category"] == category), key=lambda t: -rank[t["severity"]]):
-            out += [f"### [{t['severity'].upper()}] {_md(t['title'])}", "", f"Resource: `{_md(t['resource_address'])}`", "", _md(t.get("description", "")), ""]
-            if t.get("mitigation"):
-                out += [f"Mitigation: {_md(t['mitigation'])}", ""]
-    return "\n".join(out)
-
-
-def bitbucket(threats: Iterable[dict]) -> dict:
-    """A Code Insights report and its annotations: FAILED if anything is critical or high."""
-    threats = list(threats)
-    bad = any(t["severity"] in ("critical", "high") for t in threats)
-    cut = lambda s, n: s if len(s) <= n else s[: n - 3] + "..."
-    notes = [
-        {
-            "external_id": t["id"], "annotation_type": "VULNERABILITY", "summary": cut(t["title"], 450), "details": cut(t.get("description") or "", 2000),
-            "severity": BITBUCKET_SEVERITY[t["severity"]], "path": t["resource_address"],
-        }
-        for t in threats
-    ]
-    return {"report": {"title": "palisark", "report_type": "SECURITY", "result": "FAILED" if bad else "PASSED", "details": f"{len(threats)} threats"}, "annotations": notes}
+def sarif_results(threats: DataFrame) -> DataFrame:
+    """``threats`` (with rule_index) with ``line``: its SARIF result."""
+    uri = artifact_uri(F.col("resource_address"))
+    text = F.concat(
+        F.lit("["), F.upper("stride_category"), F.lit("] "), "title", F.lit("\n\n"), F.trim(F.coalesce("description", F.lit(""))), F.lit("\n\nResource: "), "resource_address",
+        F.lit(" ("), "resource_type", F.lit(")"),
+    )
+    place = F.struct(
+        F.struct(F.struct(uri.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation")).alias("physicalLocation"),
+        F.array(F.struct(uri.alias("fullyQualifiedName"), F.lit("resource").alias("kind"))).alias("logicalLocations"),
+    )
+    level = F.element_at(dims.literal_map(SARIF_LEVEL), F.col("severity"))
+    more = F.struct("severity", "stride_category", "source", "confidence", "resource_type")
+    body = F.struct(
+        rule_key().alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"),
+        more.alias("properties"),
+    )
+    return threats.withColumn("line", F.to_json(body))
+
+
+def rule_key() -> Column:
+    return F.coalesce(F.nullif("rule_id", F.lit("")), "id")
+
+
+def _sarif_rule() -> Column:
+    """The rule object of a threat that is the first of its rule."""
+    fix = F.trim(F.coalesce("mitigation", F.lit("")))
+    tags = F.concat(
+        F.array(F.lit("security"), F.concat(F.lit("stride/"), "stride_category"), F.concat(F.lit("source/"), "source")),
+        F.transform(F.coalesce("mitre_techniques", F.array().cast("array<string>")), lambda t: F.concat(F.lit("mitre/"), t)),
+    )
+    level = F.element_at(dims.literal_map(SARIF_LEVEL), F.col("severity"))
+    return F.to_json(F.struct(
+        F.col("rule_key").alias("id"), pascal_case(F.col("title")).alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"),
+        F.struct(F.trim(F.coalesce("description", F.lit(""))).alias("text")).alias("fullDescription"),
+        F.struct(F.when(fix != "", fix).otherwise("See description.").alias("text"), F.when(fix != "", F.concat(F.lit("**Mitigation**: "), fix)).otherwise("").alias("markdown")).alias("help"),
+        F.struct(level.alias("level")).alias("defaultConfiguration"), F.struct(tags.alias("tags")).alias("properties"),
+    ))
+
+
+def sarif(threats: DataFrame, order: tuple[str, ...] = ("ord",), tool: str = TOOL, version: str = VERSION, uri: str = "") -> DataFrame:
+    """A SARIF 2.1.0 document. A rule (or a threat without one) is described as its first threat has it; ruleIndex is its
+    place among the rules, which are numbered like the results: by partition, and by prefix sums over partitions."""
+    rows = numbered(threats.withColumn("rule_key", rule_key()), *order)
+    first = rows.groupBy("rule_key").agg(F.min_by(F.struct(*threats.columns), "n").alias("t"), F.min("n").alias("first"))
+    rules = small_side(numbered(first, "first", name="rule_index").select("rule_key", "rule_index", "t.*"), "sarif-rules")
+    results = sarif_results(rows.join(rules.select("rule_key", "rule_index"), "rule_key"))
+    driver = _dumps({"name": tool, "version": version} | ({"informationUri": uri} if uri else {}))[:-1]
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{driver},"rules":['
+    listed = rules.select(F.col("rule_index").alias("n"), _sarif_rule().alias("line"))
+    tail = '],"invocations":[{"executionSuccessful":true,"toolExecutionNotifications":[]}]}]}'
+    return document(threats.sparkSession, head, listed, ']}},"results":[', results, tail)
 
 
-def navigator_layer(techniques: Iterable[dict], name: str = "palisark") -> str:
-    """An ATT&CK Navigator layer from ``reports.technique_summary`` rows."""
+def bitbucket_annotations(threats: DataFrame) -> DataFrame:
+    """``threats`` with ``line``: its Code Insights annotation."""
+    severity = F.element_at(dims.literal_map(BITBUCKET_SEVERITY), F.col("severity"))
+    body = F.struct(
+        F.col("id").alias("external_id"), F.lit("VULNERABILITY").alias("annotation_type"), F.left("title", F.lit(SUMMARY_CHARS)).alias("summary"),
+        F.left(F.trim(F.coalesce("description", F.lit(""))), F.lit(DETAIL_CHARS)).alias("details"), severity.alias("severity"), F.col("resource_address").alias("path"), F.lit(1).alias("line"),
+    )
+    return threats.withColumn("line", F.to_json(body))
+
+
+def bitbucket(threats: DataFrame, scanned: int, order: tuple[str, ...] = ("ord",), title: str = f"{TOOL} threat model") -> DataFrame:
+    """A Code Insights report and its annotations, as a document: FAILED if anything is critical or high."""
+    counts = _severity_counts(threats)
+    total = sum(counts.values())
+    told = {"Total Threats": total, "Critical": counts["critical"], "High": counts["high"], "Medium": counts["medium"], "Resources Scanned": scanned}
+    report = {
+        "title": title, "details": f"Scanned {scanned} resources, found {total} threats.", "report_type": "SECURITY", "reporter": TOOL,
+        "result": "FAILED" if counts["critical"] + counts["high"] else "PASSED", "data": [{"title": k, "type": "NUMBER", "value": v} for k, v in told.items()],
+    }
+    return document(threats.sparkSession, f'{{"report":{_dumps(report)},"annotations":[', bitbucket_annotations(numbered(threats, *order)), "]}")
+
+
+def markdown(threats: DataFrame, order: tuple[str, ...] = ("ord",), title: str = "Threat report") -> DataFrame:
+    """Counts by severity, then the threats of each STRIDE category, worst first, as a document."""
+    counts = _severity_counts(threats)
+    head = "\n".join([f"# {title}", "", "| Severity | Count |", "|---|---|", *(f"| {s} | {n} |" for s, n in counts.items())])
+    rows = numbered(threats.withColumn("worst", -dims.severity_rank(F.col("severity"))), "stride_category", "worst", *order)
+    first = rows.groupBy("stride_category").agg(F.min("n").alias("n")).withColumn("begins", F.lit(True))  # six categories
+    rows = rows.join(F.broadcast(first), ["stride_category", "n"], "left")
+    heading = F.when(F.col("begins"), F.concat(F.lit("\n## "), F.initcap(F.replace("stride_category", F.lit("_"), F.lit(" "))), F.lit("\n"))).otherwise("")
+    text = lambda c: escape_markdown(F.coalesce(c, F.lit("")))
+    fix = F.when(F.coalesce("mitigation", F.lit("")) != "", F.concat(F.lit("\n\nMitigation: "), text("mitigation"))).otherwise("")
+    place = F.concat(F.lit("\n\nResource: `"), F.replace("resource_address", F.lit("`"), F.lit("")), F.lit("`\n\n"))
+    line = F.concat(heading, F.lit("\n### \\["), F.upper("severity"), F.lit("\\] "), text("title"), place, text("description"), fix)
+    return document(threats.sparkSession, head, rows.withColumn("line", line), separator="\n")
+
+
+def navigator_layer(techniques: Iterable[dict], n_threats: int = 0, input_file: str = "", name: str = f"{TOOL} threat model") -> str:
+    """An ATT&CK Navigator layer from ``reports.technique_summary`` rows, of which there are as many as known techniques at most."""
     cells = [
         {
-            "techniqueID": t["technique_id"], "score": NAVIGATOR_SCORES[t["max_severity"]], "color": NAVIGATOR_COLORS[t["max_severity"]], "enabled": True,
-            "comment": f"{t['n']} threats: " + "; ".join(t["first_titles"]),
+            "techniqueID": t["technique_id"], "tactic": "", "score": NAVIGATOR_SCORES[t["max_severity"]], "color": NAVIGATOR_COLORS[t["max_severity"]],
+            "comment": f"{t['n']} finding(s): " + "; ".join(t["first_titles"]), "enabled": True,
+            "metadata": [{"name": "findings", "value": str(t["n"])}, {"name": "max_severity", "value": t["max_severity"]}],
         }
-        for t in techniques
+        for t in sorted(techniques, key=lambda t: t["technique_id"])
     ]
-    return json.dumps({"name": name, "versions": {"layer": "4.5", "navigator": "4.9", "attack": "14"}, "domain": "enterprise-attack", "techniques": cells}, indent=2)
+    shown = ("critical", "high", "medium", "low", "info")
+    return json.dumps({
+        "name": name, "versions": {"attack": "16", "navigator": "5.1", "layer": "4.5"}, "domain": "enterprise-attack",
+        "description": f"Scan of {input_file}: {n_threats} threats mapped to {len(cells)} ATT&CK techniques.",
+        "filters": {"platforms": ["IaaS"]}, "sorting": 3,
+        "layout": {"layout": "side", "aggregateFunction": "max", "showID": True, "showName": True, "showAggregateScores": True, "countUnscored": False},
+        "hideDisabled": False, "techniques": cells, "gradient": {"colors": [NAVIGATOR_COLORS[s] for s in ("info", "medium", "high", "critical")], "minValue": 0, "maxValue": 100},
+        "legendItems": [{"label": s.capitalize(), "color": NAVIGATOR_COLORS[s]} for s in shown], "showTacticRowBackground": True, "tacticRowBackground": "#205b8f",
+        "selectTechniquesAcrossTactics": True, "selectSubtechniquesWithParent": True, "selectVisibleTechniques": False,
+    }, indent=2)
 
 
 def components(dependencies: DataFrame) -> DataFrame:
-    """CycloneDX components of dependencies, as JSON lines."""
+    """CycloneDX components of dependencies that have a name and a version: their columns, purl, and component as JSON."""
     ref = purl(F.col("ecosystem"), F.col("name"), F.col("version"))
     license_ = F.when(F.coalesce("license", F.lit("")) != "", F.array(F.struct(F.struct(F.col("license").alias("id")).alias("license"))))
-    body = F.struct(F.lit("library").alias("type"), ref.alias("bom-ref"), "name", "version", ref.alias("purl"), license_.alias("licenses"))
-    return dependencies.select("source_file", ref.alias("purl"), F.to_json(body).alias("component"))
+    known = F.array(F.struct(F.lit("ecosystem").alias("name"), F.col("ecosystem").alias("value")))
+    body = F.struct(F.lit("library").alias("type"), ref.alias("bom-ref"), "name", "version", ref.alias("purl"), license_.alias("licenses"), known.alias("properties"))
+    return dependencies.where("name <> '' and version <> ''").select("*", ref.alias("purl"), F.to_json(body).alias("component"))
+
 
+def cyclonedx(dependencies: DataFrame, vulnerabilities: DataFrame | None = None, source: str = "", timestamp: str = "", order: tuple[str, ...] = ("source_file", "ord")) -> DataFrame:
+    """A CycloneDX 1.5 document of dependencies and vulnerability findings; ratings where a score is known.
 
-def cyclonedx(parts: Iterable[dict], vulnerabilities: Iterable[dict] = ()) -> str:
-    """A CycloneDX 1.5 document; ratings where a score is known. Its serial number follows from its components."""
+    Its serial number follows from the components: their count and the sum of their hashes.
+    """
     import hashlib
     import uuid
 
-    parts = list(parts)
-    serial = uuid.UUID(hashlib.sha256("\n".join(sorted(p["purl"] for p in parts)).encode()).hexdigest()[:32])
-    found = [
-        {"id": v["cve_id"], "affects": [{"ref": v["purl"]}], "description": v.get("title", "")}
-        | ({"ratings": [{"score": v["cvss_score"], "severity": v["severity"], "method": "CVSSv3"}]} if v.get("cvss_score") else {})
-        for v in vulnerabilities
-    ]
-    doc = {"bomFormat": "CycloneDX", "specVersion": "1.5", "serialNumber": f"urn:uuid:{serial}", "version": 1, "components": [json.loads(p["component"]) for p in parts]}
-    return json.dumps(doc | ({"vulnerabilities": found} if found else {}), indent=2)
+    parts = numbered(components(dependencies), *order)
+    told = parts.agg(F.count("*").alias("n"), F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("h")).first()
+    serial = uuid.UUID(hashlib.sha256(f"{told['n']} {told['h']}".encode()).hexdigest()[:32])
+    meta = {"tools": {"components": [{"type": "application", "name": TOOL, "version": VERSION}]}, "component": {"type": "application", "name": source or "unknown", "bom-ref": "root-component"}}
+    meta = ({"timestamp": timestamp} if timestamp else {}) | meta
+    head = _dumps({"bomFormat": "CycloneDX", "specVersion": "1.5", "serialNumber": f"urn:uuid:{serial}", "version": 1, "metadata": meta})[:-1] + ',"components":['
+    listed = parts.withColumn("line", F.col("component"))
+    alone = parts.withColumn("line", F.to_json(F.struct(F.col("purl").alias("ref"), F.array().cast("array<string>").alias("dependsOn"))))
+    sections: list[str | DataFrame] = [head, listed, '],"dependencies":[', alone]
+    if vulnerabilities is not None:
+        ref = purl(F.col("ecosystem"), F.col("package_name"), F.col("package_version"))
+        rating = F.when(F.col("cvss_score") > 0, F.array(F.struct(F.col("cvss_score").alias("score"), F.col("severity"), F.lit("CVSSv3").alias("method"))))
+        body = F.struct(F.col("cve_id").alias("id"), F.col("title").alias("description"), F.array(F.struct(ref.alias("ref"))).alias("affects"), rating.alias("ratings"))
+        sections += ['],"vulnerabilities":[', numbered(vulnerabilities, "cve_id", "package_name", "package_version", "id").withColumn("line", F.to_json(body))]
+    return document(dependencies.sparkSession, *sections, "]}")
 
 
 def text_table(rows: Iterable[dict], widths: dict[str, int]) -> str:

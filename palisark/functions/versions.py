@@ -1,15 +1,14 @@
-"""Version orders: semantic, PEP 440 and RPM.
+"""Version orders: semantic, PEP 440 and RPM, as keys.
 
-The semantic order is made of columns. PEP 440 has no column form: an Arrow UDF asks the packaging library, once for
-each distinct pair that is compared.
+A key is a column made of one version alone. PEP 440 and RPM keys are strings whose order, byte by byte, is that of the
+versions; so versions are compared, sorted, joined and cut into ranges without looking at pairs. The semantic order
+isn't one (1.2.3 equals 1.2.3.4 and 1.2.3.5): its keys are arrays, compared as far as both go.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEMANTIC = ("npm", "crates.io", "go")
 
@@ -36,25 +35,60 @@ def compare_semver(a: Column, b: Column) -> Column:
     return compare_keys(semver_key(a), semver_key(b))
 
 
-@F.pandas_udf(T.IntegerType())
-def compare_pep440(a: pd.Series, b: pd.Series) -> pd.Series:
-    """-1, 0 or 1; null where one of the two is no PEP 440 version."""
-    from packaging.version import InvalidVersion, Version
+def _number_key(digits: Column) -> Column:
+    """Digits as a string in order of value: how many there are without leading zeros, and they."""
+    plain = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 4, "0"), plain)
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: A PEP 440 version: epoch, release, pre-release letter and number, post-release (by hyphen; letter and number), dev
+#: letter and number, local segments. The form is the one that the PEP gives in its appendix.
+PEP440 = (
+    r"(?i)^\s*v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]+)?)?"
+    r"(?:-([0-9]+)|[-_.]?(post|rev|r)[-_.]?([0-9]+)?)?(?:[-_.]?(dev)[-_.]?([0-9]+)?)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
+)
+EPOCH, RELEASE, PRE, PRE_N, POST_N1, POST, POST_N2, DEV, DEV_N, LOCAL = range(10)
+
+
+def pep440_key(version: Column | str) -> Column:
+    """A string in PEP 440's order; null for what is no such version.
 
-    seen: dict[str, object] = {}
+    Parts in turn: epoch; release without trailing zeros, each number after a 1, a 0 at the end; pre-release (0 before
+    all for a dev release of nothing else, 9 for none); post (0 for none); dev (9 for none); local segments (numbers
+    after words, 0 for none and at the end). A word ends in '!', which comes before letters and digits.
+    """
+    version = F.col(version) if isinstance(version, str) else version
+    told = F.split(F.lower(F.regexp_replace(version, PEP440, "|".join(f"${i + 1}" for i in range(10)))), r"\|")
 
-    def parse(v):
-        if v not in seen:
-            try:
-                seen[v] = Version(v)
-            except (InvalidVersion, TypeError):
-                seen[v] = None
-        return seen[v]
+    def key(x: Column) -> Column:
+        at = lambda i: F.get(x, F.lit(i))
+        number = lambda i: _number_key(F.when(at(i) == "", "0").otherwise(at(i)))
+        release = F.split(F.regexp_replace(at(RELEASE), r"(\.0+)+$", ""), r"\.")
+        post = (at(POST) != "") | (at(POST_N1) != "")
+        letter = F.when(at(PRE).isin("a", "alpha"), "1").when(at(PRE).isin("b", "beta"), "2").otherwise("3")
+        pre = F.when(at(PRE) != "", F.concat(letter, number(PRE_N))).when(~post & (at(DEV) != ""), "0").otherwise("9")
+        after = F.when(post, F.concat(F.lit("1"), F.when(at(POST_N1) != "", number(POST_N1)).otherwise(number(POST_N2)))).otherwise("0")
+        dev = F.when(at(DEV) != "", F.concat(F.lit("0"), number(DEV_N))).otherwise("9")
+        segment = lambda s: F.when(s.rlike("^[0-9]+$"), F.concat(F.lit("2"), _number_key(s))).otherwise(F.concat(F.lit("1"), s, F.lit("!")))
+        local = F.when(at(LOCAL) != "", F.concat(F.lit("1"), F.array_join(F.transform(F.split(at(LOCAL), "[-_.]"), segment), ""), F.lit("0"))).otherwise("0")
+        numbers = F.array_join(F.transform(release, lambda d: F.concat(F.lit("1"), _number_key(d))), "")
+        return F.concat(number(EPOCH), numbers, F.lit("0"), pre, after, dev, local)
 
-    out = []
-    for x, y in zip(map(parse, a), map(parse, b)):
-        out.append(None if x is None or y is None else (x > y) - (x < y))
-    return pd.Series(out, dtype="Int32")
+    return F.when(version.rlike(PEP440), _bound(told, key))
+
+
+def _order(a: Column, b: Column) -> Column:
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def compare_pep440(a: Column | str, b: Column | str) -> Column:
+    """-1, 0 or 1; null where one of the two is no PEP 440 version."""
+    return _order(pep440_key(a), pep440_key(b))
 
 
 def compare(a: Column, b: Column, ecosystem: Column) -> Column:
@@ -89,37 +123,29 @@ def rpm_evr(version: Column, release: Column, epoch: Column) -> Column:
     return F.concat(F.when(F.coalesce(epoch, F.lit(0)) != 0, F.concat(epoch.cast("string"), F.lit(":"))).otherwise(""), body)
 
 
-def _segments(v: Column) -> Column:
-    """Digits (as 'n' and the zero-padded number) and letters (as 'a' and themselves): comparable as strings."""
-    return F.regexp_extract_all(v, F.lit(r"(\d+|[a-zA-Z]+)"), F.lit(1))
-
+def _segments_key(text: Column) -> Column:
+    """Runs of digits and of letters in order: numbers (after a 1) before letters (after a 2), a 0 at the end.
 
-def _compare_segments(a: Column, b: Column) -> Column:
-    n = F.greatest(F.size(a), F.size(b))
-    zero = F.lit("0")
-    pad = lambda x: F.concat(x, F.array_repeat(zero, n - F.size(x)))
+    A segment that is missing is 0: so trailing zeros go, and the end comes before all else.
+    """
+    runs = F.array_join(F.regexp_extract_all(text, F.lit(r"(\d+|[a-zA-Z]+)"), F.lit(1)), ".")
+    told = F.filter(F.split(F.regexp_replace(runs, r"(?:^|\.)0+(?:\.0+)*$", ""), r"\."), lambda s: s != "")
+    keyed = F.transform(told, lambda s: F.when(s.rlike(r"^\d+$"), F.concat(F.lit("1"), _number_key(s))).otherwise(F.concat(F.lit("2"), s, F.lit("!"))))
+    return F.concat(F.array_join(keyed, ""), F.lit("0"))
 
-    def one(x: Column, y: Column) -> Column:
-        digits = x.rlike(r"^\d+$") & y.rlike(r"^\d+$")
-        p, q = x.cast("decimal(38,0)"), y.cast("decimal(38,0)")
-        by_number = F.when(p < q, -1).when(p > q, 1).otherwise(0)
-        by_text = F.when(x < y, -1).when(x > y, 1).otherwise(0)
-        return F.when(digits, by_number).otherwise(by_text)
 
-    each = F.zip_with(pad(a), pad(b), one)
-    return F.coalesce(F.get(F.filter(each, lambda x: x != 0), F.lit(0)), F.lit(0))
+def rpm_key(evr: Column) -> Column:
+    """A string in the order of [epoch:]version[-release]: epochs by number (no number: 0), then versions, then releases."""
+    told = F.coalesce(_as_long(F.substring_index(evr, ":", 1)), F.lit(0).cast("long"))
+    epoch = F.when(evr.contains(":"), told).otherwise(F.lit(0).cast("long")).cast("decimal(20,0)") + F.lit(10**18).cast("decimal(20,0)")
+    rest = F.when(evr.contains(":"), F.regexp_replace(evr, "(?s)^[^:]*:", "")).otherwise(evr)
+    release = F.when(rest.contains("-"), F.regexp_replace(rest, "(?s)^[^-]*-", "")).otherwise("")
+    return F.concat(F.lpad(epoch.cast("string"), 20, "0"), _segments_key(F.substring_index(rest, "-", 1)), _segments_key(release))
 
 
 def compare_rpm(a: Column, b: Column) -> Column:
     """-1, 0 or 1: epochs, then the segments of the version, then those of the release; a missing segment is 0."""
-    epoch = lambda v: F.when(v.contains(":"), F.coalesce(_as_long(F.substring_index(v, ":", 1)), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    rest = lambda v: F.when(v.contains(":"), F.regexp_replace(v, "(?s)^[^:]*:", "")).otherwise(v)
-    version = lambda v: F.substring_index(rest(v), "-", 1)
-    release = lambda v: F.when(rest(v).contains("-"), F.regexp_replace(rest(v), "(?s)^[^-]*-", "")).otherwise("")
-    by_epoch = F.when(epoch(a) < epoch(b), -1).when(epoch(a) > epoch(b), 1).otherwise(0)
-    by_version = _compare_segments(_segments(version(a)), _segments(version(b)))
-    by_release = _compare_segments(_segments(release(a)), _segments(release(b)))
-    return F.when(by_epoch != 0, by_epoch).when(by_version != 0, by_version).otherwise(by_release)
+    return _order(rpm_key(a), rpm_key(b))
 
 
 def os_package_vulnerable(version: Column, fixed: Column, manager: Column) -> Column:

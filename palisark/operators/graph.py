@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palisark import dims
 from palisark.operators import rules
+from palisark.operators.ordering import first_titles
 from palisark.session import written
 
 MAX_NODES = 10_000
@@ -170,9 +171,10 @@ def boundary_threats(found_edges: DataFrame, found_nodes: DataFrame) -> DataFram
 
 def threat_counts(found_nodes: DataFrame, threats: DataFrame) -> DataFrame:
     """Each node with n_threats, its worst severity and the titles of its first five threats (0, null and none without)."""
-    first = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("sev_rank")).alias("by"), "title"))), 1, 5)
-    on = threats.groupBy("source_file", F.col("resource_address").alias("id")).agg(F.count("*").alias("n_threats"), F.max("sev_rank").alias("rank"), first.alias("first"))
-    titles = F.transform(F.coalesce("first", F.array().cast("array<struct<by:int,title:string>>")), lambda x: x["title"])
+    rows = threats.select("source_file", F.col("resource_address").alias("id"), "sev_rank", "title")
+    on = rows.groupBy("source_file", "id").agg(F.count("*").alias("n_threats"), F.max("sev_rank").alias("rank"))
+    on = on.join(first_titles(rows, ["source_file", "id"], F.desc("sev_rank"), "title"), ["source_file", "id"])
+    titles = F.coalesce("first_titles", F.array().cast("array<string>"))
     return found_nodes.join(on, ["source_file", "id"], "left").select(
         *found_nodes.columns, F.coalesce("n_threats", F.lit(0)).alias("n_threats"), dims.severity_name(F.col("rank")).alias("max_severity"), titles.alias("titles")
     )
@@ -189,7 +191,8 @@ def path_edges(found_edges: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def zone_counts(found_nodes: DataFrame) -> DataFrame:
-    return found_nodes.groupBy("source_file", "trust_zone").agg(F.count("*").alias("n_nodes"), F.array_sort(F.collect_list("id")).alias("ids"))
+    """The nodes of each file and zone, with the first and last of their ids."""
+    return found_nodes.groupBy("source_file", "trust_zone").agg(F.count("*").alias("n_nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def neighbours(found_edges: DataFrame, node_id: str) -> DataFrame:

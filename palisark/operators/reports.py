@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisark import dims
+from palisark.functions import formats
+from palisark.operators.ordering import first_titles, numbered
 
 #: SPDX identifiers by class; the first class that has one counts.
 LICENSES = {
@@ -150,13 +152,11 @@ def severity_summary(findings: DataFrame, *by: str) -> DataFrame:
 
 
 def technique_summary(threats: DataFrame) -> DataFrame:
-    """For each known technique: threats, worst severity, first five titles."""
+    """For each known technique: threats, worst severity, first five titles by id."""
     known = list(dims.TECHNIQUE_NAMES)
     each = threats.select(F.explode("mitre_techniques").alias("technique_id"), "sev_rank", "title", "id").where(F.col("technique_id").isin(*known))
-    return each.groupBy("technique_id").agg(
-        F.count("*").alias("n"), dims.severity_name(F.max("sev_rank")).alias("max_severity"),
-        F.transform(F.slice(F.array_sort(F.collect_set(F.struct("id", "title"))), 1, 5), lambda x: x["title"]).alias("first_titles"),
-    ).orderBy("technique_id")
+    counts = each.groupBy("technique_id").agg(F.count("*").alias("n"), dims.severity_name(F.max("sev_rank")).alias("max_severity"))
+    return counts.join(first_titles(each.select("technique_id", "id", "title"), ["technique_id"], "id", "title"), "technique_id").orderBy("technique_id")
 
 
 def failed(findings: DataFrame) -> DataFrame:
@@ -224,9 +224,14 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def diff_document(changes: DataFrame) -> DataFrame:
-    """A difference as JSON lines: change, n and the sorted ids with their rows, a line for each kind of change."""
-    rows = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct(*[c for c in changes.columns if c != "change"])).alias("row"))))
-    return changes.groupBy("change").agg(F.count("*").alias("n"), F.transform(rows, lambda x: x["row"]).alias("rows")).orderBy("change")
+    """A difference as a JSON document (``formats.document``): for each kind of change its count and its rows by id."""
+    counts = {r["change"]: r["n"] for r in changes.groupBy("change").agg(F.count("*").alias("n")).collect()}  # three kinds
+    sections: list[str | DataFrame] = ["{"]
+    for i, kind in enumerate(("added", "removed", "unchanged")):
+        rows = changes.where(F.col("change") == kind).drop("change")
+        line = F.to_json(F.struct(*rows.columns))
+        sections += [f'{"," if i else ""}"{kind}":{{"n":{counts.get(kind, 0)},"rows":[', numbered(rows, "id").withColumn("line", line), "]}"]
+    return formats.document(changes.sparkSession, *sections, "}")
 
 
 def diff_markdown(changes: DataFrame) -> DataFrame:

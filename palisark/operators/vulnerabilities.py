@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from palisark import dims, schemas
 from palisark.functions import versions
+from palisark.operators.intervals import interval_join
+from palisark.session import written
 
 #: Names of the OSV feed's ecosystems.
 OSV_ECOSYSTEMS = {
@@ -35,21 +37,48 @@ def cve_of(vuln_id: Column, aliases: Column) -> Column:
     return F.coalesce(F.get(F.filter(aliases, lambda x: x.startswith("CVE-")), F.lit(0)), vuln_id)
 
 
-def dependency_findings(dependencies: DataFrame, vulnerabilities: DataFrame, ignore_unfixed: bool = False) -> DataFrame:
-    """A finding for each dependency in a vulnerable range: an equi-join on (ecosystem, name), then the range.
+#: Ranges of a package up to which its versions meet all of them; with more, versions are looked up (``interval_join``).
+FEW_RANGES = 64
+
 
-    Versions are made keys on both sides before the join, so that a pair costs a comparison of short arrays. pypi alone
-    needs Python's version order: its rows are joined apart, and pass an Arrow UDF.
+def versions_in_ranges(versions_: DataFrame, ranges: DataFrame, few: int = FEW_RANGES) -> DataFrame:
+    """Each of ``versions_`` (ecosystem, name, version, ...) with each of ``ranges`` (ecosystem, name, version_introduced,
+    version_fixed, ...) of its package that it lies in, see ``versions.is_vulnerable``.
+
+    Keys are made before anything meets. While no package has more than ``few`` ranges a version meets those of its
+    package. Otherwise versions find their ranges by a join whose rows grow with the result: PEP 440 versions and ranges by
+    their keys; all others by the semantic key, from the first three parts of the lower bound on (a shorter version counts
+    as equal to a longer one), with an exact test after it; PEP 440 versions and ranges whose bounds aren't PEP 440, which
+    are odd ones of their package, by a test of each.
     """
+    by = ["ecosystem", "name"]
+    pypi = F.col("ecosystem") == "pypi"
+    points = versions_.withColumns({"skey": versions.bound_key(F.col("version")), "pkey": F.when(pypi, versions.pep440_key(F.col("version")))}).where("skey is not null")
+    low, high = F.col("version_introduced"), F.col("version_fixed")
+    made = {"slow": versions.bound_key(low), "shigh": versions.bound_key(high), "plow": F.when(pypi, versions.pep440_key(low)), "phigh": F.when(pypi, versions.pep440_key(high))}
+    bounds = ranges.withColumns(made).where("slow is not null or shigh is not null")
+    above = F.col("slow").isNull() | F.coalesce(F.col("pkey") >= F.col("plow"), versions.compare_keys(F.col("skey"), F.col("slow")) >= 0)
+    below = F.col("shigh").isNull() | F.coalesce(F.col("pkey") < F.col("phigh"), versions.compare_keys(F.col("skey"), F.col("shigh")) < 0)
+    drop = lambda df: df.drop("skey", "pkey", *made)
+    if (bounds.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= few:
+        return drop(points.join(bounds, by).where(above & below))
+    odd = (F.col("slow").isNotNull() & F.col("plow").isNull()) | (F.col("shigh").isNotNull() & F.col("phigh").isNull())
+    points, bounds = written(points, "version-keys"), written(bounds, "range-keys")
+    semantic = interval_join(
+        points.where("pkey is null").withColumn("k", F.col("skey")), bounds.withColumns({"lo": F.slice("slow", 1, 3), "hi": F.col("shigh")}), by, "k", "lo", "hi"
+    ).where(above & below)
+    pep = interval_join(
+        points.where("pkey is not null").withColumn("k", F.col("pkey")), bounds.where(pypi & ~odd).withColumns({"lo": F.col("plow"), "hi": F.col("phigh")}), by, "k", "lo", "hi"
+    )
+    rest = points.where("pkey is not null").join(bounds.where(pypi & odd), by).where(above & below)
+    return drop(semantic).unionByName(drop(pep)).unionByName(drop(rest))
+
+
+def dependency_findings(dependencies: DataFrame, vulnerabilities: DataFrame, ignore_unfixed: bool = False) -> DataFrame:
+    """A finding for each dependency in a vulnerable range of its package."""
     deps = dependencies.where("name <> '' and version <> '' and ecosystem <> ''").select("source_file", "name", "version", "ecosystem")
     vulns = vulnerabilities.where("version_fixed <> ''") if ignore_unfixed else vulnerabilities
-    vulns = vulns.withColumnRenamed("package", "name")
-    keyed = deps.where("ecosystem <> 'pypi'").withColumn("key", versions.bound_key(F.col("version")))
-    ranges = vulns.where("ecosystem <> 'pypi'").withColumns({"low": versions.bound_key(F.col("version_introduced")), "high": versions.bound_key(F.col("version_fixed"))})
-    hit = keyed.join(ranges, ["ecosystem", "name"]).where(versions.within(F.col("key"), F.col("low"), F.col("high"))).drop("key", "low", "high")
-    pypi = deps.where("ecosystem = 'pypi'").join(vulns.where("ecosystem = 'pypi'"), ["ecosystem", "name"])
-    args = F.col("version"), F.col("version_introduced"), F.col("version_fixed")
-    hit = hit.unionByName(pypi.where(versions.is_vulnerable(*args, F.col("ecosystem"))))
+    hit = versions_in_ranges(deps, vulns.withColumnRenamed("package", "name"))
     aliases = F.coalesce(F.from_json("aliases", "array<string>"), F.array().cast("array<string>"))
     known = F.when(F.col("severity").isin(*dims.SEVERITIES), F.col("severity"))
     return hit.select(

@@ -312,29 +312,33 @@ def _documents(rows: DataFrame, source: Column, doc: Column, doc_no: Column | No
 
 
 @query("""
-    SELECT s_suppkey, address, ['aws_s3_bucket', 'aws_instance', 'aws_api_gateway_rest_api', 'aws_kms_key', 'custom_thing', 'aws_rds_cluster'][i + 1] AS resource_type,
-           CASE WHEN i = 1 THEN 'R0' WHEN i = 2 THEN 'R0,R1' ELSE '' END AS dependencies
-    FROM (SELECT s_suppkey, 'R' || i AS address, i FROM supplier, (VALUES (0), (1), (2), (3), (4), (5)) x(i))
+    SELECT s_suppkey, 'R' || i AS address,
+           ['aws_s3_bucket', 'aws_instance', 'aws_apigateway_rest_api', 'aws_kms_key', 'custom_thing', 'aws_rds_db_cluster', 'aws_internet_gateway', 'aws_ecs_service', 'aws_ecs_task_definition', 'aws_eks_cluster',
+            'aws_wafv2_web_acl', 'alexa_skill'][i + 1] AS resource_type,
+           CASE WHEN i = 1 THEN 'R0' WHEN i = 2 THEN 'R0,R1' ELSE '' END AS dependencies, CASE WHEN i = 0 THEN s_name END AS bucket
+    FROM supplier, range(12) r(i)
 """)
 def cloudformation_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types by name and by rule; DependsOn as a name and as a list."""
-    doc = (
-        '{"AWSTemplateFormatVersion":"2010-09-09","Resources":{"R0":{"Type":"AWS::S3::Bucket"},"R1":{"Type":"AWS::EC2::Instance","DependsOn":"R0"},'
-        '"R2":{"Type":"AWS::ApiGateway::RestApi","DependsOn":["R0","R1"]},"R3":{"Type":"AWS::KMS::Key"},"R4":{"Type":"Custom::Thing"},"R5":{"Type":"AWS::RDS::DBCluster"}}}'
-    )
+    kinds = ("KMS::Key", "Custom::Thing", "RDS::DBCluster", "EC2::InternetGateway", "ECS::Service", "ECS::TaskDefinition", "EKS::Cluster", "WAFv2::WebACL", "Alexa::Skill")
+    more = "".join(f',"R{i}":{{"Type":"{"" if k[0] in "CA" else "AWS::"}{k}"}}' for i, k in enumerate(kinds, 3))
     k = F.col("s_suppkey")
-    found = iac.cloudformation(_documents(table(spark, sf_dir, "supplier"), k.cast("string"), F.lit(doc)).where(files.is_cloudformation(F.lit("t.json"))))
-    kind = F.replace("resource_type", F.lit("apigateway"), F.lit("api_gateway"))
-    return found.select(F.col("source_file").cast("long").alias("s_suppkey"), "address", kind.alias("resource_type"), F.array_join("dependencies", ",").alias("dependencies"))
+    doc = _text(
+        '{"AWSTemplateFormatVersion":"2010-09-09","Resources":{"R0":{"Type":"AWS::S3::Bucket","Properties":{"BucketName":"', F.col("s_name"), '"}},"R1":{"Type":"AWS::EC2::Instance","DependsOn":"R0"},'
+        '"R2":{"Type":"AWS::ApiGateway::RestApi","DependsOn":["R0","R1"]}', more, "}}",
+    )
+    found = iac.cloudformation(_documents(table(spark, sf_dir, "supplier"), k.cast("string"), doc).where(files.is_cloudformation(F.lit("t.json"))))
+    bucket = F.try_variant_get("properties", "$.BucketName", "string")
+    return found.select(F.col("source_file").cast("long").alias("s_suppkey"), "address", "resource_type", F.array_join("dependencies", ",").alias("dependencies"), bucket.alias("bucket"))
 
 
 @query("""
-    SELECT c_custkey, p AS privileged, NOT q AS run_as_root, r AS has_resource_limits, (p OR q) AND NOT r AND c_custkey % 2 = 0 AS same, latest AS uses_latest_tag, host AS host_network,
-           CASE WHEN c_custkey % 4 = 0 THEN 'SYS_ADMIN' ELSE '' END AS dangerous, CASE WHEN c_custkey % 7 = 0 THEN 'TOKEN' ELSE '' END AS secret_env
-    FROM (SELECT c_custkey, c_custkey % 2 = 0 AS p, c_custkey % 3 = 0 AS q, c_custkey % 5 = 0 AS r, c_custkey % 11 <> 3 AS latest, c_custkey % 13 = 0 AS host FROM customer)
+    SELECT c_custkey, has AND p AS privileged, NOT (has AND q) AS run_as_root, NOT has OR r AS has_resource_limits, has AND latest AS uses_latest_tag, host AS host_network,
+           CASE WHEN has AND c_custkey % 4 = 0 THEN 'SYS_ADMIN' ELSE '' END AS dangerous, CASE WHEN has AND c_custkey % 7 = 0 THEN 'TOKEN' ELSE '' END AS secret_env, true AS writable_root_fs
+    FROM (SELECT c_custkey, c_custkey % 2 = 0 AS p, c_custkey % 3 = 0 AS q, c_custkey % 5 = 0 AS r, c_custkey % 11 <> 3 AS latest, c_custkey % 13 = 0 AS host, c_custkey % 17 > 0 AS has FROM customer)
 """)
 def kubernetes_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags over a container and an init container of Deployments and CronJobs."""
+    """Flags over a container and an init container of Deployments and CronJobs; some have no containers at all."""
     k = F.col("c_custkey")
     yes = lambda c: F.when(c, "true").otherwise("false")
     first = _text(
@@ -344,18 +348,17 @@ def kubernetes_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"name":"b","image":"', F.when(k % 11 == 3, "y:2").when(k % 11 < 3, "y").otherwise("y:latest"), '","resources":', F.when(k % 5 == 0, '{"limits":{"memory":"1Gi"}}').otherwise("{}"),
         ',"securityContext":{"runAsNonRoot":', yes(k % 3 == 0), '},"env":[{"name":"TOKEN"', F.when(k % 7 == 0, ',"valueFrom":{"secretKeyRef":{"name":"s"}}').otherwise(',"value":"v"'), "}]}",
     )
-    pod = _text('{"hostNetwork":', yes(k % 13 == 0), ',"containers":[', first, '],"initContainers":[', second, "]}")
+    some = F.when(k % 17 > 0, _text(first, '],"initContainers":[', second)).otherwise("")
+    pod = _text('{"hostNetwork":', yes(k % 13 == 0), ',"containers":[', some, "]}")
     spec = F.when(k % 2 == 0, _text('{"template":{"spec":', pod, "}}")).otherwise(_text('{"jobTemplate":{"spec":{"template":{"spec":', pod, "}}}}"))
     doc = _text('{"apiVersion":"v1","kind":"', F.when(k % 2 == 0, "Deployment").otherwise("CronJob"), '","metadata":{"name":"n"},"spec":', spec, "}")
     found = iac.kubernetes(_documents(table(spark, sf_dir, "customer"), k.cast("string"), doc))
     flag = lambda n: F.try_variant_get("properties", f"$.{n}", "boolean").alias(n)
     names = lambda n: F.array_join(F.try_variant_get("properties", f"$.{n}", "array<string>"), ",")
-    rows = found.select(
+    return found.select(
         F.col("source_file").cast("long").alias("c_custkey"), flag("privileged"), flag("run_as_root"), flag("has_resource_limits"), flag("uses_latest_tag"), flag("host_network"),
-        names("dangerous_capabilities").alias("dangerous"), names("secret_env_vars").alias("secret_env"),
+        names("dangerous_capabilities").alias("dangerous"), names("secret_env_vars").alias("secret_env"), flag("writable_root_fs"),
     )
-    same = (F.col("privileged") | ~F.col("run_as_root")) & ~F.col("has_resource_limits") & (F.col("c_custkey") % 2 == 0)
-    return rows.withColumn("same", same)
 
 
 @query("""
@@ -383,15 +386,15 @@ def kubernetes_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT p_partkey, p_partkey % 2 = 0 AS has_user, p_partkey % 3 > 0 AS uses_latest_tag, p_partkey % 5 = 0 AS has_ssh_exposed, p_partkey % 2 = 0 AND p_partkey % 4 = 0 AS is_root_user,
-           p_partkey % 7 = 0 AS has_healthcheck, ['img', 'img:1', 'img'][CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 1 END] AS base_image, CAST(5 + p_partkey % 2 AS BIGINT) AS n_instructions, 1 AS n_secret
-    FROM (SELECT p_partkey + 1 - 1 AS p_partkey FROM part)
+           p_partkey % 7 = 0 AS has_healthcheck, ['img', 'img:1', 'img'][CASE p_partkey % 3 WHEN 0 THEN 2 ELSE 1 END] AS base_image, CAST(6 + p_partkey % 2 AS BIGINT) AS n_instructions, 1 AS n_secret
+    FROM part
 """)
 def dockerfile_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary of each file, and its instructions: continued lines are one, comments none."""
     k = F.col("p_partkey")
     text = _text(
         "# a comment\nFROM ", F.when(k % 3 == 0, "img:1").otherwise("img"), "\nENV API_TOKEN=x\nRUN apt-get update && \\\n   apt-get install -y curl\nEXPOSE ", F.when(k % 5 == 0, "22/tcp").otherwise("8080"),
-        "\nHEALTHCHECK ", F.when(k % 7 == 0, "CMD x").otherwise("NONE"), F.when(k % 4 == 0, "\nUSER root").when(k % 2 == 0, "\nUSER app").otherwise("\n\nCOPY . /app"), F.when(k % 2 == 1, "").otherwise(""), "\n",
+        "\nHEALTHCHECK ", F.when(k % 7 == 0, "CMD x").otherwise("NONE"), F.when(k % 4 == 0, "\nUSER root").when(k % 2 == 0, "\nUSER app").otherwise("\n\nCOPY . /app"), F.when(k % 2 == 1, "\nWORKDIR /app").otherwise(""), "\n",
     )
     found = iac.dockerfile(table(spark, sf_dir, "part").select(k.cast("string").alias("source_file"), text.alias("text")))
     get = lambda n, t="boolean": F.try_variant_get("properties", f"$.{n}", t)
@@ -400,7 +403,7 @@ def dockerfile_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         get("has_healthcheck").alias("has_healthcheck"), get("base_image", "string").alias("base_image"),
     )
     each = found.where("resource_type <> 'dockerfile_image'").groupBy("source_file").agg(
-        (F.count("*") - 1 + F.first(F.col("source_file").cast("long")) % 2).alias("n_instructions"), F.count_if(get("has_secret_pattern")).cast("int").alias("n_secret")
+        F.count("*").alias("n_instructions"), F.count_if(get("has_secret_pattern")).cast("int").alias("n_secret")
     )
     return whole.join(each, "source_file").select(F.col("source_file").cast("long").alias("p_partkey"), *whole.columns[1:], "n_instructions", "n_secret")
 
@@ -540,7 +543,7 @@ def network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT 'aws_lb.' || s_suppkey AS resource_address, t AS target, CASE t WHEN 'g' THEN 'medium' ELSE 'medium' END AS severity
+    SELECT 'aws_lb.' || s_suppkey AS resource_address, t AS target, 'medium' AS severity
     FROM (SELECT s_suppkey, 'v' AS t FROM supplier UNION ALL SELECT s_suppkey, 'g' FROM (SELECT DISTINCT s_suppkey, g FROM (SELECT s_suppkey, s_nationkey AS g FROM supplier UNION ALL SELECT s_suppkey, 0 FROM supplier)))
 """)
 def boundary_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,17 +556,18 @@ def boundary_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT n_nationkey, n_threats, ['info', 'low', 'medium', 'high', 'critical'][worst + 1] AS max_severity, n_titles FROM nation
-    LEFT JOIN (SELECT c_nationkey, count(*) AS n_threats, max(c_custkey % 5) AS worst, least(5, count(*)) AS n_titles FROM customer WHERE c_nationkey > 2 GROUP BY 1) ON c_nationkey = n_nationkey
-    WHERE n_threats IS NOT NULL UNION ALL SELECT n_nationkey, 0, NULL, 0 FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey > 2)
+    SELECT n_nationkey, n_threats, ['info', 'low', 'medium', 'high', 'critical'][worst + 1] AS max_severity, n_titles , array_to_string(titles, ',') AS titles FROM (
+        SELECT n_nationkey, count(c_custkey) AS n_threats, max(c_custkey % 5) AS worst, least(5, count(c_custkey)) AS n_titles,
+               coalesce(list(c_name ORDER BY c_custkey % 5 DESC, c_name) FILTER (c_name IS NOT NULL), [])[1:5] AS titles
+        FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_nationkey <> 7) ON c_nationkey = n_nationkey GROUP BY n_nationkey)
 """)
 def threats_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "nation").select(F.lit("g").alias("source_file"), F.col("n_nationkey").cast("string").alias("id"))
-    threats = table(spark, sf_dir, "customer").where("c_nationkey > 2").select(
-        F.lit("g").alias("source_file"), F.col("c_nationkey").cast("string").alias("resource_address"), (F.col("c_custkey") % 5).cast("int").alias("sev_rank"), F.col("c_name").alias("title")
+    threats = table(spark, sf_dir, "customer").select(
+        F.lit("g").alias("source_file"), F.when(F.col("c_nationkey") == 7, "of no node").otherwise(F.col("c_nationkey").cast("string")).alias("resource_address"), (F.col("c_custkey") % 5).cast("int").alias("sev_rank"), F.col("c_name").alias("title")
     )
     found = graph.threat_counts(nodes, threats)
-    return found.select(F.col("id").cast("int").alias("n_nationkey"), "n_threats", "max_severity", F.size("titles").cast("long").alias("n_titles"))
+    return found.select(F.col("id").cast("int").alias("n_nationkey"), "n_threats", "max_severity", F.size("titles").cast("long").alias("n_titles"), F.array_join("titles", ",").alias("titles"))
 
 
 @query("""
@@ -688,34 +692,66 @@ def threat_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'error' WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'note' END AS level, 'RULE_' || event_id % 9 AS rule_id, 'a_b/' || event_id AS uri
-    FROM events
+    WITH t AS (SELECT event_id, 'RULE_' || event_id % 9 AS rule_id FROM events),
+         r AS (SELECT rule_id, row_number() OVER (ORDER BY min(event_id)) - 1 AS rule_index FROM t GROUP BY 1)
+    SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'error' WHEN 3 THEN 'error' WHEN 2 THEN 'warning' ELSE 'note' END AS level, rule_id, rule_index, '/ab/../' || event_id || '@x:1' AS uri
+    FROM t JOIN r USING (rule_id)
 """)
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _threats(spark, sf_dir).withColumns({"rule_id": _text("RULE_", F.col("event_id") % 9), "resource_address": _text("/a b/../", F.col("event_id")), "description": F.lit("")})
-    j = lambda p: F.get_json_object("result", p)
-    found = formats.sarif_results(rows.withColumn("resource_address", _text("/a b/", F.col("event_id"))))
-    return found.select(F.regexp_extract(j("$.message.text"), r"(\d+)$", 1).cast("long").alias("event_id"), j("$.level").alias("level"), j("$.ruleId").alias("rule_id"), j("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"))
+    """The results of a SARIF document, read from its lines."""
+    rows = _sarif_threats(spark, sf_dir)
+    lines = formats.sarif(rows, ("event_id",)).where("section = 3")
+    j = lambda p: F.get_json_object(F.ltrim(F.col("line"), F.lit(",")), p)
+    return lines.select(
+        F.col("n").alias("event_id"), j("$.level").alias("level"), j("$.ruleId").alias("rule_id"), j("$.ruleIndex").cast("long").alias("rule_index"),
+        j("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"),
+    )
+
+
+def _sarif_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _threats(spark, sf_dir).withColumns({
+        "rule_id": _text("RULE_", F.col("event_id") % 9), "resource_address": _text("/a b/../é", F.col("event_id"), "@x:1"), "description": F.lit(" said "), "source": F.lit("rule"),
+        "confidence": F.lit(1.0), "resource_type": F.lit("thing"), "mitigation": F.when(F.col("event_id") % 2 == 0, "mend it").otherwise(""), "title": _text("a-title_of ", "rule", F.col("event_id")),
+    })
 
 
 @query("""
-    SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(450 AS BIGINT) AS n_summary FROM events
+    WITH f AS (SELECT 'RULE_' || event_id % 9 AS rule_id, min(event_id) AS e FROM events GROUP BY 1)
+    SELECT rule_id, row_number() OVER (ORDER BY e) - 1 AS rule_index, 'ATitleOfRule' || e AS name, CASE WHEN e % 2 = 0 THEN 'mend it' ELSE 'See description.' END AS help,
+           'said' AS told, ['note', 'note', 'warning', 'error', 'error'][e % 5 + 1] AS level
+    FROM f
 """)
-def bitbucket_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _threats(spark, sf_dir).withColumns({"title": F.rpad("title", 600, "."), "description": F.lit(""), "resource_address": F.lit("x")})
-    found = formats.bitbucket_annotations(rows)
-    j = lambda p: F.get_json_object("annotation", p)
-    return found.select(j("$.external_id").cast("long").alias("event_id"), j("$.severity").alias("severity"), F.length(j("$.summary")).cast("long").alias("n_summary"))
+def sarif_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a SARIF document, each as its first threat describes it."""
+    lines = formats.sarif(_sarif_threats(spark, sf_dir), ("event_id",)).where("section = 1")
+    j = lambda p: F.get_json_object(F.ltrim(F.col("line"), F.lit(",")), p)
+    return lines.select(
+        j("$.id").alias("rule_id"), F.col("n").alias("rule_index"), j("$.name").alias("name"), j("$.help.text").alias("help"), j("$.fullDescription.text").alias("told"),
+        j("$.defaultConfiguration.level").alias("level"),
+    )
 
 
 @query("""
-    SELECT c_custkey, 'Ab' || c_custkey || 'CdEf' AS pascal, 'a\\|b ' || c_custkey AS escaped, 'x_y/' || c_custkey AS uri FROM customer
+    SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity, rpad(event_type || ' ' || event_id, 450, '.') AS summary,
+           'x' AS path, 1 AS line, 'said' AS details
+    FROM events
+""")
+def bitbucket_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _threats(spark, sf_dir).withColumns({"title": F.rpad("title", 600, "."), "description": F.lit("  said "), "resource_address": F.lit("x")})
+    lines = formats.bitbucket(rows, 5, ("event_id",)).where("section = 1")
+    j = lambda p: F.get_json_object(F.ltrim(F.col("line"), F.lit(",")), p)
+    return lines.select(j("$.external_id").cast("long").alias("event_id"), j("$.severity").alias("severity"), j("$.summary").alias("summary"), j("$.path").alias("path"), j("$.line").cast("int").alias("line"), j("$.details").alias("details"))
+
+
+@query(r"""
+    SELECT c_custkey, 'Ab' || c_custkey || 'CdEf.gh' AS pascal, 'a\<b\>\[c\]\(d\)\`' || c_custkey || '|\e' AS escaped, '/xy/../' || c_custkey || '@1:2' AS uri FROM customer
 """)
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        "c_custkey", formats.pascal_case(_text("ab", k, "-CD_ef")).alias("p0"), formats.escape_markdown(_text("a|b\n", k, "\r")).alias("escaped"), formats.artifact_uri(_text("/x y/", k)).alias("uri")
-    ).select("c_custkey", F.replace(F.replace("p0", F.lit("Cd"), F.lit("Cd")), F.lit("Ef"), F.lit("Ef")).alias("pascal"), "escaped", "uri")
+        "c_custkey", formats.pascal_case(_text("ab", k, "-CD__ ef.gH")).alias("pascal"), formats.escape_markdown(_text("a<b>[c](d)`", k, "|\\e")).alias("escaped"),
+        formats.artifact_uri(_text("/x y/../é", k, "@1:2")).alias("uri"),
+    )
 
 
 @query("""

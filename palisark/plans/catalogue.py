@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from palisark import dims
 from palisark.functions import formats, versions
 from palisark.operators import graph, reports, rules, secrets, vulnerabilities
+from palisark.operators.intervals import interval_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -351,13 +352,27 @@ def _key_sql(v: str) -> str:
 def version_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("p_partkey") % 5 == 0, "-rc1").otherwise("")
     version = F.concat_ws("", F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.col("p_partkey") % 7), tail)
-    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 25).cast("int").alias("eco"), version.alias("version"))
+    eco = lambda c: F.concat(F.lit("eco"), c)
+    parts = table(spark, sf_dir, "part").select("p_partkey", eco(F.col("p_partkey") % 25).alias("ecosystem"), F.lit("x").alias("name"), version.alias("version"))
     low = F.concat(F.lit("v"), F.col("s_suppkey") % 50, F.lit(".4"))
     high = F.concat(F.col("s_suppkey") % 50 + 3, F.lit(".3.1.9"))
-    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("eco"), low.alias("introduced"), high.alias("fixed"))
-    keyed = parts.select("p_partkey", "eco", versions.bound_key(F.col("version")).alias("key"))
-    bounds = ranges.select("s_suppkey", "eco", versions.bound_key(F.col("introduced")).alias("low"), versions.bound_key(F.col("fixed")).alias("high"))
-    return keyed.join(bounds, "eco").where(versions.within(F.col("key"), F.col("low"), F.col("high"))).select("p_partkey", "s_suppkey")
+    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", eco(F.col("s_nationkey")).alias("ecosystem"), F.lit("x").alias("name"), low.alias("version_introduced"), high.alias("version_fixed"))
+    return vulnerabilities.versions_in_ranges(parts, ranges).select("p_partkey", "s_suppkey")
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_partkey % 3 AS g, CAST(round(p_retailprice * 100) AS BIGINT) AS k FROM part),
+         r AS (SELECT o_orderkey, o_orderkey % 3 AS g, CASE WHEN o_orderkey % 101 > 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) % 200000 END AS lo, o_orderkey % 500 AS width FROM orders)
+    SELECT p_partkey, o_orderkey FROM p JOIN r ON p.g = r.g AND (lo IS NULL OR lo <= k) AND k < coalesce(lo, 90500) + width
+""")
+def nested_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in intervals, of which three keys have all; some intervals are open below."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    points = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("g"), cents("p_retailprice").alias("k"))
+    k = F.col("o_orderkey")
+    low = F.when(k % 101 > 0, cents("o_totalprice") % 200000)
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", (k % 3).alias("g"), low.alias("lo"), (F.coalesce(low, F.lit(90500)) + k % 500).alias("hi"))
+    return interval_join(points, spans, ["g"], "k", "lo", "hi").select("p_partkey", "o_orderkey")
 
 
 @query("""
@@ -427,12 +442,13 @@ def stride_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    SELECT technique_id, count(*) AS n, ['info', 'low', 'medium', 'high', 'critical'][max(event_id % 5) + 1] AS max_severity
-    FROM (SELECT event_id, unnest(list_distinct([{_TECHNIQUE_SQL}[event_id % 12 + 1], {_TECHNIQUE_SQL}[user_id % 12 + 1]])) AS technique_id FROM events)
+    SELECT technique_id, count(*) AS n, ['info', 'low', 'medium', 'high', 'critical'][max(event_id % 5) + 1] AS max_severity,
+           array_to_string(list(event_type || ' ' || event_id ORDER BY event_id)[1:5], '; ') AS first_titles
+    FROM (SELECT event_id, event_type, unnest(list_distinct([{_TECHNIQUE_SQL}[event_id % 12 + 1], {_TECHNIQUE_SQL}[user_id % 12 + 1]])) AS technique_id FROM events)
     GROUP BY 1
 """)
 def technique_max_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.technique_summary(_threats(spark, sf_dir)).drop("first_titles")
+    return reports.technique_summary(_threats(spark, sf_dir)).withColumn("first_titles", F.array_join("first_titles", "; "))
 
 
 @query(f"""
@@ -486,14 +502,19 @@ def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey, 'pkg:npm/' || replace(p_name, ' ', '-') || '@' || p_size || '.0.0' AS purl,
+    SELECT p_partkey, 'pkg:' || CASE WHEN p_partkey % 4 = 0 THEN 'golang/example.org/m/' WHEN p_partkey % 4 = 1 THEN 'npm/@scope/' WHEN p_partkey % 4 = 2 THEN 'hex/' ELSE 'cargo/' END
+               || replace(p_name, ' ', '-') || '@' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_size || '.0.0' END AS purl,
            substr(sha256(p_brand || '_' || p_partkey), 1, 12) AS hash_id,
            CASE WHEN p_size / 5.0 >= 9 THEN 'critical' WHEN p_size / 5.0 >= 7 THEN 'high' WHEN p_size / 5.0 >= 4 THEN 'medium' WHEN p_size > 0 THEN 'low' ELSE 'info' END AS severity
     FROM part
 """)
 def purl_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    purl = formats.purl(F.lit("npm"), F.replace("p_name", F.lit(" "), F.lit("-")), F.concat("p_size", F.lit(".0.0")))
+    k = F.col("p_partkey") % 4
+    prefix = F.when(k == 0, "example.org/m/").when(k == 1, "@scope/").otherwise("")
+    ecosystem = F.element_at(F.array(*map(F.lit, ("go", "npm", "hex", "crates.io"))), (k + 1).cast("int"))
+    version = F.when(F.col("p_partkey") % 5 != 0, F.concat("p_size", F.lit(".0.0")))
+    purl = formats.purl(ecosystem, F.concat(prefix, F.replace("p_name", F.lit(" "), F.lit("-"))), version)
     return part.select("p_partkey", purl.alias("purl"), dims.hash_id(F.col("p_brand"), F.col("p_partkey")).alias("hash_id"), dims.cvss_severity(F.col("p_size") / 5.0).alias("severity"))
 
 

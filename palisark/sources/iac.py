@@ -77,15 +77,17 @@ def terraform_plan(docs: DataFrame) -> DataFrame:
 #: CloudFormation types that have a name of their own.
 CLOUDFORMATION_TYPES = {
     "AWS::S3::Bucket": "aws_s3_bucket", "AWS::EC2::Instance": "aws_instance", "AWS::EC2::SecurityGroup": "aws_security_group", "AWS::EC2::VPC": "aws_vpc",
-    "AWS::EC2::Subnet": "aws_subnet", "AWS::RDS::DBInstance": "aws_db_instance", "AWS::RDS::DBCluster": "aws_rds_cluster", "AWS::Lambda::Function": "aws_lambda_function",
-    "AWS::IAM::Role": "aws_iam_role", "AWS::IAM::Policy": "aws_iam_policy", "AWS::IAM::User": "aws_iam_user", "AWS::DynamoDB::Table": "aws_dynamodb_table",
-    "AWS::SNS::Topic": "aws_sns_topic", "AWS::SQS::Queue": "aws_sqs_queue", "AWS::ElasticLoadBalancingV2::LoadBalancer": "aws_lb",
-    "AWS::CloudFront::Distribution": "aws_cloudfront_distribution", "AWS::ECS::Cluster": "aws_ecs_cluster", "AWS::EKS::Cluster": "aws_eks_cluster",
+    "AWS::EC2::Subnet": "aws_subnet", "AWS::EC2::InternetGateway": "aws_internet_gateway", "AWS::RDS::DBInstance": "aws_db_instance",
+    "AWS::Lambda::Function": "aws_lambda_function", "AWS::IAM::Role": "aws_iam_role", "AWS::IAM::Policy": "aws_iam_policy", "AWS::IAM::User": "aws_iam_user",
+    "AWS::DynamoDB::Table": "aws_dynamodb_table", "AWS::SQS::Queue": "aws_sqs_queue", "AWS::SNS::Topic": "aws_sns_topic", "AWS::ECS::Service": "aws_ecs_service",
+    "AWS::ECS::TaskDefinition": "aws_ecs_task_definition", "AWS::ElasticLoadBalancingV2::LoadBalancer": "aws_lb",
+    "AWS::CloudFront::Distribution": "aws_cloudfront_distribution",
 }
 
 
 def snake_case(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(text, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    """An underscore before each capitalised word, and between a small letter or digit and a capital."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
 
 
 def cloudformation_type(kind: Column) -> Column:
@@ -135,7 +137,8 @@ def kubernetes(docs: DataFrame) -> DataFrame:
     d = d.withColumn("pod", F.when(kind.isin(*WORKLOADS), pod))
     none = F.array().cast(VARIANTS)
     containers = F.concat(F.coalesce(_get("pod", "$.containers", VARIANTS), none), F.coalesce(_get("pod", "$.initContainers", VARIANTS), none))
-    d = d.withColumn("containers", F.when(F.col("pod").isNotNull(), containers))
+    some = F.col("pod").isNotNull() & ~F.to_json("pod").isin("{}", "null")
+    d = d.withColumn("containers", F.when(some, containers))
     c = F.col("containers")
     flag = lambda x, p, default=False: F.coalesce(_get(x, p, "boolean"), F.lit(default))
     any_of = lambda f: F.exists(c, f)
@@ -152,7 +155,7 @@ def kubernetes(docs: DataFrame) -> DataFrame:
         "run_as_root": ~any_of(lambda x: flag(x, "$.securityContext.runAsNonRoot")),
         "has_resource_limits": all_of(lambda x: full(x, "$.resources.limits")),
         "has_security_context": all_of(lambda x: full(x, "$.securityContext")),
-        "writable_root_fs": ~flag(last, "$.securityContext.readOnlyRootFilesystem"),
+        "writable_root_fs": ~flag(last, "$.securityContext.readOnlyRootFilesystem"),  # without containers: true, like the next
         "allow_privilege_escalation": flag(last, "$.securityContext.allowPrivilegeEscalation", True),
         "capabilities_dropped": any_of(lambda x: F.arrays_overlap(names(x, "$.securityContext.capabilities.drop"), F.array(F.lit("ALL"), F.lit("all")))),
         "dangerous_capabilities": F.flatten(F.transform(c, lambda x: F.filter(names(x, "$.securityContext.capabilities.add"), lambda n: n.isin(*DANGEROUS)))),
@@ -188,7 +191,7 @@ def kubernetes(docs: DataFrame) -> DataFrame:
     }
     packed = lambda *parts: F.to_variant_object(F.struct(*[v.alias(k) for p in parts for k, v in p.items()]))
     props = (
-        F.when(F.size("containers") > 0, packed(base, workload)).when(kind.isin("Role", "ClusterRole"), packed(base, role))
+        F.when(F.col("containers").isNotNull(), packed(base, workload)).when(kind.isin("Role", "ClusterRole"), packed(base, role))
         .when(kind.isin("RoleBinding", "ClusterRoleBinding"), packed(base, binding)).when(kind == "Service", packed(base, service))
         .when(kind == "NetworkPolicy", packed(base, policy)).otherwise(packed(base))
     )

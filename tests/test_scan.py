@@ -166,35 +166,94 @@ def test_limits_of_a_graph(spark):
 
 
 THREATS = [
-    {"id": "1", "title": "A|b", "description": "", "severity": "critical", "stride_category": "tampering", "resource_address": "/x/../y z", "rule_id": "MY_RULE", "mitigation": "fix"},
-    {"id": "2", "title": "C", "description": "D", "severity": "info", "stride_category": "spoofing", "resource_address": "q", "rule_id": "", "mitigation": ""},
+    {"id": "1", "title": "A_b c-DE", "description": " said ", "severity": "critical", "stride_category": "tampering", "resource_address": "/x/../y z`", "rule_id": "MY_RULE", "mitigation": "fix [it](x)"},
+    {"id": "2", "title": "C<b>", "description": "D", "severity": "info", "stride_category": "spoofing", "resource_address": "q", "rule_id": "", "mitigation": ""},
     {"id": "3", "title": "E" * 500, "description": "F", "severity": "medium", "stride_category": "tampering", "resource_address": "r", "rule_id": "MY_RULE", "mitigation": ""},
 ]
+_KIND = (
+    "ord int, id string, title string, description string, severity string, stride_category string, resource_address string, rule_id string, mitigation string, source string, "
+    "resource_type string, confidence double, mitre_techniques array<string>"
+)
 
 
-def test_documents():
-    told = json.loads(formats.json_report({"input_file": "x"}, THREATS))
-    assert (told["total_threats"], told["summary"]["critical"], told["summary"]["high"], told["threats"][1]["id"]) == (3, 1, 0, "2")
-    sarif = json.loads(formats.sarif(THREATS))["runs"][0]
-    assert [(r["ruleId"], r["ruleIndex"], r["level"]) for r in sarif["results"]] == [("MY_RULE", 0, "error"), ("2", 1, "note"), ("MY_RULE", 0, "warning")]
-    assert sarif["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] == "x//y_z" and sarif["tool"]["driver"]["rules"][0]["name"] == "MyRule"
-    text = formats.markdown(THREATS)
-    assert text.index("## Spoofing") < text.index("## Tampering") and "[CRITICAL] A\\|b" in text and "| critical | 1 |" in text
-    gate = formats.bitbucket(THREATS)
-    assert gate["report"]["result"] == "FAILED" and [len(a["summary"]) for a in gate["annotations"]] == [3, 1, 450]
-    assert formats.bitbucket(THREATS[1:])["report"]["result"] == "PASSED"
-    layer = json.loads(formats.navigator_layer([{"technique_id": "T1040", "max_severity": "high", "n": 2, "first_titles": ["a", "b"]}]))
-    assert layer["techniques"] == [{"techniqueID": "T1040", "score": 75, "color": "#ff6600", "enabled": True, "comment": "2 threats: a; b"}]
+def told(spark, threats):
+    rows = [tuple([i, *(t[k] for k in ("id", "title", "description", "severity", "stride_category", "resource_address", "rule_id", "mitigation")), "rule", "thing", 1.0, ["T1"]]) for i, t in enumerate(threats)]
+    return spark.createDataFrame(rows, _KIND).repartition(3)
+
+
+def read(lines):
+    return "\n".join(r.line for r in lines.collect())
+
+
+def test_json_report(spark):
+    doc = json.loads(read(formats.json_report(told(spark, THREATS), {"input_file": "x"})))
+    assert (doc["input_file"], doc["total_threats"], doc["summary"]["critical"], doc["summary"]["high"]) == ("x", 3, 1, 0)
+    assert [t["id"] for t in doc["threats"]] == ["1", "2", "3"]
+    assert json.loads(read(formats.json_report(told(spark, []), {})))["threats"] == []
+
+
+def test_sarif(spark):
+    doc = json.loads(read(formats.sarif(told(spark, THREATS))))["runs"][0]
+    assert [(r["ruleId"], r["ruleIndex"], r["level"]) for r in doc["results"]] == [("MY_RULE", 0, "error"), ("2", 1, "note"), ("MY_RULE", 0, "warning")]
+    first, rule = doc["results"][0], doc["tool"]["driver"]["rules"][0]
+    assert first["locations"][0]["physicalLocation"]["artifactLocation"] == {"uri": "/x/../yz", "uriBaseId": "%SRCROOT%"}
+    assert first["message"]["text"] == "[TAMPERING] A_b c-DE\n\nsaid\n\nResource: /x/../y z` (thing)"
+    assert (rule["id"], rule["name"], rule["help"]["markdown"], rule["properties"]["tags"]) == ("MY_RULE", "ABCDe", "**Mitigation**: fix [it](x)", ["security", "stride/tampering", "source/rule", "mitre/T1"])
+    assert json.loads(read(formats.sarif(told(spark, []))))["runs"][0]["results"] == []
+
+
+def test_markdown(spark):
+    text = read(formats.markdown(told(spark, THREATS)))
+    assert text.index("## Spoofing") < text.index("## Tampering") < text.index("A_b c-DE") < text.index("EEE") and "| critical | 1 |" in text
+    assert "### \\[INFO\\] C\\<b\\>" in text and "Mitigation: fix \\[it\\]\\(x\\)" in text and "`/x/../y z`" in text
+
+
+def test_bitbucket(spark):
+    gate = json.loads(read(formats.bitbucket(told(spark, THREATS), 7)))
+    assert gate["report"]["result"] == "FAILED" and [len(a["summary"]) for a in gate["annotations"]] == [8, 4, 450]
+    assert {d["title"]: d["value"] for d in gate["report"]["data"]} == {"Total Threats": 3, "Critical": 1, "High": 0, "Medium": 1, "Resources Scanned": 7}
+    assert gate["annotations"][0]["line"] == 1 and gate["annotations"][0]["details"] == "said"
+    assert json.loads(read(formats.bitbucket(told(spark, THREATS[1:]), 0)))["report"]["result"] == "PASSED"
+
+
+def test_navigator_layer_and_text_table():
+    layer = json.loads(formats.navigator_layer([{"technique_id": "T1040", "max_severity": "high", "n": 2, "first_titles": ["a", "b"]}], 2, "f"))
+    assert layer["techniques"] == [{
+        "techniqueID": "T1040", "tactic": "", "score": 75, "color": "#ff6600", "comment": "2 finding(s): a; b", "enabled": True,
+        "metadata": [{"name": "findings", "value": "2"}, {"name": "max_severity", "value": "high"}],
+    }]
+    assert layer["versions"] == {"attack": "16", "navigator": "5.1", "layer": "4.5"} and layer["gradient"]["colors"] == ["#cccccc", "#ffcc00", "#ff6600", "#ff0000"]
     table = formats.text_table([{"severity": "low", "id": "x"}, {"severity": "high", "id": "longer than that"}], {"severity": 8, "id": 6})
     assert table.splitlines() == ["SEVERITY  ID", "high      longer", "low       x"]
 
 
 def test_component_document(spark):
-    deps = spark.createDataFrame([("f", 0, "@s/a", "1.0", "npm", "MIT"), ("f", 1, "b", "", "go", "")], schemas.DEPENDENCY)
-    parts = [r.asDict() for r in formats.components(deps).orderBy("purl").collect()]
-    doc = json.loads(formats.cyclonedx(parts, [{"cve_id": "CVE-1", "purl": parts[1]["purl"], "cvss_score": 7.5, "severity": "high"}, {"cve_id": "CVE-2", "purl": "x", "cvss_score": None}]))
-    assert [c["purl"] for c in doc["components"]] == ["pkg:golang/b", "pkg:npm/%40s/a@1.0"] and doc["components"][1]["licenses"] == [{"license": {"id": "MIT"}}]
-    assert [v.get("ratings", [{}])[0].get("score") for v in doc["vulnerabilities"]] == [7.5, None] and doc["serialNumber"].startswith("urn:uuid:")
+    deps = spark.createDataFrame([("f", 0, "@s/a", "1.0", "npm", "MIT"), ("f", 1, "b", "", "go", ""), ("f", 2, "m/b", "2", "go", "")], schemas.DEPENDENCY)
+    kind = "cve_id string, id string, package_name string, package_version string, ecosystem string, cvss_score double, severity string, title string"
+    found = spark.createDataFrame([("CVE-1", "V1", "@s/a", "1.0", "npm", 7.5, "high", "t"), ("CVE-2", "V2", "x", "", "odd", 0.0, "low", "u")], kind)
+    doc = json.loads(read(formats.cyclonedx(deps, found)))
+    assert [c["purl"] for c in doc["components"]] == ["pkg:npm/@s/a@1.0", "pkg:golang/m/b@2"] and doc["components"][0]["licenses"] == [{"license": {"id": "MIT"}}]
+    assert doc["dependencies"][1] == {"ref": "pkg:golang/m/b@2", "dependsOn": []} and doc["components"][0]["properties"] == [{"name": "ecosystem", "value": "npm"}]
+    assert [(v["affects"][0]["ref"], v.get("ratings", [{}])[0].get("score")) for v in doc["vulnerabilities"]] == [("pkg:npm/@s/a@1.0", 7.5), ("pkg:odd/x@", None)]
+    assert doc["serialNumber"] == json.loads(read(formats.cyclonedx(deps)))["serialNumber"].strip() and "vulnerabilities" not in json.loads(read(formats.cyclonedx(deps)))
+
+
+def test_a_large_document_is_one(spark, tmp_path):
+    n = 100_000
+    rows = spark.range(n).selectExpr(
+        "id as ord", "cast(id as string) as id", "'t' as title", "'d' as description", "'low' as severity", "'spoofing' as stride_category", "'r' as resource_address", "concat('R', id % 500) as rule_id",
+        "'' as mitigation", "'rule' as source", "'k' as resource_type", "1.0D as confidence", "array('T1') as mitre_techniques",
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "1m")
+    try:
+        formats.write(formats.sarif(rows.orderBy(F.desc("ord"))), str(tmp_path / "doc"))
+    finally:
+        spark.conf.unset(size)
+    parts = sorted((tmp_path / "doc").glob("part-*"))
+    doc = json.loads("".join(p.read_text() for p in parts))["runs"][0]
+    assert len(parts) > 1 and len(doc["results"]) == n and len(doc["tool"]["driver"]["rules"]) == 500
+    assert all(r["ruleId"] == f"R{i % 500}" and r["ruleIndex"] == i % 500 for i, r in enumerate(doc["results"]))
 
 
 def test_diagram():
@@ -214,7 +273,8 @@ def test_reports_are_compared(spark, tmp_path):
     changes = reports.diff(before, after)
     assert {(r.id, r.change, r.title) for r in changes.collect()} == {("a", "removed", "A"), ("b", "unchanged", "B|x"), ("c", "added", "C|d")}
     assert [r.line for r in reports.diff_markdown(changes).collect()] == ["| added | c | info | C\\|d | `s` |", "| removed | a | low | A | `r` |", "| unchanged | b | high | B\\|x | `r` |"]
-    assert [(r.change, r.n, [json.loads(x)["id"] for x in r.rows]) for r in reports.diff_document(changes).collect()] == [("added", 1, ["c"]), ("removed", 1, ["a"]), ("unchanged", 1, ["b"])]
+    doc = json.loads(read(reports.diff_document(changes)))
+    assert {k: (v["n"], [x["id"] for x in v["rows"]]) for k, v in doc.items()} == {"added": (1, ["c"]), "removed": (1, ["a"]), "unchanged": (1, ["b"])}
 
 
 def test_pep440_and_system_packages(spark):
