@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisark import schemas
+from palisark.session import BROADCAST_ROWS, written
 from palisark.sources import files as file_sources
 from palisark.sources import lockfiles
 
@@ -44,38 +45,25 @@ def safe_path(path: str) -> str | None:
     return "/".join(parts) or None
 
 
-def _whole(content: bytes) -> bool:
-    """Whether an archive's members can all be listed."""
-    try:
-        with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-            for _ in tar:
-                pass
-        return True
-    except (tarfile.TarError, EOFError, OSError):
-        return False
-
-
 def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files and removals of layer archives (image, layer, content: tar, gzipped or not).
+    """What layer archives hold (image, layer, content: tar, gzipped or not), without any contents.
 
-    files: image, layer, path, content. removals: image, path, layer: what a whiteout removes of lower layers; an opaque
-    one removes all below its folder (path ends in '/'). A broken archive has no rows; paths that lead out are refused. A
-    layer of more than MAX_LAYER_BYTES or with more than MAX_FILES members is an error: nothing is left out in silence.
+    files: image, layer, path, place (of the member in its archive), size; of a path that an archive repeats, the last.
+    removals: image, path, layer: what a whiteout removes of lower layers; an opaque one removes all below its folder (path
+    ends in '/'). A broken archive has no rows; paths that lead out are refused. A layer of more than MAX_LAYER_BYTES or
+    with more than MAX_FILES members is an error: nothing is left out in silence. The listing is written once.
     """
 
-    columns = ["image", "layer", "path", "content", "kind"]
+    columns = ["image", "layer", "path", "place", "size", "kind"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for image, layer, content in zip(x["image"], x["layer"], x["content"]):
-                rows, size = [], 0
                 if content is None:
                     continue
-                # A broken archive has no rows: so its members are counted to the end before any of them goes out.
-                if not _whole(content):
-                    continue
                 if len(content) > MAX_LAYER_BYTES:
                     raise ValueError(f"layer {layer} of {image}: {len(content)} bytes, more than {MAX_LAYER_BYTES}")
+                found: dict[tuple[str, str], tuple[int, int]] = {}
                 try:
                     with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                         for n, member in enumerate(tar):
@@ -86,33 +74,32 @@ def read_layers(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
                                 continue
                             folder, _, name = path.rpartition("/")
                             if name == ".wh..wh..opq":
-                                rows.append((image, layer, folder + "/", None, "gone"))
+                                found[folder + "/", "gone"] = n, 0
                             elif name.startswith(".wh."):
-                                rows.append((image, layer, f"{folder}/{name[4:]}".lstrip("/"), None, "gone"))
+                                found[f"{folder}/{name[4:]}".lstrip("/"), "gone"] = n, 0
                             elif member.isfile():
-                                rows.append((image, layer, path, tar.extractfile(member).read(), "file"))
-                                size += member.size
-                            if size >= BATCH_BYTES:
-                                yield pd.DataFrame(rows, columns=columns)
-                                rows, size = [], 0
+                                found[path, "file"] = n, member.size
                 except (tarfile.TarError, EOFError, OSError):
                     continue
-                yield pd.DataFrame(rows, columns=columns)
+                yield pd.DataFrame([(image, layer, path, n, size, kind) for (path, kind), (n, size) in found.items()], columns=columns)
 
-    found = layers.select("image", "layer", "content").mapInPandas(run, "image string, layer int, path string, content binary, kind string")
-    return found.where("kind = 'file'").drop("kind"), found.where("kind = 'gone'").select("image", "path", "layer")
+    listed = layers.select("image", "layer", "content").mapInPandas(run, "image string, layer int, path string, place int, size long, kind string")
+    listed = written(listed, "layer-files")
+    return listed.where("kind = 'file'").drop("kind"), listed.where("kind = 'gone'").select("image", "path", "layer")
 
 
 def merge_layers(files: DataFrame, removals: DataFrame) -> DataFrame:
     """The file of the highest layer at each path, unless a higher layer removes it, its folder or all in its folder.
 
-    A removal is looked up by the file's path and each of its folders: equi-joins, no prefix comparison.
+    A removal is looked up by the file's path and each of its folders: equi-joins, no prefix comparison. Further columns of
+    ``files`` are carried; contents had better be read afterwards, for what is wanted (``read_contents``).
     """
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     names = F.array_union(ups, F.transform(F.filter(ups, lambda p: p != F.col("path")), lambda p: F.concat(p, F.lit("/"))))
     top = removals.groupBy("image", "path").agg(F.max("layer").alias("gone_at")).withColumnRenamed("path", "name")
-    kept = files.groupBy("image", "path").agg(F.max_by(F.struct("layer", "content"), "layer").alias("r")).select("image", "path", "r.*")
+    carried = [c for c in files.columns if c not in ("image", "path")]
+    kept = files.groupBy("image", "path").agg(F.max_by(F.struct(*carried), "layer").alias("r")).select("image", "path", "r.*")
     last = kept.select("image", "path", "layer")
     dead = (
         last.select("image", "path", "layer", F.explode(F.array_union(names, F.array(F.lit("/")))).alias("name"))
@@ -121,6 +108,42 @@ def merge_layers(files: DataFrame, removals: DataFrame) -> DataFrame:
     return kept.join(dead, ["image", "path"], "left_anti")
 
 
+def read_contents(layers: DataFrame, files: DataFrame) -> DataFrame:
+    """``files`` (image, path, layer, place) with their contents, read from the archives they lie in.
+
+    What moves is the list of wanted files, a row for each layer: it is broadcast up to a checked number of files; beyond
+    it, layers and lists are joined by shuffle.
+    """
+    wanted = files.groupBy("image", "layer").agg(F.collect_list(F.struct("place", "path")).alias("wanted"))
+    wanted = written(wanted, "wanted-files")
+    few = (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_ROWS
+    both = layers.select("image", "layer", "content").join(F.broadcast(wanted) if few else wanted, ["image", "layer"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for image, layer, content, wanted in zip(x["image"], x["layer"], x["content"], x["wanted"]):
+                places = {w["place"]: w["path"] for w in wanted}
+                rows, size = [], 0
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for n, member in enumerate(tar):
+                        if n in places:
+                            rows.append((image, layer, places.pop(n), tar.extractfile(member).read()))
+                            size += member.size
+                        if size >= BATCH_BYTES:
+                            yield pd.DataFrame(rows, columns=["image", "layer", "path", "content"])
+                            rows, size = [], 0
+                        if not places:
+                            break
+                yield pd.DataFrame(rows, columns=["image", "layer", "path", "content"])
+
+    return both.mapInPandas(run, "image string, layer int, path string, content binary")
+
+
+def wanted_files(path: Column) -> Column:
+    """Whether a path is one of those that OS detection and package readers look at."""
+    return path.isin(*OS_FILES) | path.rlike(DATABASES) | file_sources.is_lockfile(path) | path.rlike(METADATA)
+
+
 def _shell(text: Column, key: str) -> Column:
     """The value of a shell assignment: the last one, without its quotes."""
     every = F.regexp_extract_all(text, F.lit(rf"(?m)^\s*{key}\s*=[ \t]*(.*?)\s*$"), F.lit(1))
@@ -205,12 +228,18 @@ RPM_MAGIC = b"\x8e\xad\xe8\x01"
 RPM_TAGS = {1000: "name", 1001: "version", 1002: "release", 1003: "epoch", 1014: "license", 1022: "arch", 1044: "source_rpm"}
 RPM_STRING, RPM_INT32 = 6, 4
 BDB_HASH_MAGIC = 0x00061561
+BDB_HASH_PAGES, BDB_OVERFLOW_PAGE, BDB_INLINE, BDB_OFF_PAGE = (2, 13), 7, 1, 3
 
 
 def rpm_header(blob: bytes) -> dict | None:
-    """The package that a header blob describes: an index of (tag, type, offset, count) over a store of values."""
+    """The package that a header blob describes: an index of (tag, type, offset, count) over a store of values.
+
+    Package files put a magic before the two counts; databases leave it out.
+    """
     at = blob.find(RPM_MAGIC)
-    if at < 0 or at + 16 > len(blob):
+    if at < 0 and len(blob) >= 8 and 8 + 16 * int.from_bytes(blob[:4], "big") + int.from_bytes(blob[4:8], "big") == len(blob):
+        at = -8
+    if at == -1 or at + 16 > len(blob):
         return None
     entries, size = int.from_bytes(blob[at + 8 : at + 12], "big"), int.from_bytes(blob[at + 12 : at + 16], "big")
     index, store = at + 16, at + 16 + 16 * entries
@@ -235,7 +264,8 @@ def rpm_header(blob: bytes) -> dict | None:
 
 
 def rpm_blobs(content: bytes) -> Iterator[bytes]:
-    """The header blobs of a package database: SQLite's Packages table, or whatever pages of another format hold."""
+    """The header blobs of a package database: SQLite's Packages table, a Berkeley DB hash file's values, or what else
+    holds headers one after the other."""
     if content.startswith(b"SQLite format 3\0"):
         import sqlite3
 
@@ -247,9 +277,50 @@ def rpm_blobs(content: bytes) -> Iterator[bytes]:
             return
         finally:
             db.close()
-    else:  # Berkeley DB keeps headers whole on consecutive overflow pages or in hash pages: each starts with the magic
-        for m in re.finditer(re.escape(RPM_MAGIC), content):
-            yield content[m.start() :]
+        return
+    order = next((o for o in ("little", "big") if int.from_bytes(content[12:16], o) == BDB_HASH_MAGIC), None)
+    if order:
+        yield from bdb_values(content, order)
+        return
+    starts = [m.start() for m in re.finditer(re.escape(RPM_MAGIC), content)]
+    for at, end in zip(starts, [*starts[1:], len(content)]):
+        yield content[at:end]
+
+
+def bdb_values(content: bytes, order: str) -> Iterator[bytes]:
+    """The values of a Berkeley DB hash file: those inside its hash pages, and those put together from overflow pages.
+
+    A page has a header (its follower at 16, items at 20, free space or length at 22, its type at 25), then the places of
+    its items, which lie from its end down: keys and values by turns. A value off the page names its first overflow page
+    and its length. Each page is read once for each value that lies on it; a chain that doesn't end, or leads nowhere, has
+    no value.
+    """
+    number = lambda at, size: int.from_bytes(content[at : at + size], order)
+    page = number(20, 4)
+    if page < 512 or page & (page - 1) or page > 65536:
+        return
+    for base in range(page, len(content) - page + 1, page):
+        if content[base + 25] not in BDB_HASH_PAGES:
+            continue
+        items = min(number(base + 20, 2), (page - 26) // 2)
+        places = [number(base + 26 + 2 * i, 2) for i in range(items)]
+        for i in range(1, items, 2):
+            at, end = base + places[i], base + places[i - 1]
+            if not base + 26 + 2 * items <= at < end <= base + page:
+                continue
+            if content[at] == BDB_INLINE:
+                yield content[at + 1 : end]
+            elif content[at] == BDB_OFF_PAGE and end - at >= 12:
+                next_page, left, parts = number(at + 4, 4), number(at + 8, 4), []
+                for _ in range(-(-left // (page - 26))):
+                    start = next_page * page
+                    if not next_page or start + page > len(content) or content[start + 25] != BDB_OVERFLOW_PAGE:
+                        break
+                    parts.append(content[start + 26 : start + 26 + min(number(start + 22, 2), page - 26, left)])
+                    left -= len(parts[-1])
+                    next_page = number(start + 16, 4)
+                if left == 0:
+                    yield b"".join(parts)
 
 
 def rpm_packages(files: DataFrame) -> DataFrame:
@@ -267,12 +338,14 @@ def rpm_packages(files: DataFrame) -> DataFrame:
 def installed_packages(files: DataFrame) -> DataFrame:
     """All OS packages of merged image files (image, path, content), by the databases that are there."""
     text = files.withColumn("text", F.decode("content", "UTF-8"))
-    apk = apk_packages(text.where("path = 'lib/apk/db/installed'"))
+    apk = apk_packages(text.where("path = 'lib/apk/db/installed'"))  # DATABASES names all of these
     dpkg = dpkg_packages(text.where("path = 'var/lib/dpkg/status' or (path like 'var/lib/dpkg/status.d/%' and path not like '%.md5sums')"))
     rpm = rpm_packages(files.where(F.col("path").rlike(r"^(usr/lib/sysimage|var/lib)/rpm/(rpmdb\.sqlite|Packages)$")))
     return apk.unionByName(dpkg).unionByName(rpm)
 
 
+#: Package databases.
+DATABASES = r"^(lib/apk/db/installed|var/lib/dpkg/status|var/lib/dpkg/status\.d/.+|(usr/lib/sysimage|var/lib)/rpm/(rpmdb\.sqlite|Packages))$"
 #: Where Python's installed packages tell name, version and licence.
 METADATA = r"(^|/)(site|dist)-packages/[^/]+/(METADATA|PKG-INFO)$"
 
@@ -357,6 +430,16 @@ def verified_blobs(blobs: DataFrame) -> DataFrame:
     return blobs.where(F.col("digest") == F.concat(F.lit("sha256:"), F.sha2("content", 256)))
 
 
-def summary(findings: DataFrame) -> DataFrame:
-    """Counts by image and kind of finding."""
-    return findings.groupBy("image").pivot("kind", ["os_vulnerability", "app_vulnerability", "secret", "misconfig"]).agg(F.count(F.lit(1))).na.fill(0)
+#: The counts of an image's summary.
+COUNTED = ("os_packages", "os_vulnerabilities", "app_dependencies", "app_vulnerabilities", "secrets", "misconfigs")
+
+
+def summary(counted: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """A row for each image: how many rows of each kind (one of COUNTED) it has, and total_vulnerabilities.
+
+    ``images``: those that have a row in any case, of zeros if nothing was found.
+    """
+    if images is not None:
+        counted = counted.unionByName(images.select("image", F.lit("none").alias("kind")).distinct())
+    out = counted.groupBy("image").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in COUNTED])
+    return out.withColumn("total_vulnerabilities", F.col("os_vulnerabilities") + F.col("app_vulnerabilities"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 import yaml
@@ -140,8 +141,14 @@ def scan_image(
 ) -> dict[str, DataFrame]:
     """Of image layers (image, layer, content) and configurations (image, config VARIANT): os, os_packages, app_packages,
     os_vulnerability, app_vulnerability, misconfig, secret (if asked for), and summary, a row for each image.
+
+    Layers are merged as lists of files; contents are read afterwards and once, of files that a reader or scanner wants.
     """
-    found = image.merge_layers(*image.read_layers(layers))
+    merged = written(image.merge_layers(*image.read_layers(layers)), "image-files")
+    wanted = image.wanted_files(F.col("path"))
+    if with_secrets:
+        wanted = wanted | (F.col("size") <= secrets.MAX_FILE_BYTES) & ~secrets.skipped(F.col("path"))
+    found = written(image.read_contents(layers, merged.where(wanted)), "image-contents")
     os_info, packages, apps = image.detect_os(found), image.installed_packages(found), image.app_packages(found)
     out = {"os": os_info, "os_packages": packages, "app_packages": apps}
     out["os_vulnerability"] = vulnerabilities.os_findings(packages, os_info, os_known, ignore_unfixed)
@@ -151,9 +158,11 @@ def scan_image(
     if with_secrets:
         texts = secrets.scannable(found.withColumn("path", F.concat_ws("\0", "image", "path")))
         out["secret"] = secrets.scan(texts).withColumn("image", F.substring_index("file_path", "\0", 1))
-    kinds = [out[k].select("image", F.lit(k).alias("kind")) for k in ("os_vulnerability", "app_vulnerability", "misconfig", "secret") if k in out]
-    each = kinds[0]
-    for more in kinds[1:]:
-        each = each.unionByName(more)
-    out["summary"] = image.summary(each)
+    kinds = {
+        "os_packages": "os_packages", "app_packages": "app_dependencies", "os_vulnerability": "os_vulnerabilities", "app_vulnerability": "app_vulnerabilities",
+        "misconfig": "misconfigs", "secret": "secrets",
+    }
+    each = [out[k].select("image", F.lit(n).alias("kind")) for k, n in kinds.items() if k in out]
+    images = layers.select("image").union(configs.select("image"))
+    out["summary"] = image.summary(reduce(DataFrame.unionByName, each), images)
     return out

@@ -65,6 +65,57 @@ def test_rpm_databases(spark, tmp_path, path, kind):
     assert found == [{"image": "i"} | p for p in PACKAGES]
 
 
+def bdb_database(blobs, order, page=512):
+    """A Berkeley DB hash file: a page of its own for each two values; long ones on chains of overflow pages, in odd order."""
+    fmt = "<" if order == "little" else ">"
+    pages = {0: struct.pack(fmt + "QIIII", 0, 0, 0x00061561, 9, page) + b"\0\x08"}
+    head = lambda no, follower, items, free, kind: struct.pack(fmt + "QIIIHHBB", 0, no, 0, follower, items, free, 0, kind)
+    free = len(blobs) + 1
+    for k, blob in enumerate(blobs, 1):
+        items = [b"\1" + struct.pack(fmt + "I", k)]
+        if len(blob) < 300:
+            items.append(b"\1" + blob)
+        else:
+            cuts = [blob[i : i + page - 26] for i in range(0, len(blob), page - 26)]
+            numbers = list(range(free, free + len(cuts)))[::-1]
+            free += len(cuts)
+            for n, follower, cut in zip(numbers, [*numbers[1:], 0], cuts):
+                pages[n] = head(n, follower, 1, len(cut), 7) + cut
+            items.append(b"\3\0\0\0" + struct.pack(fmt + "II", numbers[0], len(blob)))
+        body, places, at = b"", [], page
+        for x in items:
+            at -= len(x)
+            places.append(at)
+            body = x + body
+        front = head(k, 0, len(items), at, 13) + b"".join(struct.pack(fmt + "H", p) for p in places)
+        pages[k] = front + b"\0" * (at - len(front)) + body
+    return b"".join(pages[n].ljust(page, b"\0") for n in range(free))
+
+
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_headers_on_pages_and_on_chains_of_pages(order):
+    long = rpm_blob("long", "1", "2", license_="GPL " * 300)
+    blobs = [BLOBS[0][8:], long, BLOBS[1], long[8:]]  # with the magic of package files, and without, as databases have them
+    assert [len(b) > 1024 for b in blobs] == [False, True, False, True]
+    content = bdb_database(blobs, order)
+    assert list(image.rpm_blobs(content)) == blobs
+    assert [image.rpm_header(b)["name"] for b in image.rpm_blobs(content)] == ["bash", "long", "openssl-libs", "long"]
+    broken = bytearray(content)
+    broken[5 * 512 + 25] = 2  # a chain is broken
+    assert list(image.rpm_blobs(bytes(broken[: 8 * 512]))) in ([blobs[0], blobs[2]], [blobs[0], blobs[1], blobs[2]], [blobs[0], blobs[2], blobs[3]])
+    assert list(image.rpm_blobs(content[:20])) == []
+
+
+def test_a_large_database_takes_linear_time():
+    import time
+
+    many = [rpm_blob(f"p{i}", "1", "2", license_="L" * 900) for i in range(4000)]
+    for content in (bdb_database(many, "little", 4096), b"\0".join(many)):
+        start = time.perf_counter()
+        assert sum(image.rpm_header(b) is not None for b in image.rpm_blobs(content)) == 4000
+        assert time.perf_counter() - start < 5
+
+
 def test_apk_and_dpkg_texts(spark):
     apk = "P:musl\nV:1.2.4-r2\nA:x86_64\nL:MIT\no:musl\n\nP:ssl\nV:3.1\no:openssl\n\nF:etc\n\n"
     dpkg = "Package: libc6\nStatus: install ok installed\nVersion: 2.36-9\nSource: glibc (2.36)\nArchitecture: amd64\n\nPackage: old\nStatus: deinstall ok config-files\nVersion: 1\n\nPackage: a\nVersion: 2\nSource: b\n"
@@ -115,8 +166,44 @@ def test_layers_merge(spark, monkeypatch):
         tar({"etc/a": b"3"}), b"no archive", tar({"f": b"x" * 2000})[:700],
     ]
     made = spark.createDataFrame([("i", n, c) for n, c in enumerate(layers)], "image string, layer int, content binary")
-    found = {r.path: bytes(r.content) for r in image.merge_layers(*image.read_layers(made)).collect()}
+    merged = image.merge_layers(*image.read_layers(made))
+    assert {r.path: r.size for r in merged.collect()} == {"etc/a": 1, "etc/b": 1, "opt/y": 1, "var/d": 1}
+    found = {r.path: bytes(r.content) for r in image.read_contents(made, merged).collect()}
     assert found == {"etc/a": b"3", "etc/b": b"2", "opt/y": b"2", "var/d": b"1"}
+    monkeypatch.setattr(image, "BROADCAST_ROWS", 0)
+    assert {r.path: bytes(r.content) for r in image.read_contents(made, merged.where("path = 'opt/y'")).collect()} == {"opt/y": b"2"}
+
+
+def test_the_last_of_repeated_members_counts(spark):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for content in (b"first", b"second"):
+            member = tarfile.TarInfo("a")
+            member.size = len(content)
+            t.addfile(member, io.BytesIO(content))
+    made = spark.createDataFrame([("i", 0, out.getvalue())], "image string, layer int, content binary")
+    assert [bytes(r.content) for r in image.read_contents(made, image.merge_layers(*image.read_layers(made))).collect()] == [b"second"]
+
+
+def test_what_is_shuffled_doesnt_grow_with_contents(spark, tmp_path):
+    import random
+
+    def shuffled(size):
+        noise = random.Random(1).randbytes(size)
+        layers = [tar({"etc/os-release": b"ID=debian\nVERSION_ID=12\n", "var/lib/dpkg/status": b"Package: a\nVersion: 1\n", "big": noise, f"big{n}": noise}) for n in range(2)]
+        path = str(tmp_path / str(size))
+        spark.createDataFrame([("i", n, c) for n, c in enumerate(layers)], "image string, layer int, content binary").write.parquet(path)
+        made = spark.read.parquet(path)
+        gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+        args = None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()
+        listed = lambda: (lambda x: [x.apply(i) for i in range(x.size())])(spark.sparkContext._jsc.sc().statusStore().stageList(*args))
+        before = {x.stageId() for x in listed()}
+        found = image.read_contents(made, image.merge_layers(*image.read_layers(made)).where(image.wanted_files(F.col("path"))))
+        assert sorted(r.path for r in found.select("path").collect()) == ["etc/os-release", "var/lib/dpkg/status"]
+        return sum(x.shuffleWriteBytes() for x in listed() if x.stageId() not in before)
+
+    small, large = shuffled(1000), shuffled(3_000_000)
+    assert large < 2 * small + 10_000
 
 
 def test_app_packages(spark):
@@ -158,7 +245,9 @@ def test_whole_image(spark):
     assert [(r.image, r.cve_id, r.package_name) for r in out["app_vulnerability"].collect()] == [("i", "CVE-2", "flask")]
     assert [r.id for r in out["misconfig"].collect()] == ["IMG_ROOT_USER"]
     assert [(r.image, r.rule_id) for r in out["secret"].collect()] == [("i", "SECRET_AWS_ACCESS_KEY")]
-    assert out["summary"].first().asDict() == {"image": "i", "os_vulnerability": 1, "app_vulnerability": 1, "secret": 1, "misconfig": 1}
+    assert [r.asDict() for r in out["summary"].collect()] == [
+        {"image": "i", "os_packages": 1, "os_vulnerabilities": 1, "app_dependencies": 1, "app_vulnerabilities": 1, "secrets": 1, "misconfigs": 1, "total_vulnerabilities": 2}
+    ]
     assert scan.scan_image(made, config.select("image", F.parse_json("c").alias("config")), os_known.where("false"), known)["os_vulnerability"].count() == 0
 
 
