@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from palisark import dims
 from palisark.functions import formats, versions
-from palisark.operators import graph, reports, rules, secrets, vulnerabilities
+from palisark.operators import graph, reports, rules, secrets, store, vulnerabilities
 from palisark.operators.intervals import interval_join
+from palisark.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -384,6 +385,20 @@ def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vulnerabilities.upsert(rows.drop("load_ord").limit(0), rows, ("user_id", "event_type"))
 
 
+@query("""
+    SELECT user_id, event_type, event_id, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 DESC, event_id DESC) AS r FROM events WHERE event_id % 3 < 2 OR event_id % 50 = 2) WHERE r = 1
+""")
+def upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after three loads, the last of which touches a part of its keys."""
+    path = shared_path(spark, "store")
+    store.create(spark, path, "user_id long, event_type string, event_id long, value double", ("user_id", "event_type"), 16)
+    e = table(spark, sf_dir, "events")
+    for part in ("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2 and event_id % 50 = 2"):
+        store.load(spark, path, e.where(part), "event_id")
+    return store.read(spark, path)
+
+
 _DIFF_CUT = "1997-01-01"
 
 
