@@ -234,16 +234,81 @@ def shortest_paths(links: DataFrame, entries: DataFrame, targets: DataFrame, max
     )
 
 
-def attack_paths(found_nodes: DataFrame, found_edges: DataFrame, threats: DataFrame, top: int = 5) -> DataFrame:
-    """The ``top`` worst paths of each file from threatened outer nodes (internet, DMZ) to threatened inner ones.
+#: Entries of a file that are searched from at a time.
+ENTRIES_AT_ONCE = 64
 
-    A path counts if two of its nodes or more have threats; its severity is the worst on it. Equal ones by path.
+
+def attack_paths(found_nodes: DataFrame, found_edges: DataFrame, threats: DataFrame, top: int = 5, at_once: int = ENTRIES_AT_ONCE) -> DataFrame:
+    """The ``top`` worst paths of each file from threatened outer nodes (internet, DMZ) to threatened inner ones:
+    source_file, path, n_threatened, rank, path_no, severity.
+
+    A path is a shortest one of its ends, of several that whose nodes, from its end on, have the smallest ids; its severity
+    is the worst on it; equal ones go by entry, then by target. Entries are taken in order, ``at_once`` of each file; a
+    search keeps one row for each of them and node: the parent and the worst rank so far. Only the paths that are returned
+    are put together. A file is done when its best paths are as bad as its worst threat, or it has no more entries: what is
+    held doesn't grow with entries times nodes.
     """
-    worst = threats.groupBy("source_file", F.col("resource_address").alias("id")).agg(F.max("sev_rank").alias("rank"))
-    hot = found_nodes.join(worst, ["source_file", "id"])
-    outer, inner = hot.where(F.col("trust_zone").isin("internet", "dmz")), hot.where(F.col("trust_zone").isin("data", "management"))
-    paths = shortest_paths(found_edges, outer, inner)
-    steps = paths.select("source_file", "path", F.explode("path").alias("id")).join(worst, ["source_file", "id"])
-    rated = steps.groupBy("source_file", "path").agg(F.count("*").alias("n_threatened"), F.max("rank").alias("rank")).where("n_threatened >= 2")
-    place = F.row_number().over(W.partitionBy("source_file").orderBy(F.desc("rank"), "path"))
-    return rated.withColumn("path_no", place).where(F.col("path_no") <= top).withColumn("severity", dims.severity_name(F.col("rank")))
+    worst = written(threats.groupBy("source_file", F.col("resource_address").alias("id")).agg(F.max("sev_rank").alias("rank")), "ranks")
+    hot = found_nodes.select("source_file", "id", "trust_zone").join(worst, ["source_file", "id"])
+    number = F.row_number().over(W.partitionBy("source_file").orderBy("id")) - 1
+    entries = hot.where(F.col("trust_zone").isin("internet", "dmz")).withColumn("round", F.floor(number / at_once))
+    goals = hot.where(F.col("trust_zone").isin("data", "management")).select("source_file", F.col("id").alias("at"))
+    entries = written(entries.join(goals.select("source_file").distinct(), "source_file").select("source_file", "id", "rank", "round"), "entries")
+    goals = written(goals, "goals")
+    links = found_edges.select("source_file", F.col("source").alias("at"), F.col("target").alias("to"))
+    links = written(links.union(found_edges.select("source_file", "target", "source")).where("at <> to").distinct(), "links")
+    most = worst.groupBy("source_file").agg(F.max("rank").alias("most"))
+    place = F.row_number().over(W.partitionBy("source_file").orderBy(F.desc("rank"), "entry", "target"))
+    best: DataFrame | None = None
+    for turn in itertools.count():
+        now = entries.where(F.col("round") == turn)
+        if best is not None:
+            done = best.join(most, "source_file").where("rank = most").groupBy("source_file").count().where(F.col("count") >= top)
+            now = now.join(done, "source_file", "left_anti")
+        now = written(now, "entries-now")
+        if now.isEmpty():
+            if entries.where(F.col("round") > turn).isEmpty() or best is not None:
+                break
+            continue
+        reached = _searched(now, links, worst)
+        hits = reached.join(goals, ["source_file", "at"]).where("entry <> at").withColumnRenamed("at", "target").drop("parent")
+        hits = hits.withColumn("place", place).where(F.col("place") <= top).drop("place")
+        found = _with_paths(written(hits, "hits"), reached)
+        found = found if best is None else found.unionByName(best)
+        best = written(found.withColumn("place", place).where(F.col("place") <= top).drop("place"), "best-paths")
+    if best is None:
+        best = entries.select("source_file", F.col("id").alias("entry"), F.col("id").alias("target"), "rank", F.lit(1).alias("n_threatened"), F.array("id").alias("path")).limit(0)
+    return best.withColumn("path_no", place).withColumn("severity", dims.severity_name(F.col("rank"))).drop("entry", "target")
+
+
+def _searched(entries: DataFrame, links: DataFrame, worst: DataFrame) -> DataFrame:
+    """Breadth first from ``entries``: source_file, entry, at, parent, and rank and n_threatened of the path so far."""
+    frontier = entries.select("source_file", F.col("id").alias("entry"), F.col("id").alias("at"), F.lit(None).cast("string").alias("parent"), "rank", F.lit(1).alias("n_threatened"))
+    reached = near = frontier = written(frontier, "search-0")
+    own = worst.select("source_file", F.col("id").alias("at"), F.col("rank").alias("own"))
+    for hop in itertools.count(1):
+        step = (
+            frontier.join(links, ["source_file", "at"])
+            .groupBy("source_file", "entry", F.col("to").alias("at")).agg(F.min(F.struct(F.col("at").alias("parent"), "rank", "n_threatened")).alias("x"))
+            .join(near.select("source_file", "entry", "at"), ["source_file", "entry", "at"], "left_anti").join(own, ["source_file", "at"], "left")
+            .select("source_file", "entry", "at", "x.parent", F.greatest("x.rank", "own").alias("rank"), (F.col("x.n_threatened") + F.col("own").isNotNull().cast("int")).alias("n_threatened"))
+        )
+        before, frontier = frontier, written(step, f"search-{hop}")
+        if frontier.isEmpty():
+            return reached
+        near = before.unionByName(frontier)  # edges have no direction: they lead one round back at most
+        reached = reached.unionByName(frontier)
+
+
+def _with_paths(hits: DataFrame, reached: DataFrame) -> DataFrame:
+    """``hits`` (source_file, entry, target) with their paths, from the parents."""
+    open_ = hits.withColumns({"at": F.col("target"), "path": F.array("target")})
+    ready: list[DataFrame] = []
+    up = reached.select("source_file", "entry", "at", "parent")
+    while True:
+        step = open_.join(up, ["source_file", "entry", "at"]).withColumns({"at": F.col("parent"), "path": F.concat(F.array("parent"), "path")}).drop("parent")
+        step = written(step, "walk-back")
+        ready.append(step.where("at = entry").drop("at"))
+        open_ = step.where("at <> entry")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, ready)

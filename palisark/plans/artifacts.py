@@ -13,7 +13,7 @@ from palisark import dims
 from palisark.functions import formats, versions
 from palisark.operators import graph, image, reports, rules, secrets, vulnerabilities
 from palisark.plans.catalogue import _SEVERITY_SQL, _STRIDE_SQL, _infra, _threats, query, sql_text, table
-from palisark.sources import files, iac, lockfiles
+from palisark.sources import files, iac, lockfiles, readers
 
 
 def _pick(values: tuple, by: Column) -> Column:
@@ -824,3 +824,48 @@ def dependency_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lockfiles.selected(lockfiles.as_resources(deps).unionByName(lockfiles.as_resources(deps).withColumn("resource_type", F.lit("aws_vpc"))))
     parts = formats.components(deps).select("source_file", F.get_json_object("component", "$.purl").alias("purl"))
     return made.join(parts, "source_file").select(F.col("source_file").cast("long").alias("p_partkey"), "resource_type", "address", "purl")
+
+
+@query("""
+    SELECT p_partkey, 'pkg-' || p_partkey AS name, p_size || '.0' AS version, 'pypi' AS ecosystem, false AS broken FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, '@s/x', '1.' || p_size, 'npm', false FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, NULL, NULL, NULL, true FROM part WHERE p_partkey % 3 = 2
+""")
+def lockfiles_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lock files through a registered reader, from SQL."""
+    k = F.col("p_partkey")
+    path = _pick(("a/requirements.txt", "b/package-lock.json", "c/package-lock.json"), k)
+    npm = _text('{"lockfileVersion":3,"packages":{"node_modules/@s/x":{"version":"1.', F.col("p_size"), '"}}}')
+    text = F.when(k % 3 == 0, _text("pkg-", k, "==", F.col("p_size"), ".0\n")).when(k % 3 == 1, npm).otherwise("{")
+    readers.register_lockfiles(spark)
+    rows = table(spark, sf_dir, "part").select("p_partkey", path.alias("source_file"), text.alias("text"))
+    return spark.sql("SELECT p_partkey, r.name, r.version, r.ecosystem, r.error IS NOT NULL AS broken FROM {rows}, LATERAL read_lockfile(source_file, text) r", rows=rows)
+
+
+@query("""
+    WITH RECURSIVE n AS (SELECT s_suppkey AS id, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS name, count(*) OVER () AS total FROM supplier),
+    e AS (SELECT id AS a, (id * 7 + 3) % total AS b FROM n UNION SELECT id, (id + 11) % total FROM n),
+    u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+    hot AS (SELECT c_custkey % total AS id, max(c_custkey % 5) AS rank FROM customer, (SELECT max(total) AS total FROM n) WHERE c_custkey % 3 > 0 GROUP BY 1),
+    s AS (SELECT n.id FROM n JOIN hot USING (id) WHERE n.id % 10 = 0), g AS (SELECT n.id FROM n JOIN hot USING (id) WHERE n.id % 10 = 7),
+    w AS (SELECT id AS s, id AS t, 0 AS d FROM s UNION SELECT s, b, d + 1 FROM w JOIN u ON t = a WHERE d < 25),
+    dist AS (SELECT s, t, min(d) AS d FROM w GROUP BY ALL),
+    par AS (SELECT x.s, x.t, x.d, min(y.t) AS p FROM dist x JOIN u ON u.b = x.t JOIN dist y ON y.s = x.s AND y.t = u.a AND y.d = x.d - 1 GROUP BY ALL),
+    back AS (SELECT s, t AS target, t AS cur, [t] AS path FROM dist JOIN g ON g.id = t WHERE d > 0
+             UNION ALL SELECT back.s, target, p, list_prepend(p, path) FROM back JOIN par ON par.s = back.s AND par.t = cur),
+    hit AS (SELECT s, target, path, (SELECT max(rank) FROM hot WHERE list_contains(path, hot.id)) AS rank FROM back WHERE cur = s)
+    SELECT 'g' AS source_file, CAST(r AS INTEGER) AS path_no, ['info', 'low', 'medium', 'high', 'critical'][rank + 1] AS severity, array_to_string(list_transform(path, lambda x: lpad(CAST(x AS VARCHAR), 6, '0')), '>') AS path
+    FROM (SELECT *, row_number() OVER (ORDER BY rank DESC, s, target) AS r FROM hit) WHERE r <= 5
+""")
+def attack_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst paths from threatened outer nodes to threatened inner ones in a graph of suppliers."""
+    supplier = table(spark, sf_dir, "supplier")
+    total = supplier.count()
+    k = F.col("s_suppkey")
+    name = lambda c: F.lpad(c.cast("string"), 6, "0")
+    zone = F.when(k % 10 == 0, "internet").when(k % 10 == 7, "data").otherwise("private")
+    nodes = supplier.select(F.lit("g").alias("source_file"), name(k).alias("id"), zone.alias("trust_zone"))
+    links = reduce(DataFrame.union, [supplier.select(F.lit("g").alias("source_file"), name(k).alias("source"), name(to).alias("target")) for to in ((k * 7 + 3) % total, (k + 11) % total)])
+    c = F.col("c_custkey")
+    threats = table(spark, sf_dir, "customer").where(c % 3 > 0).select(F.lit("g").alias("source_file"), name(c % total).alias("resource_address"), (c % 5).cast("int").alias("sev_rank"))
+    return graph.attack_paths(nodes, links, threats).select("source_file", "path_no", "severity", F.array_join("path", ">").alias("path"))

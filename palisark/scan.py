@@ -129,6 +129,14 @@ def scan_filesystem(
     return {k: v for k, (v, _) in parts.items()} | ({"suppressed": gone} if gone is not None else {})
 
 
+def unread(spark: SparkSession, path: str, allow_patterns: tuple[str, ...] = ()) -> DataFrame:
+    """What scans of ``path`` leave out (``files.QUARANTINE``): files that are too large, that no format could read or that
+    none fits, files too large for the secret scan, and allow patterns that are too long."""
+    found = files.walk(spark, path)
+    large = files.too_large(spark, path)
+    return large.unionByName(iac.read(found).quarantine).unionByName(secrets.left_out(found, allow_patterns))
+
+
 def scan_all(spark: SparkSession, path: str, known: DataFrame | None = None, **options) -> DataFrame:
     """All findings under ``path`` as one table (``reports.combined``)."""
     parts = scan_filesystem(spark, path, known, **options)

@@ -29,13 +29,28 @@ def walk(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFram
     """path, rel, length, content of all files under ``root`` that aren't too large or in a skipped folder.
 
     The size goes to the file listing, so what is too large isn't read; contents are read by the tasks that use them.
+    ``too_large`` tells what was left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
+    return _listed(spark, root).where(F.col("length") <= max_bytes).select("path", "rel", "length", "content")
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", ""), "^" + _quoted(base) + "/?", "")
     folders = F.slice(F.split(rel, "/"), F.lit(1), F.size(F.split(rel, "/")) - 1)
     skipped = F.exists(folders, lambda d: d.isin(*SKIP_FOLDERS) | d.startswith("."))
-    return files.withColumn("rel", rel).where(~skipped).select("path", "rel", "length", "content")
+    return files.withColumn("rel", rel).where(~skipped)
+
+
+#: What wasn't read: by which parser, and why.
+QUARANTINE = "source_file string, parser string, error string"
+
+
+def too_large(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The files that ``walk`` leaves out for their size (QUARANTINE); no content is read."""
+    big = _listed(spark, root).where(F.col("length") > max_bytes)
+    return big.select(F.col("rel").alias("source_file"), F.lit("walk").alias("parser"), F.format_string(f"%d bytes, more than {max_bytes}", "length").alias("error"))
 
 
 def _quoted(text: str) -> str:
@@ -76,17 +91,30 @@ def texts(files: DataFrame) -> DataFrame:
 def documents(rows: DataFrame) -> DataFrame:
     """The JSON, YAML (all documents) or TOML documents of (source_file, text) rows: source_file, doc_no, doc VARIANT.
 
-    The parsers run in Arrow batches and give JSON; a text that doesn't parse has no documents. YAML's tags are read as
-    what they mark, so templates with intrinsic functions are read too; dates become text.
+    A text that doesn't parse has no documents (``parsed`` tells why).
+    """
+    return parsed(rows).where("error is null").drop("error")
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """``documents``, and a row with an error, without doc_no and doc, for each text that doesn't parse.
+
+    The parsers run in Arrow batches and give JSON. YAML's tags are read as what they mark, so templates with intrinsic
+    functions are read too; dates become text.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = [(f, i, json.dumps(d, default=str)) for f, t in zip(x["source_file"], x["text"]) for i, d in enumerate(_parsed(f, t or ""))]
-            yield pd.DataFrame(out, columns=["source_file", "doc_no", "json"])
+            out = []
+            for f, t in zip(x["source_file"], x["text"]):
+                try:
+                    out += [(f, i, json.dumps(d, default=str), None) for i, d in enumerate(_parsed(f, t or ""))]
+                except (ValueError, RecursionError) as e:
+                    out.append((f, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["source_file", "doc_no", "json", "error"]).astype({"doc_no": "Int32"})
 
-    found = rows.select("source_file", "text").mapInPandas(run, "source_file string, doc_no int, json string")
-    return found.select("source_file", "doc_no", F.parse_json("json").alias("doc"))
+    found = rows.select("source_file", "text").mapInPandas(run, "source_file string, doc_no int, json string, error string")
+    return found.select("source_file", "doc_no", F.parse_json("json").alias("doc"), "error")
 
 
 def _parsed(name: str, text: str) -> list:
@@ -110,8 +138,8 @@ def _parsed(name: str, text: str) -> list:
         if base.endswith((".json", "Pipfile.lock", "composer.lock", "conan.lock")):
             return [json.loads(text)]
         return [d for d in yaml.load_all(text, Loader) if d is not None]
-    except (ValueError, yaml.YAMLError, RecursionError):
-        return []
+    except yaml.YAMLError as e:
+        raise ValueError(str(e)) from e
 
 
 def _has(key: str) -> Column:
@@ -137,7 +165,11 @@ def is_chart(path: Column) -> Column:
 
 @dataclass(frozen=True)
 class Format:
-    """A format: which documents are its own, and how they become resources; the lowest priority number goes first."""
+    """A format: which documents are its own, and how they become resources; the lowest priority number goes first.
+
+    What ``parse`` gives may have a column ``error``: where that isn't null, the format can't read the row's source_file,
+    and the next format that fits is tried (``iac.read``).
+    """
 
     name: str
     priority: int
@@ -154,10 +186,14 @@ def register_format(name: str, detects: Callable[[Column], Column], parse: Calla
     FORMATS[name] = Format(name, priority, detects, parse, structured)
 
 
+def claims(structured: bool) -> Column:
+    """The names of the formats whose predicates hold for a row, by priority."""
+    path = F.col("source_file")
+    own = [f for f in sorted(FORMATS.values(), key=lambda f: f.priority) if f.structured == structured]
+    held = [F.when(F.coalesce(f.detects(path), F.lit(False)), F.lit(f.name)) for f in own]
+    return F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")
+
+
 def with_format(rows: DataFrame, structured: bool) -> DataFrame:
     """``rows`` with format_type: the first format, by priority, whose predicate holds; null for none."""
-    path, case = F.col("source_file"), F
-    for f in sorted(FORMATS.values(), key=lambda f: f.priority):
-        if f.structured == structured:
-            case = case.when(F.coalesce(f.detects(path), F.lit(False)), f.name)
-    return rows.withColumn("format_type", case.otherwise(F.lit(None).cast("string")) if case is not F else F.lit(None).cast("string"))
+    return rows.withColumn("format_type", F.get(claims(structured), F.lit(0)))

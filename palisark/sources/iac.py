@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palisark import dims
+from palisark.session import written
 from palisark.sources import files
 
 MAX_MODULE_DEPTH = 50
@@ -349,21 +351,24 @@ def hcl_blocks(text: str) -> Iterator[tuple[list[str], dict]]:
 
 
 def terraform_hcl(rows: DataFrame) -> DataFrame:
-    """HCL files: a resource for each resource block, without dependencies."""
+    """HCL files: a resource for each resource block, without dependencies; ``error`` where a file can't be read."""
     import json
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for f, t in zip(x["source_file"], x["text"]):
-                found = [(w[1], w[2], b) for w, b in hcl_blocks(t or "") if len(w) == 3 and w[0] == "resource"]
-                out += [(f, i, kind, name, json.dumps(b)) for i, (kind, name, b) in enumerate(found)]
-            yield pd.DataFrame(out, columns=["source_file", "ord", "kind", "name", "json"])
-
-    found = rows.select("source_file", "text").mapInPandas(run, "source_file string, ord int, kind string, name string, json string")
+                try:
+                    found = [(w[1], w[2], b) for w, b in hcl_blocks(t or "") if len(w) == 3 and w[0] == "resource"]
+                    out += [(f, i, kind, name, json.dumps(b), None) for i, (kind, name, b) in enumerate(found)]
+                except (ValueError, IndexError, RecursionError) as e:
+                    out.append((f, None, "", "", "{}", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["source_file", "ord", "kind", "name", "json", "error"]).astype({"ord": "Int32"})
+
+    found = rows.select("source_file", "text").mapInPandas(run, "source_file string, ord int, kind string, name string, json string, error string")
     first = F.substring_index("kind", "_", 1)
     provider = F.when(first.isin("aws", "azurerm", "google"), F.concat(F.lit("hashicorp/"), first)).otherwise(first)
-    return found.select(*_resource(F.col("source_file"), F.col("ord"), F.col("kind"), F.concat_ws(".", "kind", "name"), F.col("name"), provider, F.parse_json("json")))
+    return found.select(*_resource(F.col("source_file"), F.col("ord"), F.col("kind"), F.concat_ws(".", "kind", "name"), F.col("name"), provider, F.parse_json("json")), "error")
 
 
 files.register_format("terraform_plan", files.is_plan, terraform_plan, 10)
@@ -373,11 +378,67 @@ files.register_format("dockerfile", files.is_dockerfile, dockerfile, 25, structu
 files.register_format("terraform_hcl", lambda p: p.endswith(".tf"), terraform_hcl, 30, structured=False)
 
 
-def resources(found: DataFrame) -> DataFrame:
-    """The resources of all infrastructure files of ``files.walk``: each file is read as the first format that fits it."""
-    rows = files.texts(found)
+@dataclass(frozen=True)
+class Reading:
+    """What ``read`` gives: resources (``schemas.RESOURCE``), files (source_file, format_type) that were read, and quarantine
+    (``files.QUARANTINE``): files that nobody could read, with each parser that tried and its error."""
+
+    resources: DataFrame
+    files: DataFrame
+    quarantine: DataFrame
+
+
+def read(found: DataFrame) -> Reading:
+    """The resources of the infrastructure files of ``files.walk``, and an account of all of them.
+
+    Texts are parsed once. Each document is read as the first format, by priority, that fits it; a file that a format
+    turns out unable to read is read by the next one that fits. Charts are read as such, and their templates with them.
+    """
+    rows = written(files.texts(found), "texts")
     path = F.col("source_file")
-    plain = files.with_format(rows, structured=False)
-    docs = files.with_format(files.documents(rows.where(path.rlike(r"(?i)\.(json|ya?ml)$") & ~files.is_lockfile(path) & ~path.rlike(r"(^|/)templates/"))), structured=True)
-    parts = [f.parse((docs if f.structured else plain).where(F.col("format_type") == f.name)) for f in files.FORMATS.values()]
-    return reduce(DataFrame.unionByName, [*parts, helm(rows)])
+    infra = files.is_iac_candidate(path) & ~files.is_lockfile(path) & ~path.rlike(r"(^|/)templates/")
+    plain = rows.withColumn("claims", files.claims(False)).where(infra | (F.size("claims") > 0))
+    parsed = written(files.parsed(rows.where(infra & path.rlike(r"(?i)\.(json|ya?ml)$"))), "parsed")
+    docs = parsed.where("error is null").drop("error").withColumn("claims", files.claims(True))
+    order = F.array(*[F.lit(f.name) for f in sorted(files.FORMATS.values(), key=lambda f: f.priority)])
+    both = plain.select("source_file", F.explode_outer("claims").alias("c")).unionByName(docs.select("source_file", F.explode("claims").alias("c")))
+    listed = written(both.groupBy("source_file").agg(F.array_intersect(order, F.collect_set("c")).alias("formats")), "listed-files")
+    failures = written(parsed.where("error is not null").select("source_file", F.lit("text").alias("parser"), "error"), "unparsed")
+    good: list[DataFrame] = []
+    todo = listed.where(F.size("formats") > 0).withColumn("failed", F.array().cast("array<string>"))
+    while True:
+        left = lambda c: F.get(F.array_except(c, F.col("failed")), F.lit(0))
+        chosen = todo.select("source_file", "failed", left(F.col("formats")).alias("format_type")).where("format_type is not null")
+        docs_now = docs.join(chosen.drop("format_type"), "source_file").withColumn("format_type", left(F.col("claims"))).drop("claims", "failed")
+        plain_now = plain.drop("claims").join(chosen.drop("failed"), "source_file")
+        out, errors = [], []
+        for f in files.FORMATS.values():
+            part = f.parse((docs_now if f.structured else plain_now).where(F.col("format_type") == f.name))
+            if "error" in part.columns:
+                part = written(part, "attempt")
+                errors.append(part.where("error is not null").select("source_file", F.lit(f.name).alias("parser"), "error").distinct())
+                part = part.where("error is null").drop("error")
+            out.append(part)
+        now = written(reduce(DataFrame.unionByName, errors), "failures") if errors else None
+        again = now is not None and not now.isEmpty()
+        made = reduce(DataFrame.unionByName, out)
+        good.append(made.join(now.select("source_file").distinct(), "source_file", "left_anti") if again else made)
+        if not again:
+            break
+        failures = failures.unionByName(now)
+        tried = now.groupBy("source_file").agg(F.collect_set("parser").alias("now"))
+        todo = written(todo.join(tried, "source_file").withColumn("failed", F.array_union("failed", "now")).drop("now"), "again")
+    tried = failures.where("parser <> 'text'").groupBy("source_file").agg(F.collect_set("parser").alias("failed"))
+    told = listed.join(tried, "source_file", "left").withColumn("failed", F.coalesce("failed", F.array().cast("array<string>")))
+    told = written(told.select("source_file", left(F.col("formats")).alias("format_type")), "told")
+    chart = files.file_name(path) == "Chart.yaml"
+    unread = told.where(F.col("format_type").isNull() & ~chart).select("source_file")
+    why = unread.join(failures, "source_file", "left")
+    quarantine = why.select("source_file", F.coalesce("parser", F.lit("")).alias("parser"), F.coalesce("error", F.lit("no format fits")).alias("error"))
+    read_files = told.select("source_file", F.coalesce("format_type", F.when(chart, "helm")).alias("format_type")).where("format_type is not null")
+    return Reading(reduce(DataFrame.unionByName, [*good, helm(rows)]), read_files, quarantine)
+
+
+def resources(found: DataFrame) -> DataFrame:
+    """The resources of all infrastructure files of ``files.walk`` (see ``read``)."""
+    return read(found).resources

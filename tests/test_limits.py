@@ -36,3 +36,52 @@ def test_paths_of_more_than_fifty_hops(spark):
     links = spark.createDataFrame([("f", node(k), node(k + 1)) for k in range(53)], "source_file string, source string, target string")
     ends = [spark.createDataFrame([("f", node(k))], "source_file string, id string") for k in (0, 53)]
     assert [(r.hops, r.path) for r in graph.shortest_paths(links.coalesce(1), *ends).collect()] == [(53, [node(k) for k in range(54)])]
+
+
+def test_attack_paths_in_blocks_equal_those_at_once(spark):
+    import random
+
+    rng = random.Random(6)
+    zones = ["internet", "dmz", "private", "private", "data"]
+    nodes = [(f, f"{f}{i:02}", rng.choice(zones)) for f in "ab" for i in range(40)]
+    links = [(f, f"{f}{rng.randrange(40):02}", f"{f}{rng.randrange(40):02}") for f in "ab" for _ in range(45)]
+    threats = [(f, f"{f}{rng.randrange(40):02}", rng.randrange(5)) for f in "ab" for _ in range(40)]
+    tables = [
+        spark.createDataFrame(nodes, "source_file string, id string, trust_zone string"), spark.createDataFrame(links, "source_file string, source string, target string"),
+        spark.createDataFrame(threats, "source_file string, resource_address string, sev_rank int"),
+    ]
+
+    def expected(f):
+        rank = {}
+        for g, i, r in threats:
+            rank[i] = max(rank.get(i, r), r)
+        near = {}
+        for g, a, b in links:
+            if a != b:
+                near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+        out = []
+        for _, s, z in nodes:
+            if s[0] != f or z not in ("internet", "dmz") or s not in rank:
+                continue
+            parent, level = {s: None}, [s]
+            while level:
+                new = {}
+                for a in sorted(level):
+                    for b in near.get(a, ()):
+                        if b not in parent:
+                            new.setdefault(b, a)
+                parent |= new
+                level = list(new)
+            for _, t, y in nodes:
+                if y == "data" and t in rank and t in parent and t != s:
+                    path = [t]
+                    while parent[path[0]]:
+                        path.insert(0, parent[path[0]])
+                    out.append((-max(rank.get(x, -1) for x in path), s, t, path))
+        return [(f, k, p) for k, (_, _, _, p) in enumerate(sorted(out)[:5], 1)]
+
+    want = expected("a") + expected("b")
+    assert len(want) >= 6
+    for at_once in (2, 100):
+        got = graph.attack_paths(*tables, at_once=at_once).orderBy("source_file", "path_no").collect()
+        assert [(r.source_file, r.path_no, r.path) for r in got] == want

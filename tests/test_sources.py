@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisark.operators import graph, rules
-from palisark.sources import files, iac, lockfiles
+from palisark.sources import files, iac, lockfiles, readers
 
 PLAN = {
     "format_version": "1.0",
@@ -93,6 +93,46 @@ def test_resources_of_every_format(spark, folder):
     assert json.loads(found["e/main.tf", "aws_s3_bucket.logs"].p)["versioning"] == [{"enabled": True}]
 
 
+def test_every_file_is_read_or_accounted_for(spark, folder):
+    got = iac.read(files.walk(spark, folder))
+    told = {r.source_file: r.format_type for r in got.files.collect()}
+    assert told == {"a/plan.json": "terraform_plan", "b/stack.yml": "cloudformation", "c/dep.yaml": "kubernetes", "d/Dockerfile": "dockerfile", "e/main.tf": "terraform_hcl"}
+    [broken] = got.quarantine.collect()
+    assert (broken.source_file, broken.parser) == ("f/broken.json", "text") and "JSONDecodeError" in broken.error
+    assert files.too_large(spark, folder, 150).select("source_file").distinct().count() + files.walk(spark, folder, 150).count() == 7
+
+
+def test_what_one_format_cant_read_the_next_one_reads(spark, tmp_path):
+    for name, text in {"one.picky": "good", "two.picky": "bad", "three.picky": "worse", "four.json": "[1]", "five.json": "{nothing", "six.tf": HCL}.items():
+        (tmp_path / name).write_text(text)
+    def reader(kind, refuses):
+        def parse(rows):
+            refused = F.when(F.col("text").isin(*refuses), f"{kind} can't read this")
+            return rows.select(
+                "source_file", F.lit(0).alias("ord"), F.lit(kind).alias("resource_type"), F.concat(F.lit(kind + "."), "source_file").alias("address"), F.lit("n").alias("name"), F.lit("p").alias("provider"),
+                F.parse_json(F.lit("{}")).alias("properties"), F.array().cast("array<string>").alias("dependencies"), F.lit("").alias("module"), F.lit("").alias("source_location"), refused.alias("error"),
+            )
+
+        return parse
+
+    picky = lambda p: p.endswith(".picky") | p.endswith("five.json")
+    files.register_format("first", picky, reader("first", ["bad", "worse", "{nothing"]), 1, structured=False)
+    files.register_format("second", picky, reader("second", ["worse"]), 2, structured=False)
+    try:
+        got = iac.read(files.walk(spark, str(tmp_path)))
+        assert {r.source_file: r.format_type for r in got.files.collect()} == {"one.picky": "first", "two.picky": "second", "five.json": "second", "six.tf": "terraform_hcl"}
+        assert {(r.resource_type, r.source_file) for r in got.resources.collect()} == {("first", "one.picky"), ("second", "two.picky"), ("second", "five.json"), ("aws_s3_bucket", "six.tf")}
+        assert sorted((r.source_file, r.parser, r.error) for r in got.quarantine.collect()) == [
+            ("four.json", "", "no format fits"), ("three.picky", "first", "first can't read this"), ("three.picky", "second", "second can't read this"),
+        ]
+        from palisark import scan
+
+        left = scan.unread(spark, str(tmp_path), ("x" * 501, "short"))
+        assert sorted({r.parser for r in left.collect()}) == ["", "first", "second", "secrets"]
+    finally:
+        files.FORMATS.pop("first"), files.FORMATS.pop("second")
+
+
 def test_edges_cross_zones(spark, folder):
     resources = iac.resources(files.walk(spark, folder))
     nodes = graph.nodes(resources)
@@ -151,3 +191,30 @@ def test_lockfiles(spark):
         found.setdefault(r.source_file, set()).add((r.name, r.version, r.ecosystem))
     assert found == EXPECTED
     assert {(r.name, r.license) for r in lockfiles.dependencies(rows).where("license <> ''").collect()} == {("a", "MIT"), ("a/b", "MIT")}
+
+
+def test_a_reader_in_sql(spark):
+    def parse(name, text):
+        if text == "bad":
+            raise ValueError("no such thing")
+        return [(w, len(w)) for w in text.split()]
+
+    readers.register(spark, "read_words", parse, "word string, n int")
+    rows = [("a", "one three"), ("b", "bad"), ("c", ""), ("d", None), ("e", "two")]
+    spark.createDataFrame(rows, "source_file string, text string").repartition(3).createOrReplaceTempView("some_files")
+    found = spark.sql("SELECT f.source_file, r.* FROM some_files f, LATERAL read_words(f.source_file, f.text) r").collect()
+    assert sorted((r.source_file, r.word, r.n, r.error) for r in found if r.error is None) == [("a", "one", 3, None), ("a", "three", 5, None), ("e", "two", 3, None)]
+    assert [(r.source_file, r.word, r.error) for r in found if r.error] == [("b", None, "ValueError: no such thing")]
+
+
+def test_lock_files_in_sql(spark):
+    readers.register_lockfiles(spark)
+    texts = [
+        ("x/requirements.txt", "# c\nFlask[async]==1.0 ; python_version>'3'\nb>=2\n-r other.txt\nC == 2.1\n"),
+        ("y/package-lock.json", json.dumps({"lockfileVersion": 3, "packages": {"": {"name": "own"}, "node_modules/a": {"version": "1"}, "node_modules/a/node_modules/@s/b": {"version": "2", "license": "MIT"}}})),
+        ("z/package-lock.json", "{"), ("other.txt", "a==1"),
+    ]
+    spark.createDataFrame(texts, "source_file string, text string").createOrReplaceTempView("lock_texts")
+    found = spark.sql("SELECT source_file, r.* FROM lock_texts, LATERAL read_lockfile(source_file, text) r").collect()
+    assert sorted((r.name, r.version, r.ecosystem, r.license) for r in found if not r.error) == [("@s/b", "2", "npm", "MIT"), ("C", "2.1", "pypi", ""), ("Flask", "1.0", "pypi", ""), ("a", "1", "npm", "")]
+    assert [r.source_file for r in found if r.error] == ["z/package-lock.json"]
