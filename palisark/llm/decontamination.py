@@ -11,6 +11,9 @@ others: it is blind to case, and finds a copy in small letters, capitals or titl
 at all: whatever an item is made of, it is found verbatim there, and a short one as a whole. The capital that opens a
 sentence doesn't tell a name from another word, so in a fourth view every word that opens a sentence in a capital is a
 name: there an item is found whose names were changed where they open sentences.
+
+A window that several items share, such as one of the instructions that a whole test repeats, is no evidence for one of
+them, unless the item has no other windows (copies of an item); which ones are shared is counted over the whole benchmark.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisark.llm import textbytes as tb
+from palisark.session import written
 
 WINDOW = 8
 #: Where placeholders count, a window needs so many words that aren't; an item so many words to be told from chance.
@@ -38,17 +42,29 @@ RUN_WORDS = 20
 #: Windows of the benchmark in memory at once (about 50 bytes each); a larger benchmark is joined in blocks of items.
 BLOCK_WINDOWS = 1_000_000
 PIECE_BYTES = 1 << 20
-#: Units that count after a number, and number words.
+#: Where one slot differs and nothing else tells whether values map one to one, this share of the windows must be there.
+ONE_SLOT_COVERAGE = 0.9
+#: Units that count after a number, and number words, in English, German, French and Spanish.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "pound", "pounds",
     "ounce", "ounces", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute",
     "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "cent",
     "cents", "euro", "euros", "km/h", "mph", "hz", "khz", "mhz", "w", "kw", "v", "j", "n", "pa", "k", "degrees",
+    "meter", "kilometer", "meilen", "gramm", "kilogramm", "kilo", "pfund", "tonne", "tonnen", "sekunde", "sekunden", "minuten", "stunde", "stunden", "tag",
+    "tage", "tagen", "woche", "wochen", "monat", "monate", "monaten", "jahr", "jahre", "jahren", "prozent", "grad",
+    "mètre", "mètres", "kilomètres", "grammes", "kilos", "tonnes", "secondes", "heure", "heures", "jour", "jours", "semaine", "semaines", "mois", "an", "ans",
+    "années", "degrés", "metro", "metros", "kilómetros", "millas", "gramos", "litros", "toneladas", "segundos", "minutos", "hora", "horas", "día", "días",
+    "semana", "semanas", "mes", "meses", "año", "años", "grados",
 )
 NUMBER_WORDS = (
     "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
     "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred",
     "thousand", "million",
+    "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "elf", "zwölf", "dreizehn", "vierzehn", "fünfzehn", "sechzehn", "siebzehn",
+    "achtzehn", "neunzehn", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig", "neunzig", "hundert", "tausend",
+    "deux", "trois", "quatre", "cinq", "sept", "huit", "neuf", "dix", "onze", "douze", "treize", "quatorze", "quinze", "seize", "vingt", "trente", "quarante",
+    "cinquante", "soixante", "cent", "mille", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "once", "doce", "trece", "catorce",
+    "quince", "dieciséis", "veinte", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "ciento", "mil",
 )
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _PLACEHOLDERS = tb.mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -74,6 +90,16 @@ def _small(body: np.ndarray) -> np.ndarray:
     return out
 
 
+def _capitals(body: np.ndarray) -> np.ndarray:
+    """Which bytes begin a capital letter: ASCII, or of two bytes."""
+    out = _UPPER[body].copy()
+    at = np.flatnonzero((body[:-1] >= 0xC2) & (body[:-1] < 0xE0))
+    if len(at):
+        point = ((body[at] & 0x1F).astype(np.uint16) << 6) | (body[at + 1] & 0x3F)
+        out[at] = _SMALL[point] != point
+    return out
+
+
 def _hashes(words: tuple[str, ...]) -> np.ndarray:
     body = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
@@ -125,14 +151,18 @@ def templates(body: np.ndarray, offsets: np.ndarray) -> Templates:
     digits = of(count(_DIGIT))
     numeric = of(count(_NUMERIC))
     value = tb.word_hash(_small(body), first, last)
+    upper = _capitals(body)
+    capitals = of(np.concatenate([[0], np.cumsum(upper)]))
+    # A capital in front, and small letters after it: Bob, Émile, McDonald, O'Brien; NASA and USA are words like others.
+    proper = upper[first] & (2 * capitals < size) & (size > 1) & (digits == 0)
     number = (digits > 0) & (numeric == size) | np.isin(value, _hashes(NUMBER_WORDS))
     quantity = (digits > 0) & ~number & _DIGIT[body[first]] & (size - numeric <= 3)  # 12km, 3rd
     before = np.zeros(len(number), bool)
     before[1:] = number[:-1] & (doc[1:] == doc[:-1])
     unit = before & np.isin(value, _hashes(UNITS))
-    name = ~number & ~unit & ~opens & _UPPER[body[first]] & (size > 1) & (of(count(_UPPER)) == 1) & (digits == 0)
+    name = ~number & ~unit & ~opens & proper
     kind = np.where(number | quantity, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL))).astype(np.int8)
-    opener = opens & (kind == LITERAL) & _UPPER[body[first]] & (of(count(_UPPER)) == 1) & (digits == 0)
+    opener = opens & (kind == LITERAL) & proper
     return Templates(np.where(kind == LITERAL, value, _PLACEHOLDERS[kind]), kind, value, doc, opener)
 
 
@@ -161,7 +191,8 @@ class View:
     hashes: np.ndarray
     item: np.ndarray  # the item's number in the block
     place: np.ndarray
-    total: np.ndarray  # distinct places with a window, by item
+    counts: np.ndarray  # whether the window is evidence for the item: no other item has it, or the item has no such window
+    total: np.ndarray  # distinct places with a window that counts, by item
 
     def __post_init__(self):
         self.mask = np.uint64((1 << max(16, int(len(self.hashes)).bit_length() + 6)) - 1)
@@ -180,17 +211,20 @@ class Index:
     values: list
 
 
-def build_index(ids: list, texts: list[str | None]) -> Index:
+def build_index(ids: list, texts: list[str | None], sharing: dict[tuple[int, int], int] | None = None) -> Index:
+    """``sharing``: by view and hash (as a signed number), in how many items of the whole benchmark a window is, where these
+    are more than one; None: the items given are the whole benchmark."""
     body, offsets = tb.utf8(pa.array(texts, pa.string()))
     t = templates(body, offsets)
     cut = np.searchsorted(t.doc, np.arange(len(ids) + 1))
     parts = lambda x: [x[a:b] for a, b in zip(cut[:-1], cut[1:])]
     first: dict = {}
     keys = [k if x is None else first.setdefault(x, k) for k, x in enumerate(ids)]
-    return Index([_view(t, cut, view) for view in VIEWS], list(ids), keys, [parts(t.kinds(v)) for v in VIEWS], parts(t.value))
+    return Index([_view(t, cut, view, np.array(keys, np.int64), sharing) for view in VIEWS], list(ids), keys, [parts(t.kinds(v)) for v in VIEWS], parts(t.value))
 
 
-def _view(t: Templates, cut: np.ndarray, view: int) -> View:
+def _items_windows(t: Templates, cut: np.ndarray, view: int) -> tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]:
+    """The sizes of windows, and hash, item and place of each."""
     words = np.diff(cut)
     size_of = np.where(words >= (1 if view == VERBATIM else MIN_ITEM_WORDS), np.minimum(words, WINDOW), 0)
     sizes = tuple(sorted({int(s) for s in size_of if s}))
@@ -201,9 +235,22 @@ def _view(t: Templates, cut: np.ndarray, view: int) -> View:
         hashes.append(h)
         item.append(t.doc[at])
         place.append(at - cut[t.doc[at]])
-    hashes, item, place = map(np.concatenate, (hashes, item, place))
+    return sizes, np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
+
+
+def _view(t: Templates, cut: np.ndarray, view: int, keys: np.ndarray, sharing: dict[tuple[int, int], int] | None) -> View:
+    sizes, hashes, item, place = _items_windows(t, cut, view)
     order = np.argsort(hashes, kind="stable")
-    return View(sizes, hashes[order], item[order], place[order], np.bincount(item, minlength=len(words)))
+    hashes, item, place = hashes[order], item[order], place[order]
+    distinct, group = np.unique(hashes, return_inverse=True)
+    if sharing is None:
+        pairs = np.unique(np.stack([group, keys[item]]), axis=1) if len(group) else np.zeros((2, 0), np.int64)
+        shared = np.bincount(pairs[0], minlength=len(distinct))
+    else:
+        shared = np.array([sharing.get((view, h), 1) for h in distinct.view(np.int64).tolist()], np.int64)
+    own = (shared[group] <= 1) if len(group) else np.zeros(0, bool)
+    counts = own | (np.bincount(item, own, minlength=len(cut) - 1) == 0)[item]
+    return View(sizes, hashes, item, place, counts, np.bincount(item, counts, minlength=len(cut) - 1))
 
 
 def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: float) -> dict[int, list[dict]]:
@@ -211,16 +258,17 @@ def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: floa
     t = templates(body, offsets)
     best: dict[tuple[int, int], dict] = {}
     for number, view in zip(VIEWS, index.views):
-        for (doc, item), pairs in _hits(view, t, number).items():
-            matched = len({q for _, q in pairs})
+        for (doc, item), hits in _hits(view, t, number).items():
+            pairs, evidence = [(p, q) for p, q, _ in hits], [(p, q) for p, q, counts in hits if counts]
+            matched = len({q for _, q in evidence})
             coverage = matched / int(view.total[item])
             diagonal = Counter(p - q for p, q in pairs).most_common(1)[0][0]
             if coverage < min_coverage:
-                run, diagonal = _longest_run(pairs, WINDOW)
+                run, diagonal = _longest_run(evidence, WINDOW)
                 if run < RUN_WORDS:
                     continue
             slots, same, consistent = _slots(index, number, item, t, pairs, diagonal)
-            if consistent < MIN_CONSISTENT:
+            if consistent < MIN_CONSISTENT or slots - same == 1 and coverage < ONE_SLOT_COVERAGE:
                 continue
             row = {"item": index.ids[item], "coverage": coverage, "windows": matched, "slots": slots, "same_slots": same, "consistent": consistent}
             key = doc, index.keys[item]
@@ -232,9 +280,9 @@ def find(index: Index, body: np.ndarray, offsets: np.ndarray, min_coverage: floa
     return out
 
 
-def _hits(view: View, t: Templates, number: int) -> dict[tuple[int, int], list[tuple[int, int]]]:
-    """By document and item: the (place in the piece, place in the item) of each window that both have."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+def _hits(view: View, t: Templates, number: int) -> dict[tuple[int, int], list[tuple[int, int, bool]]]:
+    """By document and item: the (place in the piece, place in the item, whether it counts) of each window that both have."""
+    out: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
     for size, at, h in windows(t, view.sizes, number):
         maybe = view.bits[h & view.mask]
         at, h = at[maybe], h[maybe]
@@ -245,7 +293,7 @@ def _hits(view: View, t: Templates, number: int) -> dict[tuple[int, int], list[t
             at, lo, hi = at[first], lo[first], hi[first]
         for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
             for k in range(a, b):
-                out[int(t.doc[p]), int(view.item[k])].append((p, int(view.place[k])))
+                out[int(t.doc[p]), int(view.item[k])].append((p, int(view.place[k]), bool(view.counts[k])))
     return out
 
 
@@ -281,9 +329,30 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     words = rows.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first()["n"] or 0
     blocks = -(-int(words) * len(VIEWS) // block_windows)
     h = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    shared = None
+    if blocks > 1:
+        held = written(rows.select(F.pmod(h, F.lit(blocks)).alias("block"), h.alias("key"), "text").mapInArrow(_windows_of_items, "block long, key long, view int, hash long").distinct(), "item-windows")
+        shared = written(held.groupBy("view", "hash").agg(F.count_distinct("key").alias("n")).where("n > 1"), "shared-windows")
     for k in range(blocks):
         part = rows.where(F.pmod(h, F.lit(blocks)) == k).orderBy("id", "text").collect()
-        yield build_index([x["id"] for x in part], [x["text"] for x in part])
+        sharing = None
+        if shared is not None:  # no more than the windows of the block
+            own = shared.join(held.where(F.col("block") == k).select("view", "hash").distinct(), ["view", "hash"]).collect()
+            sharing = {(x["view"], x["hash"]): x["n"] for x in own}
+        yield build_index([x["id"] for x in part], [x["text"] for x in part], sharing)
+
+
+def _windows_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        body, offsets = tb.utf8(x.column(2))
+        t = templates(body, offsets)
+        cut = np.searchsorted(t.doc, np.arange(len(x) + 1))
+        for view in VIEWS:
+            _, hashes, item, _ = _items_windows(t, cut, view)
+            at = pa.array(item)
+            yield pa.RecordBatch.from_arrays(
+                [x.column(0).take(at), x.column(1).take(at), pa.array(np.full(len(item), view, np.int32)), pa.array(hashes.view(np.int64))], names=["block", "key", "view", "hash"]
+            )
 
 
 def leaks(
@@ -292,8 +361,9 @@ def leaks(
 ) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, coverage, n_windows, kind, n_slots, consistency.
 
-    A document holds an item if it has the share ``min_coverage`` of its windows, or RUN_WORDS consecutive words of it
-    (coverage may be small then). Of several texts of one item_id that of which most is found counts. kind: 'verbatim' if
+    A document holds an item if it has the share ``min_coverage`` of its own windows, or RUN_WORDS consecutive words
+    of it that no other item has (coverage may be small then). Where a single slot differs, all else must
+    be there (ONE_SLOT_COVERAGE). Of several texts of one item_id that of which most is found counts. kind: 'verbatim' if
     all slots are unchanged, else 're-parameterised'. Documents without an item have no row; neither have null and empty
     texts. Items of fewer than MIN_ITEM_WORDS words are found verbatim only, as a whole: one of a single word is in each
     document that has the word. Null items and those without a letter or digit can't be found. Repeated documents have a
@@ -341,8 +411,11 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     min_coverage: float = MIN_COVERAGE, block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """The documents that hold no benchmark item, all columns unchanged; they are judged in the task that reads them."""
-    where = docs.columns.index(text_col)
+    """The documents that hold no benchmark item (see ``leaks``), all columns unchanged, whatever their names; they are judged
+    in the task that reads them. Null and empty texts stay, repeated rows are judged each, an empty table stays empty, and
+    an empty benchmark removes nothing. Texts of any length are judged whole.
+    """
+    where = [c.lower() for c in docs.columns].index(text_col.lower())
     for index in indexes(benchmark, item_col, item_text_col, block_windows):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

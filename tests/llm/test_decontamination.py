@@ -198,3 +198,49 @@ def test_repeated_rows_ties_and_names_that_clash(make_docs, spark):
     assert sorted((r.doc_id, r.item_id, r.coverage) for r in dc.leaks(docs, benchmark).collect()) == [(7, 1, 1.0)] * 2 + [(7, 2, 1.0)] * 2
     assert [r.text for r in dc.clean(docs, benchmark).collect()] == [None]
     assert dc.leaks(make_docs([]), benchmark).count() == 0
+
+
+PREFIX = "Read the passage below and answer the question that follows it in one word only:"
+
+
+def test_what_items_share_is_no_evidence_for_one(spark, make_docs):
+    items = [f"{PREFIX} what is the capital of France?", f"{PREFIX} which river runs through Cairo?", f"{PREFIX} who wrote the play about a Danish prince?"]
+    long = " ".join(f"shared{i}" for i in range(40))
+    items += [f"{long} first question about stars", f"{long} second question about rivers", f"{long} third question about birds"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [f"{PREFIX} how many moons has Mars?", f"Some text. {items[0]} More text.", f"{long} and then something else entirely", items[4], PREFIX]
+    for block in (dc.BLOCK_WINDOWS, 200):
+        found = dc.leaks(make_docs(docs), benchmark, block_windows=block)
+        assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (3, 4)}
+
+
+def test_copies_of_an_item_are_all_found(spark, make_docs):
+    text = "a farmer keeps a flock of geese and sells them at the weekly market in the old town"
+    benchmark = spark.createDataFrame([(1, text), (2, text), (3, text)], "item_id long, text string")
+    assert {(r.item_id, r.coverage) for r in dc.leaks(make_docs([text]), benchmark).collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}
+
+
+PATTERNS = {
+    "en": ("{a} buys {x} apples and gives {y} of them to {b}, who already has {z} pears in the basket. How many apples does {a} keep?", "seven twelve thirty nine".split(), ("Anna", "O'Brien", "McDonald", "Peter")),
+    "de": ("Der Bauer {a} verkauft {x} Eier und schenkt {y} davon seiner Nachbarin {b}, die schon {z} Hühner hat. Wie viele Eier behält {a}?", "sieben zwölf dreißig neun".split(), ("Jürgen", "Ödön", "Klara", "Sabine")),
+    "fr": ("Le marchand {a} achète {x} pommes puis il donne {y} fruits à {b} qui possède déjà {z} poires dans son panier. Combien de pommes garde {a} ?", "sept douze trente neuf".split(), ("Émile", "Pierre", "Chloé", "Luc")),
+    "es": ("La maestra {a} compra {x} libros y regala {y} de ellos a {b}, que ya tiene {z} cuadernos en la mesa. Cuántos libros conserva {a}?", "siete doce treinta nueve".split(), ("Ángela", "Íñigo", "María", "Pablo")),
+}
+
+
+@pytest.mark.parametrize("lang", sorted(PATTERNS))
+def test_problems_with_other_words_for_numbers_and_names(spark, make_docs, lang):
+    form, words, names = PATTERNS[lang]
+    item = form.format(a=names[0], b=names[1], x=words[0], y=words[1], z=words[2])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    changed = form.format(a=names[2], b=names[3], x=words[3], y=words[2], z=words[0])
+    swapped = form.format(a=names[2], b=names[2], x=words[3], y=words[3], z=words[3])
+    found = dc.leaks(make_docs([changed, item, swapped, "Ganz anderer Text über etwas anderes, das nichts damit zu tun hat."]), benchmark)
+    assert sorted((r.doc_id, r.kind) for r in found.collect()) == [(0, "re-parameterised"), (1, "verbatim")]
+
+
+def test_one_changed_slot_needs_all_else(spark, make_docs):
+    item = "The train to the coast leaves the northern station at 7 every single morning of the week"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [item.replace("7", "9"), "They say the train to the coast leaves the northern station at 9 but nobody has seen it there"]
+    assert [r.doc_id for r in dc.leaks(make_docs(docs), benchmark).collect()] == [0]
