@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -317,11 +318,16 @@ def pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def _local(path: str) -> str:
-    """The vocabulary file as an executor finds it: at its path, or as a file that the driver has added."""
-    import os
+def _sent(docs: DataFrame, path: str | None) -> str:
+    """The vocabulary's path on the driver; the file is sent to the executors, which needn't have it there."""
+    path = path or default_vocabulary()
+    docs.sparkSession.sparkContext.addFile(path)
+    return path
 
-    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+def _local(path: str) -> str:
+    """The vocabulary as a task finds it: the file that the driver has added."""
+    return SparkFiles.get(os.path.basename(path))
 
 
 def _refuse(docs: DataFrame, name: str) -> None:
@@ -337,7 +343,7 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", ids
     ValueError. Repeated rows are encoded each; an empty table gives an empty result.
     """
     _refuse(docs, ids_col)
-    path = path or default_vocabulary()
+    path = _sent(docs, path)
     docs = docs.withColumn(ids_col, F.lit(None).cast("array<int>"))
     where = docs.columns.index(text_col)
 
@@ -362,7 +368,7 @@ def decode(docs: DataFrame, path: str | None = None, ids_col: str = "ids", text_
     Null ids give an empty text. A column ``text_col`` that is there already is a ValueError.
     """
     _refuse(docs, text_col)
-    path = path or default_vocabulary()
+    path = _sent(docs, path)
     docs = docs.withColumn(text_col, F.lit(None).cast("string"))
     where = docs.columns.index(ids_col)
 
@@ -385,7 +391,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     text has no tokens and the digests of no bytes; an empty table gives an empty result. No row depends on another, so
     repeated rows and ids have a row each. Further columns, whatever their names, play no part.
     """
-    path = path or default_vocabulary()
+    path = _sent(docs, path)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
