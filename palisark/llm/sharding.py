@@ -26,11 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palisark.llm import textbytes as tb
 from palisark.session import small_side, written
 
 SHARDS = 16
 #: Rows that a task permutes after the exchange, about.
 BUCKET_ROWS = 8192
+#: Partitions up to so many rows are permuted as an array; larger ones by a function, so that a task's memory and work
+#: follow the rows that it has, also where a large partition is read in many pieces.
+SMALL_PARTITION = 1 << 18
+HELD_PARTITIONS = 8
 #: numpy draws hypergeometric counts from populations below this.
 NUMPY_LIMIT = 10**9
 _EXACT = decimal.Context(prec=50)
@@ -106,9 +111,34 @@ def even(total: int, parts: int) -> np.ndarray:
     return np.array([total // parts + (i < total % parts) for i in range(parts)], np.int64)
 
 
+def drawn_bucket(at: np.ndarray, key: list[int], buckets: int) -> np.ndarray:
+    """A uniform bucket for each row, from its place alone."""
+    start = np.random.Generator(np.random.Philox(np.random.SeedSequence(key))).integers(0, 2**63, dtype=np.uint64)
+    h = tb.mixed(tb.mixed(at.astype(np.uint64) + start) + start)
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def permuted(at: np.ndarray, n: int, key: list[int]) -> np.ndarray:
+    """The places that a pseudo-random permutation of range(n) gives to ``at``, without the permutation itself.
+
+    A Feistel network of eight rounds over the next larger square of a power of two, walked until the place is below n.
+    """
+    half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.Generator(np.random.Philox(np.random.SeedSequence(key))).integers(0, 2**63, 8, dtype=np.uint64)
+    out, todo = at.astype(np.uint64), np.arange(len(at))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for k in keys:
+            left, right = right, left ^ (tb.mixed(right + k) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
 def assign(
     docs: DataFrame, shards: int = SHARDS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_rows: int = BUCKET_ROWS, small_partition: int = SMALL_PARTITION,
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
@@ -139,22 +169,27 @@ def assign(
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, counts, sizes = shared.value
-        local: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        cuts: dict[int, np.ndarray] = {}  # of the last partitions that were met
+        places: dict[int, np.ndarray] = {}
         for x in batches:
             row_no = x.column("row_no").to_numpy()
             run = row_no >> 33
             shard, bucket = np.empty(len(row_no), np.int32), np.empty(len(row_no), np.int64)
             for r in np.unique(run):
-                if r not in local:
-                    p = runs[int(r)]
-                    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, p, 1])))
-                    places = rng.permutation(int(counts[p]))
-                    local[r] = places, rng.integers(0, per_shard, len(places)), np.cumsum(matrix_row(counts, sizes, p, seed))
-                places, drawn, cuts = local[r]
+                p = runs[int(r)]
+                n = int(counts[p])
+                if r not in cuts:
+                    if len(cuts) >= HELD_PARTITIONS:
+                        cuts.clear()
+                        places.clear()
+                    cuts[r] = np.cumsum(matrix_row(counts, sizes, p, seed))
+                    if n <= small_partition:
+                        places[r] = np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, p, 1]))).permutation(n)
                 mine = run == r
                 at = row_no[mine] & ((1 << 33) - 1)
-                shard[mine] = np.searchsorted(cuts, places[at], "right")
-                bucket[mine] = drawn[at]
+                place = places[r][at] if n <= small_partition else permuted(at, n, [seed, p, 1])
+                shard[mine] = np.searchsorted(cuts[r], place, "right")
+                bucket[mine] = drawn_bucket(at, [seed, p, 3], per_shard)
             yield pa.RecordBatch.from_arrays([*x.columns, pa.array(shard), pa.array(bucket)], names=[*x.schema.names, "shard", "bucket"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -131,3 +131,34 @@ def test_names_that_clash(make_docs):
     for name in ("shard", "slot", "first_slot", "n", "size", "law"):
         docs = docs.withColumn(name, F.lit("x"))
     assert sharding.assign(docs).count() == 2
+
+
+def test_permutations_without_arrays():
+    import numpy as np
+
+    for n in (1, 2, 3, 17, 1000, 70_001):
+        for key in ([1, 2], [3, 4]):
+            got = sharding.permuted(np.arange(n), n, key)
+            assert sorted(got.tolist()) == list(range(n))
+            pieces = np.concatenate([sharding.permuted(x, n, key) for x in np.array_split(np.arange(n), 3)])
+            assert np.array_equal(pieces, got)
+    first = np.array([sharding.permuted(np.arange(1), 64, [7, k])[0] for k in range(6400)])
+    counts = np.bincount(first, minlength=64)
+    assert ((counts - 100) ** 2 / 100).sum() < 63 + 5 * (2 * 63) ** 0.5  # chi-squared, five deviations
+    near = np.abs(np.diff(sharding.permuted(np.arange(100_000), 100_000, [5]))).mean()
+    assert abs(near / (100_000 / 3) - 1) < 0.02
+
+
+def test_a_large_partition_read_in_pieces(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('t', id) as text", "'en' as lang", "'web' as source", "5L as n_chars").coalesce(1)
+    size = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(size, "4k")
+    try:
+        found = sharding.assign(docs, small_partition=50).collect()
+    finally:
+        spark.conf.unset(size)
+    by = {}
+    for r in found:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(found) == 5000 and sorted(map(len, by.values())) == [312] * 8 + [313] * 8
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
