@@ -275,11 +275,16 @@ def text_table(rows: Iterable[dict], widths: dict[str, int]) -> str:
     return "\n".join([line(str.upper), *[line(lambda c, r=r: r.get(c) or "") for r in body]])
 
 
-def svg(nodes: Iterable[dict], edges: Iterable[dict], paths: Iterable[dict] = (), cell: int = 150) -> str:
-    """A diagram: a lane for each trust zone, its nodes in rows of five, edges, and attack paths in red."""
+def svg(nodes: Iterable[dict], edges: Iterable[dict], paths: Iterable[dict] = (), threats: Iterable[dict] = (), cell: int = 150) -> str:
+    """A diagram: a lane for each trust zone with its nodes in rows of five, edges, attack paths in red, a badge with the
+    number of threats on each node that has some, a legend of severities, and a table of ``threats``, worst first.
+
+    Nodes may have n_threats, max_severity and titles (``graph.threat_counts``), which a node's tooltip tells.
+    """
     from html import escape
 
     nodes, places, parts, top = list(nodes), {}, [], 20
+    width = GRID_COLUMNS * cell + 40
     for zone in dims.ZONES:
         own = [n for n in nodes if n["trust_zone"] == zone]
         if not own:
@@ -290,8 +295,14 @@ def svg(nodes: Iterable[dict], edges: Iterable[dict], paths: Iterable[dict] = ()
         for i, n in enumerate(own):
             x, y = 20 + i % GRID_COLUMNS * cell, top + 30 + i // GRID_COLUMNS * 90
             places[n["id"]] = (x + cell // 2 - 10, y + 30)
-            parts.append(f'<g class="node"><title>{escape(n["id"])}</title><rect x="{x}" y="{y}" width="{cell - 20}" height="60" rx="6" fill="#fff" stroke="#445"/>')
-            parts.append(f'<text x="{x + 8}" y="{y + 34}" font-size="10">{escape(n["id"][:22])}</text></g>')
+            told = escape("\n".join([n["id"], *(n.get("titles") or ())]))
+            parts.append(f'<g class="node"><title>{told}</title><rect x="{x}" y="{y}" width="{cell - 20}" height="60" rx="6" fill="#fff" stroke="#445"/>')
+            parts.append(f'<text x="{x + 8}" y="{y + 34}" font-size="10">{escape(n["id"][:22])}</text>')
+            if n.get("n_threats"):
+                color = NAVIGATOR_COLORS.get(n.get("max_severity") or "info", "#cccccc")
+                parts.append(f'<circle class="badge" cx="{x + cell - 24}" cy="{y + 4}" r="10" fill="{color}"/>')
+                parts.append(f'<text x="{x + cell - 24}" y="{y + 8}" font-size="10" text-anchor="middle">{n["n_threats"]}</text>')
+            parts.append("</g>")
         top += rows * 90 + 50
     hot = {frozenset(p) for path in paths for p in zip(path["path"], path["path"][1:])}
     for e in edges:
@@ -299,4 +310,14 @@ def svg(nodes: Iterable[dict], edges: Iterable[dict], paths: Iterable[dict] = ()
             (a, b), (c, d) = places[e["source"]], places[e["target"]]
             color = "#c00" if frozenset((e["source"], e["target"])) in hot else "#888"
             parts.append(f'<path class="edge {e["edge_type"]}" d="M{a},{b} Q{(a + c) // 2},{min(b, d) - 30} {c},{d}" fill="none" stroke="{color}"/>')
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{GRID_COLUMNS * cell + 40}" height="{top}">' + "".join(parts) + "</svg>"
+    parts.append('<g class="legend">')
+    for i, s in enumerate(reversed(dims.SEVERITIES)):
+        parts.append(f'<circle cx="{24 + i * 90}" cy="{top + 8}" r="6" fill="{NAVIGATOR_COLORS[s]}"/><text x="{36 + i * 90}" y="{top + 12}" font-size="10">{s}</text>')
+    parts.append("</g>")
+    top += 30
+    rank = {s: i for i, s in enumerate(dims.SEVERITIES)}
+    for t in sorted(threats, key=lambda t: -rank[t["severity"]]):
+        line = "  ".join([t["severity"], t["resource_address"][:30], t["title"][:60]])
+        parts.append(f'<text class="threat" x="18" y="{top + 12}" font-size="10">{escape(line)}</text>')
+        top += 18
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{top}">' + "".join(parts) + "</svg>"

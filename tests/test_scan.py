@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palisark import dims, scan, schemas
 from palisark.functions import formats, versions
-from palisark.operators import graph, reports, rules, vulnerabilities
+from palisark.operators import graph, reports, rules, secrets, vulnerabilities
 from palisark.sources import files, iac
 
 
@@ -261,7 +261,24 @@ def test_diagram():
     edges = [{"source": "n0<", "target": "n6<", "edge_type": "dependency"}, {"source": "n1<", "target": "n6<", "edge_type": "network_flow"}, {"source": "n1<", "target": "gone", "edge_type": "x"}]
     out = formats.svg(nodes, edges, [{"path": ["n6<", "n0<"]}])
     assert out.count('class="lane"') == 2 and out.count('class="node"') == 7 and out.count('class="edge') == 2
-    assert out.count("#c00") == 1 and "n0&lt;" in out
+    assert out.count("#c00") == 1 and "n0&lt;" in out and "badge" not in out
+    told = [n | {"n_threats": 3, "max_severity": "high", "titles": ["a<b"]} for n in nodes[:2]]
+    out = formats.svg(told, edges, threats=[{"severity": "low", "resource_address": "r", "title": "T"}, {"severity": "high", "resource_address": "q", "title": "<U>"}])
+    assert out.count('class="badge"') == 2 and out.count('class="legend"') == 1 and "a&lt;b</title>" in out
+    assert out.index("high  q  &lt;U&gt;") < out.index("low  r  T")
+
+
+def test_toggles(spark):
+    deps = spark.createDataFrame([("f", i, n, "1.0", "npm", x) for i, (n, x) in enumerate([("a", "MIT"), ("b", "GPL-3.0-only"), ("c", "odd"), ("d", "MPL-2.0")])], schemas.DEPENDENCY)
+    names = lambda **on: {r.package_name for r in reports.license_findings(deps, **on).collect()}
+    assert names() >= {"c"} and names(alert_unknown=False) == names() - {"c"}
+    assert names(warn_copyleft=False, alert_unknown=False, alert_restrictive=False) == set()
+    known = spark.createDataFrame([("X", "npm", "a", "", "2.0", "high", 0.0, "s", "[]", "[]"), ("Y", "npm", "a", "0.5", "", "high", 0.0, "s", "[]", "[]")], schemas.VULNERABILITY)
+    ids = lambda on: sorted(r.vuln_id for r in vulnerabilities.dependency_findings(deps, known, on).collect())
+    assert ids(False) == ["X", "Y"] and ids(True) == ["X"]
+    texts = spark.createDataFrame([("f", "mine: ABC-123 and ABC-999"), ("g", "ABC-1")], "path string, text string")
+    found = secrets.scan(texts, (secrets.SecretRule("MINE", "mine", "high", r"ABC-\d{3}", ("ABC-",)),), allow_patterns=("999", "x" * 501)).select("file_path", "rule_id", "line_number").collect()
+    assert [tuple(r) for r in found] == [("f", "MINE", 1)]
 
 
 def test_reports_are_compared(spark, tmp_path):
@@ -306,3 +323,9 @@ def test_empty_tables(spark):
     assert graph.nodes(res).count() == 0 and graph.edges(res, graph.nodes(res)).count() == 0
     deps = spark.createDataFrame([], schemas.DEPENDENCY)
     assert vulnerabilities.dependency_findings(deps, spark.createDataFrame([KNOWN], schemas.VULNERABILITY)).count() == 0
+
+
+def test_stride_labels(spark):
+    rows = spark.createDataFrame([("denial_of_service",), ("odd",)], "c string")
+    found = [tuple(r) for r in rows.select(dims.stride_label(F.col("c")), dims.stride_description(F.col("c"))).collect()]
+    assert found == [("Denial Of Service", "Denying or degrading service to users. Threatens availability."), ("Odd", None)]
