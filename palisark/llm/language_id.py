@@ -225,9 +225,11 @@ def _margin(found: tuple[str, int, int | None]) -> float:
 def accepted(
     docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = MIN_MARGIN, block_languages: int = BLOCK_LANGUAGES
 ) -> DataFrame:
-    """The documents that aren't rejected, all columns unchanged; texts are judged where they are read."""
+    """The documents that aren't rejected (see ``predict``), all columns unchanged, whatever their names; texts are judged
+    whole where they are read. Null and empty texts go, repeated rows are judged each, an empty table stays empty.
+    """
     shared = _shared(docs, model, block_languages)
-    where = docs.columns.index(text_col)
+    where = [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(shared)

@@ -76,5 +76,5 @@ def test_empty_table(spark, folder, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
