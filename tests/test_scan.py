@@ -244,12 +244,12 @@ def test_a_large_document_is_one(spark, tmp_path):
         "id as ord", "cast(id as string) as id", "'t' as title", "'d' as description", "'low' as severity", "'spoofing' as stride_category", "'r' as resource_address", "concat('R', id % 500) as rule_id",
         "'' as mitigation", "'rule' as source", "'k' as resource_type", "1.0D as confidence", "array('T1') as mitre_techniques",
     )
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(size, "1m")
+    together = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(together, "false")
     try:
         formats.write(formats.sarif(rows.orderBy(F.desc("ord"))), str(tmp_path / "doc"))
     finally:
-        spark.conf.unset(size)
+        spark.conf.unset(together)
     parts = sorted((tmp_path / "doc").glob("part-*"))
     doc = json.loads("".join(p.read_text() for p in parts))["runs"][0]
     assert len(parts) > 1 and len(doc["results"]) == n and len(doc["tool"]["driver"]["rules"]) == 500
