@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palisark import dims
 from palisark.operators.ordering import numbered
-from palisark.session import small_side
+from palisark.session import small_side, written
 
 GRID_COLUMNS = 5
 TOOL, VERSION = "palisark", "0.1.0"
@@ -40,10 +40,10 @@ def layout_grid(nodes: DataFrame, by: str = "zone", order: str = "ord") -> DataF
     """Column and row of each node in its zone's grid, in input order.
 
     Numbers are counted in two steps: within ranges of the order, and the ranges before; so a zone of any size is
-    spread over tasks, not sorted in one.
+    spread over tasks, not sorted in one. The ranges are written once: cut anew for each step, they could differ.
     """
     at = F.row_number().over(W.partitionBy(by, "__part").orderBy(order)) - 1
-    ranged = nodes.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    ranged = written(nodes.repartitionByRange(order).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy(by, "__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     i = F.col("__i") + F.col("__before")

@@ -6,7 +6,9 @@ import io
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from palisark.functions import formats
 from palisark.operators import graph, image
 
 
@@ -85,3 +87,17 @@ def test_attack_paths_in_blocks_equal_those_at_once(spark):
     for at_once in (2, 100):
         got = graph.attack_paths(*tables, at_once=at_once).orderBy("source_file", "path_no").collect()
         assert [(r.source_file, r.path_no, r.path) for r in got] == want
+
+
+def test_grid_places_every_node(spark):
+    """The ranges that nodes are counted in are those that they are placed in, though they are cut by sampling."""
+    nodes = spark.range(100_000).selectExpr("id", "id % 3 as zone", "id as ord", "sha2(string(id), 256) as name")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "16k")  # else few rows are one range
+        right = (F.col("col") == F.floor(F.col("id") / 3) % 5) & (F.col("row_no") == F.floor(F.floor(F.col("id") / 3) / 5))
+        placed = formats.layout_grid(nodes).agg(F.count("*"), F.count_if(right), F.max("name")).first()
+    finally:
+        spark.conf.set(size, old)
+    assert placed[:2] == (100_000, 100_000)
