@@ -3,7 +3,7 @@
 A document's set is that of its word shingles. Documents with equal sets are one class from the start, so copies cost
 nothing further. MinHash samples of the classes go into bands; classes that share a band are candidates. In a band's
 bucket not all pairs are formed: its members meet the bucket's leader, and members that are then still in different
-components meet a few more. Members that are apart even then, such as texts that share a boilerplate, leave their
+components meet a few more, each in the largest of its buckets. Members that are apart even then, such as texts that share a boilerplate, leave their
 buckets: they meet by the rarest of their shingles. Two sets of the required similarity share one of the first
 n - ceil(0.8 n) + 1 shingles under any common order, so with the rarest first no link is lost, and what many have in
 common comes last and brings nobody together.
@@ -40,7 +40,7 @@ SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: A sketch excludes a pair whose distance is this many standard deviations above that of the threshold.
 DEVIATIONS = 5.5
-#: Members of a bucket that are apart after its leader has met them meet this many drawn members.
+#: A class that is apart from others of its buckets after their leaders have met them meets this many drawn members of one.
 LEADERS = 6
 PIECE_BYTES = 1 << 20
 #: Odd; makes a shingle depend on the order of its words.
@@ -268,13 +268,9 @@ def _judged(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
     sets = written(full_sets(members, reps, docs, width, id_col, text_col), "sets")
     linked = lambda pairs: verified(written(plausible(pairs, reps, percent), "plausible"), sets, percent)
     comps = written(components(linked(members.where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())), "components")
-    # Members of a bucket that are in different components; a member without links is a component. They meet drawn ones.
+    # Members of a bucket that are in different components; a member without links is a component.
     apart = written(_apart(members, comps), "apart")
-    drawn = [F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", "h", F.lit(i))) for i in range(LEADERS)]
-    met = apart.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("h", F.explode("drawn").alias("x"))
-    met = small_side(met.select("h", F.col("x.cid").alias("other"), F.col("x.comp").alias("other_comp")), "drawn")
-    pairs = apart.join(met, "h").where("comp <> other_comp").select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
-    comps = written(_joined(comps, linked(pairs)), "components")
+    comps = written(_joined(comps, linked(_with_drawn(apart))), "components")
     apart = written(_apart(members, comps).select("cid", "comp").distinct(), "apart")
     comps = written(_joined(comps, linked(by_rare_shingles(apart, sets, reps, percent))), "components")
     placed = reps.select("cid", "k1", "k2", "n", "min_doc").join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -288,11 +284,25 @@ def _judged(docs: DataFrame, width: int, percent: int, id_col: str, text_col: st
 
 
 def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """h, cid, comp of the members of buckets that hold more than one component."""
+    """h, cid, comp of the members of buckets that hold more than one component, and m, how many the bucket has."""
     placed = members.select("h", "cid").join(comps, "cid", "left").select("h", "cid", F.coalesce("comp", "cid").alias("comp"))
     placed = written(placed, "members-placed")
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    return placed.join(small_side(mixed, "mixed"), "h", "left_semi")
+    mixed = placed.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("h", "m")
+    return placed.join(small_side(mixed, "mixed"), "h")
+
+
+def _with_drawn(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class that is apart (h, cid, comp, m) with up to LEADERS drawn members of one of its buckets.
+
+    It is the largest one: whatever else has much in common with the class is there too, so that its other buckets would
+    add pairs, not links. What these pairs leave meets by rare shingles.
+    """
+    drawn = [F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", "h", F.lit(i))) for i in range(LEADERS)]
+    met = apart.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("h", F.explode("drawn").alias("x"))
+    met = small_side(met.select("h", F.col("x.cid").alias("other"), F.col("x.comp").alias("other_comp")), "drawn")
+    each = apart.groupBy("cid", "comp").agg(F.max_by("h", F.struct("m", "h")).alias("h"))
+    pairs = each.join(met, "h").where("comp <> other_comp")
+    return pairs.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
 
 
 def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:

@@ -165,3 +165,15 @@ def test_one_id_with_different_texts_and_clashing_columns(make_docs):
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.text[:4]) for r in out.collect()) == [(1, "w0 w"), (2, "some"), (2, "some")]
     assert nd.find(docs).count() == 4
+
+
+def test_classes_that_stay_apart_meet_few_others(make_docs, rows, monkeypatch):
+    """Texts with a common boilerplate share many buckets; what they meet there doesn't grow with the number of buckets."""
+    rng = random.Random(12)
+    base = prose(rng, 90)
+    texts = [f"{base} {' '.join(f'own{i}x{j}' for j in range(14))}" for i in range(120)]
+    met = []
+    plausible = nd.plausible
+    monkeypatch.setattr(nd, "plausible", lambda pairs, reps, percent: (met.append(pairs.count()), plausible(pairs, reps, percent))[1])
+    assert sorted(rows(nd.find(make_docs(texts), width=2))) == brute(list(enumerate(texts)), 2)
+    assert met[0] > 0 and met[1] <= nd.LEADERS * len(texts)
