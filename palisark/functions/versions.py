@@ -148,10 +148,15 @@ def compare_rpm(a: Column, b: Column) -> Column:
     return _order(rpm_key(a), rpm_key(b))
 
 
-def os_package_vulnerable(version: Column, fixed: Column, manager: Column) -> Column:
-    """Below the fixed version, or without one. apk and dpkg: PEP 440 where both parse, else by characters."""
-    other = F.coalesce(compare_pep440(version, fixed), F.when(version < fixed, -1).otherwise(0))
-    below = F.when(manager == "rpm", compare_rpm(version, fixed) < 0).otherwise(other < 0)
+def os_package_vulnerable(version: Column, fixed: Column, manager: Column, version_keys: Column | None = None, fixed_keys: Column | None = None) -> Column:
+    """Below the fixed version, or without one. apk and dpkg: PEP 440 where both parse, else by characters.
+
+    Keys, if given, are structs of pep (``pep440_key``) and rpm (``rpm_key``), made before the two sides meet.
+    """
+    keys = lambda v, given: (pep440_key(v), rpm_key(v)) if given is None else (given["pep"], given["rpm"])
+    (pep, rpm), (fixed_pep, fixed_rpm) = keys(version, version_keys), keys(fixed, fixed_keys)
+    other = F.coalesce(_order(pep, fixed_pep), F.when(version < fixed, -1).otherwise(0))
+    below = F.when(manager == "rpm", _order(rpm, fixed_rpm) < 0).otherwise(other < 0)
     return F.when(F.coalesce(fixed, F.lit("")) == "", F.lit(True)).otherwise(F.coalesce(below, F.lit(True)))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisark.functions import formats
-from palisark.operators import graph, image
+from palisark.operators import graph, image, vulnerabilities
 
 
 def layer(names):
@@ -101,3 +101,24 @@ def test_grid_places_every_node(spark):
     finally:
         spark.conf.set(size, old)
     assert placed[:2] == (100_000, 100_000)
+
+
+def test_os_versions_are_read_before_packages_meet_advisories(spark):
+    """Each version's key is made once, however many advisories a package has."""
+    packages = spark.createDataFrame([("i", "p", "2.10", "", 0, "", "")], "image string, name string, version string, release string, epoch int, source_name string, source_version string")
+    info = spark.createDataFrame([("i", "debian", "12", "dpkg")], "image string, family string, version string, pkg_manager string")
+    fixes = ["2.9", "2.11", "", None, "2.10", "x"]
+    known = spark.createDataFrame([(f"C{i}", "debian", "12", "p", v, "low", 0.0, "s") for i, v in enumerate(fixes)], "id string, os_family string, os_version string, package string, version_fixed string, severity string, cvss_score double, summary string")
+    found = vulnerabilities.os_findings(packages, info, known)
+    assert sorted(r.cve_id for r in found.collect()) == ["C1", "C2", "C3", "C5"]
+    assert "RLIKE" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_entries_are_read_before_dependencies_meet_them(spark):
+    deps = spark.createDataFrame([("f", "p", "1.0", "npm")], "source_file string, name string, version string, ecosystem string")
+    entry = ("G1", "npm", "p", "", "2.0", "unrated", 7.5, "s", '["X","CVE-1"]')
+    vulns = spark.createDataFrame([entry], "id string, ecosystem string, package string, version_introduced string, version_fixed string, severity string, cvss_score double, summary string, aliases string")
+    found = vulnerabilities.dependency_findings(deps, vulns)
+    assert [(r.cve_id, r.severity) for r in found.collect()] == [("CVE-1", "high")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan[: plan.index("Join")]
