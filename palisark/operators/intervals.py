@@ -1,10 +1,10 @@
 """Points in intervals: a join whose rows grow with its result, not with points times intervals of a key.
 
-All bounds of a key, in order, cut the line into cells. A point lies in one cell, and an interval is a run of cells; the
-run is put together from nodes of a binary tree over the cells, two of a level at most, and the point from its cell's
-ancestors. An equi-join by key and node then meets each point with each interval that it lies in, once, also where
-thousands of intervals overlap. Cells are found by one range-partitioned sort of points and bounds and prefix sums over
-its partitions: no key, however frequent, is gathered in a task.
+Points have ranks in the order of keys, and the points of an interval are those of a run of ranks. Points travel once, in
+blocks of 4,096 consecutive ones, and an interval goes to the blocks of its run, of which it takes a slice each: what is
+shuffled is the points, a row for each interval, and a row for each 4,096 rows of the result. Ranks are found by one
+range-partitioned sort of points and bounds and prefix sums over its partitions: no key, however frequent, is gathered in
+a task.
 """
 
 from __future__ import annotations
@@ -16,20 +16,8 @@ from pyspark.sql import functions as F
 from palisark.session import fresh_name, small_side, written
 
 
-def _nodes(low: str, high: str, levels: str):
-    """The tree nodes (level, index) that make up the cells low <= cell < high."""
-    start = F.struct(F.col(low).alias("a"), F.col(high).alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
-
-    def step(s, level):
-        a, b, odd_a, odd_b = s["a"], s["b"], s["a"] % 2 == 1, s["b"] % 2 == 1
-        node = lambda x: F.array(F.struct(level.alias("level"), x.alias("node")))
-        none = F.array().cast("array<struct<level:int,node:bigint>>")
-        left = F.when((a < b) & odd_a, node(a)).otherwise(none)
-        right = F.when((a + odd_a.cast("long") < b) & odd_b, node(b - 1)).otherwise(none)
-        up = F.shiftright(a + odd_a.cast("long"), 1)
-        return F.struct(F.when(a < b, up).otherwise(a).alias("a"), F.when(a < b, F.shiftright(b, 1)).otherwise(b).alias("b"), F.concat(s["out"], left, right).alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.col(levels)), start, step, lambda s: s["out"])
+#: Points of a block, as a power of two.
+BLOCK_BITS = 12
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], key: str, low: str, high: str) -> DataFrame:
@@ -39,33 +27,35 @@ def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], key: s
     those of ``by`` must differ between the two sides. Rows that repeat are joined each.
     """
     names = [*points.columns, *intervals.columns]
-    cell, kind, tie, seq, part, before, here, first, n, levels, a, b, at = (
-        fresh_name(x, names) for x in ("cell", "kind", "tie", "seq", "part", "before", "here", "first", "n", "levels", "a", "b", "at")
+    rank, kind, tie, seq, part, before, here, first, n, block, held_in, a, b, at = (
+        fresh_name(x, names) for x in ("rank", "kind", "tie", "seq", "part", "before", "here", "first", "n", "block", "held_in", "a", "b", "at")
     )
     points = points.where(F.col(key).isNotNull())
-    # Bounds in order; of each key the number of its first one, and how many it has. The open ends are its cells' ends.
+    # A bound comes before the points of its own key: what is counted before it is the rank of the first point from it on.
     bounds = intervals.select(*by, F.explode(F.array_compact(F.array(low, high))).alias(key)).where(F.col(key).isNotNull()).distinct()
     marks = bounds.select(*by, key, F.lit(0).alias(kind)).unionByName(points.select(*by, key, F.lit(1).alias(kind), F.struct(*points.columns).alias(at)), allowMissingColumns=True)
     order = [*by, key, kind, tie]  # a key that very many points share may be split
     marks = marks.withColumn(tie, F.monotonically_increasing_id())
     spread = written(marks.repartitionByRange(*order).sortWithinPartitions(*order).drop(tie).withColumn(seq, F.monotonically_increasing_id()), "marks")
     spread = spread.withColumn(part, F.shiftrightunsigned(seq, 33))
-    held = spread.groupBy(part).agg(F.count_if(F.col(kind) == 0).alias(here))
+    held = spread.groupBy(part).agg(F.count_if(F.col(kind) == 1).alias(here))
     held = small_side(held.withColumn(before, F.sum(here).over(W.orderBy(part)) - F.col(here)).drop(here), "marks-parts")
-    number = F.count_if(F.col(kind) == 0).over(W.partitionBy(part).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = written(spread.withColumn(cell, number).join(held, part).withColumn(cell, F.col(cell) + F.col(before)).drop(seq, part, before), "cells")
-    numbers = placed.where(F.col(kind) == 0).select(*by, key, cell)  # from 1; a point below all bounds of its key has the number before
-    groups = numbers.groupBy(*by).agg(F.min(cell).alias(first), F.count("*").alias(n))
-    # Cell 0 of a key is below its bounds, cell i begins with its i-th bound.
-    groups = groups.withColumn(levels, F.ceil(F.log2(F.col(n) + F.lit(2))).cast("int"))
-    groups = written(groups, "groups")
-    own = F.col(cell) - F.col(first) + 1
-    mine = placed.where(F.col(kind) == 1).join(groups, by).withColumn(cell, own)
-    each = mine.select(F.col(f"{at}.*"), F.explode(F.transform(F.sequence(F.lit(0), levels), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col(cell), i).alias("node")))).alias(cell))
-    marked = intervals.join(groups, by)
-    for bound, out, open_end in ((low, a, F.lit(0)), (high, b, F.col(n) + 1)):
-        known = numbers.select(*by, F.col(key).alias(bound), F.col(cell).alias(out))
-        marked = marked.join(known, [*by, bound], "left").withColumn(out, F.when(F.col(bound).isNull(), open_end).otherwise(F.col(out) - F.col(first) + 1).cast("long"))
-    runs = marked.withColumn(cell, F.explode(_nodes(a, b, levels))).drop(a, b, first, n, levels, low, high)
-    flat = lambda df: df.withColumns({"__level": F.col(f"{cell}.level"), "__node": F.col(f"{cell}.node")}).drop(cell)
-    return flat(each.drop(key)).join(flat(runs), [*by, "__level", "__node"]).drop("__level", "__node")
+    number = F.count_if(F.col(kind) == 1).over(W.partitionBy(part).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = spread.withColumn(rank, number).join(held, part).withColumn(rank, F.col(rank) + F.col(before) - F.col(kind))
+    placed = written(placed.drop(seq, part, before), "ranks")
+    ranked = placed.where(F.col(kind) == 1)
+    groups = written(ranked.groupBy(*by).agg(F.min(rank).alias(first), F.count("*").alias(n)), "groups")
+    runs = intervals.join(groups, by)
+    for bound, out, open_end in ((low, a, F.col(first)), (high, b, F.col(first) + F.col(n))):
+        known = placed.where(F.col(kind) == 0).select(*by, F.col(key).alias(bound), F.col(rank).alias(out))
+        runs = runs.join(known, [*by, bound], "left").withColumn(out, F.when(F.col(bound).isNull(), open_end).otherwise(F.col(out)))
+    runs = runs.where(F.col(a) < F.col(b)).drop(first, n, low, high)
+    runs = runs.withColumn(block, F.explode(F.sequence(F.shiftright(a, BLOCK_BITS), F.shiftright(F.col(b) - 1, BLOCK_BITS))))
+    by_rank = lambda x, y: (x["rank"] - y["rank"]).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), F.col(at).alias("at"))), by_rank)
+    blocks = ranked.groupBy(F.shiftright(rank, BLOCK_BITS).alias(block)).agg(F.transform(listed, lambda x: x["at"]).alias(held_in))
+    base = F.shiftleft(F.col(block), BLOCK_BITS)
+    start, end = F.greatest(F.col(a), base), F.least(F.col(b), base + (1 << BLOCK_BITS))
+    met = runs.join(blocks, block).withColumn(at, F.explode(F.slice(held_in, (start - base + 1).cast("int"), (end - start).cast("int"))))
+    own = [F.col(f"{at}.{c}").alias(c) for c in points.columns if c not in (*by, key)]
+    return met.select(*by, *own, *[c for c in intervals.columns if c not in (*by, low, high)])

@@ -127,3 +127,23 @@ def test_ranges_are_found_alike_by_either_join(spark):
     assert found[0] == found[1] and len(found[0]) > 500
     both = deps.join(known, ["ecosystem", "name"]).where(versions.is_vulnerable(F.col("version"), F.col("version_introduced"), F.col("version_fixed"), F.col("ecosystem")))
     assert found[0] == sorted((r.i, r.j) for r in both.collect())
+
+
+def test_points_and_intervals_are_shuffled_a_few_times_only(spark):
+    """What is shuffled is points, intervals and blocks, not either side once for each level of a tree."""
+    n, size = 20_000, "spark.sql.autoBroadcastJoinThreshold"
+    p = spark.range(n).selectExpr("id as i", "'hot' as g", "id * 2 as k")
+    wide = spark.range(n).selectExpr("id as j", "'hot' as g", "id * 2 + 1 as lo", "id * 2 + 601 as hi")  # each holds 300 points
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    old, earlier = spark.conf.get(size), set(shuffled())
+    try:
+        spark.conf.set(size, "-1")
+        assert intervals.interval_join(p, wide, ["g"], "k", "lo", "hi").count() == sum(min(300, n - 1 - j) for j in range(n))
+    finally:
+        spark.conf.set(size, old)
+    assert sum(v for k, v in shuffled().items() if k not in earlier) < 14 * n
