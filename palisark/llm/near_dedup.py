@@ -294,8 +294,7 @@ def _apart(members: DataFrame, comps: DataFrame) -> DataFrame:
 def _with_drawn(apart: DataFrame) -> DataFrame:
     """Pairs (a, b) of each class that is apart (h, cid, comp, m) with up to LEADERS drawn members of one of its buckets.
 
-    It is the largest one: whatever else has much in common with the class is there too, so that its other buckets would
-    add pairs, not links. What these pairs leave meets by rare shingles.
+    It is the largest one. Links that only its other buckets would have shown are left to the rare shingles, which lose none.
     """
     drawn = [F.min_by(F.struct("cid", "comp"), F.xxhash64("cid", "h", F.lit(i))) for i in range(LEADERS)]
     met = apart.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("drawn")).select("h", F.explode("drawn").alias("x"))
