@@ -4,9 +4,12 @@ A suffix array of a whole corpus would move every suffix. Here only text that ca
 
 1. Every WINDOW-byte string has an anchor, the smallest hash among its GRAM-byte substrings, so equal strings meet at
    equal anchors. Each anchor with its surroundings (every window that may have it as anchor lies in them) is a segment;
-   (anchor, hash of the segment, document) is sent to the anchor's bucket, copies within a batch only once.
-2. A bucket answers: documents whose segment a smaller document has are done there, all of the segment goes. Where an
-   anchor has different segments, the smallest document of each sends its text.
+   (anchor, hash of the segment, document) is sent to the anchor's bucket, copies within a batch only once. Two hashes
+   go with it, of the anchor and the HALF bytes before it, and of the anchor and the HALF bytes behind it.
+2. A bucket answers: documents whose segment a smaller document has are done there, all of the segment goes. Different
+   segments of an anchor that share a WINDOW-byte string share the anchor's bytes and HALF bytes on one side of it. Where
+   documents share such a half, the smallest document of each segment with it sends its text. An anchor alone decides
+   nothing: in a large corpus nearly every GRAM bytes stand somewhere else too, and nearly all text would move.
 3. A bucket builds the suffix array of the segments it gets by two-stage sorting: suffixes smaller than their successor
    are sorted directly, the others follow by a scan of the buckets of first bytes; then common prefixes of neighbours.
    Runs of neighbours that share WINDOW bytes are one string; all but the smallest document remove it.
@@ -31,6 +34,8 @@ from palisark.session import written
 
 WINDOW = 50
 GRAM = 16
+#: Of the WINDOW - GRAM bytes of a window that aren't its anchor, the longer side has so many at least.
+HALF = -(-(WINDOW - GRAM) // 2)
 #: Bytes of text behind one bucket, the least number of buckets, and buckets of texts for each one of anchors.
 BUCKET_BYTES = 16 << 20
 TEXT_BUCKETS = 3
@@ -38,6 +43,8 @@ MIN_BUCKETS = 64
 #: An anchor with more different segments than this is split by the content of its windows.
 HOT_SEGMENTS = 20_000
 PIECE_BYTES = 2 << 20
+#: Bytes whose anchors are sought at once: eight bytes for each of them stay in a core's cache.
+CACHE_BYTES = 128 << 10
 NO_ID = np.int64(2**63 - 1)
 FLAG, NEED, HOT = 0, 1, 2
 _LOW = np.uint64(0xFFFFFFFF)
@@ -45,11 +52,20 @@ _U = np.uint64
 
 
 def anchors(body: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """Of each anchor: place, document, start and end of its segment, hash g of the gram, 48-bit hash of the segment."""
-    n, width = len(body) - gram + 1, window - gram + 1
+    """Of each anchor: place, document, start and end of its segment, hash g of the gram, 48-bit hash of the segment,
+    32-bit hashes of the gram with what is left and right of it (0: the document has too little there)."""
+    parts = []
+    for a, b in tb.chunks(offsets, CACHE_BYTES):
+        f = _anchors(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram)
+        parts.append(f | {"at": f["at"] + offsets[a], "doc": f["doc"] + a, "start": f["start"] + offsets[a], "end": f["end"] + offsets[a]})
+    return {k: np.concatenate([f[k] for f in parts]) for k in parts[0]} if parts else _anchors(body, offsets, window, gram)
+
+
+def _anchors(body: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
+    n, width, half = len(body) - gram + 1, window - gram + 1, -(-(window - gram) // 2)
     if len(body) < window:
         z = np.zeros(0, np.int64)
-        return {"at": z, "doc": z, "start": z, "end": z, "g": z.astype(_U), "segment": z.astype(_U)}
+        return {"at": z, "doc": z, "start": z, "end": z, "g": z.astype(_U), "segment": z.astype(_U), "left": z.astype(np.uint32), "right": z.astype(np.uint32)}
     prefix = tb.prefix_hash(body)
     _, down = tb.powers(len(prefix))
     h = tb.mixed((prefix[gram:] - prefix[:-gram]) * down[:n])
@@ -69,7 +85,10 @@ def anchors(body: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
     end = np.minimum(offsets[doc + 1], at + window)
     shape = ((at - start) * 256 + (end - start)).astype(_U)
     segment = tb.mixed(tb.span_hash(prefix, start, end) + tb.mixed(shape)) >> _U(16)
-    return {"at": at, "doc": doc, "start": start, "end": end, "g": tb.mixed(h[at] ^ _U(0xA5A5A5A5A5A5A5A5)), "segment": segment}
+    side = lambda p, q: np.maximum(tb.mixed(tb.span_hash(prefix, p, q)) >> _U(32), _U(1))
+    left = np.where(at - half >= start, side(np.maximum(at - half, start), at + gram), _U(0)).astype(np.uint32)
+    right = np.where(at + gram + half <= end, side(at, np.minimum(at + gram + half, end)), _U(0)).astype(np.uint32)
+    return {"at": at, "doc": doc, "start": start, "end": end, "g": tb.mixed(h[at] ^ _U(0xA5A5A5A5A5A5A5A5)), "segment": segment, "left": left, "right": right}
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -92,6 +111,18 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _in_order(*keys: np.ndarray) -> np.ndarray:
+    """The order by the first key, then the next ones: most first keys stand alone, only ties are sorted further."""
+    order = np.argsort(keys[0])
+    tied = np.zeros(len(order), bool)
+    head = keys[0][order]
+    tied[1:] = head[1:] == head[:-1]
+    tied[:-1] |= tied[1:]
+    t = order[tied]
+    order[tied] = t[np.lexsort([k[t] for k in keys[::-1]])]
+    return order
+
+
 def _by(groups: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(groups, kind="stable")
     first = _runs(groups[order])
@@ -112,8 +143,8 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema)
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("which", pa.binary()), ("g", pa.binary()), ("segments", pa.binary())])
-SENT_SQL = "bucket long, ids binary, which binary, g binary, segments binary"
+SENT = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("which", pa.binary()), ("g", pa.binary()), ("segments", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+SENT_SQL = "bucket long, ids binary, which binary, g binary, segments binary, left binary, right binary"
 ANSWER = pa.schema([("home", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("segments", pa.binary()), ("masks", pa.binary())])
 ANSWER_SQL = "home long, kind int, ids binary, segments binary, masks binary"
 TEXTS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("segments", pa.binary()), ("first", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
@@ -127,15 +158,11 @@ def send_anchors(buckets: int):
         for x in batches:
             ids = _ids(x.column(0))
             body, offsets = tb.utf8(x.column(1))
-            parts = []
-            for a, b in tb.chunks(offsets, PIECE_BYTES):
-                f = anchors(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                parts.append((f["g"], f["segment"], f["doc"] + a))
-            if not parts:
+            f = anchors(body, offsets)
+            order = _in_order(f["g"], f["segment"], ids[f["doc"]])
+            g, segment, doc, left, right = (f[k][order] for k in ("g", "segment", "doc", "left", "right"))
+            if not len(g):
                 continue
-            g, segment, doc = map(np.concatenate, zip(*parts))
-            order = np.lexsort((ids[doc], segment, g))
-            g, segment, doc = g[order], segment[order], doc[order]
             first = _runs(g, segment)
             least = np.repeat(ids[doc[first]], np.diff(np.append(first, len(g))))
             known = ids[doc] > least
@@ -153,12 +180,27 @@ def send_anchors(buckets: int):
                 rows.append({
                     "bucket": k, "ids": ids[own].tobytes(), "which": which.astype(kind).tobytes(),
                     "g": (g[part] >> _U(32)).astype(np.uint32).tobytes(), "segments": _six(segment[part]),
+                    "left": left[part].tobytes() if k < buckets else b"", "right": right[part].tobytes() if k < buckets else b"",
                 })
             yield _batch(rows, SENT)
 
     return run
 
 
+def _shared(g: np.ndarray, half: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which segments have a half of an anchor (0: none) that is in several documents."""
+    out = np.zeros(len(g), bool)
+    own = np.flatnonzero(half)
+    key = g[own].astype(_U) << _U(32) | half[own]
+    order = np.argsort(key)
+    own = own[order]
+    first = _runs(key[order])
+    if len(first):
+        several = np.minimum.reduceat(ids[own], first) != np.maximum.reduceat(ids[own], first)
+        out[own] = np.repeat(several, np.diff(np.append(first, len(own))))
+    return out
+
+
 def _answers(kind: int, ids: np.ndarray, segments: np.ndarray, homes: int, masks: np.ndarray | None = None) -> list[dict]:
     rows = []
     for home, part in _by(_home(ids, homes)):
@@ -172,27 +214,29 @@ def answer_anchors(buckets: int, homes: int):
     """Step 2, on all that a bucket was sent."""
 
     def run(x: pa.Table) -> pa.Table:
-        ids, g, segment = [], [], []
+        ids, g, segment, left, right = [], [], [], [], []
         for row in x.to_pylist():
             which = np.frombuffer(row["which"], np.uint16 if len(row["ids"]) // 8 < 1 << 16 else np.uint32)
             ids.append(np.frombuffer(row["ids"], np.int64)[which])
             g.append(np.frombuffer(row["g"], np.uint32))
             segment.append(_from_six(row["segments"]))
-        ids, g, segment = map(np.concatenate, (ids, g, segment))
+            left.append(np.frombuffer(row["left"], np.uint32))
+            right.append(np.frombuffer(row["right"], np.uint32))
+        ids, g, segment, left, right = map(np.concatenate, (ids, g, segment, left, right))
         if x.column("bucket")[0].as_py() >= buckets:
             return pa.Table.from_batches([_batch(_answers(FLAG, ids, segment, homes), ANSWER)])
-        order = np.lexsort((ids, segment, g))
+        order = _in_order(g, segment, ids)
         ids, g, segment = ids[order], g[order], segment[order]
         first = _runs(g, segment)
         size = np.diff(np.append(first, len(g)))
         flag = ids > np.repeat(ids[first], size)
-        # Among the anchors: those with several segments, not all in one document.
+        # Of the segments: those with a half that a different segment, of another document, has too.
         heads, head_ids = g[first], ids[first]
+        shared = _shared(heads, left[order[first]], head_ids) | _shared(heads, right[order[first]], head_ids)
         group = _runs(heads)
         members = np.diff(np.append(group, len(heads)))
-        several = (np.minimum.reduceat(head_ids, group) != np.maximum.reduceat(head_ids, group)) if len(group) else np.zeros(0, bool)
-        need = np.repeat(several & (members <= HOT_SEGMENTS), members)
-        hot = np.repeat(several & (members > HOT_SEGMENTS), members)
+        many = np.repeat((np.add.reduceat(shared, group, dtype=np.int64) if len(group) else members) > HOT_SEGMENTS, members)
+        need, hot = shared & ~many, shared & many
         rows = _answers(FLAG, ids[flag], segment[flag], homes)
         rows += _answers(NEED, head_ids[need], segment[first][need], homes)
         rows += _answers(HOT, head_ids[hot], segment[first][hot], homes)
@@ -305,12 +349,12 @@ def _append(out, data, body, bucket, ids, segment, start, end, first) -> None:
     data.append(body[tb.ranges(start, end - start)])
 
 
-def suffix_array(text: np.ndarray, depth: int = WINDOW, words: np.ndarray | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray, depth: int = WINDOW, codes: np.ndarray | None = None) -> np.ndarray:
     """All suffixes in the order of their first ``depth`` bytes, by two-stage sorting.
 
     Only suffixes smaller than their successor are sorted directly. Every other suffix follows its successor: scanning
     the buckets of first bytes upwards, each suffix found places the one before it at the front of its bucket, if that
-    begins with no smaller byte. (Beyond ``depth`` the order is that of places; a suffix ends with the text.)
+    begins with no smaller byte. (Beyond ``depth`` the order is left open; a suffix ends with the text.)
     """
     n = len(text)
     if n < 2:
@@ -318,8 +362,8 @@ def suffix_array(text: np.ndarray, depth: int = WINDOW, words: np.ndarray | None
     wide = np.append(text.astype(np.int16), np.int16(-1))
     change = np.flatnonzero(wide[1:] != wide[:-1])  # the last byte is larger than the end
     smaller = np.repeat(wide[change + 1] > wide[change], np.diff(change, prepend=-1))  # than the successor
-    words = _words(text) if words is None else words
-    small = _direct(words, np.flatnonzero(smaller).astype(np.int32), depth)
+    codes = _codes(text) if codes is None else codes
+    small = _direct(codes, np.flatnonzero(smaller).astype(np.int32), depth)
     first_small = text[small]
     bounds = np.searchsorted(first_small, np.arange(257))
     # Each bucket of a first byte: larger suffixes, induced in order, before the smaller ones.
@@ -355,13 +399,24 @@ def _words(text: np.ndarray) -> np.ndarray:
     return padded
 
 
-def _direct(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of their first ``depth`` bytes: by eight bytes, then ties by the next eight, and so on."""
-    order = at[np.argsort(words[at], kind="stable")]
+def _codes(text: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as their rank among all of the text; two of them are one number to sort by."""
+    words = _words(text)
+    order = np.argsort(words)
     key = words[order]
+    codes = np.zeros(len(words), np.int32)
+    codes[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.int32)
+    return codes
+
+
+def _direct(codes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of their first ``depth`` bytes: by sixteen bytes, then ties by the next eight, and so on."""
+    both = lambda high, places: high.astype(_U) << _U(32) | codes[np.minimum(places, len(codes) - 1)].astype(_U)
+    key = both(codes[at], at + 8)
+    by = np.argsort(key)
+    order, key = at[by], key[by]
     rank = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.int32) if len(order) else np.zeros(0, np.int32)
-    del key
-    for d in range(8, depth, 8):
+    for d in range(16, depth, 8):
         tied = np.zeros(len(order), bool)
         same = rank[1:] == rank[:-1]
         tied[1:] |= same
@@ -369,14 +424,12 @@ def _direct(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         t = np.flatnonzero(tied)
         if not len(t):
             break
-        places, ranks = order[t], rank[t]
-        key = words[np.minimum(places + d, len(words) - 1)]
-        by = np.lexsort((key, ranks))
-        order[t] = places[by]
+        key = both(rank[t], order[t] + d)
+        by = np.argsort(key)
+        order[t], key = order[t][by], key[by]
         new = np.ones(len(order), bool)
         new[1:] = rank[1:] != rank[:-1]
-        k, r = key[by], ranks[by]
-        new[t[1:]] |= (k[1:] != k[:-1]) & (r[1:] == r[:-1])
+        new[t[1:]] |= key[1:] != key[:-1]
         rank = np.cumsum(new, dtype=np.int32) - 1
     return order
 
@@ -389,15 +442,15 @@ def repeated_windows(ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, windo
     joined[tb.ranges(start, sizes)] = text
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), gap)
     offset = np.arange(len(joined), dtype=np.int32) - start.astype(np.int32)[owner]
-    words = _words(joined)
-    sa = suffix_array(joined, window, words)
+    codes = _codes(joined)
+    sa = suffix_array(joined, window, codes)
     sa = sa[offset[sa] + window <= sizes[owner[sa]]]
     if not len(sa):
         return np.zeros(len(sizes), _U)
     # The common prefix of neighbours reaches `window` bytes where all its words of eight agree.
     same = np.ones(len(sa) - 1, bool)
     for d in [*range(0, window - 7, 8), window - 8]:
-        w = words[sa + d]
+        w = codes[sa + d]
         same &= w[1:] == w[:-1]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
     who = ids[owner[sa]]

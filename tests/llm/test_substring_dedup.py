@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,32 @@ def test_suffix_array(data):
     ordered = [key(i) for i in found]
     if 0 not in data:  # a zero byte and the end of the text count alike
         assert ordered == sorted(ordered)
+
+
+def test_common_anchors_alone_move_no_text():
+    """Phrases of 30 bytes in every document share no window of 50: no segment is asked for. Windows of 50 bytes are."""
+    rng = random.Random(7)
+    phrases = [prose(rng, 12)[:30] for _ in range(5)]
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    def asked(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        sent = pa.Table.from_batches(sd.send_anchors(1)(iter([batch]))).to_pylist()
+        answers = sd.answer_anchors(1, 1)(pa.Table.from_pylist([r for r in sent if r["bucket"] < 1], sd.SENT))
+        return sum(len(r["ids"]) // 8 for r in answers.to_pylist() if r["kind"] != sd.FLAG)
+
+    assert asked([own(40).join(["", *phrases, ""]) for _ in range(50)]) == 0
+    shared = own(50)
+    assert asked([own(40) + shared + own(40) for _ in range(50)]) >= 50
+
+
+def test_windows_at_the_edges_of_what_is_shared(make_docs, rows):
+    """Shared strings of 49 to 52 bytes, at the start, in the middle and at the end of documents."""
+    rng = random.Random(11)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for n in [49, 50, 51, 52] * 15:
+        x = own(n)
+        texts += [own(rng.choice([0, 0, 5, 16, 17, 18, 60])) + x + own(rng.choice([0, 0, 5, 16, 17, 18, 60])) for _ in range(3)]
+    found = sorted(rows(sd.find(make_docs(texts, parts=4))))
+    assert found == brute(list(enumerate(texts))) and sum(r[2] > 0 for r in found) >= 90
