@@ -400,16 +400,18 @@ def dockerfile_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "# a comment\nFROM ", F.when(k % 3 == 0, "img:1").otherwise("img"), "\nENV API_TOKEN=x\nRUN apt-get update && \\\n   apt-get install -y curl\nEXPOSE ", F.when(k % 5 == 0, "22/tcp").otherwise("8080"),
         "\nHEALTHCHECK ", F.when(k % 7 == 0, "CMD x").otherwise("NONE"), F.when(k % 4 == 0, "\nUSER root").when(k % 2 == 0, "\nUSER app").otherwise("\n\nCOPY . /app"), F.when(k % 2 == 1, "\nWORKDIR /app").otherwise(""), "\n",
     )
-    found = iac.dockerfile(table(spark, sf_dir, "part").select(k.cast("string").alias("source_file"), text.alias("text")))
+    # A part is a few bytes in its table and a file here: keys are dealt out before they become texts, and files stay where they are.
+    keys = table(spark, sf_dir, "part").select("p_partkey", k.cast("string").alias("source_file"))
+    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_file")
+    found = iac.dockerfile(keys.select("source_file", text.alias("text")))
     get = lambda n, t="boolean": F.try_variant_get("properties", f"$.{n}", t)
-    whole = found.where("resource_type = 'dockerfile_image'").select(
-        "source_file", get("has_user").alias("has_user"), get("uses_latest_tag").alias("uses_latest_tag"), get("has_ssh_exposed").alias("has_ssh_exposed"), get("is_root_user").alias("is_root_user"),
-        get("has_healthcheck").alias("has_healthcheck"), get("base_image", "string").alias("base_image"),
+    whole = F.col("resource_type") == "dockerfile_image"
+    facts = [F.max(F.when(whole, get(n))).alias(n) for n in ("has_user", "uses_latest_tag", "has_ssh_exposed", "is_root_user", "has_healthcheck")]
+    told = found.groupBy("source_file").agg(
+        *facts, F.max(F.when(whole, get("base_image", "string"))).alias("base_image"), F.count_if(~whole).alias("n_instructions"),
+        F.count_if(~whole & get("has_secret_pattern")).cast("int").alias("n_secret"),
     )
-    each = found.where("resource_type <> 'dockerfile_image'").groupBy("source_file").agg(
-        F.count("*").alias("n_instructions"), F.count_if(get("has_secret_pattern")).cast("int").alias("n_secret")
-    )
-    return whole.join(each, "source_file").select(F.col("source_file").cast("long").alias("p_partkey"), *whole.columns[1:], "n_instructions", "n_secret")
+    return told.select(F.col("source_file").cast("long").alias("p_partkey"), *told.columns[1:])
 
 
 @query("""

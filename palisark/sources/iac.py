@@ -220,60 +220,70 @@ SENSITIVE_FILE = r"\.(key|pem|p12|pfx)$|id_rsa|\.env$"
 
 
 def dockerfile(rows: DataFrame) -> DataFrame:
-    """Dockerfiles: a resource for each instruction, and one summary of the file."""
-    joined = F.regexp_replace("text", r"\\\s*\n", " ")
-    lines = rows.select("source_file", F.posexplode(F.split(joined, r"\r\n|\n|\r")).alias("at", "line"))
+    """Dockerfiles: a resource for each instruction, and one summary of the file.
+
+    Each row of (source_file, text) is a file of its own. Its instructions and its summary are made in the task that
+    reads it, in one pass and without a shuffle; a file without instructions has no resource.
+    """
     pattern = r"^([A-Z]+)\s+(.+)$"
-    lines = lines.withColumn("line", F.trim("line")).where(F.col("line").rlike(pattern) & ~F.col("line").startswith("#"))
-    i = lines.select("source_file", "at", F.regexp_extract("line", pattern, 1).alias("op"), F.regexp_extract("line", pattern, 2).alias("args"))
-    i = i.withColumn("idx", F.row_number().over(W.partitionBy("source_file").orderBy("at")) - 1)
+    lines = F.transform(F.split(F.regexp_replace("text", r"\\\s*\n", " "), r"\r\n|\n|\r"), lambda x, at: F.struct(at.alias("at"), F.trim(x).alias("line")))
+    lines = F.filter(lines, lambda x: x["line"].rlike(pattern) & ~x["line"].startswith("#"))
+    part = lambda x, n: F.regexp_extract(x["line"], pattern, n)
+    parsed = rows.select("source_file", F.transform(lines, lambda x: F.struct(x["at"].alias("at"), part(x, 1).alias("op"), part(x, 2).alias("args"))).alias("found"))
+    parsed = parsed.where(F.size("found") > 0)
+
+    words_of = lambda args: F.filter(F.split(args, r"\s+"), lambda x: x != "")
+    image_of = lambda args: F.coalesce(F.get(words_of(args), F.lit(0)), F.lit(""))
+    tag_of = lambda image: F.when(image.contains(":") & ~image.startswith("sha256:"), F.substring_index(image, ":", -1)).when(~image.contains("@"), "latest").otherwise("")
+    ports_of = lambda args: F.filter(F.transform(words_of(args), lambda w: F.substring_index(w, "/", 1).try_cast("int")), lambda p: p.isNotNull())
+    chown_of = lambda args: args.contains("--chown") | args.contains("--chmod")
+
+    args_of = lambda name: F.transform(F.filter("found", lambda x: x["op"] == name), lambda x: x["args"])
+    count = lambda a: F.size(a).cast("long")
+    own = {"froms": args_of("FROM"), "users": args_of("USER"), "exposes": args_of("EXPOSE"), "copies": args_of("COPY"), "checks": args_of("HEALTHCHECK")}
+    summary = parsed.withColumns(own).withColumns({
+        "images": F.transform("froms", image_of), "exposed_ports": F.flatten(F.transform("exposes", ports_of)),
+        "user_value": F.coalesce(F.trim(F.try_element_at("users", F.lit(-1))), F.lit("")),
+    }).withColumn("facts", F.struct(
+        (F.size("users") > 0).alias("has_user"), F.exists("checks", lambda a: F.upper(F.trim(a)) != "NONE").alias("has_healthcheck"),
+        F.exists("images", lambda x: tag_of(x) == "latest").alias("uses_latest_tag"), "exposed_ports", F.coalesce(F.get("images", F.lit(0)), F.lit("")).alias("base_image"), "user_value",
+        F.exists("found", lambda x: x["op"] == "WORKDIR").alias("has_workdir"), count(args_of("ENTRYPOINT")).alias("entrypoint_count"),
+        F.array_contains("exposed_ports", 22).alias("has_ssh_exposed"), F.exists("exposed_ports", lambda p: p < 1024).alias("has_privileged_port"), count(args_of("ADD")).alias("add_count"),
+        count(F.filter("copies", lambda a: ~chown_of(a))).alias("copy_without_chown"), F.lower("user_value").isin("root", "0").alias("is_root_user"),
+    ))
+    # The summary comes behind the instructions, as the one entry that has facts.
+    fields = lambda x, facts: F.struct(x["at"].alias("at"), x["op"].alias("op"), x["args"].alias("args"), facts.alias("facts"))
+    kind = summary.schema["facts"].dataType
+    last = F.array(F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("op"), F.lit(None).cast("string").alias("args"), F.col("facts").alias("facts")))
+    entries = F.concat(F.transform("found", lambda x: fields(x, F.lit(None).cast(kind))), last)
+    i = summary.select("source_file", F.posexplode(entries).alias("idx", "e")).select("source_file", "idx", "e.*")
+
     op, args = F.col("op"), F.col("args")
-    words = F.filter(F.split(args, r"\s+"), lambda x: x != "")
-    image = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
-    tag = F.when(image.contains(":") & ~image.startswith("sha256:"), F.substring_index(image, ":", -1)).when(~image.contains("@"), "latest").otherwise("")
-    ports = F.filter(F.transform(words, lambda w: F.substring_index(w, "/", 1).try_cast("int")), lambda p: p.isNotNull())
+    words, image = words_of(args), image_of(args)
+    port = F.try_element_at(ports_of(args), F.lit(-1))
     key = F.coalesce(F.get(F.split(F.trim(F.substring_index(args, "=", 1)), r"\s+"), F.lit(0)), F.lit(""))
-    chown = args.contains("--chown") | args.contains("--chmod")
     plain = F.filter(words, lambda w: ~w.startswith("--"))
     sources = F.slice(plain, F.lit(1), F.greatest(F.size(plain) - 1, F.lit(0)))
-    when = lambda names, c: F.when(op.isin(*names), c)
-    extra = {
-        "image": when(["FROM"], image), "tag": when(["FROM"], tag), "user": when(["USER"], F.trim(args)),
-        "port": when(["EXPOSE"], F.try_element_at(ports, F.lit(-1))), "key": when(["ENV", "ARG"], key), "has_secret_pattern": when(["ENV", "ARG"], key.rlike(SECRET_KEY)),
-        "has_sudo": when(["RUN"], args.contains("sudo ") | args.startswith("sudo")), "has_curl_pipe": when(["RUN"], args.rlike(r"(curl|wget)\s+.*\|\s*(sh|bash|zsh)")),
-        "has_apt_no_recommends": when(["RUN"], args.contains("apt-get") & args.contains("install") & ~args.contains("--no-install-recommends")),
-        "is_local_add": when(["ADD"], F.when(F.size(words) >= 2, ~image.rlike("^https?://"))),
-        "has_sensitive_file": F.when(op == "ADD", F.when(F.size(words) >= 2, image.rlike(SENSITIVE_FILE))).when((op == "COPY") & F.exists(sources, lambda s: s.rlike(SENSITIVE_FILE)), F.lit(True)),
-        "has_chown": when(["COPY"], chown),
-    }
     base = {"instruction": op, "arguments": args, "line_number": F.col("at") + 1}
+    packed = lambda **more: F.to_variant_object(F.struct(*[v.alias(k) for k, v in (base | more).items()]))
+    run = {
+        "has_sudo": args.contains("sudo ") | args.startswith("sudo"), "has_curl_pipe": args.rlike(r"(curl|wget)\s+.*\|\s*(sh|bash|zsh)"),
+        "has_apt_no_recommends": args.contains("apt-get") & args.contains("install") & ~args.contains("--no-install-recommends"),
+    }
     # A property that an instruction hasn't isn't there, rather than null.
-    present = F.map_filter(
-        F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), F.to_json(F.struct(v.alias("v"))).alias("v")) for k, v in (base | extra).items()])), lambda k, v: v != "{}"
-    )
-    body = F.array_join(F.transform(F.map_entries(present), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.regexp_replace(e["value"], r'(?s)^\{"v":(.*)\}$', "$1"))), ",")
-    props = F.parse_json(F.concat(F.lit("{"), body, F.lit("}")))
-    kind = F.concat(F.lit("dockerfile_"), F.lower(op))
-    address = F.concat(F.lit("dockerfile."), F.lower(op), F.lit("."), F.col("idx"))
-    each = i.select(*_resource(F.col("source_file"), F.col("idx"), kind, address, F.concat(op, F.lit(" "), F.substring(args, 1, 50)), F.lit("docker"), props))
-    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    summary = i.withColumns({"image": image, "tag": tag, "ports": ports, "chown": chown}).groupBy("source_file").agg(
-        F.max("idx").alias("idx"), has(op == "USER").alias("has_user"), has((op == "HEALTHCHECK") & (F.upper(F.trim(args)) != "NONE")).alias("has_healthcheck"),
-        has((op == "FROM") & (F.col("tag") == "latest")).alias("uses_latest_tag"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(op == "EXPOSE", F.struct("idx", "ports")))), lambda x: x["ports"])).alias("exposed_ports"),
-        F.coalesce(F.min_by(F.when(op == "FROM", F.col("image")), F.when(op == "FROM", F.col("idx"))), F.lit("")).alias("base_image"),
-        F.coalesce(F.max_by(F.when(op == "USER", F.trim(args)), F.when(op == "USER", F.col("idx"))), F.lit("")).alias("user_value"),
-        has(op == "WORKDIR").alias("has_workdir"), F.count_if(op == "ENTRYPOINT").alias("entrypoint_count"), F.count_if(op == "ADD").alias("add_count"),
-        F.count_if((op == "COPY") & ~F.col("chown")).alias("copy_without_chown"),
-    )
-    facts = F.struct(
-        "has_user", "has_healthcheck", "uses_latest_tag", "exposed_ports", "base_image", "user_value", "has_workdir", "entrypoint_count",
-        F.array_contains("exposed_ports", 22).alias("has_ssh_exposed"), F.exists("exposed_ports", lambda p: p < 1024).alias("has_privileged_port"), "add_count",
-        "copy_without_chown", F.lower("user_value").isin("root", "0").alias("is_root_user"),
+    props = (
+        F.when(F.col("facts").isNotNull(), F.to_variant_object("facts")).when(op == "FROM", packed(image=image, tag=tag_of(image))).when(op == "USER", packed(user=F.trim(args)))
+        .when((op == "EXPOSE") & port.isNotNull(), packed(port=port)).when(op.isin("ENV", "ARG"), packed(key=key, has_secret_pattern=key.rlike(SECRET_KEY))).when(op == "RUN", packed(**run))
+        .when((op == "ADD") & (F.size(words) >= 2), packed(is_local_add=~image.rlike("^https?://"), has_sensitive_file=image.rlike(SENSITIVE_FILE)))
+        .when((op == "COPY") & F.exists(sources, lambda s: s.rlike(SENSITIVE_FILE)), packed(has_sensitive_file=F.lit(True), has_chown=chown_of(args)))
+        .when(op == "COPY", packed(has_chown=chown_of(args))).otherwise(packed())
     )
-    name = F.concat(F.lit("Dockerfile ("), F.when(F.col("base_image") == "", "unknown").otherwise(F.col("base_image")), F.lit(")"))
-    whole = summary.select(*_resource(F.col("source_file"), F.col("idx") + 1, F.lit("dockerfile_image"), F.lit("dockerfile.image.summary"), name, F.lit("docker"), F.to_variant_object(facts)))
-    return each.unionByName(whole)
+    first = F.col("facts.base_image")
+    whole = lambda a, b: F.when(F.col("facts").isNotNull(), a).otherwise(b)
+    name = whole(F.concat(F.lit("Dockerfile ("), F.when(first == "", "unknown").otherwise(first), F.lit(")")), F.concat(op, F.lit(" "), F.substring(args, 1, 50)))
+    address = whole(F.lit("dockerfile.image.summary"), F.concat(F.lit("dockerfile."), F.lower(op), F.lit("."), F.col("idx")))
+    rtype = whole(F.lit("dockerfile_image"), F.concat(F.lit("dockerfile_"), F.lower(op)))
+    return i.select(*_resource(F.col("source_file"), F.col("idx"), rtype, address, name, F.lit("docker"), props))
 
 
 _TOKEN = re.compile(r'\s+|#[^\n]*|//[^\n]*|/\*[\s\S]*?\*/|(<<-?(\w+)\n[\s\S]*?\n\s*\2\b)|("(?:\\.|\$\{[^}]*\}|[^"\\])*")|([{}\[\]=,:()])|([^\s{}\[\]=,:()"#]+)')

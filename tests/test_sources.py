@@ -218,3 +218,27 @@ def test_lock_files_in_sql(spark):
     found = spark.sql("SELECT source_file, r.* FROM lock_texts, LATERAL read_lockfile(source_file, text) r").collect()
     assert sorted((r.name, r.version, r.ecosystem, r.license) for r in found if not r.error) == [("@s/b", "2", "npm", "MIT"), ("C", "2.1", "pypi", ""), ("Flask", "1.0", "pypi", ""), ("a", "1", "npm", "")]
     assert [r.source_file for r in found if r.error] == ["z/package-lock.json"]
+
+
+def test_dockerfiles_are_read_in_one_pass(spark):
+    """Instructions and summary of a file come from the task that reads it; rows of one name are files of their own."""
+    texts = {
+        "a": "# FROM x\nFROM a@sha256:x AS b\nFROM img:1\nADD only\nADD https://x/id_rsa /a\nCOPY --chown=a:b s.key d\nCOPY a b\nEXPOSE 22 80/tcp x\nEXPOSE foo\nUSER  app \nHEALTHCHECK none\n",
+        "b": "", "c": None, "d": "from lower\n  \n# nothing\n", "e": "RUN a \\\n  b\r\nENTRYPOINT x\rENTRYPOINT y",
+    }
+    found = iac.dockerfile(spark.createDataFrame(list(texts.items()), "source_file string, text string"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.source_file, r.address): json.loads(r.p) for r in found.withColumn("p", F.to_json("properties")).collect()}
+    assert {f for f, _ in rows} == {"a", "e"} and len(rows) == 15
+    assert rows["a", "dockerfile.image.summary"] == {
+        "has_user": True, "has_healthcheck": False, "uses_latest_tag": False, "exposed_ports": [22, 80], "base_image": "a@sha256:x", "user_value": "app", "has_workdir": False,
+        "entrypoint_count": 0, "has_ssh_exposed": True, "has_privileged_port": True, "add_count": 2, "copy_without_chown": 1, "is_root_user": False,
+    }
+    own = {a: {k: v for k, v in p.items() if k not in ("instruction", "arguments", "line_number")} for (f, a), p in rows.items() if f == "a"}
+    assert own["dockerfile.from.0"] == {"image": "a@sha256:x", "tag": "x"} and own["dockerfile.from.1"] == {"image": "img:1", "tag": "1"}
+    assert own["dockerfile.add.2"] == {} and own["dockerfile.add.3"] == {"is_local_add": False, "has_sensitive_file": True}
+    assert own["dockerfile.copy.4"] == {"has_sensitive_file": True, "has_chown": True} and own["dockerfile.copy.5"] == {"has_chown": False}
+    assert own["dockerfile.expose.6"] == {"port": 80} and own["dockerfile.expose.7"] == {} and own["dockerfile.user.8"] == {"user": "app"}
+    assert rows["e", "dockerfile.run.0"]["arguments"] == "a    b" and rows["e", "dockerfile.entrypoint.2"]["line_number"] == 3
+    twice = spark.createDataFrame([("a", "FROM x"), ("a", "FROM y\nRUN z")], "source_file string, text string")
+    assert sorted(r.address for r in iac.dockerfile(twice).collect()) == ["dockerfile.from.0"] * 2 + ["dockerfile.image.summary"] * 2 + ["dockerfile.run.1"]
