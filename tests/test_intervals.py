@@ -147,3 +147,25 @@ def test_points_and_intervals_are_shuffled_a_few_times_only(spark):
     finally:
         spark.conf.set(size, old)
     assert sum(v for k, v in shuffled().items() if k not in earlier) < 14 * n
+
+
+def test_the_result_takes_a_fraction_of_a_byte_a_row(spark, tmp_path):
+    """Rows are listed so that points repeat and intervals stay, which is what makes a large result small on disk."""
+    p = spark.range(20_000).selectExpr("xxhash64(id) as i", "'hot' as g", "id as k")
+    wide = spark.range(1000).selectExpr("xxhash64(-id) as j", "'hot' as g", "id * 15 as lo", "id * 15 + 5000 as hi")  # each holds 5,000 points
+    intervals.interval_join(p, wide, ["g"], "k", "lo", "hi").select("i", "j").write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 5_000_000
+    assert sum(x.stat().st_size for x in tmp_path.rglob("*.parquet")) < 2_000_000
+
+
+def test_blocks_with_many_intervals_are_dealt_to_lots(spark):
+    """Whole chunks, cut ones, the last one, which isn't full, and intervals of one run; before and after every edge of a chunk."""
+    n = 9000
+    p = spark.range(n).selectExpr("id as i", "if(id < 10, 'few', 'many') as g", "(id * 7919) % 9000 as k")
+    alike = spark.range(15_000).selectExpr("id as j", "'few' as g", "cast(null as long) as lo", "9000L as hi")
+    edges = spark.range(1500).selectExpr("100000 + id as j", "'many' as g", "if(id % 50 = 0, null, (id * 37) % 9100 - 50) as lo", "if(id % 70 = 3, null, (id * 37) % 9100 + (id * 13) % 700) as hi")
+    r = alike.unionByName(edges).where("lo is not null or hi is not null")
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("i", "j").cast("decimal(38,0)")), F.count_distinct("g")).first()
+    got = total(intervals.interval_join(p, r, ["g"], "k", "lo", "hi"))
+    assert got == total(p.join(r, "g").where("(lo is null or lo <= k) and (hi is null or k < hi)"))
+    assert got[0] > 600_000 and got[2] == 2
